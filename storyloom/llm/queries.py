@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import exact_dedup
+from storyloom.llm import exact_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,10 @@ def op9_exact_dedup(spark, sf_dir):
     """Exact copies through the extendible-hash index; of equal texts the largest doc_id stays."""
     found = exact_dedup.membership(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op3_simhash_near_dedup(spark, sf_dir):
+    """Near copies: 64-bit SimHash of 4-word shingles, linked within 4 bits through pivot distance tables."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.withColumnRenamed("id", "doc_id")
