@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import exact_dedup, simhash
+from storyloom.llm import exact_dedup, language, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,26 @@ def op3_simhash_near_dedup(spark, sf_dir):
     """Near copies: 64-bit SimHash of 4-word shingles, linked within 4 bits through pivot distance tables."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.withColumnRenamed("id", "doc_id")
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_sum_of_squares_packing(spark, sf_dir):
+    """All documents packed into windows of 2048 tokens by the sum-of-squares rule."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    """The language of every document by hyperdimensional profiles learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    known = language.learn_from(docs, folds=5, fold=0)
+    found, _ = language.identified(docs.select("doc_id", "text"), known)
+    return found.withColumnRenamed("c0", "doc_id").select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
