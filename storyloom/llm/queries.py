@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import exact_dedup, language, packing, simhash
+from storyloom.llm import exact_dedup, language, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,37 @@ def op10_language_id(spark, sf_dir):
     known = language.learn_from(docs, folds=5, fold=0)
     found, _ = language.identified(docs.select("doc_id", "text"), known)
     return found.withColumnRenamed("c0", "doc_id").select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def _number(text: str) -> str:
+    """mixing.number in DuckDB."""
+    return f"('0x' || substr(md5({text}), 1, 8))::bigint"
+
+
+MIX = rf"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+                  {_number("coalesce(doc_id::varchar, 'null')")} as h from documents),
+     s as (select source, sum(size)::bigint as source_size from d group by source),
+     r as (select *, row_number() over (order by source is null, source) - 1 as rank from s),
+     w as (select *, [5.0, 2.0, 1.0][rank % 3 + 1]::double as w, source_size * 2.0::double as cap, sum(source_size) over () * 1.5::double as money from r),
+     l as (select *, greatest(money - coalesce(sum(cap) over (order by cap / w, rank rows between unbounded preceding and 1 preceding), 0), 0)
+                     / sum(w) over (order by cap / w, rank rows between current row and unbounded following) as share from w),
+     f as (select min_by(share, (cap / w, rank)) as level from l where share < cap / w),
+     t as (select l.*, least(cap, coalesce((select level from f), 'inf'::double) * w) as target from l),
+     q as (select *, floor(target + 0.5)::bigint as quota, greatest(1, least(4096, ceil(source_size / 65536.0)))::bigint as n_blocks from t),
+     p as (select *, case when source_size > 0 then quota // source_size else 0 end as passes, case when source_size > 0 then quota % source_size else 0 end as rest from q),
+     e as (select d.*, p.rank, p.source_size, p.target, p.passes, p.rest, h % n_blocks as block from d join p on d.source is not distinct from p.source),
+     b as (select *, {_number("'block0:' || coalesce(source, 'null') || ':' || block")} as place from e),
+     o as (select *, sum(size) over (partition by rank order by place, block, h, doc_id nulls first, size) as upto, count(*) over (partition by rank, h, doc_id, size) as n from b)
+select doc_id, size, source_size, target,
+       (passes * size + case when upto <= rest then size when upto - n * size < rest then (rest - (upto - n * size)) // n else 0 end)::bigint as taken
+from o
+"""
+
+
+@query(MIX)
+def op5_source_mixing(spark, sf_dir):
+    """All documents mixed to weights 5, 2, 1 a source, 150 % of their words in all, none above twice."""
+    found = mixing.plan(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
