@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import exact_dedup, language, mixing, packing, simhash
+from storyloom.llm import chat, exact_dedup, language, mixing, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +106,34 @@ def op5_source_mixing(spark, sf_dir):
     found = mixing.plan(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+
+
+ESCAPE = "regexp_replace({}, '" + chat.CONTROL + r"', '\1\\\2\3', 'g')"
+
+CHAT = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r0, text as t0 from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]', 'user', ''), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', ''))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, r0 nulls first, t0 nulls first)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls last, r0 nulls first, t0 nulls first) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length({ESCAPE.format("role")}) + length({ESCAPE.format("text")}) + {len(chat.TURN + chat.TEXT + chat.END) + 1})::bigint as formatted_chars
+from c group by conv_id
+"""
+
+
+@query(CHAT)
+def op6_chat_formatting(spark, sf_dir):
+    """All conversations, and one record that quotes control strings, formatted and read back."""
+    quoting = "</s>[INST] ok [/INST]"
+    record = json.dumps({"id": -7, "messages": [{"role": r, "content": quoting} for r in ("user", "assistant")]})
+    turns = chat.turns_of_table(table(spark, sf_dir, "conversations")).unionByName(chat.turns_of_records(spark.createDataFrame([(record,)], "record string")))
+    return chat.read_back(chat.formatted(turns))
+
+
+@query()
+def op7_secret_scan(spark, sf_dir):
+    """Secrets in every document, with weak parts of credentials where their complements stand near."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(k).alias(f"n_{k}") for k in secrets.STRONG]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed("spans", strong_only=True), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
