@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, exact_dedup, language, mixing, packing, secrets, simhash
+from storyloom.llm import chat, exact_dedup, language, mixing, packing, secrets, sentences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +137,10 @@ def op7_secret_scan(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"))
     counts = [secrets.count_of(k).alias(f"n_{k}") for k in secrets.STRONG]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed("spans", strong_only=True), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+@query()
+def op2_sentence_span_dedup(spark, sf_dir):
+    """The spans of sentences that repeat an earlier one's, each with the document that keeps it."""
+    found = sentences.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "end", F.col("first_id").alias("first_doc_id"), "first_start", "n_runs")
