@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, exact_dedup, language, mixing, packing, secrets, sentences, simhash
+from storyloom.llm import chat, covertree, exact_dedup, language, mixing, packing, secrets, sentences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,19 @@ def op2_sentence_span_dedup(spark, sf_dir):
     """The spans of sentences that repeat an earlier one's, each with the document that keeps it."""
     found = sentences.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "start", "end", F.col("first_id").alias("first_doc_id"), "first_start", "n_runs")
+
+
+@query("""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as vec from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.vec, d.vec)::bigint as score
+           from v q, v d where q.vec_id % 20 = 0 and d.vec_id <> q.vec_id and len(q.vec) = len(d.vec)),
+     r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+""")
+def op1_cover_tree_top_k(spark, sf_dir):
+    """Each twentieth vector's 20 largest integer inner products, by dual cover trees."""
+    rows = table(spark, sf_dir, "embeddings").where(covertree.usable(F.col("embedding")))
+    data = rows.select(F.col("vec_id").alias("id"), covertree.floored(F.col("embedding"), 64).alias("vec"))
+    found = covertree.top_k(data.where("id % 20 = 0"), data, 20)
+    return found.withColumnRenamed("id", "vec_id")
