@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from storyloom.llm import packing
 from storyloom.llm.queries import op4_sum_of_squares_packing
@@ -14,8 +15,12 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def direct(text):
-    return packing.tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 def rebuilt(rows):
@@ -41,24 +46,33 @@ def rebuilt(rows):
     return partial
 
 
-def test_units_give_the_tokenizers_ids():
+def test_ids_are_the_tokenizers_ids():
     rng = random.Random(3)
-    alphabet = ["a", "Zb", "é", "1", "22", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "’", ".", ",%", "　", " ", "\x85", "\x1c", "汉字", "😀", "<|endoftext|>", "\r\n", " \n ", "don't"]
+    alphabet = ["a", "Zb", "é", "1", "22", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "’", ".", ",%", "\u3000", "\u2003", "\x85", "\x1c", "汉字", "😀", "<|endoftext|>", "\r\n", " \n ", "don't", "\x00", "'LL", "ß", "٣"]
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)]
-    for t, got in zip(texts, packing.token_bytes(texts, PATH), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == direct(t), repr(t)
+    texts += ["".join(map(chr, rng.choices([*range(0x2500), *range(0x1F300, 0x1F400)], k=60))) for _ in range(1000)]
+    for t in texts:
+        assert np.frombuffer(packing.token_bytes(t, PATH), "<u4").tolist() == direct(t), repr(t)
+
 
+def test_prose(spark):
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert np.frombuffer(packing.token_bytes(r["text"], PATH), "<u4").tolist() == direct(r["text"])
 
-def test_long_texts_are_cut_at_unit_ends(monkeypatch):
+
+def test_long_texts_are_cut_where_no_token_reaches(monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choices(["ab", "c ", " d", "\n", " ", ". "], k=4000))
-    whole = packing.token_bytes([text], PATH)[0]
+    whole = packing.token_bytes(text, PATH)
     monkeypatch.setattr(packing, "CHARS", 100)
     parts = list(packing.split_text(text))
     assert len(parts) > 10 and "".join(parts) == text
-    assert b"".join(packing.token_bytes([p], PATH)[0] for p in parts) == whole
-    monkeypatch.setattr(packing, "CACHE", 3)
-    assert packing.token_bytes([text, "x y"], PATH)[0] == whole
+    assert packing.token_bytes(text, PATH) == whole
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_level_choice_minimises_the_sum_of_squares():
