@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, covertree, exact_dedup, language, mixing, packing, secrets, sentences, simhash
+from storyloom.llm import chat, covertree, exact_dedup, language, lm, mixing, packing, secrets, sentences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,12 @@ def op1_cover_tree_top_k(spark, sf_dir):
     data = rows.select(F.col("vec_id").alias("id"), covertree.floored(F.col("embedding"), 64).alias("vec"))
     found = covertree.top_k(data.where("id % 20 = 0"), data, 20)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op8_recurrent_lm_scoring(spark, sf_dir):
+    """The log probability of every document by counts and by a gated recurrent network, learned from six sevenths."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    counts, known, network = lm.fit(docs.where(~lm.held_out("id", 7, 2)).select("text"))
+    found = lm.score(docs, counts, known, network)
+    return found.select(F.col("id").alias("doc_id"), lm.held_out("id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
