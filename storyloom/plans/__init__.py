@@ -1 +1,4 @@
 """Named queries over the driver's tables, each beside its SQL oracle."""
+
+from storyloom.plans import library, reports, texts  # noqa: F401
+from storyloom.plans.registry import QUERIES, SQL  # noqa: F401
