@@ -94,7 +94,7 @@ def greedy_longest(candidates: DataFrame, keys: list[str]) -> DataFrame:
     kind = candidates.select(F.struct("char_start", (-F.col("char_end")).alias("far"), *rest).alias("x")).schema["x"].dataType.simpleString()
     start = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{kind}>").alias("kept"))
     step = lambda a, x: F.when(x["char_start"] < a["until"], a).otherwise(F.struct((-x["far"]).alias("until"), F.concat(a["kept"], F.array(x)).alias("kept")))
-    held = candidates.groupBy(*keys).agg(ordered.alias("all")).select(*keys, F.inline(F.aggregate("all", start, step, lambda a: a["kept"])))
+    held = candidates.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.inline(F.aggregate("_all", start, step, lambda a: a["kept"])))
     return held.select(*keys, "char_start", (-F.col("far")).alias("char_end"), *rest)
 
 
@@ -122,7 +122,7 @@ def fitted(items: DataFrame, keys: list[str], order: list[str], cost: str, budge
         return F.when(after <= budget, F.struct(after.alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
 
     ordered = F.array_sort(F.collect_list(F.struct(*order, cost, *rest)))
-    return items.groupBy(*keys).agg(ordered.alias("all")).select(*keys, F.inline(F.aggregate("all", start, step, lambda a: a["kept"])))
+    return items.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.inline(F.aggregate("_all", start, step, lambda a: a["kept"])))
 
 
 def any_of(*conditions: Column) -> Column:
