@@ -47,8 +47,11 @@ def _decide(attempts: int, failed: int, done: bool, running: bool, dead: bool) -
     return "skip_failed" if failed >= MOST_FAILED else "run"
 
 
-def decisions(log: DataFrame, stale_ms: int = 60_000) -> DataFrame:
-    """A row per chapter whenever its runs change, or when its running one has shown no sign of life for stale_ms."""
+def decisions(log: DataFrame, stale_ms: int | None = 60_000) -> DataFrame:
+    """A row per chapter whenever its runs change, or when its running one has shown no sign of life for stale_ms.
+
+    A stream that waits for time never ends by itself; with None it only follows the log and can be drained.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         attempts, failed, done, running, last = state.get if state.exists else (0, 0, False, False, 0.0)
@@ -61,13 +64,13 @@ def decisions(log: DataFrame, stale_ms: int = 60_000) -> DataFrame:
                 done = done or kind == "purchase"
                 running, last = kind == "click", at.timestamp()
         state.update((int(attempts), int(failed), bool(done), bool(running and not dead), float(last)))
-        if running and not dead:
+        if running and not dead and stale_ms is not None:
             state.setTimeoutDuration(stale_ms)
         told = _decide(attempts, failed, done, running, dead)
         yield pd.DataFrame({"user_id": [key[0]], "attempts": [attempts], "failed": [failed], "done": [done], "running": [running and not dead], "decision": [told]})
 
     keyed = log.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return keyed.applyInPandasWithState(step, DECISIONS, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(step, DECISIONS, STATE, "update", GroupStateTimeout.NoTimeout if stale_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drained(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
@@ -77,9 +80,9 @@ def drained(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame
     return rows.sparkSession.table(name)
 
 
-def into_store(rows: DataFrame, checkpoint: str, put: Callable[[DataFrame], None]):
+def into_store(rows: DataFrame, checkpoint: str, put: Callable[[DataFrame], None], mode: str = "append"):
     """Every batch through put, which must be repeatable (an upsert by key): together that is exactly once."""
-    return rows.writeStream.foreachBatch(lambda batch, _: put(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.outputMode(mode).foreachBatch(lambda batch, _: put(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def to_index(scenes: DataFrame, stored: DataFrame, model: str) -> DataFrame:

@@ -35,8 +35,10 @@ def test_duplicates_and_late_rows(spark, tmp_path):
 
 def test_decisions_resume_from_their_state(spark, tmp_path):
     def drain():
-        got = R.drained(R.decisions(R.run_log(spark, f"{tmp_path}/log")), name(), "update", f"{tmp_path}/c")
-        return {r["user_id"]: (r["attempts"], r["decision"]) for r in got.collect()}
+        got = {}
+        put = lambda batch: got.update({r["user_id"]: (r["attempts"], r["decision"]) for r in batch.collect()})
+        R.into_store(R.decisions(R.run_log(spark, f"{tmp_path}/log"), None), f"{tmp_path}/c", put, "update").awaitTermination()
+        return got
 
     rows(spark, (1, 0, 1, "error"), (2, 1, 1, "error"), (3, 0, 2, "purchase"), (4, 0, 3, "click")).coalesce(1).write.parquet(f"{tmp_path}/log")
     assert drain() == {1: (2, "run"), 2: (1, "skip_done"), 3: (1, "skip_running")}
