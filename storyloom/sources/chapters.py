@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.headings import Heading, completed, heading_of_label, parse_heading, same_heading
+from storyloom.sources.lines import LAYOUT_LINES, LAYOUT_SHARE, plain_lines
 
 # Fixed values.
 BOOK_FRONT, VOLUME_FRONT = "前言", "卷首语"
@@ -126,3 +128,20 @@ def chapters(numbered: DataFrame, layout: DataFrame) -> DataFrame:
     if "boundaries" not in numbered.columns:
         numbered = numbered.withColumn("boundaries", F.array().cast("array<struct<label:string,has_children:boolean>>"))
     return numbered.join(layout, "path").groupBy("path").applyInPandas(_split, CHAPTERS)
+
+
+def _split_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, text in zip(b["path"], b["text"], strict=True):
+            found = plain_lines(text or "")
+            rows = pd.DataFrame({"path": path, "line_no": range(len(found)), "text": [t for t, _ in found], "indented": [i for _, i in found]})
+            if len(rows):
+                rows["boundaries"] = None
+                rows["indented_body"] = len(rows) >= LAYOUT_LINES and bool(rows["indented"].mean() >= LAYOUT_SHARE)
+                yield _split(rows)
+
+
+def of_texts(texts: DataFrame) -> DataFrame:
+    """(path, text) -> chapters. A plain-text book is one row already, so its lines, its layout and its chapters are
+    worked out where it lies, without a shuffle."""
+    return texts.select("path", "text").mapInPandas(_split_texts, CHAPTERS)

@@ -64,6 +64,17 @@ def lines(texts: DataFrame, key: str = "path") -> DataFrame:
     return kept.select(key, number.alias("line_no"), "text", "indented")
 
 
+#: White space at a line's ends, as for columns (functions.text.SPACE).
+ENDS = re.compile(r"^[\s\ufeff]+|[\s\ufeff]+$")
+INDENT = re.compile(r"(?:[\u3000\t]|\s{2,})")
+
+
+def plain_lines(text: str) -> list[tuple[str, bool]]:
+    """(line, indented) of one text: the same lines as lines() gives for a table of them."""
+    raw = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return [(t, bool(INDENT.match(r))) for r in raw if (t := ENDS.sub("", r))]
+
+
 def layouts(numbered: DataFrame, key: str = "path") -> DataFrame:
     """key, indented_body: whether unindented lines may be headings."""
     share = F.avg(F.col("indented").cast("int"))

@@ -55,6 +55,7 @@ def test_text_to_chapters(spark, tmp_path):
     assert sorted(r["is_zip"] for r in files.select("is_zip").collect()) == [False, True]
     numbered = lines.lines(lines.decoded(files).select("path", "text"))
     rows = sorted(chapters.chapters(numbered, lines.layouts(numbered)).collect(), key=lambda r: r["index"])
+    assert sorted(chapters.of_texts(lines.decoded(files)).collect(), key=lambda r: r["index"]) == rows
     assert [(r["kind"], r["number"], r["title"], r["volume_index"]) for r in rows] == [
         ("front_matter", None, "前言", None),
         ("prologue", None, None, None),
