@@ -30,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return simhash.survivors(docs, shingle=5, radius=simhash.RADIUS).select(COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    return simhash.similar_survivors(docs, shingle=5, similarity=0.8).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ RADIUS = 4
 #: Fingerprints compared with one another in one cell.
 CELL = 4096
 #: Reference fingerprints, fixed by their seed; the first FIRST are applied to whole blocks of pairs.
-PIVOTS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 32, dtype=np.uint64)
+PIVOTS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, (32, 4), dtype=np.uint64)
 FIRST = 4
 BLOCK = 256
 #: Shingles hashed at once: bounds the memory that a very long text takes.
@@ -89,9 +89,15 @@ def block_masks(n: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in whole]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances over the last axis, the words of a fingerprint."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
 def forest(marks: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of a cell the index of its component's first one, through the pivot table."""
-    table = np.bitwise_count(marks[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    """marks: (n, words). For each fingerprint of a cell the index of its component's first one, through the pivot table."""
+    pivots = PIVOTS[:, : marks.shape[1]]
+    table = np.stack([distance(marks, p) for p in pivots], axis=1)
     order = np.argsort(table[:, 0], kind="stable")
     marks, table = marks[order], table[order]
     label = np.arange(len(marks))
@@ -112,7 +118,7 @@ def forest(marks: np.ndarray, radius: int) -> np.ndarray:
             a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
             close = (np.abs(table[a, FIRST:] - table[b, FIRST:]) <= radius).all(axis=1)
             a, b = a[close], b[close]
-            linked = np.bitwise_count(marks[a] ^ marks[b]) <= radius
+            linked = distance(marks[a], marks[b]) <= radius
             a, b = a[linked], b[linked]
             while len(a):
                 low = np.minimum(label[a], label[b])
@@ -127,8 +133,8 @@ def forest(marks: np.ndarray, radius: int) -> np.ndarray:
     return roots
 
 
-def _link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(t, key, i, j, fp), sorted by cell -> links (a, b)."""
+def _link_cells(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
+    """(t, key, i, j, name, words of the fingerprint), sorted by cell -> links (a, b) of names."""
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray) -> pa.RecordBatch | None:
@@ -137,11 +143,11 @@ def _link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         sizes = np.diff(np.r_[starts, len(rows)])
         a, b = [], []
         for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            marks = np.ascontiguousarray(rows[s : s + n, 4])
-            root = forest(marks.view(np.uint64), radius)
+            names = rows[s : s + n, 4]
+            root = forest(np.ascontiguousarray(rows[s : s + n, 5 : 5 + words]).view(np.uint64), radius)
             tied = np.flatnonzero(root != np.arange(n))
-            a.append(marks[tied])
-            b.append(marks[root[tied]])
+            a.append(names[tied])
+            b.append(names[root[tied]])
         if a and sum(map(len, a)):
             return pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
         return None
@@ -161,18 +167,23 @@ def _link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield out
 
 
+def _linked(cells: DataFrame, radius: int, words: int) -> DataFrame:
+    """Rows (t, key, name, w0, w1, ...) -> links (a, b) of names. Crowded cells are cut into pairs of chunks."""
+    marks = [f"w{i}" for i in range(words)]
+    crowded = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    chunks = F.coalesce(F.ceil(F.col("n") / (CELL / 2)), F.lit(1)).cast("long")
+    dealt = cells.join(crowded, ["t", "key"], "left").select("t", "key", "name", *marks, chunks.alias("k"), F.pmod(F.xxhash64("name"), chunks).alias("c"))
+    paired = dealt.select("t", "key", "name", *marks, "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
+    placed = paired.select(F.col("t").cast("long"), "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "name", *marks)
+    order = ["t", "key", "i", "j"]
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_link_cells, radius=radius, words=words), "a long, b long")
+
+
 def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) whose components are those of all pairs within the radius."""
     masks = block_masks(marks.count(), radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
-    cells = marks.select("fp", F.inline(tables))
-    crowded = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    chunks = F.coalesce(F.ceil(F.col("n") / (CELL / 2)), F.lit(1)).cast("int")
-    dealt = cells.join(crowded, ["t", "key"], "left").select("t", "key", "fp", chunks.alias("k"), F.pmod(F.xxhash64("fp"), chunks.cast("long")).alias("c"))
-    paired = dealt.select("t", "key", "fp", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1)).alias("o"))
-    placed = paired.select(F.col("t").cast("long"), "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
-    order = ["t", "key", "i", "j"]
-    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_link_cells, radius=radius), "a long, b long")
+    return _linked(marks.select(F.col("fp").alias("name"), F.col("fp").alias("w0"), F.inline(tables)), radius, 1)
 
 
 def grouped(marked: DataFrame, radius: int) -> DataFrame:
@@ -208,3 +219,94 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     if marked.groupBy("id", "fp").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["fp"])
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+#: Words of a wide fingerprint, the share of its bits in which texts of similarity SIMILAR differ on average, the
+#: share of such pairs that the cells must bring together, and how many random fingerprints a cell may hold.
+WORDS = 4
+SIMILAR = 0.8
+RECALL = 0.95
+WIDE_CELL = 1024
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """The 256-bit fingerprint of UTF-8 text, as four signed words; its hashes are two XXH3 digests a shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WORDS, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
+    votes = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, n, SPAN):
+        part = list(islice(grams, SPAN))
+        digests = [b"".join(map(xxhash.xxh3_128_digest, part, repeat(SEED + i))) for i in range(WORDS // 2)]
+        bits = [np.unpackbits(np.frombuffer(d, np.uint8), bitorder="little").reshape(-1, 128).sum(axis=0, dtype=np.int64) for d in digests]
+        votes += np.concatenate(bits)
+    return np.packbits(votes * 2 > n, bitorder="little").view(np.int64)
+
+
+def wide_radius(similarity: float = SIMILAR) -> int:
+    """The most bits in which texts of that Jaccard similarity are expected to differ: the angle between their
+    shingle counts has cosine 2 s / (1 + s), and a bit differs with the angle's share of a half turn."""
+    return int(64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_cells(n: int, similarity: float = SIMILAR) -> list[np.ndarray]:
+    """For each table the bits that make up its keys: so many that a cell of n random fingerprints holds WIDE_CELL at
+    most, and so many tables that RECALL of the pairs of that similarity share a key in one of them."""
+    bits = int(max(12, np.ceil(np.log2(max(2, n) / WIDE_CELL))))
+    same = (1 - wide_radius(similarity) / (64 * WORDS)) ** bits
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - same)))
+    rng = np.random.Generator(np.random.PCG64(77))
+    return [np.sort(rng.choice(64 * WORDS, bits, replace=False)) for _ in range(tables)]
+
+
+def _add_wide(batches: Iterator[pa.RecordBatch], shingle: int, at: int) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches):
+        marks = np.stack([wide_fingerprint(t, shingle) for t in raw(b.column(at))])
+        more = [pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)]
+        yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, *[f"w{i}" for i in range(WORDS)]])
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(name, w0, ...) -> one row a table: t, key, name, w0, ..."""
+    for b in rows_of(batches):
+        marks = np.stack([np.asarray(c) for c in b.columns[1:]], axis=1)
+        bits = np.unpackbits(marks.view(np.uint8), axis=1, bitorder="little")
+        for t, chosen in enumerate(cells):
+            key = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
+            yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int64)), pa.array(key), *b.columns], names=["t", "key", *b.schema.names])
+
+
+def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """The rows of docs, all columns, of which each component of similar texts keeps one: that of its smallest id.
+
+    Texts are linked if their 256-bit fingerprints differ in at most as many bits as texts of that similarity are
+    expected to. At such distances no exact cover by cells is affordable, so cells are keyed by sampled bits, in as
+    many tables as bring RECALL of the pairs at the threshold together, and far more of the closer ones; copies
+    that share a fingerprint are always one. Otherwise as ``survivors``.
+    """
+    prepare(docs.sparkSession)
+    radius, at = wide_radius(similarity), docs.columns.index(text_col)
+    marks = [f"w{i}" for i in range(WORDS)]
+    word_fields = [T.StructField(w, T.LongType()) for w in marks]
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    small = narrow.mapInArrow(partial(_add_wide, shingle=shingle, at=1), T.StructType([*narrow.schema.fields, *word_fields]))
+    marked = settle(small.select("id", *marks), "wide-fingerprints")
+    distinct = settle(marked.groupBy(*marks).agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("name", F.monotonically_increasing_id()), "wide-distinct")
+    keyed = T.StructType([T.StructField(c, T.LongType()) for c in ("t", "key", "name", *marks)])
+    cells = distinct.select("name", *marks).mapInArrow(partial(_wide_keys, cells=wide_cells(distinct.count(), similarity)), keyed)
+    tied = components(_linked(cells, radius, WORDS))
+    labelled = distinct.join(tied.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "name"))
+    best = labelled.groupBy("root").agg(first.alias("first"))
+    keep = distinct.join(best.select(F.col("first.name").alias("name")), "name").select(*[F.col(w).alias(f"k{w}") for w in marks], F.col("least").alias("keep_id"))
+
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = plain.mapInArrow(partial(_add_wide, shingle=shingle, at=at), T.StructType([*plain.schema.fields, *word_fields]))
+    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    same = [F.col(w) == F.col(f"k{w}") for w in marks]
+    kept = rows.join(keep, same).where(own.eqNullSafe(F.col("keep_id")))
+    if marked.groupBy("id", *marks).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(marks)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -96,3 +96,39 @@ def test_survivors_keep_columns(spark, docs_of):
     docs = docs_of([(5, text, "en"), (3, text + " tail", "de"), (9, "else entirely", "fr")]).withColumn("fp", F.lit("mine")).withColumn("id", F.lit(1))
     kept = {r["doc_id"]: r for r in simhash.survivors(docs).collect()}
     assert sorted(kept) == [3, 9] and kept[3]["lang"] == "de" and kept[3]["fp"] == "mine" and kept[9].asDict().keys() == set(docs.columns)
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_survivors_drop_near_copies(spark, docs_of):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows, near = [], []
+    for d in range(300):
+        base = [word() for _ in range(300)]
+        rows.append((d, " ".join(base)))
+        if d % 3 == 0:
+            for i in rng.sample(range(300), 2):
+                base[i] = word()
+            near.append((1000 + d, " ".join(base)))
+            assert jaccard(rows[-1][1], near[-1][1]) > 0.9
+    kept = {r["doc_id"] for r in simhash.similar_survivors(docs_of(rows + near)).collect()}
+    assert {d for d, _ in rows} <= kept
+    assert len(kept) - len(rows) <= 2
+
+
+def test_similar_survivors_edges(spark, docs_of):
+    rows = [(1, None), (2, ""), (4, "One"), (5, "one"), (6, "a b c"), (None, "A B C"), (7, "x y z w v"), (7, "x y z w v"), (8, "w " * 70000)]
+    docs = docs_of(rows).withColumn("name", F.lit("mine")).withColumn("w0", F.lit(1))
+    out = simhash.similar_survivors(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 4, 6, 7, 8]
+    assert simhash.similar_survivors(docs_of([])).count() == 0
+
+
+def test_wide_parameters_follow_the_table():
+    assert simhash.wide_radius(0.8) == 38
+    small, large = simhash.wide_cells(1000), simhash.wide_cells(10**9)
+    assert len(small[0]) == 12 and len(large[0]) == 20 and len(large) > len(small)
