@@ -44,7 +44,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def number(*parts: Column | str) -> Column:
     """A whole number below 2**32 that depends on nothing but the parts."""
-    text = F.concat_ws(":", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("null")).cast("string") if not isinstance(p, str) else F.coalesce(F.col(p).cast("string"), F.lit("null")) for p in parts])
+    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 

@@ -103,4 +103,4 @@ def test_edges(spark, docs_of):
     assert all(abs(taken[s] - x) <= 2 for s, x in want.items())
     assert mixing.plan(docs_of([])).count() == 0
     assert [r["draws"] for r in mixing.plan(docs_of([(1, None, None, "a")])).collect()] == [[]]
-    assert mixing.mixed(docs).count() == sum(len(r["draws"]) for r in got)
+    assert len(mixing.mixed(docs).collect()) == sum(len(r["draws"]) for r in got)
