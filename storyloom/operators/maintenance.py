@@ -69,8 +69,8 @@ def matched(existing: DataFrame, incoming: DataFrame, ident: str, key: str, hash
     old_left = old.join(same, "old_id", "left_anti").withColumn("c", F.count("*").over(alone))
     new_left = new.join(same, "new_id", "left_anti").withColumn("c", F.count("*").over(alone))
     edited = old_left.where("c = 1").select("old_id", "k").join(new_left.where("c = 1").select("new_id", "k"), "k").select("old_id", "new_id", F.lit("edited").alias("how"))
-    removed = old_left.join(edited, "old_id", "left_anti").select("old_id", F.lit(None).cast("long").alias("new_id"), F.lit("removed").alias("how"))
-    added = new_left.join(edited, "new_id", "left_anti").select(F.lit(None).cast("long").alias("old_id"), "new_id", F.lit("added").alias("how"))
+    removed = old_left.join(edited, "old_id", "left_anti").select("old_id", F.lit(None).cast(incoming.schema[ident].dataType).alias("new_id"), F.lit("removed").alias("how"))
+    added = new_left.join(edited, "new_id", "left_anti").select(F.lit(None).cast(existing.schema[ident].dataType).alias("old_id"), "new_id", F.lit("added").alias("how"))
     return reduce(lambda a, b: a.unionByName(b), [same, edited, removed, added])
 
 
