@@ -74,7 +74,11 @@ def stream_run_status(spark, folder: str) -> DataFrame:
     """The run log through a file stream: counts by status (R-01, A-19)."""
     from_files = spark.read.parquet(f"{folder}/events.parquet")
     log = spark.readStream.schema(from_files.schema).option("pathGlobFilter", "*.parquet").load(f"{folder}/events*.parquet", format="parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyloom-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="storyloom-stream-")
     return R.drained(R.totals(log), f"run_status_{uuid.uuid4().hex}", "complete", f"{shared}/stream-{uuid.uuid4().hex}")
 
 
