@@ -133,8 +133,9 @@ def forest(marks: np.ndarray, radius: int) -> np.ndarray:
     return roots
 
 
-def _link_cells(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
-    """(t, key, i, j, name, words of the fingerprint), sorted by cell -> links (a, b) of names."""
+def _link_cells(batches: Iterator[pa.RecordBatch], radius: int, words: int, few: int) -> Iterator[pa.RecordBatch]:
+    """(t, key, i, j, name, words of the fingerprint), sorted by cell -> links (a, b) of names. Cells of few rows at
+    most are compared together, and report all their links."""
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray) -> pa.RecordBatch | None:
@@ -142,7 +143,17 @@ def _link_cells(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(rows)])
         a, b = [], []
-        for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
+        small = np.flatnonzero(np.repeat(sizes <= few, sizes))
+        cell = np.cumsum(new)
+        for k in range(1, few):
+            x, y = small[:-k], small[k:]
+            same = cell[x] == cell[y]
+            x, y = x[same], y[same]
+            near = distance(rows[x, 5 : 5 + words].view(np.uint64), rows[y, 5 : 5 + words].view(np.uint64)) <= radius
+            a.append(rows[y[near], 4])
+            b.append(rows[x[near], 4])
+        large = sizes > max(1, few)
+        for s, n in zip(starts[large], sizes[large], strict=True):
             names = rows[s : s + n, 4]
             root = forest(np.ascontiguousarray(rows[s : s + n, 5 : 5 + words]).view(np.uint64), radius)
             tied = np.flatnonzero(root != np.arange(n))
@@ -167,7 +178,7 @@ def _link_cells(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> I
         yield out
 
 
-def _linked(cells: DataFrame, radius: int, words: int) -> DataFrame:
+def _linked(cells: DataFrame, radius: int, words: int, few: int = 0) -> DataFrame:
     """Rows (t, key, name, w0, w1, ...) -> links (a, b) of names. Crowded cells are cut into pairs of chunks."""
     marks = [f"w{i}" for i in range(words)]
     crowded = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
@@ -176,7 +187,7 @@ def _linked(cells: DataFrame, radius: int, words: int) -> DataFrame:
     paired = dealt.select("t", "key", "name", *marks, "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
     placed = paired.select(F.col("t").cast("long"), "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "name", *marks)
     order = ["t", "key", "i", "j"]
-    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_link_cells, radius=radius, words=words), "a long, b long")
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_link_cells, radius=radius, words=words, few=few), "a long, b long")
 
 
 def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -227,22 +238,44 @@ WORDS = 4
 SIMILAR = 0.8
 RECALL = 0.95
 WIDE_CELL = 1024
-
-
-def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
-    """The 256-bit fingerprint of UTF-8 text, as four signed words; its hashes are two XXH3 digests a shingle."""
+#: Standard deviations above the mean distance at which a pair of the threshold's similarity still is a candidate.
+SPREAD = 7
+#: One text of SAMPLE tells which shingles are common; at most COMMON of them, each in OFTEN texts of the sample.
+SAMPLE = 32
+OFTEN = 3
+COMMON = 1 << 16
+#: Shingles compared with one another in one cell are about twice as many.
+CHUNK = 1 << 20
+#: Rows of a cell of fingerprints that is compared along with others.
+FEW = 8
+#: 64-bit words of the bitmap that tells which texts have a candidate.
+SLOTS = 1 << 16
+#: Rounding allowed where a share of a count is compared with a count.
+EPSILON = 1e-9
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of UTF-8 text; words as for ``fingerprint``."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WORDS, np.int64)
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
+    hashes = map(xxhash.xxh3_64_intdigest, grams, repeat(SEED))
+    return np.unique(np.concatenate([np.unique(np.fromiter(islice(hashes, SPAN), np.uint64, min(SPAN, n - at))) for at in range(0, n, SPAN)]))
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """The 256-bit fingerprint of a set of shingles, as four signed words: each hash gives 256 bits by SplitMix64."""
     votes = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, n, SPAN):
-        part = list(islice(grams, SPAN))
-        digests = [b"".join(map(xxhash.xxh3_128_digest, part, repeat(SEED + i))) for i in range(WORDS // 2)]
-        bits = [np.unpackbits(np.frombuffer(d, np.uint8), bitorder="little").reshape(-1, 128).sum(axis=0, dtype=np.int64) for d in digests]
-        votes += np.concatenate(bits)
-    return np.packbits(votes * 2 > n, bitorder="little").view(np.int64)
+    steps = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(found), SPAN):
+        z = found[at : at + SPAN, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(found), bitorder="little").view(np.int64)
 
 
 def wide_radius(similarity: float = SIMILAR) -> int:
@@ -251,6 +284,13 @@ def wide_radius(similarity: float = SIMILAR) -> int:
     return int(64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def candidate_radius(similarity: float = SIMILAR) -> int:
+    """SPREAD standard deviations above ``wide_radius``: a pair of that similarity (0.8) is beyond it less than once in 10^9,
+    but texts of four and five shingles some times in 10^6."""
+    mean = wide_radius(similarity)
+    return int(np.ceil(mean + SPREAD * np.sqrt(mean * (1 - mean / (64 * WORDS)))))
+
+
 def wide_cells(n: int, similarity: float = SIMILAR) -> list[np.ndarray]:
     """For each table the bits that make up its keys: so many that a cell of n random fingerprints holds WIDE_CELL at
     most, and so many tables that RECALL of the pairs of that similarity share a key in one of them."""
@@ -261,52 +301,172 @@ def wide_cells(n: int, similarity: float = SIMILAR) -> list[np.ndarray]:
     return [np.sort(rng.choice(64 * WORDS, bits, replace=False)) for _ in range(tables)]
 
 
-def _add_wide(batches: Iterator[pa.RecordBatch], shingle: int, at: int) -> Iterator[pa.RecordBatch]:
+def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's first shingles that sets of that similarity share one of them, whatever the order is, if it
+    is the same for all: here by hash, but common ones (sorted by hash) last."""
+    n = len(found) - int(np.ceil(similarity * len(found) - EPSILON)) + 1 if len(found) else 0
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.concatenate([found[~often], found[often]])
+    return found[:n]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches):
+        yield pa.record_batch({"h": np.concatenate([shingle_set(t, shingle) for t in raw(b.column(0))]).view(np.int64)})
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts have. Which ones are found decides the cells' sizes, not the result."""
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counted = texts.mapInArrow(partial(_sampled, shingle=shingle), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    top = counted.orderBy(F.desc("count"), "h").limit(COMMON).select("h").collect()
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def _add_wide(batches: Iterator[pa.RecordBatch], shingle: int, at: int, common: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Adds the name of a text's set of shingles (equal sets share one), its fingerprint and prefix."""
     for b in rows_of(batches):
-        marks = np.stack([wide_fingerprint(t, shingle) for t in raw(b.column(at))])
-        more = [pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)]
-        yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, *[f"w{i}" for i in range(WORDS)]])
+        sets = [shingle_set(t, shingle) for t in raw(b.column(at))]
+        names = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        marks = np.stack([wide_fingerprint(s) for s in sets])
+        firsts = [prefix(s, common, similarity) for s in sets]
+        offsets = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64)))
+        more = [pa.array(names), *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)], keys]
+        yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "name", *[f"w{i}" for i in range(WORDS)], "keys"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, name), sorted -> the distinct rows whose key has several names."""
+    tail = np.empty((0, 2), np.int64)
+    told = False  # whether the row before the tail has the tail's key
+    for b in rows_of(batches):
+        rows = np.concatenate([tail, np.stack([np.asarray(c) for c in b.columns], axis=1)])
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+        # The last row waits, as its key may go on in the next batch.
+        if len(rows) > 1:
+            same = rows[1:, 0] == rows[:-1, 0]
+            some = np.r_[told, same[:-1]] | same
+            if some.any():
+                yield pa.record_batch({"key": rows[:-1][some, 0], "name": rows[:-1][some, 1]})
+            told = bool(same[-1])
+        tail = rows[-1:]
+    if told:
+        yield pa.record_batch({"key": tail[:, 0], "name": tail[:, 1]})
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the index of its component's first one; sets of that Jaccard similarity or more are linked."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    label = np.full(len(sets), -1)
+    left, flat, starts = np.arange(len(sets)), codes, ends - sizes
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], queue = first, [first]
+        while queue:
+            free = label[left] < 0
+            if not free.any():
+                break
+            if 2 * free.sum() <= len(left):  # forget those that have their component
+                flat = flat[np.repeat(free, sizes[left])]
+                left, free = left[free], free[free]
+                starts = np.cumsum(sizes[left]) - sizes[left]
+            x = queue.pop()
+            own = codes[ends[x] - sizes[x] : ends[x]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            near = left[free & (both >= similarity * (sizes[x] + sizes[left] - both) - EPSILON)]
+            label[near] = first
+            queue += near.tolist()
+    return label
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(name, text) -> (name, its set) of names that the bitmap has."""
+    for b in rows_of(batches):
+        names = np.asarray(b.column(0)).view(np.uint64)
+        held = np.flatnonzero(slots[(names >> np.uint64(6)) % np.uint64(len(slots))] >> (names & np.uint64(63)) & np.uint64(1))
+        if len(held):
+            chosen = b.take(pa.array(held))
+            yield pa.record_batch({"name": chosen.column(0), "set": pa.array([shingle_set(t, shingle).tobytes() for t in raw(chosen.column(1))], pa.binary())})
+
 
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(root, i, j, name, set), sorted by cell -> links (a, b) of names whose sets are similar."""
+    cell, names, sets = None, [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(names) > 1:
+            held, root = np.array(names, np.int64), alike(sets, similarity)
+            tied = np.flatnonzero(root != np.arange(len(held)))
+            if len(tied):
+                yield pa.record_batch({"a": held[tied], "b": held[root[tied]]})
 
-def _wide_keys(batches: Iterator[pa.RecordBatch], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(name, w0, ...) -> one row a table: t, key, name, w0, ..."""
     for b in rows_of(batches):
-        marks = np.stack([np.asarray(c) for c in b.columns[1:]], axis=1)
-        bits = np.unpackbits(marks.view(np.uint8), axis=1, bitorder="little")
-        for t, chosen in enumerate(cells):
-            key = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
-            yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int64)), pa.array(key), *b.columns], names=["t", "key", *b.schema.names])
+        root, i, j, name, found = (c.to_pylist() for c in b.columns)
+        for k, at in enumerate(zip(root, i, j, strict=True)):
+            if at != cell:
+                yield from links()
+                cell, names, sets = at, [], []
+            names.append(name[k])
+            sets.append(np.frombuffer(found[k], np.uint64))
+    yield from links()
+
+
+def _similar(named: DataFrame, tied: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Texts (name, text) and their components of candidates (name, root) -> links (a, b) of similar texts.
+    Crowded components are cut into pairs of chunks."""
+    words = tied.groupBy(F.expr(f"pmod(shiftrightunsigned(name, 6), {SLOTS})").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(name & 63 as int)))").alias("bits"))
+    slots = np.zeros(SLOTS, np.int64)
+    for r in words.collect():
+        slots[r["at"]] = r["bits"]
+    sets = named.select("name", "text").mapInArrow(partial(_sets_of, shingle=shingle, slots=slots.view(np.uint64)), "name long, set binary")
+    members = tied.join(settle(sets.dropDuplicates(["name"]), "candidate-sets"), "name")
+    crowded = members.groupBy("root").agg(F.sum(F.length("set") / 8).alias("n")).where(F.col("n") > 2 * CHUNK)
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
+    dealt = members.join(crowded, "root", "left").select("root", "name", "set", chunks.alias("k"), F.pmod(F.xxhash64("name"), chunks).alias("c"))
+    paired = dealt.select("root", "name", "set", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
+    placed = paired.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "name", "set")
+    order = ["root", "i", "j"]
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
 
 
 def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """The rows of docs, all columns, of which each component of similar texts keeps one: that of its smallest id.
 
-    Texts are linked if their 256-bit fingerprints differ in at most as many bits as texts of that similarity are
-    expected to. At such distances no exact cover by cells is affordable, so cells are keyed by sampled bits, in as
-    many tables as bring RECALL of the pairs at the threshold together, and far more of the closer ones; copies
-    that share a fingerprint are always one. Otherwise as ``survivors``.
+    Texts are linked if the Jaccard similarity of their sets of shingles is at least that. Candidates share one of
+    the first shingles of their sets, as all such pairs do (``prefix``), and their 256-bit fingerprints, compared in
+    cells of a shingle each, differ in at most ``candidate_radius`` bits. Each component of candidates is then
+    linked anew by its sets. Otherwise as ``survivors``.
     """
-    prepare(docs.sparkSession)
-    radius, at = wide_radius(similarity), docs.columns.index(text_col)
+    spark = docs.sparkSession
+    prepare(spark)
+    at = docs.columns.index(text_col)
     marks = [f"w{i}" for i in range(WORDS)]
-    word_fields = [T.StructField(w, T.LongType()) for w in marks]
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    small = narrow.mapInArrow(partial(_add_wide, shingle=shingle, at=1), T.StructType([*narrow.schema.fields, *word_fields]))
-    marked = settle(small.select("id", *marks), "wide-fingerprints")
-    distinct = settle(marked.groupBy(*marks).agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("name", F.monotonically_increasing_id()), "wide-distinct")
-    keyed = T.StructType([T.StructField(c, T.LongType()) for c in ("t", "key", "name", *marks)])
-    cells = distinct.select("name", *marks).mapInArrow(partial(_wide_keys, cells=wide_cells(distinct.count(), similarity)), keyed)
-    tied = components(_linked(cells, radius, WORDS))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    added = [*[T.StructField(c, T.LongType()) for c in ("name", *marks)], T.StructField("keys", T.ArrayType(T.LongType()))]
+    wide = partial(_add_wide, shingle=shingle, at=at, common=common_shingles(docs, text_col, shingle), similarity=similarity)
+    named = settle(plain.mapInArrow(wide, T.StructType([*plain.schema.fields, *added])), "wide-fingerprints")
+    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+
+    distinct = named.groupBy("name").agg(F.min(own).alias("least"), *[F.first(w).alias(w) for w in marks])
+    keys = named.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
+    shared = keys.mapInArrow(_shared, "key long, name long")
+    cells = settle(shared.join(distinct, "name").select(F.lit(0).cast("long").alias("t"), "key", "name", *marks), "wide-cells")
+    near = components(_linked(cells, candidate_radius(similarity), WORDS, FEW)).withColumnRenamed("node", "name")
+    tied = components(_similar(named.select("name", F.col(f"c{at}").cast("string").alias("text")), near, shingle, similarity))
+
     labelled = distinct.join(tied.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "name"))
     best = labelled.groupBy("root").agg(first.alias("first"))
-    keep = distinct.join(best.select(F.col("first.name").alias("name")), "name").select(*[F.col(w).alias(f"k{w}") for w in marks], F.col("least").alias("keep_id"))
-
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = plain.mapInArrow(partial(_add_wide, shingle=shingle, at=at), T.StructType([*plain.schema.fields, *word_fields]))
-    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
-    same = [F.col(w) == F.col(f"k{w}") for w in marks]
-    kept = rows.join(keep, same).where(own.eqNullSafe(F.col("keep_id")))
-    if marked.groupBy("id", *marks).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(marks)
+    keep = best.select(F.col("first.name").alias("name"), F.col("first.least").alias("keep_id"))
+    kept = named.join(keep, "name").where(own.eqNullSafe(F.col("keep_id")))
+    if named.groupBy(own.alias("id"), "name").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["name"])
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

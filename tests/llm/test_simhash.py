@@ -132,3 +132,26 @@ def test_wide_parameters_follow_the_table():
     assert simhash.wide_radius(0.8) == 38
     small, large = simhash.wide_cells(1000), simhash.wide_cells(10**9)
     assert len(small[0]) == 12 and len(large[0]) == 20 and len(large) > len(small)
+
+
+def pairs_at(rng, similarity, n):
+    """n pairs of texts of 100 to 300 words whose shingles have that Jaccard similarity or slightly more."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for _ in range(n):
+        a = [word() for _ in range(rng.randint(100, 300))]
+        b = list(a)
+        while jaccard(" ".join(a), " ".join(b)) > similarity + 0.03:
+            b.append(word())
+        while jaccard(" ".join(a), " ".join(b)) < similarity:
+            b.pop()
+        yield " ".join(a), " ".join(b)
+
+
+def test_similar_survivors_lose_no_pair_at_the_threshold(spark, docs_of):
+    pairs = list(pairs_at(random.Random(5), 0.8, 150))
+    assert all(0.8 <= jaccard(a, b) <= 0.83 for a, b in pairs)
+    rows = [x for i, (a, b) in enumerate(pairs) for x in ((i, a), (1000 + i, b))]
+    # Few words: four of five shingles; a line that one of the texts repeats makes it no less similar.
+    rows += [(500, "a b c d e f g h"), (1500, "a b c d e f g h i"), (501, pairs[0][0].upper() + " zz"), (502, "q r s t u " * 400 + " ".join(f"v{i}" for i in range(60))), (1502, "q r s t u q r s t u " + " ".join(f"v{i}" for i in range(60)))]
+    kept = {r["doc_id"] for r in simhash.similar_survivors(docs_of(rows)).collect()}
+    assert kept == {*range(150), 500, 502}
