@@ -155,3 +155,28 @@ def test_similar_survivors_lose_no_pair_at_the_threshold(spark, docs_of):
     rows += [(500, "a b c d e f g h"), (1500, "a b c d e f g h i"), (501, pairs[0][0].upper() + " zz"), (502, "q r s t u " * 400 + " ".join(f"v{i}" for i in range(60))), (1502, "q r s t u q r s t u " + " ".join(f"v{i}" for i in range(60)))]
     kept = {r["doc_id"] for r in simhash.similar_survivors(docs_of(rows)).collect()}
     assert kept == {*range(150), 500, 502}
+
+
+def test_similar_survivors_keep_what_is_below_the_threshold(spark, docs_of):
+    pairs = [x for k, s in enumerate((0.6, 0.7, 0.75)) for x in pairs_at(random.Random(k), s, 40)]
+    assert all(jaccard(a, b) < 0.8 for a, b in pairs)
+    rows = [x for i, (a, b) in enumerate(pairs) for x in ((i, a), (1000 + i, b))]
+    assert simhash.similar_survivors(docs_of(rows)).count() == len(rows)
+
+
+def test_crowded_candidates_are_cut(spark, docs_of, monkeypatch):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, *(f"t{i}x{k}" for k in range(rng.randint(0, 60)))])) for i in range(120)]
+    want = {min(c) for c in plain_linked(rows)}
+    monkeypatch.setattr(simhash, "CHUNK", 3000)
+    assert {r["doc_id"] for r in simhash.similar_survivors(docs_of(rows)).collect()} == want
+
+
+def plain_linked(rows):
+    """Components of rows of Jaccard similarity 0.8 or more, by comparing all pairs."""
+    groups = []
+    for d, t in rows:
+        joined = [g for g in groups if any(jaccard(t, o) >= 0.8 for _, o in g)]
+        groups = [g for g in groups if g not in joined] + [[(d, t), *(x for g in joined for x in g)]]
+    return [[d for d, _ in g] for g in groups]
