@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import prepare, raw, rows_of, settle
 
 HEAD = 200_000
-SHORT = 1024
-CLASSES = 32
+SHORT = 2048
+CLASSES = 40
 #: Input rows that words outside the short list share, by their last two bytes.
 BUCKETS = 64
 HIDDEN = 16

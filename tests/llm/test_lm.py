@@ -174,3 +174,13 @@ def test_edges(spark, docs_of):
     assert {r["base_score"] for r in empty} == {0.0} and {r["n_known"] for r in empty} == {0}
     assert lm.score(plain.limit(0), *fitted).count() == 0
     assert [r["h"] for r in docs.select(lm.held_out("doc_id", 7, 2).alias("h")).where("doc_id is null").collect()] == [True]
+
+
+def test_each_of_the_2000_most_frequent_words_follows_its_context():
+    words = [f"w{i}".encode() for i in range(3000)]
+    v = lm.Vocabulary(words, np.arange(6000, 3000, -1), 13_500_000, 3000, "short", min(lm.SHORT, len(words)), lm.BUCKETS)
+    net = lm.Network(v)
+    net.w["out"] = np.random.default_rng(3).normal(0, 1, net.w["out"].shape).astype(np.float32)
+    places = np.array([1500, 2000])
+    one, other = (net.log_probability(np.full((2, lm.HIDDEN), x, np.float32), places) for x in (0.5, -0.5))
+    assert (np.abs(one - other) > 1e-3).all() and len(np.unique(net.classes(places))) == 2
