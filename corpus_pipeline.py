@@ -20,7 +20,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language: texts without a letter, for which no language can be named, go."""
-    found, names = language.identified(docs, language.learn_from(docs))
+    prototypes = language.learn(docs.select("lang", "text"))
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    found, names = language.identified(docs, prototypes)
     return found.where("lang_pred <> 'und'").select(*[F.col(f"c{names.index(c)}").alias(c) for c in COLUMNS])
 
 

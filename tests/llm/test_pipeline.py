@@ -118,3 +118,11 @@ def test_stages_on_empty_and_odd_tables(spark):
         for _, stage in C.STAGES:
             docs = stage(spark, docs, SF)
         docs.count()
+
+
+def test_language_keeps_texts_when_no_label_is_usable(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    held = next(i for i in range(99) if spark.range(i, i + 1).where("crc32(cast(id as string)) % 5 = 0").count())
+    for rows in ([(1, "some words", None, "a", 10)], [(held, "some words", "en", "a", 10), (None, "more words", "en", "a", 10)]):
+        docs = spark.createDataFrame([*rows, (7, "12 34", None, "a", 5)], kind)
+        assert C.identify_language(spark, docs, SF).count() == len(rows)
