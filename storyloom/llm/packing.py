@@ -5,10 +5,13 @@ left over is placed at once, online: of all fill levels at which an open window
 new window) it goes to the one that makes the sum over levels of the squared number of partially filled windows
 smallest. A level array holds those counts, so a placement costs one vectorised pass over at most ``capacity``
 levels, whatever the number of windows; the fullest of equally good levels is taken. Full windows are given out at
-once. When a task ends, or holds OPEN windows, the pieces of its partial windows are laid end to end and cut at
-the window's size, so at most one window a task and flush stays partial. Documents are never shuffled.
+once. While OPEN windows are open none is added: a piece that fits into none of them whole is cut at the window of
+the level that holds most of them, which it fills, and what is left of it is placed by the rule again. When a task
+ends, the pieces of its emptiest windows are placed into the others in the same way until one is left, so at most
+one window a task stays partial. Documents are never shuffled.
 
-Ids are those that the ``tokenizers`` library gives for the file. They are made by ``tiktoken`` from the same file's
+Ids are those that the ``tokenizers`` library gives for the file, with its defaults and no special tokens added (so
+the string of an added token in a text is that token). They are made by ``tiktoken`` from the same file's
 vocabulary (a byte-level vocabulary's ids are its merge ranks), which is several times faster on prose whose words
 seldom repeat; tests hold both libraries' ids against each other. A very long text is tokenised in parts, cut
 before a single space between other characters, where no token reaches across.
@@ -35,8 +38,8 @@ from storyloom.llm.common import prepare, raw, rows_of
 
 CAPACITY = 2048
 END_ID = 1
-#: Open windows that a task holds at most; each holds less than CAPACITY ids.
-OPEN = 4096
+#: Open windows that a task holds at most before it cuts pieces; each holds less than CAPACITY ids.
+OPEN = 32
 #: Characters tokenised at once.
 CHARS = 1 << 20
 #: Unicode's White_Space.
@@ -59,7 +62,7 @@ def byte_of() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """text -> ids, by the vocabulary of a tokenizers file; a special token's string in a text is ordinary text."""
+    """text -> ids, by the vocabulary of a tokenizers file."""
     if path not in _encoders:
         import tiktoken
 
@@ -67,10 +70,13 @@ def encoder(path: str):
         kind = (told["model"]["type"], (told.get("pre_tokenizer") or {}).get("type"), told.get("normalizer"))
         if kind != ("BPE", "ByteLevel", None) or told["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError(f"{path} is no plain byte-level vocabulary")
-        special = {x["content"] for x in told["added_tokens"] if x["special"]}
+        added = {x["content"]: x["id"] for x in told["added_tokens"]}
+        if any(x[flag] for x in told["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")) or any(c.isspace() for x in added for c in x):
+            raise ValueError(f"{path} has added tokens that are no plain strings")
         of = byte_of()
-        ranks = {bytes(of[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = {bytes(of[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in added}
+        made = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        _encoders[path] = partial(made.encode, allowed_special=set(added)) if added else made.encode_ordinary
     return _encoders[path]
 
 
@@ -106,47 +112,52 @@ class Levels:
         self.windows: list[list[list]] = [[] for _ in range(capacity)]
         self.open = 0
 
-    def best(self, size: int) -> int:
-        """The level whose choice makes the sum of squared counts smallest; the fullest of equals."""
-        n, top = self.count, self.capacity - size
+    def best(self, size: int, new: bool = True) -> int | None:
+        """The level whose choice makes the sum of squared counts smallest, the fullest of equals; 0 is a new window,
+        None if no window can take the size and none may be added."""
+        n, top, never = self.count, self.capacity - size, np.iinfo(np.int64).max
         # (n[h] - 1)^2 - n[h]^2 + (n[h + size] + 1)^2 - n[h + size]^2, without the end terms' missing parts
         cost = 2 * (n[size:] - n[: top + 1]) + 2
         cost[0] -= 1  # no window leaves level 0
         cost[top] -= 1  # a full window is not partial
-        cost[1:][n[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        return top - int(np.argmin(cost[::-1]))
-
-    def place(self, piece: tuple, size: int) -> list | None:
-        """Put a piece smaller than a window into the best level's window; the window, if that fills it."""
-        level = self.best(size)
-        window = []
-        if level:
-            window = self.windows[level].pop()
-            self.count[level] -= 1
-            self.open -= 1
-        window.append(piece)
+        cost[1:][n[1 : top + 1] == 0] = never
+        if not new:
+            cost[0] = never
+        found = top - int(np.argmin(cost[::-1]))
+        return None if cost[found] == never else found
+
+    def take(self, level: int) -> list:
+        self.count[level] -= 1
+        self.open -= 1
+        return self.windows[level].pop()
+
+    def place(self, piece: tuple, new: bool = True) -> Iterator[list]:
+        """Put a piece (doc, start, ids, doc_tokens) smaller than a window where the rule says, cut if no window may
+        be added and none takes it whole; the windows that this fills."""
+        doc, start, ids, total = piece
+        new, size = new or not self.open, len(ids) // 4
+        while (level := self.best(size, new)) is None:
+            # Of the windows that are too full, one of the commonest level (the fullest of equals) is filled up.
+            few = self.capacity - size + 1
+            level = self.capacity - 1 - int(np.argmax(self.count[few : self.capacity][::-1]))
+            room = self.capacity - level
+            yield [*self.take(level), (doc, start, ids[: 4 * room], total)]
+            start, ids, size, new = start + room, ids[4 * room :], size - room, new or not self.open
+        window = [*(self.take(level) if level else []), (doc, start, ids, total)]
         if level + size == self.capacity:
-            return window
+            yield window
+            return
         self.windows[level + size].append(window)
         self.count[level + size] += 1
         self.open += 1
-        return None
-
-    def drain(self) -> Iterator[list]:
-        """All pieces of the partial windows, laid end to end and cut at the capacity."""
-        window, room = [], self.capacity
-        for level in range(self.capacity - 1, 0, -1):
-            for held in self.windows[level]:
-                for doc, start, ids, total in held:
-                    while len(ids) >= 4 * room:
-                        yield [*window, (doc, start, ids[: 4 * room], total)]
-                        start, ids, window, room = start + room, ids[4 * room :], [], self.capacity
-                    if ids:
-                        window.append((doc, start, ids, total))
-                        room -= len(ids) // 4
-        if window:
-            yield window
-        self.__init__(self.capacity)
+
+    def finish(self) -> Iterator[list]:
+        """Place the pieces of the emptiest windows into the others until one is left."""
+        while self.open > 1:
+            for piece in self.take(int(np.flatnonzero(self.count)[0])):
+                yield from self.place(piece, new=False)
+        if self.open:
+            yield self.take(int(np.flatnonzero(self.count)[0]))
 
 
 def pack_stream(docs: Iterator[tuple[int | None, bytes]], capacity: int) -> Iterator[list[tuple]]:
@@ -158,12 +169,8 @@ def pack_stream(docs: Iterator[tuple[int | None, bytes]], capacity: int) -> Iter
         for at in range(0, whole, step):
             yield [(doc, at // 4, ids[at : at + step], total)]
         if whole < len(ids):
-            size = (len(ids) - whole) // 4
-            if window := levels.place((doc, whole // 4, ids[whole:], total), size):
-                yield window
-            if levels.open >= OPEN:
-                yield from levels.drain()
-    yield from levels.drain()
+            yield from levels.place((doc, whole // 4, ids[whole:], total), new=levels.open < OPEN)
+    yield from levels.finish()
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,6 @@ def test_mix(stages):
 
 def test_pack(stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter(tuple([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1]) for r in stages["source_mixing"])
     windows = defaultdict(list)
     for r in stages["packing"]:
