@@ -2,11 +2,10 @@
 
 Strong findings (kinds assign, access, hex) stand on their own. Weak candidates are parts of a credential that mean
 nothing alone: an identifier (kind id), a random-looking token (key), an address (endpoint). They are linked by an
-interval join inside a scope, the text between blank lines: two parts are complementary if their intervals lie
-within ``REACH`` code points of each other. A key is reported next to an identifier, an identifier next to a
-secret, an endpoint next to both; strong access findings count as identifiers and strong assign findings as
-secrets. Each list is sorted by its start, and the join asks by bisection whether a neighbour exists, so n
-candidates cost n log n however many lie together, and no pairs are formed.
+interval join: a scope is the interval between two blank lines, each part is joined by bisection with the scope that
+holds it, and parts of one scope are complementary, however far apart. A key is reported with an identifier, an
+identifier with a secret, an endpoint with both; strong access findings count as identifiers and strong assign
+findings as secrets. n candidates cost n log n however many share a scope, and no pairs are formed.
 
 A document is scanned whole, in one pass over its row: nothing is shuffled. Offsets are code points, ends
 exclusive. Defined results: null text counts as empty and has no spans; null ids and repeated rows keep a row each;
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import prepare, raw, rows_of
 
-REACH = 200
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 STRONG = KINDS[:3]
 
@@ -36,7 +34,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ID = re.compile(r"(?:access_?key_?id|client_?id|account_?id|user_?name|user|login|tenant)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.I | re.A)
 #: A long run of letters and digits of both kinds.
 KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
-ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}")
+#: Addresses. Both begin where a run of their characters does and give nothing back, so they cost one pass over a text.
+URL = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]+)")
+HOST = re.compile(r"(?<![A-Za-z0-9.-])[.]*+([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5})")
 BLANK = re.compile(r"\n[^\S\n]*\n")
 
 Span = tuple[str, int, int]
@@ -64,23 +64,10 @@ def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tu
     return out
 
 
-class Near:
-    """Whether some interval of a sorted list lies within REACH of a given one, in the same scope."""
-
-    def __init__(self, spans: list[tuple[int, int]], blanks: list[int]):
-        self.spans, self.blanks = sorted(spans), blanks
-        self.starts = [a for a, _ in self.spans]
-        self.ends = sorted(b for _, b in self.spans)
-
-    def scope(self, at: int) -> tuple[int, float]:
-        k = bisect_right(self.blanks, at)
-        return (self.blanks[k - 1] if k else 0, self.blanks[k] if k < len(self.blanks) else float("inf"))
-
-    def __call__(self, a: int, b: int) -> bool:
-        """An interval lies near if it starts before b + REACH and ends after a - REACH: count both failures."""
-        low, high = self.scope(a)
-        low, high = max(low, a - REACH), min(high, b + REACH)
-        return len(self.spans) - bisect_right(self.ends, low) - (len(self.starts) - bisect_left(self.starts, high)) > 0
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses with a scheme, and host:port outside those."""
+    urls = [m.span(1) for m in URL.finditer(text)]
+    return urls + _free([m.span(1) for m in HOST.finditer(text)], urls)
 
 
 def linked_spans(text: str, strong: list[Span]) -> list[Span]:
@@ -95,11 +82,12 @@ def linked_spans(text: str, strong: list[Span]) -> list[Span]:
     if not secrets:
         return []
     blanks = [m.start() + 1 for m in BLANK.finditer(text)]
-    near_id, near_secret = Near(all_ids, blanks), Near(secrets, blanks)
-    found = [("id", a, b) for a, b in ids if near_secret(a, b)]
-    found += [("key", a, b) for a, b in keys if near_id(a, b)]
-    places = _free([m.span() for m in ENDPOINT.finditer(text)], taken + ids + keys)
-    return found + [("endpoint", a, b) for a, b in places if near_id(a, b) and near_secret(a, b)]
+    scope = lambda span: bisect_right(blanks, span[0])  # noqa: E731  no part holds a line's end
+    of_ids, of_secrets = set(map(scope, all_ids)), set(map(scope, secrets))
+    found = [("id", *s) for s in ids if scope(s) in of_secrets]
+    found += [("key", *s) for s in keys if scope(s) in of_ids]
+    places = _free(endpoints(text), taken + ids + keys)
+    return found + [("endpoint", *s) for s in places if scope(s) in of_ids and scope(s) in of_secrets]
 
 
 def spans_of(text: str) -> list[Span]:
