@@ -2,9 +2,11 @@
 
 Records come in many layouts: prompt and response, instruction with input and output, lists of messages under
 several names, tables with one row per turn. A layout is recognised by its fingerprint, the hash of its nested
-field paths (those that any layout uses; further fields do not matter), which selects a declarative mapping to
-canonical turns (role, text). Tables are recognised once, by their schema, and mapped by column expressions;
-JSON records one by one. Records whose fingerprint selects nothing are kept, with their fingerprint and no turns.
+field paths, which selects a declarative mapping to canonical turns (role, text). Of several layouts whose paths a
+record has, that with the most paths is taken (the first listed of equals), so further fields do not matter, whatever
+their names. Tables are recognised once, by their schema, and mapped by column expressions; JSON records one by one.
+Every record gives one row of ``read_records``: one that no layout fits or that is malformed has no turns and says
+why in ``error``; ``turns_of_records`` has the turns of all others.
 
 The template puts every turn between control strings. Control strings inside roles and texts get one more escape
 character after their first character, whatever number they had, so no text can end a turn, and reading back
@@ -14,7 +16,10 @@ sequential pass, though, which one task makes).
 
 Defined results: null texts and roles count as empty; turns go by ``turn``, nulls last, then role and text;
 repeated rows are turns of their own; rows with a null conversation id form one conversation with a null id; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns are ignored, also those whose names other layouts use. In
+records, roles and texts that are no strings become their JSON text; half surrogate pairs become U+FFFD; an id that
+is no 64-bit whole number, or none at all, becomes a hash of the id, or of the record; a message that is no object
+is an error of its record.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,15 +71,27 @@ LAYOUTS = (
 )
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN = {p for x in LAYOUTS for p in x.paths}
 
 
-def fingerprint(paths: set[str]) -> str:
-    """The hash of the field paths that any layout uses."""
-    return hashlib.sha256("\n".join(sorted(KNOWN & paths)).encode()).hexdigest()[:16]
+def fingerprint(paths: Iterable[str]) -> str:
+    """The hash of a set of field paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-BY_PRINT = {fingerprint(set(x.paths)): x for x in LAYOUTS}
+#: What a record must have for a layout; one row a record needs no id.
+NEEDED = {x.name: frozenset(x.paths) - ({x.id_at} if x.fields or x.list else set()) for x in LAYOUTS}
+KNOWN = frozenset().union(*NEEDED.values())
+_chosen: dict[str, Layout | None] = {}
+
+
+def layout_of(paths: set[str], rows: bool) -> tuple[str, Layout | None]:
+    """The fingerprint of the known paths among these, and the layout it selects; rows: tables with a row per turn count."""
+    known = KNOWN & paths
+    mark = fingerprint(known)
+    if (key := f"{mark}{rows}") not in _chosen:
+        fit = [x for x in LAYOUTS if NEEDED[x.name] <= known and (rows or x.fields or x.list)]
+        _chosen[key] = max(fit, key=lambda x: len(NEEDED[x.name]), default=None)
+    return mark, _chosen[key]
 
 
 def paths_of_type(kind: T.DataType, at: str = "") -> set[str]:
@@ -85,10 +103,11 @@ def paths_of_type(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def paths_of_value(value, at: str = "") -> set[str]:
+    """The paths of a parsed record's fields; lists and objects have one as well, as a text may be given as either."""
     if isinstance(value, dict):
-        return set().union(*(paths_of_value(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return {at}.union(*(paths_of_value(v, f"{at}.{k}" if at else k) for k, v in value.items()))
     if isinstance(value, list):
-        return set().union({f"{at}[]"} if not value else set(), *(paths_of_value(v, f"{at}[]") for v in value))
+        return {at}.union(*(paths_of_value(v, f"{at}[]") for v in value))
     return {at}
 
 
@@ -99,7 +118,7 @@ def _canonical_role(role: Column) -> Column:
 
 def turns_of_table(df: DataFrame) -> DataFrame:
     """The turns of a table whose schema is one of the layouts."""
-    found = BY_PRINT.get(fingerprint(paths_of_type(df.schema)))
+    _, found = layout_of(paths_of_type(df.schema), rows=True)
     if found is None:
         raise ValueError(f"no layout has the fields {sorted(paths_of_type(df.schema))}")
     if found.name == "turn_rows":
@@ -108,7 +127,8 @@ def turns_of_table(df: DataFrame) -> DataFrame:
         messages = F.array(*[F.struct(F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for path, role in found.fields])
     else:
         messages = F.transform(found.list, lambda m: F.struct(_canonical_role(m[found.role_at]).alias("role"), m[found.text_at].cast("string").alias("text")))
-    return df.select(F.col(found.id_at).cast("long").alias("conv_id"), F.posexplode(messages).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
+    own = F.col(found.id_at).cast("long") if found.id_at in paths_of_type(df.schema) else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(own.alias("conv_id"), F.posexplode(messages).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
 
 
 def _at(value, path: str):
@@ -117,45 +137,63 @@ def _at(value, path: str):
     return value
 
 
-def turns_of_record(record) -> tuple[int | None, str, str | None, list[tuple[str | None, str | None]]]:
-    """(id, fingerprint, layout's name, turns) of a parsed record."""
-    mark = fingerprint(paths_of_value(record))
-    found = BY_PRINT.get(mark)
-    if found is None or not (found.fields or found.list):
-        return None, mark, None, []
-    text = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    if found.fields:
-        turns = [(role, text(_at(record, path))) for path, role in found.fields]
-    else:
-        turns = [(ROLES.get(m.get(found.role_at), m.get(found.role_at)), text(m.get(found.text_at))) for m in _at(record, found.list)]
-    own = _at(record, found.id_at)
-    return own if isinstance(own, int) else None, mark, found.name, turns
+def _text(value) -> str | None:
+    """A value as text that can be written as UTF-8."""
+    text = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if text is not None and not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text):
+        text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
+
+
+def _own_id(value, line: str) -> int:
+    if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63:
+        return value
+    mark = line if value is None else json.dumps(value, sort_keys=True)
+    return xxhash.xxh64_intdigest(mark.encode("utf-8", "replace")) - 2**63
+
+
+def turns_of_record(line: str | None) -> dict:
+    """conv_id, fingerprint, layout, turns and error of a JSON record."""
+    out = {"conv_id": None, "fingerprint": None, "layout": None, "turns": [], "error": None}
+    try:
+        record = json.loads(line) if line is not None else None
+        out["fingerprint"], found = layout_of(paths_of_value(record), rows=False)
+        if found is None:
+            return out | {"error": "no layout has these fields" if isinstance(record, dict) else "no object"}
+        own = _own_id(_at(record, found.id_at), line)
+        if found.fields:
+            turns = [(role, _text(_at(record, path))) for path, role in found.fields]
+        else:
+            messages = _at(record, found.list)
+            wrong = [i for i, m in enumerate(messages) if not isinstance(m, dict)]
+            if wrong:
+                return out | {"conv_id": own, "layout": found.name, "error": f"message {wrong[0]} is no object"}
+            roles = [_text(m.get(found.role_at)) for m in messages]
+            turns = [(ROLES.get(r, r), _text(m.get(found.text_at))) for r, m in zip(roles, messages, strict=True)]
+    except RecursionError:
+        return out | {"error": "nested too deeply"}
+    except ValueError:
+        return out | {"error": "no JSON"}
+    return out | {"conv_id": own, "layout": found.name, "turns": [{"role": r, "text": t} for r, t in turns]}
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn = pa.struct([("role", pa.string()), ("text", pa.string())])
-    kinds = {"conv_id": pa.int64(), "fingerprint": pa.string(), "layout": pa.string(), "turns": pa.list_(turn)}
+    kinds = {"conv_id": pa.int64(), "fingerprint": pa.string(), "layout": pa.string(), "turns": pa.list_(turn), "error": pa.string()}
     for b in rows_of(batches):
-        out = []
-        for line in b.column(0).to_pylist():
-            try:
-                record = json.loads(line) if line is not None else None
-            except ValueError:
-                record = None
-            own, mark, name, turns = turns_of_record(record)
-            out.append({"conv_id": own, "fingerprint": mark, "layout": name, "turns": [{"role": r, "text": t} for r, t in turns]})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds.items()))
+        yield pa.RecordBatch.from_pylist([turns_of_record(line) for line in b.column(0).to_pylist()], schema=pa.schema(kinds.items()))
 
 
 def read_records(lines: DataFrame) -> DataFrame:
-    """JSON records, one a row in the first column -> conv_id, fingerprint, layout, turns."""
+    """JSON records, one a row in the first column -> conv_id, fingerprint, layout, turns, error: a row for each."""
     prepare(lines.sparkSession)
-    return lines.select(F.col(lines.columns[0]).cast("string")).mapInArrow(_records, "conv_id long, fingerprint string, layout string, turns array<struct<role:string,text:string>>")
+    kind = "conv_id long, fingerprint string, layout string, turns array<struct<role:string,text:string>>, error string"
+    return lines.select(F.col(f"`{lines.columns[0]}`").cast("string")).mapInArrow(_records, kind)
 
 
 def turns_of_records(lines: DataFrame) -> DataFrame:
-    """The turns of JSON records of any known layout."""
-    return read_records(lines).select("conv_id", F.posexplode("turns").alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
+    """The turns of the JSON records that read_records gives no error for."""
+    return read_records(lines).where("error is null").select("conv_id", F.posexplode("turns").alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
 
 
 #: The template's control strings, and those of others that a text must not smuggle in. Each has < or [ only at its start.

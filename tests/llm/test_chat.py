@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.llm import chat
 
@@ -71,7 +72,54 @@ def test_layouts_of_records(spark):
     lines = [(json.dumps(r),) for r, *_ in RECORDS] + [(None,), ("not json",)]
     got = [(r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.read_records(spark.createDataFrame(lines, "line string")).coalesce(1).collect()]
     assert got == [(n, t) for _, n, t in RECORDS] + [(None, []), (None, [])]
-    assert len(chat.BY_PRINT) == len(chat.LAYOUTS)
+    assert len({chat.fingerprint(x) for x in chat.NEEDED.values()}) == len(chat.LAYOUTS)
+
+
+def test_further_fields_of_known_names_do_not_matter(spark):
+    extras = {k: "z" for k in ("id", "input", "text", "system", "role", "turn")}
+    for record, name, turns in RECORDS[:2] + RECORDS[3:5]:
+        own = {k: v for k, v in extras.items() if not (name == "instruction" and k == "input") and not (name == "prompt_response" and k == "system")}
+        got = chat.turns_of_record(json.dumps(own | record))
+        assert (got["layout"], [(t["role"], t["text"]) for t in got["turns"]], got["conv_id"], got["error"]) == (name, turns, record["id"], None)
+    rows = [(1, 0, "user", "x"), (1, 1, "assistant", "y")]
+    for extra in ("id", "input", "prompt", "output", "instruction", "system", "messages"):
+        df = turns_df(spark, rows).withColumn(extra, F.lit("clash"))
+        assert digests(chat.read_back(chat.formatted(chat.turns_of_table(df)))) == plain_digests(rows)
+    every = turns_df(spark, rows).select("*", *[F.lit("clash").alias(c) for c in ("id", "prompt", "response", "instruction", "input", "output", "system", "completion")])
+    assert digests(chat.read_back(chat.formatted(chat.turns_of_table(every)))) == plain_digests(rows)
+
+
+def test_malformed_records_are_rows_with_an_error(spark):
+    message = {"role": "user", "content": "u"}
+    deep = "[" * 5000 + "]" * 5000
+    lines = [
+        (json.dumps({"id": 1, "messages": [message, None]}), None, "message 1 is no object"),
+        (json.dumps({"id": 2, "messages": [{"role": ["a"], "content": "u"}]}), [('["a"]', "u")], None),
+        (json.dumps({"id": 3, "messages": [{"role": 5, "content": {"x": 1}}]}), [("5", '{"x": 1}')], None),
+        (json.dumps({"id": 2**70, "messages": [message]}), [("user", "u")], None),
+        ('{"id": 5, "messages": [{"role": "user", "content": "a\\ud800b"}]}', [("user", "a\ufffdb")], None),
+        (f'{{"id": 6, "prompt": "p", "response": {deep}}}', None, "nested too deeply"),
+        (deep, None, None),
+        ('{"id": 8, "messages": []}', None, "no layout has these fields"),
+        ('{"id": 9, "messages": null}', None, "no layout has these fields"),
+        ("{", None, "no JSON"),
+        ("", None, "no JSON"),
+        ("7", None, "no object"),
+        (None, None, "no object"),
+        ('{"id": 1' + "0" * 5000 + "}", None, "no JSON"),
+        (json.dumps({"id": "a-b", "prompt": "p", "response": "r"}), [("user", "p"), ("assistant", "r")], None),
+        (json.dumps({"prompt": "p", "response": "r"}), [("user", "p"), ("assistant", "r")], None),
+        (json.dumps({"prompt": "q", "response": "r"}), [("user", "q"), ("assistant", "r")], None),
+    ]
+    df = spark.createDataFrame([(x,) for x, *_ in lines], "line string").coalesce(1)
+    rows = chat.read_records(df).collect()
+    assert len(rows) == len(lines)
+    for r, (line, turns, error) in zip(rows, lines, strict=True):
+        assert [(t["role"], t["text"]) for t in r["turns"]] == (turns or []), line
+        assert (r["error"] is None) == (turns is not None) and (error is None or r["error"] == error), line
+    ids = [r["conv_id"] for r in rows if not r["error"]]
+    assert None not in ids and len(set(ids)) == len(ids) and {2, 3, 5} <= set(ids)
+    assert chat.turns_of_records(df).count() == sum(len(t) for _, t, _ in lines if t)
 
 
 def test_layouts_of_tables(spark):
