@@ -8,8 +8,11 @@ order. Entries with equal keys form a chain, in which the bytes of the normalise
 of different texts stay apart.
 
 Copies that meet in one batch are merged (by their bytes) before anything is shuffled, so a text of which there
-are very many copies reaches its bucket as one entry a batch. A bucket that stays overfull at the deepest level is
-dealt out by whole keys instead of by files.
+are very many copies reaches its bucket as one entry a batch. A bucket's file is one row group, which one task reads;
+a bucket that stays overfull at the deepest level, by the bytes of all its columns, is dealt out by whole keys instead.
+
+Documents learn of their group by a join with the groups of two rows and more only, a table of its own, so that
+Spark can split the partition of a text with very many copies.
 
 Defined results: null text counts as empty text (and equals it); null ids are smaller than any id; of rows that
 agree in text and id exactly one is kept; an empty table gives an empty result; columns other than the id and the
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +37,11 @@ from storyloom.llm.common import new_table_path, prepare, raw, remove_table, row
 BUCKET_BYTES = 8 << 20
 #: The directory doubles at most this often: 2**20 entries bound what is broadcast to 16 MB.
 MAX_DEPTH = 20
-#: A bucket beyond this many bytes could span two row groups of its file, so it is dealt out by key.
-FILE_BYTES = 96 << 20
+#: A bucket beyond this many bytes, those of all its columns, is dealt out by key; others are one row group each.
+FILE_BYTES = 64 << 20
+ROW_GROUP = 128 << 20
+#: Bytes of an entry beside those of the document's columns.
+ENTRY_BYTES = 32
 
 
 def normalise(text: bytes) -> bytes:
@@ -50,7 +56,7 @@ def key_of(normal: bytes) -> int:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, key, sha, n_bytes)."""
+    """(id, text, others) -> (id, key, sha, n_bytes); others: the bytes of the other columns."""
     for b in rows_of(batches):
         normal = [normalise(t) for t in raw(b.column(1))]
         yield pa.record_batch(
@@ -58,15 +64,28 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "id": b.column(0),
                 "key": pa.array(map(key_of, normal), pa.int64()),
                 "sha": pa.array((hashlib.sha256(t).digest() for t in normal), pa.binary()),
-                "n_bytes": pa.array(map(len, normal), pa.int64()),
+                "n_bytes": pa.array((len(t) + n for t, n in zip(normal, b.column(2).to_pylist(), strict=True)), pa.int64()),
             }
         )
 
 
+def bytes_of(field: T.StructField) -> Column:
+    """How many bytes a column's value takes, about."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+        size = F.octet_length(F.to_json(F.struct(c)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The key, digest and length of every text."""
+    """The key and digest of every text, and the bytes of its row."""
     schema = "id long, key long, sha binary, n_bytes long"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_sketch, schema)
+    others = sum((bytes_of(f) for f in docs.schema.fields if f.name != text_col), F.lit(ENTRY_BYTES).cast("long"))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), others.alias("others")).mapInArrow(_sketch, schema)
 
 
 def directory(keys: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int]:
@@ -105,8 +124,8 @@ def _merge_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([keys, n, *kept.columns], names=["key", "n", *kept.schema.names])
 
 
-def build_index(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> str:
-    """Write the bucket files of docs, all columns carried in ``row``; return the folder."""
+def build_index(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> tuple[str, DataFrame]:
+    """Write the bucket files of docs, all columns carried in ``row``; return the folder and the table in it."""
     spark = docs.sparkSession
     entries, depth = directory(keys, bucket_bytes)
     entries = settle(entries, "directory")  # at most 2**MAX_DEPTH rows
@@ -117,8 +136,9 @@ def build_index(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bu
     placed = merged.withColumn("prefix", prefix).join(F.broadcast(entries), "prefix").drop("prefix")
     path = new_table_path(spark, "index")
     width = max(shuffle_width(spark), 1)
-    placed.repartition(width, "bucket").sortWithinPartitions("big", "bucket", "key").write.partitionBy("big", "bucket").parquet(path)
-    return path
+    placed.repartition(width, "bucket").sortWithinPartitions("big", "bucket", "key").write.option("parquet.block.size", ROW_GROUP).partitionBy("big", "bucket").parquet(path)
+    held = T.StructType([*schema.fields, T.StructField("big", T.IntegerType()), T.StructField("bucket", T.LongType())])
+    return path, spark.read.schema(held).parquet(path)
 
 
 def _owner(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
@@ -172,9 +192,8 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _owner(batches, emit)
 
 
-def _owned(docs: DataFrame, path: str, owner, schema) -> DataFrame:
+def _owned(index: DataFrame, owner, schema) -> DataFrame:
     """Run owner over the bucket files: small buckets as they lie, overfull ones dealt out by key."""
-    index = docs.sparkSession.read.parquet(path)
     columns = ["key", "n", "id", "text", "row"]
     small = index.where("big = 0").select(*columns)
     big = index.where("big = 1").select(*columns).repartition("key").sortWithinPartitions("key")
@@ -186,18 +205,25 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = settle(sketch(docs, "id", "text"), "keys")
-    if keys.isEmpty():
-        return keys.select("id", F.col("id").alias("keep_id"), F.col("n_bytes").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
-    path = build_index(docs, keys, "id", "text", bucket_bytes)
-    found = settle(_owned(docs, path, _groups, "sha binary, keep_id long, n long"), "groups")
+    keys = settle(sketch(docs, "id", "text").withColumn("row", F.monotonically_increasing_id()), "keys")
+    path, index = build_index(docs, keys, "id", "text", bucket_bytes)
+    found = settle(_owned(index, _groups, "sha binary, keep_id long, n long"), "groups")
     remove_table(spark, path)
-    groups = found.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    joined = keys.select("id", "sha").join(groups, "sha")
-    # Rows that agree in text and id: the first of them is kept.
-    nth = F.row_number().over(Window.partitionBy("sha", "id").orderBy("group_size"))
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (nth == 1)
-    return joined.select("id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    # A chain of a bucket that was dealt out has one entry, one that several batches of a bucket hold as well.
+    several = found.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
+    several = settle(several, "several")
+    # Rows that agree in text and id: the first of them is kept. The join spreads a text's copies by their ids.
+    same = (F.col("k.sha") == F.col("s.sha")) & F.col("k.id").eqNullSafe(F.col("s.keep_id"))
+    first = keys.alias("k").join(several.alias("s"), same).groupBy("s.sha", "s.keep_id", "s.group_size").agg(F.min("k.row").alias("keep_row"))
+    joined = keys.select("id", "sha", "row").join(settle(first, "first-rows"), "sha", "left")
+    alone = F.col("group_size").isNull()
+    return joined.select(
+        "id",
+        F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+    )
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -205,10 +231,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     spark = docs.sparkSession
     prepare(spark)
     keys = settle(sketch(docs, id_col, text_col), "keys")
-    if keys.isEmpty():
-        return docs.limit(0)
-    path = build_index(docs, keys, id_col, text_col, bucket_bytes)
+    _, index = build_index(docs, keys, id_col, text_col, bucket_bytes)
     row = T.StructType([f for f in docs.schema.fields if f.name != text_col])
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("row", row)])
-    kept = _owned(docs, path, _kept_rows, schema)
+    kept = _owned(index, _kept_rows, schema)
     return kept.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
