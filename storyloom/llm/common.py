@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +41,16 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/storyloom/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "table", sort_by: list[str] | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _settled[id(out)] = path
+    return out
+
+
+_settled: dict[int, str] = {}
 
 
 def remove_table(spark: SparkSession, path: str) -> None:
@@ -53,6 +60,12 @@ def remove_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; give the very frames that settle returned."""
+    for df in tables:
+        remove_table(df.sparkSession, _settled.pop(id(df)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,6 +77,17 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: a worker stays for the next stages, and so would what it once took."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
-    return (b for b in batches if b.num_rows)
+    trim()
+    for b in batches:
+        if b.num_rows:
+            yield b
+    trim()

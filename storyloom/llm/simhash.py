@@ -201,10 +201,10 @@ def grouped(marked: DataFrame, radius: int) -> DataFrame:
     """Settled (id, fp) -> (fp, component, keep_fp): component is the smallest id linked to fp, keep_fp its fingerprint."""
     least = marked.groupBy("fp").agg(F.min("id").alias("least"))
     tied = components(links(marked.select("fp").distinct(), radius))
-    labelled = least.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = settle(least.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
     # Of fingerprints that hold the same smallest id the smallest stays; nulls count as larger than any id.
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", F.col("fp").alias("keep_fp")))
-    best = labelled.groupBy("root").agg(first.alias("first"))
+    best = settle(labelled.groupBy("root").agg(first.alias("first")), "best")  # a table of its own: a large component's rows can be split
     return labelled.join(best, "root").select("fp", F.col("first.least").alias("component"), "first.keep_fp")
 
 
@@ -232,12 +232,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-#: Words of a wide fingerprint, the share of its bits in which texts of similarity SIMILAR differ on average, the
-#: share of such pairs that the cells must bring together, and how many random fingerprints a cell may hold.
+#: Words of a wide fingerprint, and the similarity from which texts are linked.
 WORDS = 4
 SIMILAR = 0.8
-RECALL = 0.95
-WIDE_CELL = 1024
 #: Standard deviations above the mean distance at which a pair of the threshold's similarity still is a candidate.
 SPREAD = 7
 #: One text of SAMPLE tells which shingles are common; at most COMMON of them, each in OFTEN texts of the sample.
@@ -245,7 +242,7 @@ SAMPLE = 32
 OFTEN = 3
 COMMON = 1 << 16
 #: Shingles compared with one another in one cell are about twice as many.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rows of a cell of fingerprints that is compared along with others.
 FEW = 8
 #: 64-bit words of the bitmap that tells which texts have a candidate.
@@ -269,8 +266,8 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     """The 256-bit fingerprint of a set of shingles, as four signed words: each hash gives 256 bits by SplitMix64."""
     votes = np.zeros(64 * WORDS, np.int64)
     steps = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(found), SPAN):
-        z = found[at : at + SPAN, None] + steps
+    for at in range(0, len(found), SPAN // 8):
+        z = found[at : at + SPAN // 8, None] + steps
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
@@ -291,16 +288,6 @@ def candidate_radius(similarity: float = SIMILAR) -> int:
     return int(np.ceil(mean + SPREAD * np.sqrt(mean * (1 - mean / (64 * WORDS)))))
 
 
-def wide_cells(n: int, similarity: float = SIMILAR) -> list[np.ndarray]:
-    """For each table the bits that make up its keys: so many that a cell of n random fingerprints holds WIDE_CELL at
-    most, and so many tables that RECALL of the pairs of that similarity share a key in one of them."""
-    bits = int(max(12, np.ceil(np.log2(max(2, n) / WIDE_CELL))))
-    same = (1 - wide_radius(similarity) / (64 * WORDS)) ** bits
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - same)))
-    rng = np.random.Generator(np.random.PCG64(77))
-    return [np.sort(rng.choice(64 * WORDS, bits, replace=False)) for _ in range(tables)]
-
-
 def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """So many of a set's first shingles that sets of that similarity share one of them, whatever the order is, if it
     is the same for all: here by hash, but common ones (sorted by hash) last."""

@@ -86,6 +86,30 @@ def test_hot_cells_are_cut(spark, monkeypatch):
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_many_links(spark, monkeypatch):
+    """Stars, chains and pairs, with the tables that large inputs get."""
+    from storyloom.llm import graph
+
+    rng = random.Random(4)
+    edges = [(7, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1100)] + [(2 * k, 2 * k + 1) for k in range(2000, 2050)] + [(5, 5), (400, 7)]
+    edges += [(rng.randrange(5000, 5100), rng.randrange(5000, 5100)) for _ in range(120)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {n: min(g) for g in plain_groups(edges) for n in g}
+    for many in (graph.MANY, 1):
+        monkeypatch.setattr(graph, "MANY", many)
+        assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    assert components(df.limit(0)).count() == 0
+
+
+def plain_groups(edges):
+    groups = []
+    for a, b in edges:
+        if a != b:
+            joined = [g for g in groups if a in g or b in g]
+            groups = [g for g in groups if g not in joined] + [set().union({a, b}, *joined)]
+    return groups
+
+
 def test_more_blocks_for_more_fingerprints():
     assert len(simhash.block_masks(1000, 4)) == 5
     assert len(simhash.block_masks(10**9, 4)) > 5
@@ -128,10 +152,8 @@ def test_similar_survivors_edges(spark, docs_of):
     assert simhash.similar_survivors(docs_of([])).count() == 0
 
 
-def test_wide_parameters_follow_the_table():
-    assert simhash.wide_radius(0.8) == 38
-    small, large = simhash.wide_cells(1000), simhash.wide_cells(10**9)
-    assert len(small[0]) == 12 and len(large[0]) == 20 and len(large) > len(small)
+def test_candidates_may_differ_by_seven_deviations_more_than_the_mean():
+    assert simhash.wide_radius(0.8) == 38 and simhash.candidate_radius(0.8) == 78
 
 
 def pairs_at(rng, similarity, n):
