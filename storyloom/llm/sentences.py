@@ -1,14 +1,17 @@
 """Substring deduplication by sliding runs of sentences.
 
 From every sentence on, the run of the next sentences is hashed: at least ``SPAN`` of them, and as many as make
-``MIN_WORDS`` words. Runs are joined globally by their hash (96 bits). Of equal runs the first one, by document id
-and place, stays; every sentence covered by any other is removed, so a passage shared by many documents stays in
-one of them, whatever surrounds it.
-
-A sentence ends after . ! or ? or at a line's end; sentences are equal if their words, split at white space and
-lower-cased, are. Only hashes and offsets are shuffled, once to find each repeated hash and its first place (with
-partial aggregation, so a run that occurs everywhere is one row a task) and once to join them with the runs; the
-sort-merge join's skewed partitions can be split.
+``MIN_WORDS`` words; a single sentence of ``LONG`` words is a run as well. So what is covered of a passage of over 50
+words are its whole sentences, if they have ``MIN_WORDS`` words, and lines that stand in many texts alone are left.
+Runs are joined globally by their hash (96 bits). Of equal runs the first one, by document id and place, stays; every
+sentence covered by any other is removed, so a passage shared by many documents stays in one of them, whatever
+surrounds it.
+
+A sentence ends after . ! or ? (or their wide forms) or at a line's end; sentences are equal if their words, split at
+white space and lower-cased, are; two characters of a script without spaces count as a word. Only hashes and offsets
+are shuffled, once to find each repeated hash and its first place (with partial aggregation, so a run that occurs
+everywhere is one row a task) and once to join them with the runs. The repeated hashes are a table of their own, so
+that Spark can split the partition of a very common one in that join.
 
 Defined results: null text counts as empty; null ids come after all others; repeated rows are documents of their
 own, so all but one of them lose their repeated runs; a text too short for one run keeps everything; an empty table
@@ -32,8 +35,11 @@ from pyspark.sql import types as T
 from storyloom.llm.common import prepare, raw, rows_of, settle
 
 SPAN = 2
-MIN_WORDS = 8
-SENTENCE = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+")
+MIN_WORDS = 24
+LONG = 40
+SENTENCE = re.compile("[^.!?。！？\n]*[.!?。！？]+|[^.!?。！？\n]+")
+#: Characters of scripts that put no space between words.
+UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 RUNS = "h long, check int, row long, id long, start int, end int"
 
 
@@ -45,7 +51,8 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
         words = own.split()
         if words:
             a = m.start() + len(own) - len(own.lstrip())
-            found.append((a, m.start() + len(own.rstrip()), " ".join(words).lower(), len(words)))
+            n = len(words) if own.isascii() else max(len(words), len(UNSPACED.findall(own)) // 2)
+            found.append((a, m.start() + len(own.rstrip()), " ".join(words).lower(), n))
     return found
 
 
@@ -53,11 +60,12 @@ def runs(text: str, span: int, min_words: int) -> Iterator[tuple[int, int, str]]
     """(start, end, key) of the run from each sentence on that is long enough."""
     found = sentences(text)
     last, words = 0, 0  # the run from i on ends before last
+    short = lambda i: words < min_words or last - i < span and words < LONG
     for i, (start, *_) in enumerate(found):
-        while last < len(found) and (last - i < span or words < min_words):
+        while last < len(found) and short(i):
             words += found[last][3]
             last += 1
-        if last - i < span or words < min_words:
+        if short(i):
             return
         yield start, found[last - 1][1], "\n".join(found[k][2] for k in range(i, last))
         words -= found[i][3]
@@ -98,7 +106,7 @@ def repeated_runs(found: DataFrame) -> DataFrame:
     """Settled runs -> those that are not the first of their kind: row, id, start, end, first_id, first_start."""
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     kinds = found.groupBy("h", "check").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    joined = found.join(kinds, ["h", "check"])
+    joined = found.join(settle(kinds, "repeated"), ["h", "check"])
     later = joined.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     return later.select("row", "id", "start", "end", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
