@@ -7,7 +7,7 @@ permuted twice, of its second permuted once (rotations), and of its third. A tex
 prototype has the largest cosine with it.
 
 Prototypes are sums of whole numbers, so they do not depend on the order of the rows. A task reports one partial
-sum a language, partial sums are added in FANOUT groups, and the driver adds FANOUT vectors a language.
+sum a language, partial sums are added in FANOUT groups and then in one, and the driver gets one vector a language.
 
 Defined results: text that is null or has no letter is ``und`` with score 0, as is every text if nothing was
 learned; rows whose label or id is null teach nothing; a row with a null id counts as held out; equal cosines go
@@ -32,8 +32,9 @@ from storyloom.llm.common import prepare, raw, rows_of
 
 DIMENSIONS = 1024
 SEED = 7041
-#: Vectors of 3-grams that a worker keeps, characters looked at at once, groups that partial sums are added in.
+#: Vectors of 3-grams that a worker keeps and adds up at once, characters looked at at once, groups that partial sums are added in.
 GRAMS = 1 << 16
+TOGETHER = 1 << 12
 CHARS = 1 << 20
 FANOUT = 64
 #: Length to which a document's vector is scaled before it is rounded and added to its language.
@@ -51,7 +52,7 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 def letters(text: str) -> np.ndarray:
-    """The text's letters in lower case, one GAP between words and at both ends."""
+    """The text's letters in lower case, GAP for every other character."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     low = _lower[codes]
     if (low < 0).any():
@@ -59,17 +60,19 @@ def letters(text: str) -> np.ndarray:
             own = chr(c).lower()
             _lower[c] = (ord(own) if len(own) == 1 else c) if chr(c).isalpha() else GAP
         low = _lower[codes]
-    low = np.concatenate([[GAP], low, [GAP]])
-    return low[np.r_[True, (low[1:] != GAP) | (low[:-1] != GAP)]]
+    return low
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 3-grams of a text, as numbers, and how often each occurs; none if it has no letter."""
-    found = []
+    """The distinct 3-grams of a text, as numbers, and how often each occurs; none if it has no letter. There is one
+    GAP between words and at both ends; a part of a long text goes on from the last two places of the one before."""
+    found, tail = [], np.array([GAP], np.int64)
     for at in range(0, max(1, len(text)), CHARS):
-        low = letters(text[at : at + CHARS])
-        if len(low) >= 3:
-            found.append(np.unique(low[:-2] << 42 | low[1:-1] << 21 | low[2:], return_counts=True))
+        line = np.concatenate([tail, letters(text[at : at + CHARS]), [GAP] if at + CHARS >= len(text) else []]).astype(np.int64)
+        line = line[np.r_[True, (line[1:] != GAP) | (line[:-1] != GAP)]]
+        if len(line) >= 3:
+            found.append(np.unique(line[:-2] << 42 | line[1:-1] << 21 | line[2:], return_counts=True))
+        tail = line[-2:]
     if len(found) < 2:
         return found[0] if found else (np.empty(0, np.int64), np.empty(0, np.int64))
     ids, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
@@ -110,9 +113,9 @@ class Bundler:
         if not len(ids):
             return None
         total = np.zeros(DIMENSIONS, np.float64)
-        for a in range(0, len(ids), GRAMS // 2):
-            rows = self.where(ids[a : a + GRAMS // 2])
-            total += counts[a : a + GRAMS // 2].astype(np.float32) @ self.table[rows].astype(np.float32)
+        for a in range(0, len(ids), TOGETHER):
+            rows = self.where(ids[a : a + TOGETHER])
+            total += counts[a : a + TOGETHER].astype(np.float32) @ self.table[rows].astype(np.float32)
         return total
 
 
@@ -150,10 +153,8 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     prepare(labelled.sparkSession)
     plain = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null")
     kind = "lang string, part int, sum binary"
-    summed = plain.mapInArrow(_partial_sums, kind).groupBy("lang", "part").applyInPandas(_add_up, kind)
-    sums: dict[str, np.ndarray] = {}
-    for r in summed.collect():  # at most FANOUT rows a language
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["sum"], np.int64)
+    summed = plain.mapInArrow(_partial_sums, kind).groupBy("lang", "part").applyInPandas(_add_up, kind).groupBy("lang").applyInPandas(_add_up, kind)
+    sums = {r["lang"]: np.frombuffer(r["sum"], np.int64) for r in summed.collect()}  # one row a language
     return {k: v / np.sqrt(v.astype(np.float64) @ v) for k, v in sorted(sums.items()) if v.any()}
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -30,9 +31,21 @@ def test_long_text_and_small_table(monkeypatch):
     text = "lorem ipsum dolor sit amet " * 300
     whole = language.Bundler().vector(text)
     monkeypatch.setattr(language, "GRAMS", 64)
+    monkeypatch.setattr(language, "TOGETHER", 32)
     assert np.array_equal(language.Bundler().vector(text), whole)
 
 
+def test_a_text_in_parts_has_the_grams_of_the_whole(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "É", " ", "  ", ".", "12", "汉", "bc", "\n"], k=rng.randrange(60))) for _ in range(300)]
+    whole = [language.grams(t) for t in texts]
+    for chars in (1, 2, 3, 7):
+        monkeypatch.setattr(language, "CHARS", chars)
+        for t, (ids, counts) in zip(texts, whole, strict=True):
+            got = language.grams(t)
+            assert np.array_equal(got[0], ids) and np.array_equal(got[1], counts), (t, chars)
+
+
 def test_held_out_accuracy(spark):
     labels = dict(zip(*pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "lang"]).to_pydict().values(), strict=True))
     rows = op10_language_id(spark, "/root/testdata/sf0.01").collect()
@@ -43,6 +56,25 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == labels[r["doc_id"]] for r in out) >= 0.97 * len(out)
 
 
+def test_query_against_plain_profiles(spark):
+    """Every prediction and score of the table, from vectors made one 3-gram at a time."""
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    vectors = {d: plain_vector(r["text"]) if r["text"] and any(c.isalpha() for c in r["text"]) else None for d, r in rows.items()}
+    known = {}
+    for d, v in vectors.items():
+        if v is not None and v.any() and rows[d]["lang"] is not None and zlib.crc32(str(d).encode()) % 5:
+            known[rows[d]["lang"]] = known.get(rows[d]["lang"], 0) + np.rint(v * (language.UNIT / np.sqrt(v @ v)))
+    names = sorted(known)
+    matrix = np.stack([known[n] / np.linalg.norm(known[n]) for n in names])
+    for r in op10_language_id(spark, SF).collect():
+        v = vectors[r["doc_id"]]
+        if v is None or not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosines = matrix @ v / np.linalg.norm(v)
+        assert r["lang_pred"] == names[int(np.argmax(cosines))] and abs(r["score"] - min(1, max(0, cosines.max()))) < 1e-9
+
+
 def test_labels_are_no_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = language.learn_from(docs)
