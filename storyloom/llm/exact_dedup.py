@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from storyloom.llm.common import new_table_path, prepare, raw, remove_table, rows_of, settle, shuffle_width
 
 #: Text bytes at which a bucket is split.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: The directory doubles at most this often: 2**20 entries bound what is broadcast to 16 MB.
 MAX_DEPTH = 20
 #: A bucket beyond this many bytes, those of all its columns, is dealt out by key; others are one row group each.
@@ -211,7 +211,6 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remove_table(spark, path)
     # A chain of a bucket that was dealt out has one entry, one that several batches of a bucket hold as well.
     several = found.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
-    several = settle(several, "several")
     # Rows that agree in text and id: the first of them is kept. The join spreads a text's copies by their ids.
     same = (F.col("k.sha") == F.col("s.sha")) & F.col("k.id").eqNullSafe(F.col("s.keep_id"))
     first = keys.alias("k").join(several.alias("s"), same).groupBy("s.sha", "s.keep_id", "s.group_size").agg(F.min("k.row").alias("keep_row"))
