@@ -7,13 +7,16 @@ Everything here is DataFrame expressions; no Python runs on the executors.
 2. A source's documents are dealt by hash into blocks (at most BLOCKS of them, about BLOCK_WORDS words each), and
    its blocks are put in a hashed, permuted order. Its target, in whole words, is met by whole passes over all
    blocks and then by the first blocks of that order; the block in which the target falls is cut, document by
-   document, and in it one document is cut to the word. So a source's words taken equal its rounded target.
+   document, and in it one document is cut to the word. So a source's words taken equal its rounded target. The
+   place of the cut is found in two steps, by the sums of SLICES ranges of the order and then in one range alone, so
+   no task sorts a whole block.
 3. Each source thus has an exact quota of block draws. The splitting tree starts with all quotas at its root and
    halves the output shards at each level: the left half's draws from each source are hypergeometric given what
    is left (sources one after another, by inversion of the distribution function at a hashed uniform number), the
    right half gets the rest. At the leaves every shard has an exact number of draws from each source.
 4. A source's draws, numbered in permuted order, are handed to the shards in runs of those numbers, so the shards
-   are disjoint; a shard's documents are put in a hashed order of their own.
+   are disjoint; a shard's documents are put in a hashed order of their own. There is a shard for each SHARD_WORDS
+   words of the mix (within the bounds SHARDS), and it is written in parts of PART_WORDS words, ranges of its order.
 
 Per document only its own columns, one row of its source and one of its block are needed; both tables are small
 (BLOCKS rows a source) and are broadcast up to KEYS rows, joined by shuffle beyond. Documents move once, into
@@ -26,6 +29,8 @@ no words at all every target is 0; columns that clash with working names are kep
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +39,14 @@ from storyloom.llm.common import settle
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
-BLOCK_WORDS = 1 << 16
+BLOCK_WORDS = 1 << 14
 BLOCKS = 4096
-SHARDS = 16
+#: Ranges of a cut block's order that are summed before one of them is sorted.
+SLICES = 4096
+#: Words of an output shard and of a part of one, about; how many shards there are at least and at most.
+SHARD_WORDS = 1 << 24
+SHARDS = (16, 1024)
+PART_WORDS = 1 << 20
 #: Rows of a source or block table up to which it is broadcast (some 60 bytes each).
 KEYS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -172,7 +182,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return per.groupBy("rank").agg(runs.alias("runs")).select("rank", ends.alias("ends"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, shards: int = SHARDS, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, shards: int | None = None, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: _id, _src, _size, the kept columns, source_size, target, draws: array<(shard, words)>."""
     keep = keep or []
     rows = sized(docs, id_col, text_col, source_col, keep)
@@ -195,26 +205,35 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     blocks = settle(blocks, "blocks")
     n_blocks = blocks.count()
 
-    # The place in each source's order where its target is met: one block, in it one place, one document.
+    # The place in each source's order where its target is met: one block, in it one slice, one place, one document.
     cut = blocks.where("before < rest and rest < before + words").select(F.col("rank").alias("c_rank"), F.col("block").alias("c_block"), (F.col("rest") - F.col("before")).alias("room"))
     n_cut = n_sources
     inside = beside(plain, named, same, n_sources).withColumn("block", in_block())
     inside = beside(inside, cut, (F.col("rank") == F.col("c_rank")) & (F.col("block") == F.col("c_block")), n_cut)
-    peers = inside.groupBy("rank", "_h", "_id", "_size", "room").agg(F.count("*").alias("n"))
+    inside = inside.select("rank", "_h", "_id", "_size", "room", F.floor(F.col("_h") / (2**32 // SLICES)).alias("slice"))
+    slices = inside.groupBy("rank", "room", "slice").agg(F.sum("_size").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("rank").orderBy("slice"))
+    met = slices.withColumn("upto", upto).where((F.col("upto") - F.col("held") < F.col("room")) & (F.col("room") <= F.col("upto")))
+    met = met.select(F.col("rank").alias("m_rank"), F.col("slice").alias("m_slice"), (F.col("room") - F.col("upto") + F.col("held")).alias("left"))
+    near = beside(inside, met, (F.col("rank") == F.col("m_rank")) & (F.col("slice") == F.col("m_slice")), n_cut)
+    peers = near.groupBy("rank", "_h", "_id", "_size", "left").agg(F.count("*").alias("n"))
     line = Window.partitionBy("rank").orderBy("_h", F.col("_id").asc_nulls_first(), "_size")
     earlier = F.coalesce(F.sum(F.col("n") * F.col("_size")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = peers.withColumn("earlier", earlier).where((F.col("earlier") < F.col("room")) & (F.col("room") <= F.col("earlier") + F.col("n") * F.col("_size")))
-    ends = ends.select("rank", F.col("_h").alias("e_h"), F.col("_id").alias("e_id"), F.col("_size").alias("e_size"), F.floor((F.col("room") - F.col("earlier")) / F.col("n")).alias("e_words"))
+    ends = peers.withColumn("earlier", earlier).where((F.col("earlier") < F.col("left")) & (F.col("left") <= F.col("earlier") + F.col("n") * F.col("_size")))
+    ends = ends.select("rank", F.col("_h").alias("e_h"), F.col("_id").alias("e_id"), F.col("_size").alias("e_size"), F.floor((F.col("left") - F.col("earlier")) / F.col("n")).alias("e_words"))
     cut_at = cut.join(ends, cut["c_rank"] == ends["rank"]).select("c_rank", "c_block", "e_h", "e_id", "e_size", "e_words")
 
     # Draws of each source: whole passes over all blocks, then the blocks that the rest reaches.
     reached = F.sum(F.when(F.col("before") < F.col("rest"), 1).otherwise(0))
     quotas = blocks.groupBy("rank").agg((F.max("passes") * F.count("*") + reached).alias("draws"), F.count("*").alias("blocks_held"))
+    if shards is None:
+        shards = shards_for(sources.agg(F.sum("target")).first()[0])
     dealt = splitting_tree(quotas.select("rank", "draws"), shards, seed)
     per_source = named.join(quotas.select(F.col("rank").alias("q_rank"), "blocks_held"), F.col("rank") == F.col("q_rank"))
     per_source = per_source.join(dealt.withColumnRenamed("rank", "t_rank"), F.col("rank") == F.col("t_rank"))
     per_source = per_source.join(cut_at, F.col("rank") == F.col("c_rank"), "left").drop("q_rank", "t_rank", "c_rank")
-    per_source = settle(per_source, "plan")
+    parts = F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / F.lit(PART_WORDS * shards)))
+    per_source = settle(per_source.withColumn("n_parts", parts.cast("int")), "plan")
 
     full = beside(rows, per_source, same, n_sources).withColumn("block", in_block())
     order = blocks.select(F.col("rank").alias("b_rank"), F.col("block").alias("b_block"), "place", "before")
@@ -232,13 +251,23 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     shard = lambda copy: F.size(F.filter("ends", lambda e: e <= copy * F.col("blocks_held") + F.col("place")))
     words = lambda copy: F.when(copy < F.col("passes"), F.col("_size")).otherwise(of_rest).cast("long")
     copies = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda c: F.struct(shard(c).alias("shard"), words(c).alias("words"), c.alias("copy")))
-    return full.select("_id", "_src", "_h", "_size", *keep, "source_size", "target", F.filter(copies, lambda x: x["words"] > 0).alias("draws"))
+    return full.select("_id", "_src", "_h", "_size", *keep, "source_size", "target", "n_parts", F.filter(copies, lambda x: x["words"] > 0).alias("draws"))
+
+
+def shards_for(words: float | None) -> int:
+    """How many shards a mix of so many words has."""
+    return min(SHARDS[1], max(SHARDS[0], math.ceil((words or 0) / SHARD_WORDS)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0, **how) -> DataFrame:
-    """The mix: docs' rows once for each draw, with shard, words and copy, dealt into shards and shuffled in each."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 0, **how) -> DataFrame:
+    """The mix: docs' rows once for each draw, with shard, words and copy, dealt into shards and shuffled in each.
+
+    A shard's order is that of a hashed place; its rows come in parts that are ranges of places, each sorted, so a
+    shard of any size is written by many tasks.
+    """
     from_docs = docs.select(id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     drawn = plan(from_docs, id_col, text_col, source_col, shards=shards, seed=seed, keep=["_row"], **how)
-    rows = drawn.select("_id", "_row", F.inline("draws"), "_h", "_size")
+    rows = drawn.select("_id", "_row", F.inline("draws"), "_h", "_size", "n_parts")
     place = number(F.lit(f"shard{seed}"), F.col("shard"), F.col("_id"), F.col("copy"))
-    return rows.withColumn("_place", place).repartition(F.col("shard")).sortWithinPartitions("shard", "_place", "_id", "_size")
+    placed = rows.withColumn("_place", place).withColumn("part", F.floor(F.col("_place") * F.col("n_parts") / 2.0**32).cast("int"))
+    return placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "_place", "_id", "_size").drop("n_parts")

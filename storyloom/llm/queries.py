@@ -79,8 +79,22 @@ def _number(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::bigint"
 
 
+def _hypergeometric(good: str, total: str, draws: str, uniform: str) -> str:
+    """mixing.hypergeometric in DuckDB, by logarithms of factorials over the whole range."""
+    low, high = f"greatest(0, {draws} - ({total} - {good}))", f"least({draws}, {good})"
+    ways = lambda n, k: f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+    logs = f"list_transform(range({low}, {high} + 1), lambda v: {ways(good, 'v')} + {ways(f'({total} - {good})', f'({draws} - v)')})"
+    weights = f"list_transform([{logs}], lambda x: list_transform(x, lambda y: exp(y - list_max(x))))[1]"
+    passed = f"len(list_filter(range(1, len(w) + 1), lambda k: list_sum(w[1:k]) < {uniform} * list_sum(w)))"
+    return f"list_transform([{weights}], lambda w: least({high}, {low} + {passed}))[1]"
+
+
+_UNIFORM = f"(({_number("'tree0:' || first || ':' || width || ':' || x.i")} + 0.5) / 4294967296)"
+_STEP = f"""list_transform([{_hypergeometric("counts[x.i + 1]", "a.total", "a.draws", _UNIFORM)}], lambda g:
+              {{'i': x.i, 'total': a.total - counts[x.i + 1], 'draws': a.draws - g::bigint, 'drawn': list_append(a.drawn, g::bigint)}})[1]"""
+
 MIX = rf"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+with recursive d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
                   {_number("coalesce(doc_id::varchar, 'null')")} as h from documents),
      s as (select source, sum(size)::bigint as source_size from d group by source),
      r as (select *, row_number() over (order by source is null, source) - 1 as rank from s),
@@ -89,23 +103,48 @@ with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
                      / sum(w) over (order by cap / w, rank rows between current row and unbounded following) as share from w),
      f as (select min_by(share, (cap / w, rank)) as level from l where share < cap / w),
      t as (select l.*, least(cap, coalesce((select level from f), 'inf'::double) * w) as target from l),
-     q as (select *, floor(target + 0.5)::bigint as quota, greatest(1, least(4096, ceil(source_size / 65536.0)))::bigint as n_blocks from t),
+     q as (select *, floor(target + 0.5)::bigint as quota, greatest(1, least({mixing.BLOCKS}, ceil(source_size / {mixing.BLOCK_WORDS}.0)))::bigint as n_blocks from t),
      p as (select *, case when source_size > 0 then quota // source_size else 0 end as passes, case when source_size > 0 then quota % source_size else 0 end as rest from q),
      e as (select d.*, p.rank, p.source_size, p.target, p.passes, p.rest, h % n_blocks as block from d join p on d.source is not distinct from p.source),
-     b as (select *, {_number("'block0:' || coalesce(source, 'null') || ':' || block")} as place from e),
-     o as (select *, sum(size) over (partition by rank order by place, block, h, doc_id nulls first, size) as upto, count(*) over (partition by rank, h, doc_id, size) as n from b)
-select doc_id, size, source_size, target,
-       (passes * size + case when upto <= rest then size when upto - n * size < rest then (rest - (upto - n * size)) // n else 0 end)::bigint as taken
-from o
+     b as (select rank, block, sum(size)::bigint as words, any_value(passes) as passes, any_value(rest) as rest,
+                  any_value({_number("'block0:' || coalesce(source, 'null') || ':' || block")}) as mark from e group by rank, block),
+     o as (select *, row_number() over (partition by rank order by mark, block) - 1 as place,
+                  coalesce(sum(words) over (partition by rank order by mark, block rows between unbounded preceding and 1 preceding), 0) as earlier from b),
+     u as (select rank, (max(passes) * count(*) + count(*) filter (earlier < rest))::bigint as draws, count(*) as held from o group by rank),
+     -- the splitting tree: a node's draws of each source go to its left half by hypergeometric draws, the others to its right one
+     node as (
+       select 0::bigint as first, greatest({mixing.SHARDS[0]}, least({mixing.SHARDS[1]}, ceil((select sum(target) from t) / {mixing.SHARD_WORDS})))::bigint as width,
+              coalesce((select list(draws order by rank) from u), []) as counts
+       union all
+       select first + side * half, case side when 0 then half else width - half end,
+              case side when 0 then drawn else list_transform(range(len(counts)), lambda i: counts[i + 1] - drawn[i + 1]) end
+       from (select first, width, width // 2 as half, counts,
+                    list_reduce(list_prepend({{'i': -1::bigint, 'total': list_sum(counts)::bigint, 'draws': (list_sum(counts)::bigint * (width // 2)) // width, 'drawn': []::bigint[]}},
+                                             list_transform(range(len(counts)), lambda i: {{'i': i, 'total': 0::bigint, 'draws': 0::bigint, 'drawn': []::bigint[]}})),
+                                lambda a, x: {_STEP}).drawn as drawn
+             from node where width > 1) as parent, (values (0), (1)) as sides(side)),
+     ends as (select rank, list(upto order by first) as ends
+              from (select first, i as rank, sum(counts[i + 1]) over (partition by i order by first) as upto
+                    from (select first, counts, unnest(range(len(counts))) as i from node where width = 1)) group by rank),
+     k as (select e.*, o.place, ends.ends, u.held, sum(size) over (partition by e.rank order by o.place, h, doc_id nulls first, size) as upto,
+                  count(*) over (partition by e.rank, h, doc_id, size) as n
+           from e join o on e.rank = o.rank and e.block = o.block join u on u.rank = e.rank join ends on ends.rank = e.rank),
+     c as (select *, case when upto <= rest then size when upto - n * size < rest then (rest - (upto - n * size)) // n else 0 end::bigint as last from k)
+select doc_id, size, source_size, target, (passes * size + last)::bigint as taken,
+       array_to_string(list_transform(list_filter(range(passes + 1), lambda i: case when i < passes then size else last end > 0),
+                                      lambda i: len(list_filter(ends, lambda y: y <= i * held + place)) || ':' || case when i < passes then size else last end), ',') as shards
+from c
 """
 
 
 @query(MIX)
 def op5_source_mixing(spark, sf_dir):
-    """All documents mixed to weights 5, 2, 1 a source, 150 % of their words in all, none above twice."""
+    """All documents mixed to weights 5, 2, 1 a source, 150 % of their words in all, none above twice; shards has the
+    output shard that the splitting tree deals each draw to, and the words it gets there."""
     found = mixing.plan(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    shards = F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
+    return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 ESCAPE = "regexp_replace({}, '" + chat.CONTROL + r"', '\1\\\2\3', 'g')"

@@ -1,6 +1,8 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from math import comb
 
 import pyarrow.parquet as pq
 import pytest
@@ -39,6 +41,8 @@ def test_query(spark):
     source, taken = dict(zip(t["doc_id"], t["source"], strict=True)), Counter()
     assert len(rows) == len(size)
     for r in rows:
+        draws = [tuple(map(int, x.split(":"))) for x in r["shards"].split(",") if x]
+        assert sum(n for _, n in draws) == r["taken"] and all(0 <= k < mixing.SHARDS[0] and n > 0 for k, n in draws)
         s = source[r["doc_id"]]
         assert (r["size"], r["source_size"]) == (size[r["doc_id"]], sums[s]) and r["target"] == pytest.approx(want[s])
         assert 0 <= r["taken"] <= 2 * r["size"]
@@ -67,6 +71,58 @@ def test_tree_gives_every_draw_to_one_shard(spark):
         assert max(totals) - min(totals) <= 1 + shards.bit_length()
 
 
+def plain_split(counts, first, width, seed, out):
+    """The tree's quotas, each draw by the exact distribution function."""
+    if width == 1:
+        out[first] = counts
+        return out
+    half, total = width // 2, sum(counts)
+    draws, left = total * half // width, []
+    for i, good in enumerate(counts):
+        u = (int(hashlib.md5(f"tree{seed}:{first}:{width}:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        goal, done, v = u * comb(total, draws), 0, max(0, draws - (total - good))
+        while (done := done + comb(good, v) * comb(total - good, draws - v)) < goal:
+            v += 1
+        left.append(v)
+        total, draws = total - good, draws - v
+    plain_split(left, first, half, seed, out)
+    return plain_split([a - b for a, b in zip(counts, left, strict=True)], first + half, width - half, seed, out)
+
+
+@pytest.mark.parametrize("shards", [2, 5, 16])
+def test_shard_quotas_against_exact_hypergeometric_draws(spark, shards):
+    counts = [40, 0, 7, 350, 1, 93]
+    df = spark.createDataFrame(list(enumerate(counts)), "rank int, draws long")
+    ends = {r["rank"]: [0, *r["ends"]] for r in mixing.splitting_tree(df, shards, 5).collect()}
+    got = {k: [ends[i][k + 1] - ends[i][k] for i in range(len(counts))] for k in range(shards)}
+    assert got == plain_split(counts, 0, shards, 5, {})
+
+
+def test_cut_of_a_block_by_slices(spark, docs_of, monkeypatch):
+    """However a block's order is cut into ranges, the same words are taken."""
+    rng = random.Random(2)
+    docs = docs_of([(rng.choice([None, i]), "w " * rng.randrange(6), None, rng.choice("abc")) for i in range(400)])
+    key = lambda r: (str(r["_id"]), r["_size"], str(r["draws"]))
+    want = sorted(map(key, mixing.plan(docs).collect()))
+    for slices in (1, 2**20):
+        monkeypatch.setattr(mixing, "SLICES", slices)
+        assert sorted(map(key, mixing.plan(docs).collect())) == want
+
+
+def test_shards_follow_the_mix_and_their_parts_are_bounded(spark, monkeypatch):
+    assert [mixing.shards_for(x) for x in (None, 0, 16 << 24, 40 << 24, 10**15)] == [16, 16, 16, 40, 1024]
+    monkeypatch.setattr(mixing, "PART_WORDS", 2000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held, places = Counter(), defaultdict(list)
+    for r in mixing.mixed(docs, shards=2).collect():
+        held[r["shard"], r["part"]] += r["words"]
+        places[r["shard"], r["part"]].append(r["_place"])
+    assert len(held) > 20 and sum(n <= 6000 for n in held.values()) > 0.9 * len(held)
+    for shard in (0, 1):  # parts are ranges of a shard's order
+        parts = [places[k] for k in sorted(places) if k[0] == shard]
+        assert all(max(a) <= min(b) for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_hypergeometric_has_the_right_moments(spark):
     u = (F.col("id") + 0.5) / 4000
     x = mixing.hypergeometric(F.lit(60), F.lit(200), F.lit(50), u)
