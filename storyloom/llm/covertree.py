@@ -8,9 +8,12 @@ node with centre d and radius s can score above <c, d> + r |d| + s |c| + r s, so
 below the worst kth score among the node's queries is pruned; pairs are tried in the order of their bounds.
 
 In Spark, first every query block searches the few data blocks of the largest bounds, which gives each query block
-its worst kth score; then the block pairs that this score does not rule out are searched, in as many tasks as there
-are pairs, and the lists are merged by rank. Block pairs are formed from centres and radii; the trees themselves
-are sent only to the pairs that are searched.
+its worst kth score; then the block pairs that this score does not rule out are searched, and the lists are merged by
+rank. Bounds are computed from centres and radii, for CHUNK blocks against CHUNK blocks at once, and only pairs to be
+searched become rows. A task holds one data block's tree and reads the trees of its query blocks as a stream, up to
+LANE of them, so a data block is sent once for each LANE query blocks that need it. A node in which a net of smaller
+radius covers next to nothing, as in vectors without structure, is a leaf whatever its size: its products are formed
+as one matrix.
 
 Arithmetic is exact: scores are integer products, computed in floating point only where every partial sum is below
 2**53, in Python integers otherwise; bounds carry a margin for rounding. Scores beyond 64 bits are clamped.
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import prepare, rows_of, settle
+from storyloom.llm.common import prepare, release, rows_of, settle
 
 BLOCK = 4096
 QUERY_BLOCK = 1024
@@ -44,6 +47,9 @@ LEAF = 64
 SHRINK = 0.8
 #: Data blocks that each query block searches for its first scores.
 FIRST = 2
+#: Blocks whose bounds are computed at once, and query blocks that are searched beside one copy of a data block.
+CHUNK = 1024
+LANE = 64
 MARGIN = 1e-9
 
 
@@ -99,6 +105,8 @@ def cover_tree(vectors: np.ndarray) -> Node:
                 break
             at = points[left[0]]
             gap = distances(at, left)
+        if not children:
+            return Node(centre, radius, rows, [])
         loose = np.concatenate([*loose, left]) if loose or len(left) else left
         for i in range(0, len(loose), LEAF):
             part = loose[i : i + LEAF]
@@ -142,6 +150,10 @@ class Best:
         rows, found, valid = rows[some], found[some], valid[some]
         if not len(rows):
             return
+        if found.shape[1] > 4 * self.k:
+            # Of many products only those that reach a row's own kth largest can matter.
+            own = np.where(valid, found, np.iinfo(np.int64).min)
+            valid = valid & (own >= np.partition(own, -self.k, axis=1)[:, -self.k, None])
         used = valid.any(axis=0)
         found, valid, ids = found[:, used], valid[:, used], ids[used]
         # np.iinfo.min with the largest id marks an empty place; a clamped score of a real row stays apart by its id.
@@ -230,10 +242,14 @@ def trees(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(queries' tree, data's tree, worst) -> query_id, id, score."""
+    """(side, tree, worst) -> query_id, id, score: each data tree (side 0) is followed by its queries' trees (side 1)."""
+    data = None
     for b in rows_of(batches):
-        for q_blob, d_blob, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            queries, data = pickle.loads(q_blob), pickle.loads(d_blob)
+        for side, blob, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if side == 0:
+                data = pickle.loads(blob)
+                continue
+            queries = pickle.loads(blob)
             n = len(queries[0])
             start = np.full(n, np.iinfo(np.int64).min) if floor is None else np.frombuffer(floor, np.int64)
             best = Best(n, k, start)
@@ -243,6 +259,56 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 FOUND = "query_id long, id long, score long"
+PAIRS = "dim int, q_block long, block long, bound double"
+
+
+def _summary(rows: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one chunk: (block numbers, centres, radii, norms, least scores) as one value."""
+    rows = rows.sort_values("block")
+    least = rows["least"].to_numpy(np.int64) if "least" in rows else None
+    held = (rows["block"].to_numpy(np.int64), np.stack(rows["centre"].to_list()), rows["radius"].to_numpy(), rows["norm"].to_numpy(), least)
+    return rows.head(1)[["dim", "chunk"]].assign(held=[pickle.dumps(held, protocol=5)])
+
+
+def summaries(blocks: DataFrame) -> DataFrame:
+    """Blocks (dim, block, centre, radius, norm[, least]) -> settled (dim, chunk, held), about CHUNK blocks a row."""
+    per = blocks.groupBy("dim").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))  # a row for each length of vectors
+    dealt = blocks.join(per, "dim").withColumn("chunk", F.pmod(F.xxhash64("block"), F.col("chunks"))).drop("chunks")
+    return settle(dealt.groupBy("dim", "chunk").applyInPandas(_summary, "dim int, chunk long, held binary"), "summaries")
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """(dim, queries' blocks, data's blocks) -> pairs: the first ones of each query block, or those that its least score allows."""
+    for b in rows_of(batches):
+        for dim, q_held, d_held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            (q, q_centre, q_radius, q_norm, least), (d, d_centre, d_radius, d_norm, _) = pickle.loads(q_held), pickle.loads(d_held)
+            bounds = bound_of(q_norm[:, None], q_radius[:, None], d_norm[None, :], d_radius[None, :], q_centre @ d_centre.T)
+            if first:
+                order = np.argsort(-bounds, axis=1, kind="stable")[:, :first]
+                i, j = np.repeat(np.arange(len(q)), order.shape[1]), order.reshape(-1)
+            else:
+                i, j = np.nonzero(bounds >= least[:, None])
+            yield pa.record_batch({"dim": pa.array([dim] * len(i), pa.int32()), "q_block": q[i], "block": d[j], "bound": bounds[i, j]})
+
+
+def block_pairs(asked: DataFrame, held: DataFrame, first: int = 0) -> DataFrame:
+    """Summaries of query blocks and of data blocks -> pairs, chunk by chunk."""
+    chunks = asked.select("dim", F.col("chunk").alias("q_chunk")).join(held.select("dim", F.col("chunk").alias("d_chunk")), "dim")
+    both = chunks.join(asked.select("dim", F.col("chunk").alias("q_chunk"), F.col("held").alias("q_held")), ["dim", "q_chunk"])
+    both = both.join(held.select("dim", F.col("chunk").alias("d_chunk"), F.col("held").alias("d_held")), ["dim", "d_chunk"])
+    return both.repartition("dim", "q_chunk", "d_chunk").select("dim", "q_held", "d_held").mapInArrow(partial(_bounded, first=first), PAIRS)
+
+
+def searched(chosen: DataFrame, q: DataFrame, d: DataFrame, k: int) -> DataFrame:
+    """Settled pairs (dim, q_block, block), query trees (dim, block, tree, floor), data trees -> query_id, id, score."""
+    lanes = chosen.groupBy("dim", "block").agg(F.ceil(F.count("*") / LANE).alias("lanes"))
+    held = lanes.join(d.select("dim", "block", "tree"), ["dim", "block"])
+    held = held.select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("side"), "tree", F.lit(None).cast("binary").alias("floor"))
+    asked = chosen.join(lanes, ["dim", "block"]).join(q.select("dim", F.col("block").alias("q_block"), "tree", "floor"), ["dim", "q_block"])
+    asked = asked.select("dim", "block", F.pmod(F.xxhash64("q_block"), F.col("lanes")).alias("lane"), F.lit(1).alias("side"), "tree", "floor")
+    at = ["dim", "block", "lane"]
+    dealt = held.unionByName(asked).repartition(*at).sortWithinPartitions(*at, "side")
+    return dealt.select("side", "tree", "floor").mapInArrow(partial(_search, k=k), FOUND)
 
 
 def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
@@ -258,35 +324,25 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     pivots = {n: np.array(v, np.float64).reshape(len(v), n) for n, v in pivots.items()}
     kind = "id long, dim int, cell int, vec binary, bound decimal(38,0)"
     deal = partial(_dealt, pivots=pivots)
-    d = settle(trees(settle(data.mapInArrow(deal, kind), "vectors"), BLOCK), "trees")
+    vectors = settle(data.mapInArrow(deal, kind), "vectors")
+    d = settle(trees(vectors, BLOCK), "trees")
+    release(vectors)
     q = settle(trees(queries.mapInArrow(deal, kind), QUERY_BLOCK), "query-trees")
+    spheres = ["dim", "block", "centre", "radius", "norm"]
+    held = summaries(d.select(spheres))
 
-    # Block pairs with their bounds, from centres and radii alone.
-    lists = d.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    seen = q.select("dim", F.col("block").alias("q_block"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"), F.col("norm").alias("q_norm")).join(lists, "dim")
-    pairs = seen.select("dim", "q_block", "q_centre", "q_radius", "q_norm", F.explode("blocks").alias("block"))
-    pairs = pairs.join(d.select("dim", "block", "centre", "radius", "norm"), ["dim", "block"])
-    product = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = pairs.select("dim", "q_block", "block", bound_of(F.col("q_norm"), F.col("q_radius"), F.col("norm"), F.col("radius"), product).alias("bound"))
+    # The data blocks of the largest bounds come first, for each query block.
     order = Window.partitionBy("dim", "q_block").orderBy(F.desc("bound"), "block")
-    pairs = settle(pairs.withColumn("nth", F.row_number().over(order)), "pairs")
-
-    def searched(chosen: DataFrame, floors: DataFrame | None) -> DataFrame:
-        asked = q.select("dim", F.col("block").alias("q_block"), F.col("tree").alias("q_tree"))
-        both = chosen.join(asked, ["dim", "q_block"])
-        both = both.join(floors.select("dim", F.col("block").alias("q_block"), "floor"), ["dim", "q_block"]) if floors is not None else both.withColumn("floor", F.lit(None).cast("binary"))
-        both = both.join(d.select("dim", "block", F.col("tree").alias("d_tree")), ["dim", "block"])
-        dealt = both.repartition("dim", "q_block", "block")
-        return dealt.select("q_tree", "d_tree", "floor").mapInArrow(partial(_search, k=k), FOUND)
-
-    first = settle(searched(pairs.where(F.col("nth") <= FIRST), None), "first")
+    best = block_pairs(summaries(q.select(spheres)), held, FIRST).withColumn("nth", F.row_number().over(order))
+    early = settle(best.where(F.col("nth") <= FIRST).select("dim", "q_block", "block"), "first-pairs")
+    first = settle(searched(early, q.withColumn("floor", F.lit(None).cast("binary")), d, k), "first")
     # Each query's kth score so far rules out block pairs, and rows within those that remain.
     best_first = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     kth = best_first.select("query_id", F.when(F.size("s") >= k, F.element_at("s", k)).alias("kth"))
-    members = q.select("dim", "block", "tree")
-    floors = settle(_floors_of(members, kth), "floors")
-    chosen = pairs.where(F.col("nth") > FIRST).join(floors.select("dim", F.col("block").alias("q_block"), "least"), ["dim", "q_block"]).where(F.col("bound") >= F.col("least")).select("dim", "q_block", "block")
-    found = first.unionByName(searched(chosen, floors))
+    floors = settle(_floors_of(q.select("dim", "block", "tree"), kth), "floors")
+    rest = block_pairs(summaries(q.select(spheres).join(floors.select("dim", "block", "least"), ["dim", "block"])), held)
+    chosen = settle(rest.select("dim", "q_block", "block").join(early, ["dim", "q_block", "block"], "left_anti"), "pairs")
+    found = first.unionByName(searched(chosen, q.join(floors.select("dim", "block", "floor"), ["dim", "block"]), d, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

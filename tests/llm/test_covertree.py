@@ -38,6 +38,8 @@ def test_blocks_against_all_products(spark, monkeypatch, spread):
     monkeypatch.setattr(C, "BLOCK", 60)
     monkeypatch.setattr(C, "QUERY_BLOCK", 10)
     monkeypatch.setattr(C, "PIVOTS", 4)
+    monkeypatch.setattr(C, "CHUNK", 3)
+    monkeypatch.setattr(C, "LANE", 2)
     rows = clusters(np.random.default_rng(spread), 500, 8, spread)
     assert got(C.top_k(df(spark, rows[::7]), df(spark, rows), 6)) == plain_top(rows[::7], rows, 6)
 
@@ -58,6 +60,19 @@ def test_dual_search_is_exact_and_prunes(seed):
     assert formed < 0.8 * 200 * 3000
 
 
+def test_vectors_without_structure_are_one_leaf_and_still_exact():
+    rng = np.random.default_rng(3)
+    vectors, ids = rng.integers(-60, 60, (900, 48)), np.arange(900)
+    root = C.cover_tree(vectors)
+    assert not root.children and len(root.rows) == 900
+    best = C.Best(50, 7, np.full(50, np.iinfo(np.int64).min))
+    C.dual_search((ids[:50], vectors[:50], C.cover_tree(vectors[:50]), 60), (ids, vectors, root, 60), best)
+    for q in range(50):
+        s = vectors @ vectors[q]
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:7]
+        assert best.id[q].tolist() == order and best.score[q].tolist() == s[order].tolist()
+
+
 def test_cover_tree_covers_its_points():
     vectors = np.random.default_rng(0).integers(-50, 50, (1500, 12))
     vectors[200:900] = vectors[0]
