@@ -62,7 +62,7 @@ def test_dual_search_is_exact_and_prunes(seed):
 
 def test_vectors_without_structure_are_one_leaf_and_still_exact():
     rng = np.random.default_rng(3)
-    vectors, ids = rng.integers(-60, 60, (900, 48)), np.arange(900)
+    vectors, ids = rng.integers(-60, 60, (900, 400)), np.arange(900)
     root = C.cover_tree(vectors)
     assert not root.children and len(root.rows) == 900
     best = C.Best(50, 7, np.full(50, np.iinfo(np.int64).min))
