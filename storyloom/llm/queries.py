@@ -205,6 +205,5 @@ def op1_cover_tree_top_k(spark, sf_dir):
 def op8_recurrent_lm_scoring(spark, sf_dir):
     """The log probability of every document by counts and by a gated recurrent network, learned from six sevenths."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
-    counts, known, network = lm.fit(docs.where(~lm.held_out("id", 7, 2)).select("text"))
-    found = lm.score(docs, counts, known, network)
+    found, known = lm.fit_and_score(docs, ~lm.held_out("id", 7, 2))
     return found.select(F.col("id").alias("doc_id"), lm.held_out("id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
