@@ -19,12 +19,15 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language: texts without a letter, for which no language can be named, go."""
+    """Documents in some language: texts for which none can be named, as they have no letter, go; where lang is not
+    known, it is what was found."""
     prototypes = language.learn(docs.select("lang", "text"))
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
     found, names = language.identified(docs, prototypes)
-    return found.where("lang_pred <> 'und'").select(*[F.col(f"c{names.index(c)}").alias(c) for c in COLUMNS])
+    of = {c: F.col(f"c{names.index(c)}") for c in COLUMNS}
+    of["lang"] = F.coalesce(of["lang"], "lang_pred")
+    return found.where("lang_pred <> 'und'").select(*[of[c].alias(c) for c in COLUMNS])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
