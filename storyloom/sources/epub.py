@@ -90,44 +90,65 @@ def package(xml: str, path: str) -> Package:
     return out
 
 
-Entry = tuple[str, tuple[str, str | None], bool]
+Target = tuple[str, str | None]
+Entry = tuple[str, Target, bool]
 
 
-def _with_children(label: str, target, children: list[Entry]) -> list[Entry]:
-    """A group without a link of its own takes its first descendant's."""
-    target = target or next((c[1] for c in children), None)
-    return [(label, target, bool(children)), *children] if label and target else children
+def outline(top: ElementTree.Element | None, entry: str, told) -> list[tuple[int, str, Target | None]]:
+    """(depth, label, target) of the elements called entry below top, in document order; told(element) gives the last two."""
+    rows, waiting = [], [] if top is None else [(top, 0)]
+    while waiting:
+        el, depth = waiting.pop()
+        if local(el.tag) == entry:
+            rows.append((depth, *told(el)))
+            depth += 1
+        waiting += [(c, depth) for c in reversed(el)]
+    return rows
+
+
+def linked(rows: list[tuple[int, str, Target | None]]) -> list[Entry]:
+    """Rows that have a label and a place, each with whether such rows lie below it; one without a link of its own has
+    the place of the first of those. Read from the end: what matters is the next such row, and the least depth up to it."""
+    out, ahead, least = [], None, 0
+    for depth, label, target in reversed(rows):
+        inside = ahead is not None and least > depth
+        place = target or (ahead if inside else None)
+        least = min(least, depth)
+        if label and place:
+            out.append((label, place, inside))
+            ahead, least = place, depth
+    return out[::-1]
+
+
+def first_of(el: ElementTree.Element | None, *names: str) -> ElementTree.Element | None:
+    """The first element of one of these names, in document order."""
+    return None if el is None else next((x for x in el.iter() if local(x.tag) in names), None)
 
 
 def nav_entries(html: str, path: str) -> list[Entry]:
-    def listed(ol) -> list[Entry]:
-        out = []
-        for li in (c for c in ol if local(c.tag) == "li"):
-            own = next((c for c in li if local(c.tag) != "ol"), None)
-            nested = next((c for c in li if local(c.tag) == "ol"), None)
-            link = None if own is None else next((c for c in own.iter() if local(c.tag) == "a"), None)
-            href = None if link is None else link.attrib.get("href")
-            label = "" if own is None else squeezed("".join(own.itertext()))
-            out += _with_children(label, resolve(path, href) if href is not None else None, [] if nested is None else listed(nested))
-        return out
-
-    navs = [el for el in parsed(html).iter() if local(el.tag) == "nav"]
-    chosen = next((n for n in navs if any(local(k) == "type" and re.search(r"\btoc\b", v, re.I) for k, v in n.attrib.items())), navs[0] if navs else None)
-    top = None if chosen is None else next((el for el in chosen.iter() if local(el.tag) == "ol"), None)
-    return [] if top is None else listed(top)
+    """Entries of the navigation document's list called toc, or of its first list."""
+
+    def told(item):
+        head = next((c for c in item if local(c.tag) != "ol"), ElementTree.Element("none"))
+        link = first_of(head, "a")
+        href = None if link is None else link.get("href")
+        return squeezed("".join(head.itertext())), None if href is None else resolve(path, href)
+
+    is_toc = lambda n: any(local(k) == "type" and "toc" in re.findall(r"\w+", v.lower()) for k, v in n.attrib.items())
+    lists = sorted((n for n in parsed(html).iter() if local(n.tag) == "nav"), key=lambda n: not is_toc(n))
+    return linked(outline(first_of(lists[0], "ol") if lists else None, "li", told))
 
 
 def ncx_entries(xml: str, path: str) -> list[Entry]:
-    def listed(parent) -> list[Entry]:
-        out = []
-        for point in (c for c in parent if local(c.tag) == "navpoint"):
-            label = next((squeezed("".join(c.itertext())) for c in point if local(c.tag) == "navlabel"), "")
-            src = next((c.attrib.get("src") for c in point if local(c.tag) == "content"), None)
-            out += _with_children(label, resolve(path, src) if src is not None else None, listed(point))
-        return out
-
-    top = next((el for el in parsed(xml).iter() if local(el.tag) == "navmap"), None)
-    return [] if top is None else listed(top)
+    """Entries of the older format's map."""
+
+    def told(point):
+        own = {local(c.tag): c for c in reversed(point)}
+        label, content = own.get("navlabel"), own.get("content")
+        src = None if content is None else content.get("src")
+        return "" if label is None else squeezed("".join(label.itertext())), None if src is None else resolve(path, src)
+
+    return linked(outline(first_of(parsed(xml), "navmap"), "navpoint", told))
 
 
 def contents(archive: Archive, pkg: Package) -> list[Entry]:

@@ -9,7 +9,7 @@ from storyloom.functions import text as X
 from storyloom.functions.headings import heading_of_label, parse_heading, same_heading
 from storyloom.functions.numerals import number_column, parse_number, write_number
 from storyloom.operators import spans as S
-from storyloom.operators.attribution import Entity, find_mentions, resolve, scenes_of, structure, tag_clauses
+from storyloom.operators.attribution import Entity, find_mentions, resolve, scenes_of, speech_clauses, structure
 from storyloom.operators.quotes import paragraph_spans, quotes, quotes_of
 
 NUMBERS = {"12": 12, "０７": 7, "十": 10, "十五": 15, "二十": 20, "一百零八": 108, "三百二十五": 325, "一〇八": 108, "二零二四": 2024, "两千": 2000, "一万二千": 12000, "百": 0, "": None, "甲": None, "三x": None}
@@ -116,7 +116,7 @@ def test_speakers():
     found = structure("b", "“走。”陆离问。\n陆离问：“去哪？”", [])
     assert [s["surface"] for s in found.segments if s["kind"] != "narration"] == ["陆离", "陆离"]
     assert [(e.canonical, e.is_new, e.confidence) for e in found.entities] == [("陆离", True, 0.5)]
-    assert tag_clauses("白术定了定神，说道。") == ["说道", "白术定了定神"] and tag_clauses("没有人。") == []
+    assert speech_clauses("白术定了定神，说道。") == ["说道", "白术定了定神"] and speech_clauses("没有人。") == []
 
 
 def test_entities():
