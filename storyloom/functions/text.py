@@ -45,6 +45,29 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(inner, start, step, lambda a: a["found"]))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Spans (char_start, char_end) of the pattern's matches from the left; the pattern has no groups and matches no
+    empty text. The pieces between the matches and the matches add up to the offsets."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    before = F.transform(F.split(text, F.lit(pattern), F.lit(-1)), F.length)
+    lengths = F.zip_with(F.slice(before, F.lit(1), F.size(found)), F.transform(found, F.length), lambda a, b: F.struct(a.alias("before"), b.alias("own")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char_start:int,char_end:int>>").alias("spans"))
+
+    def step(a, x):
+        span = F.struct((a["at"] + x["before"]).alias("char_start"), (a["at"] + x["before"] + x["own"]).alias("char_end"))
+        return F.struct(span["char_end"].alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(lengths, start, step, lambda a: a["spans"])
+
+
+def line_at(text: Column, at: Column) -> Column:
+    """(char_start, char_end) of the line that holds an offset within the text; null outside it."""
+    head, tail = F.substring(text, F.lit(1), at.cast("int")), F.substring(text, at.cast("int") + 1, F.length(text))
+    start = F.length(F.regexp_replace(head, "[^\\n]*\\z", ""))
+    end = at.cast("int") + F.length(F.regexp_extract(tail, "\\A[^\\n]*", 0))
+    return F.when((at >= 0) & (at < F.length(text)), F.struct(start.alias("char_start"), end.alias("char_end")))
+
+
 def unique_at(text: Column, quote: Column) -> Column:
     """Where the quote starts if it occurs exactly once, overlaps counted; else null."""
     first = F.instr(text, quote)

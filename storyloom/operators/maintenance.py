@@ -60,18 +60,25 @@ def cascade(parents: DataFrame, chain: list[tuple[str, DataFrame, str, str]]) ->
 
 def matched(existing: DataFrame, incoming: DataFrame, ident: str, key: str, hash_col: str) -> DataFrame:
     """Old rows to new ones in two passes: by content hash, the nth of a hash with the nth; then by identity keys
-    that are unique on both sides among what is left. Returns old id, new id and how: moved, edited, removed, added."""
-    nth = Window.partitionBy(hash_col).orderBy(key, ident)
-    old = existing.select(F.col(ident).alias("old_id"), F.col(key).alias("k"), F.col(hash_col).alias("h"), F.row_number().over(nth).alias("n"))
-    new = incoming.select(F.col(ident).alias("new_id"), F.col(key).alias("k"), F.col(hash_col).alias("h"), F.row_number().over(nth).alias("n"))
-    same = old.select("old_id", "h", "n").join(new.select("new_id", "h", "n"), ["h", "n"]).select("old_id", "new_id", F.lit("kept").alias("how"))
-    alone = Window.partitionBy("k")
-    old_left = old.join(same, "old_id", "left_anti").withColumn("c", F.count("*").over(alone))
-    new_left = new.join(same, "new_id", "left_anti").withColumn("c", F.count("*").over(alone))
-    edited = old_left.where("c = 1").select("old_id", "k").join(new_left.where("c = 1").select("new_id", "k"), "k").select("old_id", "new_id", F.lit("edited").alias("how"))
-    removed = old_left.join(edited, "old_id", "left_anti").select("old_id", F.lit(None).cast(incoming.schema[ident].dataType).alias("new_id"), F.lit("removed").alias("how"))
-    added = new_left.join(edited, "new_id", "left_anti").select(F.lit(None).cast(existing.schema[ident].dataType).alias("old_id"), "new_id", F.lit("added").alias("how"))
-    return reduce(lambda a, b: a.unionByName(b), [same, edited, removed, added])
+    that are unique on both sides among what is left. Returns old id, new id and how: kept, edited, removed, added.
+
+    Both sides go through together: one shuffle by hash numbers and pairs them, one by key pairs what is left.
+    """
+    told = lambda rows, new: rows.select(F.col(ident).alias("id"), F.col(key).alias("k"), F.col(hash_col).alias("h"), F.lit(new).alias("new"))
+    nth = F.row_number().over(Window.partitionBy("h", "new").orderBy("k", "id"))
+    numbered = told(existing, False).unionByName(told(incoming, True)).repartition("h").withColumn("n", nth)
+    side = lambda new: F.max(F.when(F.col("new") == new, F.col("id")))
+    pairs = numbered.groupBy("h", "n").agg(side(False).alias("old_id"), side(True).alias("new_id"), F.max("k").alias("k"))
+    both = F.col("old_id").isNotNull() & F.col("new_id").isNotNull()
+    kept = pairs.where(both).select("old_id", "new_id", F.lit("kept").alias("how"))
+    left = pairs.where(~both).select("k", "old_id", "new_id")
+    of_key = Window.partitionBy("k")
+    counted = left.withColumns({"olds": F.count("old_id").over(of_key), "news": F.count("new_id").over(of_key)})
+    # Rows of a key that is unique on both sides meet in one group, all others stay alone.
+    alone = F.when((F.col("olds") != 1) | (F.col("news") != 1), F.struct("old_id", "new_id"))
+    met = counted.groupBy("k", alone.alias("alone")).agg(F.max("old_id").alias("old_id"), F.max("new_id").alias("new_id"))
+    how = F.when(both, "edited").when(F.col("new_id").isNull(), "removed").otherwise("added")
+    return kept.unionByName(met.select("old_id", "new_id", how.alias("how")))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -123,35 +123,96 @@ def mentions(docs: DataFrame, lexicon: list[tuple[str, str]], keys: list[str], t
     return kept.mapInPandas(run, schema)
 
 
+#: Bytes of all quotes up to which they are sent to every task; beyond, they meet the documents by a join.
+QUOTE_BYTES = 8 << 20
+
+
 def quote_places(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str) -> DataFrame:
     """Where quotes (quote_key, quote) stand in documents (doc_key, text) exactly once: quote_key, doc_key, char_start.
 
-    Candidates meet by equality on two neighbouring words of the quote that are whole in any text that holds it (its
-    second and third, split at single spaces); every candidate is then located exactly. Quotes of fewer than four
-    such words are too short to be evidence and give nothing.
+    Few quotes, by their bytes, are sent to every task, where one automaton finds them all in one pass over each text,
+    and nothing is shuffled. Of many, those of four or more words meet the texts by equality on their second and third
+    word (whole in any text that holds the quote), and every candidate is located exactly; the others go the first way
+    in parts.
     """
+    kinds = [quotes.schema[quote_key].dataType.simpleString(), docs.schema[doc_key].dataType.simpleString()]
+    schema = f"q {kinds[0]}, d {kinds[1]}, char_start int"
+    usable = quotes.where("length(quote) > 0").select(F.col(quote_key).alias("q"), "quote")
+    n_bytes = usable.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
+    texts = docs.select(F.col(doc_key).alias("d"), "text")
+    names = [F.col("q").alias(quote_key), F.col("d").alias(doc_key), "char_start"]
+
+    def by_automaton(chosen: DataFrame) -> DataFrame:
+        held = chosen.collect()  # bounded by QUOTE_BYTES
+        return texts.mapInPandas(partial(_located, quotes=[(r["q"], r["quote"]) for r in held]), schema)
+
+    if n_bytes <= QUOTE_BYTES:
+        return by_automaton(usable).select(names)
     words = F.split("quote", " ", -1)
-    keyed = quotes.withColumn("_w", words).where("size(_w) >= 4").select(quote_key, "quote", F.concat(F.col("_w")[1], F.lit(" "), F.col("_w")[2]).alias("_key"))
-    parts = docs.select(doc_key, "text", F.split("text", " ", -1).alias("_p"))
-    pairs = F.zip_with(F.slice("_p", F.lit(1), F.greatest(F.size("_p") - 1, F.lit(0))), F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    seen = parts.select(doc_key, F.explode(F.array_distinct(pairs)).alias("_key"))
-    candidates = seen.join(keyed, "_key").drop("_key")
+    keyed = usable.withColumn("w", words).select("q", "quote", F.when(F.size("w") >= 4, F.concat(F.col("w")[1], F.lit(" "), F.col("w")[2])).alias("key"))
+    parts = texts.select("d", "text", F.split("text", " ", -1).alias("p"))
+    pairs = F.zip_with(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    seen = parts.select("d", F.explode(F.array_distinct(pairs)).alias("key"))
     at = X.unique_at(F.col("text"), F.col("quote"))
-    return candidates.join(docs.select(doc_key, "text"), doc_key).withColumn("char_start", at).where("char_start is not null").select(quote_key, doc_key, "char_start")
+    found = seen.join(keyed, "key").select("q", "quote", "d").join(texts, "d").select("q", "d", at.alias("char_start")).where("char_start is not null")
+    short = keyed.where("key is null").select("q", "quote").withColumn("part", F.pmod(F.xxhash64("quote"), F.lit(-(-n_bytes // QUOTE_BYTES))))
+    for r in short.select("part").distinct().collect():  # as many parts as QUOTE_BYTES goes into the quotes
+        found = found.unionByName(by_automaton(short.where(F.col("part") == r["part"])))
+    return found.select(names)
+
+
+def _located(batches: Iterator[pd.DataFrame], quotes: list[tuple]) -> Iterator[pd.DataFrame]:
+    import ahocorasick
+
+    names: dict[str, list] = {}
+    for key, quote in quotes:
+        names.setdefault(quote, []).append(key)
+    automaton = ahocorasick.Automaton()
+    for quote in names:
+        automaton.add_word(quote, quote)
+    automaton.make_automaton()
+    for b in batches:
+        rows = []
+        for doc, text in zip(b["d"], b["text"], strict=True):
+            once: dict[str, int | None] = {}
+            for end, quote in automaton.iter(text or "") if names else ():
+                once[quote] = None if quote in once else end + 1 - len(quote)
+            rows += [(key, doc, at) for quote, at in once.items() if at is not None for key in names[quote]]
+        yield pd.DataFrame(rows, columns=["q", "d", "char_start"])
+
+
+def cover(spoken: Column, length: Column) -> Column:
+    """Spoken spans (char_start, char_end) in order, and the narration between them: segments that tile [0, length)."""
+    piece = lambda a, b, kind: F.struct(a.cast("int").alias("char_start"), b.cast("int").alias("char_end"), F.lit(kind).alias("kind"))
+    before = lambda i: F.when(i > 0, F.element_at(spoken, i)["char_end"]).otherwise(0)
+    pairs = F.transform(spoken, lambda x, i: F.array(piece(before(i), x["char_start"], "narration"), piece(x["char_start"], x["char_end"], "dialogue")))
+    last = F.when(F.size(spoken) > 0, F.element_at(spoken, -1)["char_end"]).otherwise(0)
+    return F.filter(F.concat(F.flatten(pairs), F.array(piece(last, length, "narration"))), lambda x: x["char_start"] < x["char_end"])
 
 
 def fitted(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """Skip-and-continue packing: in order, an item is kept if it still fits the budget; later smaller ones may."""
-    rest = [c for c in items.columns if c not in (*keys, *order, cost)]
-    kind = items.select(F.struct(*order, cost, *rest).alias("x")).schema["x"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
+    """Skip-and-continue packing: in order, an item is kept if it still fits the budget; later smaller ones may.
 
-    def step(a, x):
-        after = a["used"] + x[cost]
-        return F.when(after <= budget, F.struct(after.alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+    Which are kept depends on all before, so a key's items are one ordered stream; a task holds a batch of them at a
+    time, whatever their number.
+    """
+    rest = [c for c in items.columns if c not in (*keys, *order, cost)]
+    kept = items.select(*keys, *order, cost, *rest)
+    place, at = len(keys) + len(order), len(keys)
 
-    ordered = F.array_sort(F.collect_list(F.struct(*order, cost, *rest)))
-    return items.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.inline(F.aggregate("_all", start, step, lambda a: a["kept"])))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used = None, 0
+        for b in batches:
+            take = []
+            for row in b.iloc[:, : place + 1].itertuples(index=False, name=None):
+                if row[:at] != key:
+                    key, used = row[:at], 0
+                fits = used + row[place] <= budget
+                used += row[place] if fits else 0
+                take.append(fits)
+            yield b[take]
+
+    return kept.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, kept.schema)
 
 
 def any_of(*conditions: Column) -> Column:

@@ -100,13 +100,13 @@ def usage_cost(t):
 
 @query("""
 with r as (select user_id, bool_or(event_type = 'purchase') as done, count(*) filter (event_type = 'error') as failed, count(*) as attempts,
-                  arg_max(event_type, (ts, event_id)) as last_type, max(ts) as last_ts from events where event_id % 97 < 3 group by user_id)
+                  arg_max(event_type, (ts, event_id)) as last_type, max(ts) as last_ts from events group by user_id)
 select user_id, attempts, case when last_type = 'click' and last_ts >= timestamp '2024-01-20' then 'skip_running' when last_type = 'click' then 'interrupt_and_run'
        when done then 'skip_done' when failed >= 3 then 'skip_failed' else 'run' end as decision from r
 """)
 def run_history_decision(t):
     """What to do with each chapter, from its run history (A-08, R-01)."""
-    runs = t("events").where("event_id % 97 < 3")
+    runs = t("events")
     last = F.max(F.struct("ts", "event_id", "event_type"))
     per = runs.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count("*").alias("attempts"), last.alias("last"))
     running = F.col("last.event_type") == "click"
@@ -187,13 +187,13 @@ def review_queue(t):
 @query("""
 select event_id, code from (
   select event_id, unnest(list_filter([case when value < 0 or value > 1 then 'FACT-RANGE' end, case when trim(event_type) = '' then 'FACT-EMPTY' end,
-    case when count(*) over (partition by user_id, event_type, date_trunc('hour', ts)) > 1 then 'FACT-DUPLICATE' end], lambda x: x is not null)) as code from events where event_id < 3000)
+    case when count(*) over (partition by user_id, event_type, date_trunc('hour', ts)) > 1 then 'FACT-DUPLICATE' end], lambda x: x is not null)) as code from events)
 """)
 def fact_batch_checks(t):
     """Every rule a batch of facts breaks (V-08, V-09, A-21)."""
     same = F.count("*").over(Window.partitionBy("user_id", "event_type", F.date_trunc("hour", "ts")))
     codes = F.array(F.when((F.col("value") < 0) | (F.col("value") > 1), "FACT-RANGE"), F.when(F.trim("event_type") == "", "FACT-EMPTY"), F.when(F.col("same") > 1, "FACT-DUPLICATE"))
-    return t("events").where("event_id < 3000").withColumn("same", same).select("event_id", F.explode(F.array_compact(codes)).alias("code"))
+    return t("events").withColumn("same", same).select("event_id", F.explode(F.array_compact(codes)).alias("code"))
 
 
 @query("""

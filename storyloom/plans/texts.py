@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
+from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
 from storyloom.operators import spans as S
 from storyloom.plans.registry import query
@@ -46,7 +47,7 @@ def _mentions_sql() -> str:
 
 @query(_mentions_sql())
 def mentions_longest_match(t):
-    """Mentions of a lexicon with longest match on overlap (T-12, X-05), totalled by document."""
+    """Mentions of a lexicon, the longest name first on overlap (T-12, X-05, O-06), totalled by document."""
     found = S.mentions(t("documents").select("doc_id", "text"), [(n, n) for n in NEEDLES], ["doc_id"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("surface")).alias("chars"))
 
@@ -88,22 +89,11 @@ def span_overlap_split(t):
 select doc_id, length(text)::bigint as covered, len(regexp_extract_all(text, '"[^"\\n]*"'))::bigint as dialogues from documents where length(text) > 0
 """)
 def segments_full_cover(t):
-    """Quotes and the narration between them cover every document exactly (T-19, V-02)."""
-    docs = t("documents").select("doc_id", "text").where("length(text) > 0")
-    found = F.regexp_extract_all("text", F.lit('"[^"\\n]*"'), F.lit(0))
-    pieces = F.transform(F.split("text", '"[^"\\n]*"', -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<char_start:int,char_end:int>>").alias("q"))
-
-    def step(a, n):
-        here = F.length(F.element_at(F.col("found"), a["i"] + 1))
-        quote = F.struct((a["at"] + n).alias("char_start"), (a["at"] + n + here).alias("char_end"))
-        return F.struct((a["at"] + n + here).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["q"], F.array(quote)).alias("q"))
-
-    spoken = docs.withColumn("found", found).select("doc_id", F.inline(F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size("found"), F.lit(0))), start, step, lambda a: a["q"])))
-    lengths = docs.select("doc_id", F.length("text").alias("length"))
-    scenes = docs.select("doc_id", F.lit(0).alias("scene"), F.lit(0).alias("s_start"), F.length("text").alias("s_end"))
-    whole = S.segments(spoken, scenes, lengths, ["doc_id"])
-    return whole.groupBy("doc_id").agg(F.sum(F.col("char_end") - F.col("char_start")).cast("long").alias("covered"), F.count_if(F.col("kind") == "dialogue").alias("dialogues"))
+    """Quotes and the narration between them cover every document exactly (T-19, V-02), in the row: no shuffle."""
+    spoken = X.matches(F.col("text"), '"[^"\\n]*"')
+    held = t("documents").where("length(text) > 0").select("doc_id", S.cover(spoken, F.length("text")).alias("cover"))
+    covered = F.aggregate("cover", F.lit(0).cast("long"), lambda a, x: a + x["char_end"] - x["char_start"])
+    return held.select("doc_id", covered.alias("covered"), F.size(F.filter("cover", lambda x: x["kind"] == "dialogue")).cast("long").alias("dialogues"))
 
 
 @query(PARAGRAPHS + """
@@ -119,14 +109,12 @@ def ir_contiguity(t):
 
 
 @query("""
-select b.item_id, d.doc_id, (instr(d.text, substr(b.text, 1, 40)) - 1)::int as char_start
-from benchmark b, documents d where length(b.text) >= 40 and len(string_split(substr(b.text, 1, 40), ' ')) >= 4 and instr(d.text, substr(b.text, 1, 40)) > 0
-  and instr(substr(d.text, instr(d.text, substr(b.text, 1, 40)) + 1), substr(b.text, 1, 40)) = 0
+select b.item_id, d.doc_id, (instr(d.text, b.text) - 1)::int as char_start from benchmark b, documents d
+where instr(d.text, b.text) > 0 and length(b.text) > 0 and instr(substr(d.text, instr(d.text, b.text) + 1), b.text) = 0
 """)
 def evidence_unique_locate(t):
-    """Quotes that stand in a chapter exactly once (T-13, T-14, J-23). Candidates meet on two of the quote's words."""
-    quotes = t("benchmark").where("length(text) >= 40").select("item_id", F.substring("text", 1, 40).alias("quote"))
-    return S.quote_places(quotes, t("documents").select("doc_id", "text"), "item_id", "doc_id")
+    """Quotes, whole, that stand in a chapter exactly once (T-13, T-14, J-23)."""
+    return S.quote_places(t("benchmark").select("item_id", F.col("text").alias("quote")), t("documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query("select doc_id, (2 * length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::int as tokens from documents")
@@ -135,10 +123,10 @@ def token_estimate(t):
     return t("documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("select doc_id, sha256(text) as h, substr(text, greatest(200 - 180, 0) + 1, 20 + 180 + (200 - greatest(200 - 180, 0))) as excerpt from documents where n_chars > 400")
+@query("select doc_id, sha256(text) as h, substr(text, greatest(200 - 180, 0) + 1, 20 + 180 + (200 - greatest(200 - 180, 0))) as excerpt from documents")
 def hash_and_excerpt(t):
     """Content hashes and excerpts around a span (T-21, T-22)."""
-    return t("documents").where("n_chars > 400").select("doc_id", X.content_hash(F.col("text")).alias("h"), X.excerpt(F.col("text"), F.lit(200), F.lit(220), 180).alias("excerpt"))
+    return t("documents").select("doc_id", X.content_hash(F.col("text")).alias("h"), X.excerpt(F.col("text"), F.lit(200), F.lit(220), 180).alias("excerpt"))
 
 
 @query("""
@@ -149,8 +137,8 @@ select vec_id, label, round(similarity, 6) as similarity from (
 def vector_topk(t):
     """The ten scenes closest to a query vector within some books (O-03, C-06, P-19)."""
     scenes = t("embeddings").select("vec_id", "label", "embedding")
-    asked = scenes.where("vec_id = 7").select("embedding").first()[0]
-    found = R.vector_top_k(scenes.where(F.col("label").isin(1, 2, 3)), list(asked), 10, ["vec_id"])
+    asked = scenes.where("vec_id = 7 and embedding is not null").select("embedding").first()
+    found = R.vector_top_k(scenes.where(F.col("label").isin(1, 2, 3)), list(asked[0]) if asked else [], 10, ["vec_id"])
     return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
@@ -177,16 +165,16 @@ def context_budget_pack(t):
 
 
 @query("""
-with c as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as rn, count(*) over (partition by source) as n from documents where n_chars > 100)
+with c as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as rn, count(*) over (partition by source) as n from documents)
 select source, doc_id from c where rn in (select floor((i + 0.5) * c.n / 5) from range(5) r(i))
 """)
 def gold_sample(t):
-    """A fixed number of rows from each stratum, evenly spread (T-26)."""
-    line = Window.partitionBy("source")
-    rows = t("documents").where("n_chars > 100").select("source", "doc_id")
-    placed = rows.withColumns({"rn": F.row_number().over(line.orderBy("doc_id")) - 1, "n": F.count("*").over(line)})
-    picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor((i + 0.5) * F.col("n") / 5).cast("int"))
-    return placed.where(F.array_contains(picks, F.col("rn"))).select("source", "doc_id")
+    """A fixed number of rows from each stratum, evenly spread (T-26): numbered by range, whatever the strata's sizes."""
+    rows = t("documents").select("source", "doc_id", F.struct("source", "doc_id").alias("place"))
+    placed = P.numbered(rows, "place").drop("n")
+    strata = placed.groupBy("source").agg(F.min("rn").alias("first"), F.count("*").alias("n"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor((i + 0.5) * F.col("n") / 5) + F.col("first"))
+    return placed.join(strata, "source").where(F.array_contains(picks, F.col("rn").cast("long"))).select("source", "doc_id")
 
 
 @query("select doc_id, length(text)::int as n_chars, strlen(text) as n_bytes, lower(substr(text, 1, 5)) as head, length(trim(text))::int as trimmed from documents")

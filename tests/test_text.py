@@ -186,3 +186,55 @@ def test_greedy_longest(spark):
 def test_formats(spark):
     r = spark.range(1).select(X.compact(F.lit(1234)), X.compact(F.lit(2_500_000)), X.compact(F.lit(12)), X.percent(F.lit(0.256)), X.escape_html(F.lit("<a & 'b'>")), X.truncated(F.lit("abcdef"), 4), X.display_width(F.lit("a你"))).first()
     assert tuple(r) == ("1.2K", "2.5M", "12", "25.6%", "&lt;a &amp; &#39;b&#39;&gt;", "abc…", 3)
+
+
+def test_quote_places_both_ways(spark, monkeypatch):
+    """Few quotes by an automaton, many by a join: the same places, whole quotes, overlaps counted."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["aa", "b", "aab", "c.", "é😀"])
+    docs = [(d, " ".join(word() for _ in range(rng.randrange(40)))) for d in range(60)] + [(99, None), (98, "aaa aaa")]
+    quotes = [(i, " ".join(word() for _ in range(rng.randrange(1, 7)))) for i in range(80)] + [(900, "aaa"), (901, ""), (902, "aa aa"), (903, "aa aa")]
+    want = sorted((i, d, t.find(q)) for i, q in quotes for d, t in docs if q and t and t.find(q) >= 0 and t.find(q, t.find(q) + 1) < 0)
+    asked, texts = spark.createDataFrame(quotes, "i long, quote string"), spark.createDataFrame(docs, "d long, text string")
+    for most in (S.QUOTE_BYTES, 400):
+        monkeypatch.setattr(S, "QUOTE_BYTES", most)
+        assert sorted(map(tuple, S.quote_places(asked, texts, "i", "d").collect())) == want
+    assert S.quote_places(asked.limit(0), texts, "i", "d").count() == 0
+
+
+def test_matches_cover_and_lines(spark):
+    texts = ['say "a" and "" then "b c"\n"open', "", '""', "plain\n\nlines\n", "é😀\nx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    import re
+
+    for r in df.select("t", X.matches(F.col("t"), '"[^"\\n]*"').alias("m"), S.cover(X.matches(F.col("t"), '"[^"\\n]*"'), F.length("t")).alias("c")).collect():
+        spans = [m.span() for m in re.finditer('"[^"\\n]*"', r["t"])]
+        assert [(x["char_start"], x["char_end"]) for x in r["m"]] == spans
+        at = 0
+        for x in r["c"]:
+            assert x["char_start"] == at < x["char_end"] and (x["kind"] == "dialogue") == ((at, x["char_end"]) in spans)
+            at = x["char_end"]
+        assert at == len(r["t"])
+    for at in range(-1, 9):
+        for r in df.select("t", X.line_at(F.col("t"), F.lit(at)).alias("l")).collect():
+            t = r["t"]
+            want = (t.rfind("\n", 0, at) + 1, min(x for x in (t.find("\n", at), len(t)) if x >= 0)) if 0 <= at < len(t) else None
+            assert (None if r["l"] is None else tuple(r["l"])) == want, (t, at)
+
+
+def test_fitted_streams_a_key(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i, rng.randrange(1, 60), str(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, i int, c int, x string")
+    want = []
+    for key in "ab":
+        used = 0
+        for k, i, c, x in rows:
+            if k == key and used + c <= 500:
+                used += c
+                want.append((k, i, c, x))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert sorted(map(tuple, S.fitted(df, ["k"], ["i"], "c", 500).collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
