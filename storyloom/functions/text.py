@@ -116,3 +116,11 @@ def display_width(text: Column) -> Column:
 
 def truncated(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
+
+
+def nice_step(most: Column, ticks: int) -> Column:
+    """The distance of axis ticks: 1, 2 or 5 times a power of ten, so that at most so many cover 0 to most."""
+    raw = most.cast("double") / ticks
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    share = raw / power
+    return F.when(most > 0, power * F.when(share <= 1, 1).when(share <= 2, 2).when(share <= 5, 5).otherwise(10))

@@ -87,3 +87,25 @@ LOW_CONFIDENCE = 0.6
 def for_review(facts: DataFrame) -> DataFrame:
     """States and relations below the threshold, by the double they came with."""
     return facts.where(F.col("kind").isin("state", "relation") & (F.col("confidence") < LOW_CONFIDENCE))
+
+
+def whole(value: Column, low: int, high: int) -> Column:
+    """A whole number between two bounds; null is none."""
+    number = value.cast("double")
+    return F.coalesce((number == F.floor(number)) & number.between(low, high), F.lit(False))
+
+
+def finite(value: Column) -> Column:
+    number = value.cast("double")
+    return F.coalesce(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), F.lit(False))
+
+
+def finding(error: Column, confidence: Column, verdict: Column) -> Column:
+    """Whether a second judge's answer is worth a look: it failed, was unsure, or does not support the first."""
+    return F.coalesce(error, F.lit(False)) | F.coalesce(confidence < LOW_CONFIDENCE, F.lit(False)) | F.coalesce(verdict.isin("uncertain", "contradicts", "insufficient"), F.lit(False))
+
+
+def interval_errors(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Alias intervals that cannot be: no start, or an end that is not after it."""
+    code = F.when(F.col(start).isNull(), "no start").when(F.col(end) <= F.col(start), "ends before it starts")
+    return rows.withColumn("code", code).where("code is not null")
