@@ -79,3 +79,16 @@ def number_column(text: Column) -> Column:
     by_digit = F.aggregate(chars, zero(), lambda a, c: a * 10 + F.try_element_at(value, c))
     known = "^[" + "".join(VALUE) + "".join(UNITS) + "]+$"
     return F.when(plain.rlike("^[0-9]+$"), plain.cast("long")).when(~plain.rlike(known), None).when(plain.rlike("[" + "".join(UNITS) + "]"), by_unit).otherwise(by_digit)
+
+
+def numeral_column(n: Column) -> Column:
+    """write_number as column expressions: a place each, zeros folded into one and dropped at the ends."""
+    digit = lambda d: F.substring(F.lit(DIGITS), d + 1, F.lit(1))
+
+    def place(unit: int, name: str) -> Column:
+        d = F.floor(n / unit).cast("int") % 10
+        return F.when(d > 0, F.concat(digit(d), F.lit(name))).otherwise(F.lit(DIGITS[0]))
+
+    whole = F.concat(place(1000, "千"), place(100, "百"), place(10, "十"), place(1, ""))
+    folded = F.regexp_replace(F.regexp_replace(whole, f"{DIGITS[0]}+", DIGITS[0]), f"^{DIGITS[0]}|{DIGITS[0]}$", "")
+    return F.when((n < 0) | (n >= 10_000), n.cast("string")).when(n == 0, F.lit(DIGITS[0])).otherwise(F.regexp_replace(folded, "^一十", "十"))

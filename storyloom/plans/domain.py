@@ -8,40 +8,148 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.headings import parse_heading
-from storyloom.functions.numerals import number_column
+from storyloom.functions.headings import heading_of_label, parse_heading, same_heading
+from storyloom.functions.numerals import number_column, numeral_column
 from storyloom.operators import attribution as A
 from storyloom.operators import quotes as Q
 from storyloom.plans.registry import QUERIES, SQL, query
-from storyloom.sources import html, synthetic
+from storyloom.sources import html, lines
 from storyloom.streaming import runs as R
 
-NUMERALS = [("十二", 12), ("三百二十五", 325), ("一〇八", 108), ("两千零一", 2001), ("一万二千", 12000), ("０７", 7), ("42", 42), ("十", 10), ("甲", None)]
-LINES = [("第十二章 夜渡", "chapter", 12, "夜渡"), ("第一章断剑", "chapter", 1, "断剑"), ("第二卷 北境", "volume", 2, "北境"), ("楔子", "prologue", None, None), ("番外一：旧事", "extra", None, "旧事"), ("第三章的内容真精彩", None, None, None), ("他走了。", None, None, None)]
 
 
-def _literal(rows) -> str:
-    return ", ".join("(" + ", ".join("null" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+def _numeral(n: str) -> str:
+    """numerals.numeral_column in SQL, for 1 to 9999."""
+    place = lambda unit, name: f"case when {n} // {unit} % 10 > 0 then substr('零一二三四五六七八九', ({n} // {unit} % 10 + 1)::int, 1) || '{name}' else '零' end"
+    whole = " || ".join([place(1000, "千"), place(100, "百"), place(10, "十"), place(1, "")])
+    return f"regexp_replace(regexp_replace(regexp_replace({whole}, '零+', '零', 'g'), '^零|零$', '', 'g'), '^一十', '十')"
 
 
-@query(f"select numeral, value::bigint as value from (values {_literal(NUMERALS)}) t(numeral, value)")
+@query(f"select c_custkey, {_numeral('n')} as numeral, n as value from (select c_custkey, c_custkey % 9999 + 1 as n from customer)")
 def chinese_number(t):
-    """Numerals to numbers by a fold over their characters (T-02)."""
-    spark = t("region").sparkSession
-    return spark.createDataFrame([(n,) for n, _ in NUMERALS], "numeral string").select("numeral", number_column(F.col("numeral")).alias("value"))
-
-
-@query(f"select line, kind, number::int as number, title from (values {_literal(LINES)}) t(line, kind, number, title)")
+    """Numbers written as headings write them (T-03), and those numerals read again by a fold over their characters (T-02)."""
+    written = t("customer").select("c_custkey", numeral_column(F.col("c_custkey") % 9999 + 1).alias("numeral"))
+    return written.withColumn("value", number_column(F.col("numeral")))
+
+
+#: How lines are made from a row of part, and what they are as headings: kind, number, title.
+LINES = [
+    ("'第' || num || '章 ' || name", "chapter", "n", "name"),
+    ("'第' || num || '卷：' || name", "volume", "n", "name"),
+    ("'楔子 ' || name", "prologue", None, "name"),
+    ("'番外：' || name", "extra", None, "name"),
+    ("'第' || num || '章的' || name", None, None, None),
+    ("'第' || num || '回 ' || name || '。'", None, None, None),
+    ("'作者：' || name", None, None, None),
+    ("'第' || n || '节' || name", "chapter", "n", "name"),
+]
+#: The same for entries of a table of contents, every third of which has entries below.
+LABELS = [
+    ("'目录'", "'front_matter'", None, "'目录'"),
+    ("'第' || num || '章 ' || name", "'chapter'", "n", "name"),
+    ("name", "case when p_partkey % 3 = 0 then 'volume' else 'chapter' end", None, "name"),
+    ("lpad((n % 1000)::varchar, 3, '0') || ' ' || name", "case when p_partkey % 3 = 0 then 'volume' else 'chapter' end", "case when p_partkey % 3 = 0 then null else n % 1000 end", "case when p_partkey % 3 = 0 then lpad((n % 1000)::varchar, 3, '0') || ' ' || name else name end"),
+    ("'楔子'", "'prologue'", None, None),
+]
+MADE = f"m as (select p_partkey, n, {_numeral('n')} as num, replace(p_name, ' ', '') as name from (select p_partkey, p_partkey % 3000 + 1 as n, p_name from part))"
+
+
+def _case(parts: list[str | None], by: str) -> str:
+    return f"case {by} % {len(parts)} " + " ".join(f"when {i} then {'null' if x is None else x}" for i, x in enumerate(parts)) + " end"
+
+
+def _made(t, parts: list[str]):
+    """The lines that the SQL makes of part, made by Spark."""
+    rows = t("part").select("p_partkey", (F.col("p_partkey") % 3000 + 1).alias("n"), F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
+    spark_sql = [x.replace("::varchar", "") for x in parts]
+    return rows.withColumn("num", numeral_column(F.col("n"))).select("p_partkey", F.expr(_case(spark_sql, "p_partkey")).alias("line"))
+
+
+@query(f"with {MADE} select p_partkey, {_case([x for x, *_ in LINES], 'p_partkey')} as line, {_case([k and repr(k) for _, k, *_ in LINES], 'p_partkey')} as kind, ({_case([n for *_, n, _ in LINES], 'p_partkey')})::int as number, {_case([x for *_, x in LINES], 'p_partkey')} as title from m")
 def headings(t):
-    """Headings among lines (T-04)."""
-    spark = t("region").sparkSession
+    """Headings among lines (T-04): volumes, chapters, prologues, extras, and prose that only looks like one."""
 
     def read(batches):
         for b in batches:
             found = [parse_heading(x) for x in b["line"]]
             yield b.assign(kind=[h.kind if h else None for h in found], number=[h.number if h else None for h in found], title=[h.title if h else None for h in found]).astype({"number": "Int32"})
 
-    return spark.createDataFrame([(x[0],) for x in LINES], "line string").mapInPandas(read, "line string, kind string, number int, title string")
+    return _made(t, [x for x, *_ in LINES]).mapInPandas(read, "p_partkey long, line string, kind string, number int, title string")
+
+
+@query(f"""
+with {MADE} select p_partkey, {_case([x for x, *_ in LABELS], 'p_partkey')} as label, {_case([k for _, k, *_ in LABELS], 'p_partkey')} as kind, ({_case([n for *_, n, _ in LABELS], 'p_partkey')})::int as number,
+  {_case([x for *_, x in LABELS], 'p_partkey')} as title, p_partkey % 7 <> 3 as same from m
+""")
+def toc_labels(t):
+    """Entries of a table of contents as headings (T-05), and whether a line, with other marks, is the one announced (T-06)."""
+
+    def read(batches):
+        for b in batches:
+            found = [heading_of_label(x, int(k) % 3 == 0) for x, k in zip(b["line"], b["p_partkey"], strict=True)]
+            lines = ["别的一句话" if k % 7 == 3 else f"《{x}》——".replace(" ", "：") for x, k in zip(b["line"], b["p_partkey"], strict=True)]
+            out = b.rename(columns={"line": "label"})
+            yield out.assign(kind=[h.kind for h in found], number=[h.number for h in found], title=[h.title for h in found], same=[same_heading(x, h) for x, h in zip(lines, found, strict=True)]).astype({"number": "Int32"})
+
+    return _made(t, [x for x, *_ in LABELS]).mapInPandas(read, "p_partkey long, label string, kind string, number int, title string, same boolean")
+
+
+FILES = ["name || '(' || brand || ').txt'", "name || '【完结】.epub'", "'books/' || name || ' 作者：' || brand || '.txt'", "name || '.txt'", "name || '（' || brand || '）[精校].txt'"]
+
+
+@query(f"""
+with m as (select p_partkey, replace(p_name, ' ', '') as name, replace(p_brand, '#', '') as brand from part)
+select p_partkey, {_case(FILES, 'p_partkey')} as file, name as title, case when p_partkey % 5 in (1, 3) then null else brand end as author from m
+""")
+def file_names(t):
+    """Title and author from the names of files (T-23)."""
+    rows = t("part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("name"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"))
+
+    def read(batches):
+        for b in batches:
+            found = [lines.title_and_author(x) for x in b["file"]]
+            yield b.assign(title=[x for x, _ in found], author=[x for _, x in found])
+
+    return rows.select("p_partkey", F.expr(_case(FILES, "p_partkey")).alias("file")).mapInPandas(read, "p_partkey long, file string, title string, author string")
+
+
+EDGE = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+
+
+@query(f"""
+with d as (select doc_id, case when doc_id % 3 = 0 then '　　' || replace(text, chr(10), chr(13) || chr(10) || '　　') else text end as text from documents where text is not null),
+     l as (select doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as raw from d),
+     k as (select doc_id, regexp_matches(raw, '^([　\t]|{EDGE}{{2,}})') as indented from l where regexp_replace(raw, '^{EDGE}+|{EDGE}+$', '', 'g') <> '')
+select doc_id::varchar as path, count(*) as lines, count(*) >= 50 and avg(indented::int) >= 0.8 as indented_body from k group by doc_id
+""")
+def layout_detection(t):
+    """Texts to trimmed lines that are not blank (S-04), and whether a text's body is indented (T-01)."""
+    indented = F.concat(F.lit("　　"), F.replace("text", F.lit("\n"), F.lit("\r\n　　")))
+    texts = t("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, indented).otherwise(F.col("text")).alias("text"))
+    numbered = lines.lines(texts)
+    return numbered.groupBy("path").agg(F.count("*").alias("lines")).join(lines.layouts(numbered), "path")
+
+
+NAMES = "case c_nationkey % 3 when 0 then '白术' when 1 then '陆离' else '沈舟' end"
+#: Chapters of one quote, and who says it by which rule, with which confidence; the last two are told by nobody.
+SAID = [
+    ("who || '说道：“天黑了。”' || who || '走了。'", "who", 0.6),
+    ("who || '：“天黑了。”'", "who", 0.6),
+    ("'“天黑了。”他说。'", "'他'", 0.3),
+    ("'“天黑了。”' || who || '问。' || who || '走了。'", "who", 0.6),
+    ("who || '回答道。' || chr(10) || '“天黑了。”' || chr(10) || who || '走了。'", "who", 0.6),
+    ("'看着转身的' || who || '继续说道：“走。”'", "'[unknown]'", 0.0),
+    ("who || '也知道。' || chr(10) || '“天黑了。”' || chr(10) || who || '走了。'", "'[unknown]'", 0.0),
+]
+
+
+@query(f"select c_custkey, {_case([x for _, x, _ in SAID], 'c_custkey')} as surface, ({_case([str(x) for *_, x in SAID], 'c_custkey')})::double as confidence from (select c_custkey, {NAMES} as who from customer)")
+def speaker_rules(t):
+    """Speakers by label, tag, pronoun and a paragraph before that ends in speech; names found in the chapter itself;
+    guards against gazes and knowing (X-02, X-03, X-04, X-06)."""
+    rows = t("customer").select("c_custkey", F.expr(NAMES).alias("who")).select(F.col("c_custkey").cast("string").alias("book"), F.lit(1).alias("chapter"), F.expr(_case([x.replace("chr(10)", "'\\n'") for x, *_ in SAID], "c_custkey")).alias("text"))
+    told = A.parse_books(rows).select("book", F.explode(F.from_json("segments", "array<struct<kind:string,surface:string,confidence:double>>")).alias("s"))
+    return told.where("s.kind = 'dialogue'").select(F.col("book").cast("long").alias("c_custkey"), "s.surface", "s.confidence")
 
 
 @query()
@@ -50,24 +158,61 @@ def html_blocks(t):
     return html.blocks(t("pages"), "page_id", "html").select("page_id", "index", "text", "heading_level")
 
 
-@query()
+@query("""
+with h as (select page_id, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>([^<]*)</h[1-6]>', 1)) as level, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>([^<]*)</h[1-6]>', 2)) as text from pages)
+select page_id, level::int as heading_level, replace(replace(replace(replace(replace(trim(regexp_replace(text, '[ \\t]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as text from h where trim(text) <> ''
+""")
+def html_headings(t):
+    """The blocks of every page that are headings, with their levels (S-08, S-09)."""
+    return html.blocks(t("pages"), "page_id", "html").where("heading_level is not null").select("page_id", "heading_level", "text")
+
+
+@query("""
+with p as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as paragraph from documents where text <> ''),
+     o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by paragraph rows between unbounded preceding and 1 preceding), 0) as line_start from p),
+     q as (select doc_id, paragraph, line_start, unnest(string_split(line, '"')) as piece, generate_subscripts(string_split(line, '"'), 1) - 1 as k, len(string_split(line, '"')) as pieces, length(line) as width from o where contains(line, '"')),
+     s as (select *, coalesce(sum(length(piece) + 1) over (partition by doc_id, paragraph order by k rows between unbounded preceding and 1 preceding), 0) as piece_start from q),
+     f as (select doc_id, paragraph, line_start + piece_start - 1 as a, line_start + piece_start + length(piece) + case when k < pieces - 1 then 1 else 0 end as b, piece from s where k % 2 = 1 and regexp_matches(piece, '\S'))
+select doc_id, (row_number() over (partition by doc_id order by a) - 1)::int as index, paragraph::int as paragraph, a::int as char_start, b::int as char_end, piece as inner from f
+""")
 def quotes_full(t):
-    """All quotations, unclosed ones and terms included in the rules (T-09, T-10)."""
+    """All quotations, with those that are not closed in their paragraph (T-09)."""
     return Q.quotes(t("documents"), "doc_id").select("doc_id", "index", "paragraph", "char_start", "char_end", "inner")
 
 
-@query("""
-with b as (select unnest(range(20)) as b), c as (select unnest(range(1, 11)) as chapter)
-select printf('novel%05d', b.b) as book, chapter::int as chapter, 7::bigint as segments, 3::bigint as spoken, 3::bigint as attributed from b, c
+#: Narration with a quoted word, and how many quotations it has: short terms that grammar marks are none.
+TERMS = [("'他是所谓“' || p_name || '”的身份。'", 0), ("'他说：“' || p_name || '”的身份。'", 1), ("'他叫“' || p_name || '”道别。'", 1), ("'所谓“' || p_name || '，”的意思'", 1), ("'所谓“' || p_name || '”'", 1), ("'那是“' || p_name || '”的地方。“走。”'", 1)]
+
+
+@query(f"select p_partkey, {_case([str(n) for _, n in TERMS], 'p_partkey')}::bigint as quotes from part")
+def quoted_terms(t):
+    """Quoted words that stay narration (T-10)."""
+    texts = t("part").select("p_partkey", F.expr(_case([x for x, _ in TERMS], "p_partkey")).alias("text"))
+    found = Q.quotes(texts, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("quotes"))
+    return texts.select("p_partkey").join(found, "p_partkey", "left").fillna(0, ["quotes"])
+
+
+MARKS = '["“”「」『』\\r\\n]'
+
+
+@query(f"""
+with c as (select conv_id, role, regexp_matches(regexp_replace(coalesce(text, ''), '{MARKS}', '', 'g'), '\S') as speaks from conversations),
+     n as (select conv_id, count(*) filter (role = 'user') as users, count(*) filter (role = 'assistant') as assistants, count(*) filter (role = 'user' and speaks) as u, count(*) filter (role = 'assistant' and speaks) as a from c group by conv_id)
+select conv_id, case when u + a = 0 then 1 else 2 * (u + a) + 1 end as segments, u + a as spoken, case when users >= 2 then u else 0 end + case when assistants >= 2 then a else 0 end as attributed from n
 """)
 def structure_parse(t):
-    """Generated novels parsed chapter by chapter: segments, speech and how much of it has a speaker (T-18, T-19, X-01, X-08)."""
-    parsed = A.parse_books(synthetic.novels(t("region").sparkSession, 20, 10))
-    segment = "array<struct<kind:string,entity_id:string,surface:string>>"
-    read = parsed.select("book", "chapter", F.from_json("segments", segment).alias("s"))
+    """Every conversation told as a chapter and parsed: segments that cover it, speech, and how much of it has a speaker,
+    whose name the chapter must show twice (T-18, T-19, X-01, X-08)."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), MARKS, "")
+    said = lambda who: F.concat(F.lit(f"{who}：“"), bare, F.lit("”。"))
+    line = F.when(F.col("role") == "user", said("白术说")).when(F.col("role") == "assistant", said("陆离答")).otherwise(F.concat(bare, F.lit("。")))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    told = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    parsed = A.parse_books(told.select(F.col("conv_id").cast("string").alias("book"), F.lit(1).alias("chapter"), "text"))
+    read = parsed.select("book", F.from_json("segments", "array<struct<kind:string,surface:string>>").alias("s"))
     spoken = F.filter("s", lambda x: x["kind"] == "dialogue")
     known = F.filter(spoken, lambda x: x["surface"] != A.UNKNOWN)
-    return read.select("book", "chapter", F.size("s").cast("long").alias("segments"), F.size(spoken).cast("long").alias("spoken"), F.size(known).cast("long").alias("attributed"))
+    return read.select(F.col("book").cast("long").alias("conv_id"), F.size("s").cast("long").alias("segments"), F.size(spoken).cast("long").alias("spoken"), F.size(known).cast("long").alias("attributed"))
 
 
 def stream_run_status(spark, folder: str) -> DataFrame:
@@ -76,7 +221,7 @@ def stream_run_status(spark, folder: str) -> DataFrame:
     log = spark.readStream.schema(from_files.schema).option("pathGlobFilter", "*.parquet").load(f"{folder}/events*.parquet", format="parquet")
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="storyloom-stream-")
     return R.drained(R.totals(log), f"run_status_{uuid.uuid4().hex}", "complete", f"{shared}/stream-{uuid.uuid4().hex}")

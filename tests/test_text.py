@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
 from storyloom.functions.headings import heading_of_label, parse_heading, same_heading
-from storyloom.functions.numerals import number_column, parse_number, write_number
+from storyloom.functions.numerals import number_column, numeral_column, parse_number, write_number
 from storyloom.operators import spans as S
 from storyloom.operators.attribution import Entity, find_mentions, resolve, scenes_of, speech_clauses, structure
 from storyloom.operators.quotes import paragraph_spans, quotes, quotes_of
@@ -26,6 +26,11 @@ def test_number_column(spark):
     assert [(r["t"], r["v"], r["got"]) for r in df.where("not got <=> v").collect()] == []
 
 
+def test_written_columns(spark):
+    got = spark.range(-3, 10_050).select("id", numeral_column(F.col("id")).alias("t")).collect()
+    assert [(r["id"], r["t"]) for r in got if r["t"] != write_number(r["id"])] == []
+
+
 @given(st.integers(1, 9999))
 def test_written_numbers_read_back(n):
     assert parse_number(write_number(n)) == n
