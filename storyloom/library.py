@@ -6,73 +6,98 @@ Everything returns DataFrames or plain values; there is no server.
 from __future__ import annotations
 
 import html
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.operators import attribution as A
 from storyloom.operators import history as H
 from storyloom.operators import maintenance as M
 from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
+from storyloom.operators import spans as S
 from storyloom.operators.passes import attributed
 from storyloom.sources import adapters, chapters, epub, lines
-from storyloom.sources.store import Conflict, Lease, TableStore
+from storyloom.sources.gold import located
+from storyloom.sources.store import Held, Lease, TableStore, delete_book
 
 STORY_KINDS = ("chapter", "prologue", "extra")
-BOOKS = "book_id string, title string, author string, path string"
-CHAPTERS = "book_id string, chapter_id string, index int, kind string, number int, title string, volume_title string, text string, content_hash string"
+BOOKS = "book_id string, title string, author string"
+EDITIONS = "edition_id string, book_id string, label string, path string"
+CHAPTERS = "book_id string, edition_id string, chapter_id string, index int, kind string, number int, title string, volume_title string, text string, content_hash string"
 RUNS = "chapter_id string, book_id string, pass string, attributor string, attempt int, status string, error string, at timestamp"
 SEGMENTS = "book_id string, chapter_id string, index int, kind string, char_start int, char_end int, speaker string, confidence double"
 RUN_KEY = ("chapter_id", "pass", "attributor")
+#: Chapters that are parsed and written at once, under a lease that is looked at before each such wave.
+AT_ONCE = 1000
 
 
-def import_books(store: TableStore, folder: str) -> DataFrame:
-    """Novel files of a folder into books and chapters; a book that is there already is reconciled by content.
+def _ident(prefix: str, *parts: Column | str) -> Column:
+    """An id that is a hash of what identifies a thing, so a second import gives the same one."""
+    told = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *told), 256), 1, 24))
 
-    Returns one row per chapter: book_id, chapter_id and how (kept, edited, added, removed).
+
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("author", T.StringType())]))
+def _named(paths: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lines.title_and_author(p) for p in paths], columns=["title", "author"])
+
+
+def import_books(store: TableStore, folder: str, label: str | None = None) -> DataFrame:
+    """Novel files of a folder into books, editions and chapters.
+
+    A book is a title with an author, told by the e-book itself or by the file's name. An edition of it is a label, the
+    file's name if none is given; two files of one book are two editions, and their chapters do not mix. An edition that
+    is there already is reconciled by content: its chapters keep their ids. Returns one row per chapter: edition_id,
+    chapter_id and how (kept, edited, added, removed).
     """
     files = lines.read_files(store.spark, folder)
-    plain = chapters.of_texts(lines.decoded(files))
+    none = F.lit(None).cast("string")
+    plain = chapters.of_texts(lines.decoded(files)).withColumns({"book_title": none, "author": none})
     told = epub.lines(files)
-    split = plain.unionByName(chapters.chapters(told.drop("book_title", "author"), lines.layouts(told)))
-    named = F.udf(lambda p: lines.title_and_author(p), "struct<title:string,author:string>")
-    book = F.concat(F.lit("book_"), F.substring(F.sha2(F.concat_ws("|", "name.title", "name.author"), 256), 1, 24))
-    new = split.withColumn("name", named("path")).withColumn("book_id", book)
-    # A new chapter's id is a hash of where it stands and what it says, so importing again gives the same ids.
-    ident = F.concat(F.lit("ch_"), F.substring(F.sha2(F.concat_ws("|", "book_id", F.col("index").cast("string"), "content_hash"), 256), 1, 24))
-    new = new.withColumn("chapter_id", ident)
+    own = told.groupBy("path").agg(F.max("book_title").alias("book_title"), F.max("author").alias("author"))
+    split = plain.unionByName(chapters.chapters(told.drop("book_title", "author"), lines.layouts(told)).join(own, "path"))
+    named = split.withColumn("name", _named("path")).withColumns({"own_title": F.coalesce("book_title", "name.title"), "own_author": F.coalesce("author", "name.author")})
+    new = named.withColumn("book_id", _ident("book_", "own_title", "own_author")).withColumn("label", F.lit(label) if label else F.element_at(F.split("path", "/"), -1))
+    new = new.withColumn("edition_id", _ident("ed_", "book_id", "label")).withColumn("chapter_id", _ident("ch_", "edition_id", "index", "content_hash"))
     old = store.read("chapters", CHAPTERS)
-    key = F.concat_ws("#", "book_id", "kind", F.coalesce(F.col("number").cast("string"), F.concat(F.lit("@"), F.coalesce("title", F.lit("")))))
-    same = F.concat_ws("#", "book_id", "content_hash")
-    touched = new.select("book_id").distinct()
-    mine = old.join(touched, "book_id", "left_semi").select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h"))
-    match = _matched_text(mine, new.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h")))
+    key = F.concat_ws("#", "edition_id", "kind", F.coalesce(F.col("number").cast("string"), F.concat(F.lit("@"), F.coalesce("title", F.lit("")))))
+    same = F.concat_ws("#", "edition_id", "content_hash")
+    mine = old.join(new.select("edition_id").distinct(), "edition_id", "left_semi").select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h"))
+    match = M.matched(mine, new.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h")), "id", "k", "h")
     kept = match.where("new_id is not null and old_id is not null").select(F.col("new_id").alias("chapter_id"), "old_id")
     rows = new.join(kept, "chapter_id", "left").withColumn("chapter_id", F.coalesce("old_id", "chapter_id")).select([c.split()[0] for c in CHAPTERS.split(", ")])
-    store.upsert("books", new.select("book_id", F.col("name.title").alias("title"), F.col("name.author").alias("author"), "path").dropDuplicates(["book_id"]), ["book_id"])
-    store.replace_scope("chapters", rows, ["book_id"])
+    store.upsert("books", new.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"]), ["book_id"])
+    store.upsert("editions", new.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"]), ["edition_id"])
+    store.replace_scope("chapters", rows, ["edition_id"])
     return match.select(F.coalesce("old_id", "new_id").alias("chapter_id"), "how")
 
 
-def _matched_text(old: DataFrame, new: DataFrame) -> DataFrame:
-    return M.matched(old, new, "id", "k", "h")
-
-
 def list_books(store: TableStore) -> DataFrame:
-    """Books with their number of chapters; books without any have 0."""
+    """Books with the number of their editions and chapters; books without any have 0."""
+    editions = store.read("editions", EDITIONS).groupBy("book_id").agg(F.count("*").alias("editions"))
     counts = store.read("chapters", CHAPTERS).groupBy("book_id").agg(F.count("*").alias("chapters"))
-    return store.read("books", BOOKS).join(counts, "book_id", "left").fillna(0, ["chapters"])
+    return store.read("books", BOOKS).join(editions, "book_id", "left").join(counts, "book_id", "left").fillna(0, ["editions", "chapters"])
+
+
+def list_editions(store: TableStore, book_id: str) -> DataFrame:
+    """A book's editions with the number of their chapters."""
+    counts = store.read("chapters", CHAPTERS).groupBy("edition_id").agg(F.count("*").alias("chapters"))
+    return store.read("editions", EDITIONS).where(F.col("book_id") == book_id).join(counts, "edition_id", "left").fillna(0, ["chapters"])
 
 
-def chapter_list(store: TableStore, book_id: str) -> DataFrame:
-    """A book's chapters without their texts, with segments and the newest run."""
-    own = store.read("chapters", CHAPTERS).where(F.col("book_id") == book_id).select("chapter_id", "index", "kind", "number", "title", "volume_title")
+def chapter_list(store: TableStore, book_id: str, edition_id: str | None = None) -> DataFrame:
+    """Chapters of a book, or of one edition, without their texts, with segments and the newest run."""
+    own = store.read("chapters", CHAPTERS).where(F.col("book_id") == book_id).where(F.col("edition_id") == edition_id if edition_id else F.lit(True))
+    own = own.select("edition_id", "chapter_id", "index", "kind", "number", "title", "volume_title")
     counts = store.read("segments", SEGMENTS).where(F.col("book_id") == book_id).groupBy("chapter_id").agg(F.count("*").alias("segments"))
     runs = H.latest(store.read("runs", RUNS).where(F.col("book_id") == book_id), ["chapter_id"], "at", "attempt").select("chapter_id", "status")
     named = F.coalesce("title", F.when(F.col("number").isNotNull(), F.format_string("第%d章", "number")).otherwise(F.col("kind")))
-    return own.join(counts, "chapter_id", "left").join(runs, "chapter_id", "left").fillna(0, ["segments"]).withColumn("title", named).orderBy("index")
+    return own.join(counts, "chapter_id", "left").join(runs, "chapter_id", "left").fillna(0, ["segments"]).withColumn("title", named).orderBy("edition_id", "index")
 
 
 def _plan(store: TableStore, book_id: str, attributor: str, force: bool, most_failed: int) -> DataFrame:
@@ -85,43 +110,109 @@ def _plan(store: TableStore, book_id: str, attributor: str, force: bool, most_fa
     return wanted.withColumn("attempt", (F.col("runs") + 1).cast("int"))
 
 
-def parse_book(store: TableStore, book_id: str, by, known: list[str] | None = None, owner: str = "parser", force: bool = False, stop_at_failure: bool = False, most_failed: int = 3) -> dict[str, int]:
+def parse_book(store: TableStore, book_id: str, by, known: list[str] | None = None, owner: str | None = None, force: bool = False, stop_at_failure: bool = False, most_failed: int = 3, at_once: int = AT_ONCE, told: Callable[[int], None] | None = None, start: int = 0) -> dict[str, int]:
     """Structure of the chapters that still need it, under the book's lease; a failed chapter is recorded.
 
-    With stop_at_failure the chapters after the first failed one are left for the next time. Returns counts by status.
+    Chapters are parsed in waves of at_once, in order; each wave is written before the next begins, and before each the
+    lease, which is renewed all the time, is looked at: if it is lost, nothing more is written. With stop_at_failure the
+    chapters after the first failed one are left for the next time. told gets the last index of each wave, start is the
+    index to go on from. Returns counts by status.
     """
-    lease = Lease(store, book_id, owner)
-    if not lease.acquire():
-        raise Conflict(book_id)
-    try:
-        plan = _plan(store, book_id, by.name, force, most_failed).select("chapter_id", "index", "text", "attempt")
-        told = attributed(plan, by, known or []).cache()
-        failed = told.where("error is not null").select("chapter_id", "error")
-        state = plan.join(failed, "chapter_id", "left")
-        if stop_at_failure:
-            first = F.min(F.when(F.col("error").isNotNull(), F.col("index"))).over(Window.partitionBy())
-            state = state.withColumn("first", first).where("first is null or index <= first")
-        done = state.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("structure").alias("pass"), F.lit(by.name).alias("attributor"), "attempt", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "error", F.current_timestamp().alias("at")).cache()
-        counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
-        fine = done.where("status = 'succeeded'").select("chapter_id")
-        spoken = told.where("error is null").join(fine, "chapter_id", "left_semi")
-        texts = plan.join(fine, "chapter_id", "left_semi")
-        from storyloom.operators import spans as S
-
-        lengths = texts.select("chapter_id", F.length("text").alias("length"))
-        scenes = lengths.select("chapter_id", F.lit(0).alias("scene"), F.lit(0).alias("s_start"), F.col("length").alias("s_end"))
-        cover = S.segments(spoken.select("chapter_id", "char_start", "char_end"), scenes, lengths, ["chapter_id"])
-        named = cover.join(spoken.select("chapter_id", "char_start", F.col("kind").alias("told"), "speaker", "confidence"), ["chapter_id", "char_start"], "left")
-        rows = named.select(F.lit(book_id).alias("book_id"), "chapter_id", "index", F.coalesce("told", "kind").alias("kind"), "char_start", "char_end", "speaker", "confidence")
-        if counts.get("succeeded"):
-            store.replace_scope("segments", rows, ["chapter_id"])
-        if counts:
-            store.append("runs", done)
-        told.unpersist()
-        done.unpersist()
-        return counts
-    finally:
-        lease.release()
+    counts: dict[str, int] = {}
+    with Held(Lease(store, book_id, owner or f"parser-{uuid.uuid4().hex}"), book_id) as held:
+        plan = _plan(store, book_id, by.name, force, most_failed).where(F.col("index") >= start).select("chapter_id", "edition_id", "index", "text", "attempt")
+        place = F.row_number().over(Window.partitionBy(F.lit(book_id)).orderBy("edition_id", "index"))  # the chapters of one book
+        waves = plan.select("chapter_id", "index", F.floor((place - 1) / at_once).cast("int").alias("wave")).cache()
+        for r in waves.groupBy("wave").agg(F.max("index").alias("last")).orderBy("wave").collect():
+            held.check()
+            mine = plan.join(waves.where(F.col("wave") == r["wave"]).select("chapter_id"), "chapter_id", "left_semi")
+            done = _parse_wave(store, book_id, mine, by, known or [], stop_at_failure, held)
+            counts = {k: counts.get(k, 0) + done.get(k, 0) for k in counts | done}
+            if told:
+                told(r["last"])
+            if stop_at_failure and done.get("failed"):
+                break
+        waves.unpersist()
+    return counts
+
+
+def _parse_wave(store: TableStore, book_id: str, plan: DataFrame, by, known: list[str], stop_at_failure: bool, held: Held) -> dict[str, int]:
+    told = attributed(plan, by, known).cache()
+    failed = told.where("error is not null").select("chapter_id", "error")
+    state = plan.join(failed, "chapter_id", "left")
+    if stop_at_failure:
+        first = F.min(F.when(F.col("error").isNotNull(), F.struct("edition_id", "index"))).over(Window.partitionBy())
+        state = state.withColumn("first", first).where(F.col("first").isNull() | (F.struct("edition_id", "index") <= F.col("first")))
+    done = state.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("structure").alias("pass"), F.lit(by.name).alias("attributor"), "attempt", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "error", F.current_timestamp().alias("at")).cache()
+    counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
+    fine = done.where("status = 'succeeded'").select("chapter_id")
+    spoken = told.where("error is null").join(fine, "chapter_id", "left_semi")
+    lengths = plan.join(fine, "chapter_id", "left_semi").select("chapter_id", F.length("text").alias("length"))
+    scenes = lengths.select("chapter_id", F.lit(0).alias("scene"), F.lit(0).alias("s_start"), F.col("length").alias("s_end"))
+    cover = S.segments(spoken.select("chapter_id", "char_start", "char_end"), scenes, lengths, ["chapter_id"])
+    named = cover.join(spoken.select("chapter_id", "char_start", F.col("kind").alias("told"), "speaker", "confidence"), ["chapter_id", "char_start"], "left")
+    rows = named.select(F.lit(book_id).alias("book_id"), "chapter_id", "index", F.coalesce("told", "kind").alias("kind"), "char_start", "char_end", "speaker", "confidence")
+    held.check()
+    if counts.get("succeeded"):
+        store.replace_scope("segments", rows, ["chapter_id"])
+    if counts:
+        store.append("runs", done)
+    told.unpersist()
+    done.unpersist()
+    return counts
+
+
+#: Tables that hang on a book: name, its key to the level above, the table above, that table's key.
+CHAIN = [("editions", "book_id", "books", "book_id"), ("chapters", "edition_id", "editions", "edition_id"), ("segments", "chapter_id", "chapters", "chapter_id"), ("runs", "chapter_id", "chapters", "chapter_id")]
+
+
+def delete(store: TableStore, book_id: str) -> dict[str, int]:
+    """A book with all that hangs on it, unless somebody is working on it; how many rows of each table went."""
+    return delete_book(store, book_id, [c for c in CHAIN if store.exists(c[0])])
+
+
+def chapters_by_state(store: TableStore, book_id: str, state: str) -> DataFrame:
+    """Chapters that are parsed, unparsed or unfinished (failed or interrupted)."""
+    listed = chapter_list(store, book_id)
+    status = F.coalesce("status", F.lit("unparsed"))
+    wanted = {"parsed": status == "succeeded", "unparsed": status == "unparsed", "unfinished": status.isin("failed", "interrupted")}
+    return listed.where(wanted[state])
+
+
+def evaluate(store: TableStore, book_id: str, gold: DataFrame) -> DataFrame:
+    """Gold labels (chapter, quote, speaker, aliases, occurrence) against the stored speakers, chapter by chapter.
+
+    chapter is the chapter's number; labels that cannot be placed, and chapters without a parse, are told apart from wrong ones.
+    """
+    own = chapter_list(store, book_id).where("kind = 'chapter'").select("chapter_id", F.col("number").alias("chapter"), "status")
+    texts = store.read("chapters", CHAPTERS).select("chapter_id", "text")
+    spoken = store.read("segments", SEGMENTS).where((F.col("book_id") == book_id) & (F.col("kind") != "narration")).join(texts, "chapter_id").join(own.select("chapter_id", "chapter"), "chapter_id")
+    said = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    candidates = spoken.select("chapter", "index", said.alias("inner"), "char_start", "char_end")
+    placed = located(gold, candidates).withColumnRenamed("index", "segment")
+    guess = spoken.select("chapter", "char_start", F.col("speaker").alias("guess"))
+    scored = placed.join(guess, ["chapter", "char_start"], "left").join(own.groupBy("chapter").agg(F.max("status").alias("run")), "chapter", "left")
+    right = (F.col("guess") == F.col("speaker")) | F.array_contains("aliases", F.col("guess"))
+    fine = F.col("status") == "found"
+    return scored.groupBy("chapter").agg(
+        F.count("*").alias("labels"),
+        F.count_if(F.coalesce(F.col("run"), F.lit("")) != "succeeded").alias("not_parsed"),
+        F.count_if(~fine).alias("not_placed"),
+        F.count_if(fine & right).alias("correct"),
+        F.count_if(fine & ~right & (F.col("guess") != A.UNKNOWN)).alias("wrong"),
+        F.count_if(fine & (F.col("guess") == A.UNKNOWN)).alias("unattributed"),
+    )
+
+
+def gold_draft(store: TableStore, book_id: str, per_chapter: int = 5) -> DataFrame:
+    """Spoken segments to label by hand, evenly spread over each chapter."""
+    own = store.read("segments", SEGMENTS).where((F.col("book_id") == book_id) & (F.col("kind") != "narration"))
+    line = Window.partitionBy("chapter_id")
+    placed = own.withColumns({"rn": F.row_number().over(line.orderBy("index")) - 1, "n": F.count("*").over(line)})
+    picks = F.transform(F.sequence(F.lit(0), F.lit(per_chapter - 1)), lambda i: F.floor((i + 0.5) * F.col("n") / per_chapter).cast("int"))
+    texts = store.read("chapters", CHAPTERS).select("chapter_id", "text")
+    chosen = placed.where(F.array_contains(picks, F.col("rn"))).join(texts, "chapter_id")
+    return chosen.select("chapter_id", "index", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("quote"), "speaker")
 
 
 def reader(store: TableStore, chapter_id: str) -> DataFrame:
@@ -162,6 +253,14 @@ def search(store: TableStore, query: str, embedder: adapters.Embedder, book_ids:
     return best.select("scene_id", "book_id", "index", "similarity", F.substring("text", 1, 240).alias("excerpt"))
 
 
+def unsearchable(store: TableStore, embedder: adapters.Embedder, book_ids: list[str]) -> DataFrame:
+    """Of the asked books those that hold nothing this model could search."""
+    held = store.read("embeddings", "scene_id string, model string, content_hash string, embedding array<float>").where(F.col("model") == embedder.model)
+    there = store.read("chapters", CHAPTERS).join(held.select(F.col("scene_id").alias("chapter_id")), "chapter_id", "left_semi").select("book_id").distinct()
+    asked = store.spark.createDataFrame([(b,) for b in book_ids], "book_id string")
+    return asked.join(there, "book_id", "left_anti")
+
+
 def report_rows(store: TableStore, book_id: str) -> tuple[DataFrame, DataFrame]:
     """(chapters, speakers) of a book's report."""
     own = store.read("segments", SEGMENTS).where(F.col("book_id") == book_id)
@@ -178,13 +277,21 @@ def report_rows(store: TableStore, book_id: str) -> tuple[DataFrame, DataFrame]:
 
 
 def report_html(store: TableStore, book_id: str, most: int = 10_000) -> str:
-    """A self-contained page of the report. It is as long as the book has chapters, of which it shows the first ones up to most."""
+    """A self-contained page of the report: totals, all speakers that count, and the chapters; of a book with more than
+    most chapters the first ones, and a line that says how many more there are and what they add up to."""
     listed, speakers = report_rows(store, book_id)
+    numbers = ["attributed", "unknown", "spoken_chars", "narration_chars"]
     cell = lambda x: f"<td>{html.escape('' if x is None else str(x))}</td>"
     table = lambda names, rows: "<table><tr>" + "".join(f"<th>{html.escape(n)}</th>" for n in names) + "</tr>" + "".join("<tr>" + "".join(cell(r[n]) for n in names) + "</tr>" for r in rows) + "</table>"
     title = store.read("books", BOOKS).where(F.col("book_id") == book_id).first()
     name = html.escape(title["title"]) if title else ""
-    body = table(["index", "title", "attributed", "unknown", "spoken_chars", "narration_chars"], listed.limit(most).collect()) + table(["speaker", "n"], speakers.collect())
+    total = listed.agg(F.count("*").alias("chapters"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]).first()
+    shown = listed.limit(most).collect()
+    body = table(["chapters", *numbers], [total]) + table(["index", "title", *numbers], shown)
+    if total["chapters"] > len(shown):
+        rest = {c: total[c] - sum(r[c] for r in shown) for c in numbers}
+        body += f"<p>{total['chapters'] - len(shown)} more chapters: " + ", ".join(f"{c} {n}" for c, n in rest.items()) + "</p>"
+    body += table(["speaker", "n"], speakers.collect())
     return f"<!doctype html><meta charset=utf-8><title>{name}</title><h1>{name}</h1>{body}"
 
 
@@ -193,4 +300,19 @@ def usage(store: TableStore) -> DataFrame:
     return store.read("runs", RUNS).groupBy("pass", "attributor", "status").agg(F.count("*").alias("runs"), F.countDistinct("chapter_id").alias("chapters"), F.max("at").alias("last"))
 
 
-COMMANDS: dict[str, Callable] = {"import": import_books, "books": list_books, "chapters": chapter_list, "parse": parse_book, "show": reader, "tts": voice_tasks, "index": index_chapters, "search": search, "report": report_html, "usage": usage}
+COMMANDS: dict[str, Callable] = {
+    "import": import_books,
+    "books": list_books,
+    "editions": list_editions,
+    "chapters": chapter_list,
+    "parse": parse_book,
+    "show": reader,
+    "delete": delete,
+    "tts": voice_tasks,
+    "index": index_chapters,
+    "search": search,
+    "report": report_html,
+    "usage": usage,
+    "eval": evaluate,
+    "eval-sample": gold_draft,
+}

@@ -102,16 +102,19 @@ def sync_plan(items: DataFrame, synced: DataFrame, key: str, version: str, check
 def queue_states(log: DataFrame) -> DataFrame:
     """Jobs from their log (queue, job, seq, at, event): status, progress, and the place of those that wait, first come first.
 
-    Events: enqueued, started, progress, succeeded, failed, cancelled; one that ends a job decides, later ones do not count.
+    Events: enqueued (again, if a worker was lost), started, progress, succeeded, failed, cancelled. One that ends a job
+    decides, later ones do not count; a job that was enqueued after it was last worked on waits.
     """
-    ends = F.col("event").isin("succeeded", "failed", "cancelled")
-    started = F.bool_or(F.col("event").isin("started", "progress"))
+    ends, works = F.col("event").isin("succeeded", "failed", "cancelled"), F.col("event").isin("started", "progress")
+    came = F.col("event") == "enqueued"
     per = log.groupBy("queue", "job").agg(
-        F.min(F.when(F.col("event") == "enqueued", F.struct("at", "seq"))).alias("came"),
+        F.max(F.when(came, F.struct("at", "seq"))).alias("came"),
         F.min_by(F.when(ends, F.col("event")), F.when(ends, F.col("seq"))).alias("ended"),
-        started.alias("started"),
+        F.max(F.when(works, F.col("seq"))).alias("worked"),
+        F.max(F.when(came, F.col("seq"))).alias("last_came"),
         F.count_if(F.col("event") == "progress").alias("progress"),
     )
-    told = per.withColumn("status", F.coalesce("ended", F.when(F.col("started"), "running").when(F.col("came").isNotNull(), "waiting").otherwise("unknown")))
+    running = F.coalesce(F.col("worked"), F.lit(-1)) > F.coalesce(F.col("last_came"), F.lit(-1))
+    told = per.withColumn("status", F.coalesce("ended", F.when(running, "running").when(F.col("came").isNotNull(), "waiting").otherwise("unknown")))
     place = F.row_number().over(Window.partitionBy("queue", F.col("status") == "waiting").orderBy("came", "job"))
     return told.select("queue", "job", "status", "progress", F.when(F.col("status") == "waiting", place).alias("place"))

@@ -249,8 +249,8 @@ LOGGED = """job % 3 = 0 and event = 'enqueued' or job % 3 = 1 and event not in (
 @query(f"""
 with l as (select user_id % 7 as queue, user_id as job, event_id as seq, ts as moment,
                   case event_type when 'signup' then 'enqueued' when 'view' then 'progress' when 'click' then 'started' when 'purchase' then 'succeeded' else 'failed' end as event from events where {LOG}),
-     p as (select queue, job, min((moment, seq)) filter (event = 'enqueued') as came, arg_min(event, seq) filter (event in ('succeeded', 'failed')) as ended,
-                  bool_or(event in ('started', 'progress')) as started, count(*) filter (event = 'progress') as progress from l where {LOGGED} group by queue, job),
+     p as (select queue, job, max((moment, seq)) filter (event = 'enqueued') as came, arg_min(event, seq) filter (event in ('succeeded', 'failed')) as ended,
+                  coalesce(max(seq) filter (event in ('started', 'progress')), -1) > coalesce(max(seq) filter (event = 'enqueued'), -1) as started, count(*) filter (event = 'progress') as progress from l where {LOGGED} group by queue, job),
      s as (select *, coalesce(ended, case when started then 'running' when came is not null then 'waiting' else 'unknown' end) as status from p)
 select queue, job, status, progress, case when status = 'waiting' then row_number() over (partition by queue, status = 'waiting' order by came, job) end::int as place from s
 """)

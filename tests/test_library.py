@@ -1,13 +1,17 @@
 import json
 import sys
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark import cloudpickle
 
 from storyloom import library as L
+from storyloom.jobs import JobQueue
 from storyloom.operators import passes as P
 from storyloom.sources import adapters
-from storyloom.sources.store import Conflict, Lease, TableStore
+from storyloom.sources import store as store_module
+from storyloom.sources.store import Conflict, Held, Lease, TableStore
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
 
@@ -27,7 +31,7 @@ def store(spark, tmp_path_factory):
 def test_the_whole_way(store):
     assert {r["how"] for r in L.import_books(store, str(store.folder)).collect()} == {"added"}
     book = L.list_books(store).first()
-    assert (book["title"], book["author"], book["chapters"]) == ("断桥记", "无名", 2)
+    assert (book["title"], book["author"], book["editions"], book["chapters"]) == ("断桥记", "无名", 1, 2)
     own = book["book_id"]
     assert L.parse_book(store, own, P.attributor("heuristic")) == {"succeeded": 2}
     assert L.parse_book(store, own, P.attributor("heuristic")) == {}
@@ -42,7 +46,7 @@ def test_the_whole_way(store):
     assert L.search(store, "船呢", adapters.HashEmbedder(), [own], 1).first()["index"] == 0
     assert L.search(store, "船呢", adapters.HashEmbedder(), []).count() == 0
     page = L.report_html(store, own)
-    assert "断桥记" in page and "沈舟" in page and page.count("<tr>") == 6
+    assert "断桥记" in page and "沈舟" in page and page.count("<tr>") == 8
     assert [(r["status"], r["runs"]) for r in L.usage(store).collect()] == [("succeeded", 2)]
 
     ids = {r["index"]: r["chapter_id"] for r in listed}
@@ -117,3 +121,135 @@ def test_revisions():
         P.revise(third, P.digest(first), [])
     with pytest.raises(ValueError):
         P.revise(first, P.digest(first), [{"index": 9, "fact": None}])
+
+
+def test_editions_of_a_book_do_not_mix(spark, tmp_path):
+    """Two files of one title and author are two editions; importing one again leaves the other alone."""
+    s = TableStore(spark, f"file://{tmp_path}/db")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "断桥记(无名).txt").write_text(STORY, encoding="utf-8")
+    (tmp_path / "in" / "断桥记（无名）[精校].txt").write_text(STORY.replace("渡口", "渡头"), encoding="utf-8")
+    L.import_books(s, str(tmp_path / "in"))
+    book = L.list_books(s).collect()
+    assert [(b["title"], b["editions"], b["chapters"]) for b in book] == [("断桥记", 2, 4)]
+    own = book[0]["book_id"]
+    editions = {r["label"]: r["edition_id"] for r in L.list_editions(s, own).collect()}
+    before = {k: [r["chapter_id"] for r in L.chapter_list(s, own, e).collect()] for k, e in editions.items()}
+    (tmp_path / "in" / "断桥记（无名）[精校].txt").unlink()
+    (tmp_path / "in" / "断桥记(无名).txt").write_text(STORY + "第三章 远灯\n　　灯灭。\n", encoding="utf-8")
+    assert sorted(r["how"] for r in L.import_books(s, str(tmp_path / "in")).collect()) == ["added", "kept", "kept"]
+    after = {k: [r["chapter_id"] for r in L.chapter_list(s, own, e).collect()] for k, e in editions.items()}
+    assert after["断桥记（无名）[精校].txt"] == before["断桥记（无名）[精校].txt"] and len(after["断桥记(无名).txt"]) == 3
+    assert L.chapters_by_state(s, own, "unparsed").count() == 5 and L.chapters_by_state(s, own, "parsed").count() == 0
+    L.import_books(s, str(tmp_path / "in"), label="another")
+    assert L.list_editions(s, own).count() == 3
+    gone = L.delete(s, own)
+    assert gone["editions"] == 3 and gone["chapters"] == 8 and L.list_books(s).count() == 0
+
+
+def test_two_books_at_once_lose_nothing(spark, tmp_path):
+    s = TableStore(spark, f"file://{tmp_path}/db")
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"书{k}(无名).txt").write_text(STORY, encoding="utf-8")
+    L.import_books(s, str(tmp_path / "in"))
+    books = [r["book_id"] for r in L.list_books(s).collect()]
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(lambda b: L.parse_book(s, b, P.attributor("heuristic"), at_once=1), books)) == [{"succeeded": 2}] * 3
+    runs = s.read("runs").collect()
+    assert len(runs) == 6 and {r["book_id"] for r in runs} == set(books)
+    assert s.read("segments").select("chapter_id").distinct().count() == 6
+
+
+def test_a_lost_lease_stops_before_the_next_wave(store):
+    if not store.exists("books"):
+        L.import_books(store, str(store.folder))
+    own = L.list_books(store).first()["book_id"]
+    waves = []
+
+    def told(index):
+        waves.append(index)
+        lease = Lease(store, own, "thief", stale_s=-1.0)  # for whom every heartbeat is old
+        assert lease.acquire()
+
+    with pytest.raises(Conflict):
+        L.parse_book(store, own, P.attributor("heuristic"), force=True, at_once=1, told=told)
+    assert len(waves) == 1 and Lease(store, own, "thief").release()
+
+
+def test_of_many_takers_one_gets_a_stale_lease(store):
+    now = [0.0]
+    Lease(store, "stale", "old", clock=lambda: now[0]).acquire()
+    now[0] = 100.0
+    with ThreadPoolExecutor(8) as pool:
+        for _ in range(3):
+            got = list(pool.map(lambda k: Lease(store, "stale", f"w{now[0]}-{k}", clock=lambda: now[0]).acquire(), range(8)))
+            assert got.count(True) == 1
+            now[0] += 100
+    held = Held(Lease(store, "beats", "me"), "beats", beat_s=0.05)
+    with held:
+        first = held.lease.holder()["heartbeat"]
+        time.sleep(0.5)
+        assert held.lease.holder()["heartbeat"] > first
+        held.check()
+    assert held.lease.holder() is None
+
+
+def test_appends_add_folders_and_become_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_FOLDERS", 3)
+    s = TableStore(spark, f"file://{tmp_path}/db")
+    rows = lambda n: spark.createDataFrame([(n,)], "n int")
+    folders = []
+    for n in range(7):
+        s.append("log", rows(n))
+        folders.append(len(json.loads(s._notes("log").latest()[1])["paths"]))
+    assert folders == [1, 2, 3, 1, 2, 3, 1] and sorted(r["n"] for r in s.read("log").collect()) == list(range(7))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: s.append("log", rows(n)), range(10, 18)))
+    assert s.read("log").count() == 15
+    assert s.tidy("log") == 0 and s.tidy("log", older_s=0) > 0 and s.read("log").count() == 15
+
+
+def test_jobs(store):
+    q = JobQueue(store, "test")
+    a, b, c = (q.enqueue(x) for x in ("one", "two", "three"))
+    assert [(r["job"], r["place"]) for r in q.states().collect()] == [(c, 3), (b, 2), (a, 1)] and q.is_busy()
+    assert q.cancel(b) and not q.cancel(b) and not q.cancel("none")
+    done = []
+
+    def work(book, start, told):
+        done.append((book, start))
+        told(start + 4)
+
+    assert q.run_next(work) == "succeeded" and done == [("one", 0)] and q.get(a)["progress"] == 1
+    taken = q.take()
+    assert taken["job"] == c and q.take() is None and q.get(c)["status"] == "running"
+    q._put(c, "progress", chapter=7)
+    assert q.sweep(0) == 1 and q.get(c)["status"] == "waiting"
+
+    def held(book, start, told):
+        raise Conflict(book)
+
+    assert q.run_next(held) == "waiting"
+    assert q.run_next(work) == "succeeded" and done[-1] == ("three", 8)
+    d = q.enqueue("four")
+
+    def cancelled(book, start, told):
+        assert q.cancel(d)
+        told(1)
+
+    assert q.run_next(cancelled) == "cancelled" and q.get(d)["status"] == "cancelled"
+    e = q.enqueue("five")
+    assert q.run_next(lambda *_: 1 / 0) == "failed" and "zero" in q.get(e)["note"] and q.run_next(work) is None
+    assert q.prune(2) == 3 and q.states().count() == 2 and not q.is_busy()
+
+
+def test_evaluation_of_a_book(spark, store):
+    if not store.exists("books"):
+        L.import_books(store, str(store.folder))
+    own = L.list_books(store).first()["book_id"]
+    L.parse_book(store, own, P.attributor("heuristic"), force=True)
+    rows = [(1, "船呢", "沈舟", [], None), (1, "没有", "x", [], None), (2, "走。", "顾", ["顾远"], None), (9, "x", "y", [], None)]
+    got = {r["chapter"]: r.asDict() for r in L.evaluate(store, own, spark.createDataFrame(rows, "chapter int, quote string, speaker string, aliases array<string>, occurrence int")).collect()}
+    assert (got[1]["correct"], got[1]["not_placed"], got[2]["correct"], got[9]["not_parsed"]) == (1, 1, 1, 1)
+    assert L.gold_draft(store, own).count() == 2 and [r[0] for r in L.unsearchable(store, adapters.HashEmbedder(), ["none"]).collect()] == ["none"]

@@ -158,7 +158,7 @@ def test_store(spark, tmp_path):
     s.replace_scope("books", spark.createDataFrame([("a", 7), ("a", 8)], kind), ["book_id"])
     assert sorted(map(tuple, s.read("books").collect())) == [("a", 7), ("a", 8), ("b", 3), ("c", 4), ("d", 5)]
     assert sorted(map(tuple, old.collect())) == [("a", 1), ("b", 2)]
-    s.publish("editions", spark.createDataFrame([("e1", "a"), ("e2", "b")], "edition_id string, book string"), ["book"])
+    s.publish("editions", spark.createDataFrame([("e1", "a"), ("e2", "b")], "edition_id string, book string"))
     s.publish("chapters", spark.createDataFrame([(i, "e1") for i in range(3)] + [(9, "e2")], "chapter int, edition string"))
     chain = [("editions", "book", "books", "book_id"), ("chapters", "edition", "editions", "edition_id")]
     assert store.delete_book(s, "a", chain) == {"chapters": 3, "editions": 1, "books": 2}
