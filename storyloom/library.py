@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.operators import attribution as A
+from storyloom.operators import consistency, facts
 from storyloom.operators import history as H
 from storyloom.operators import maintenance as M
 from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
 from storyloom.operators import spans as S
+from storyloom.operators import views as V
 from storyloom.operators.passes import attributed
 from storyloom.sources import adapters, chapters, epub, lines
 from storyloom.sources.gold import located
@@ -215,6 +217,75 @@ def gold_draft(store: TableStore, book_id: str, per_chapter: int = 5) -> DataFra
     return chosen.select("chapter_id", "index", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("quote"), "speaker")
 
 
+def check_consistency(store: TableStore, book_id: str, model: adapters.ChatModel, budget: int = 3000, owner: str | None = None) -> dict[str, int]:
+    """Facts of a book's parsed chapters, in order, by a chat model: proposed, held against the text, committed together
+    with the memory they make and the runs that made them. Chapters after the first failed one are left for the next
+    time; a chapter that breaks a rule gives no facts. Returns counts of runs by status.
+
+    The facts of the whole book are made anew from what the pass accepts, so running it again changes nothing.
+    """
+    with Held(Lease(store, book_id, owner or f"facts-{uuid.uuid4().hex}"), book_id) as held:
+        parsed = store.read("runs", RUNS).where((F.col("book_id") == book_id) & (F.col("pass") == "structure") & (F.col("status") == "succeeded")).select("chapter_id").distinct()
+        texts = store.read("chapters", CHAPTERS).where(F.col("book_id") == book_id).join(parsed, "chapter_id", "left_semi")
+        asked = texts.select(F.col("edition_id").alias("book"), "chapter_id", F.col("index").alias("chapter"), "text")
+        found = consistency.proposed(asked, model, budget).cache()
+        parts, _, runs = consistency.settled(found, texts.select("chapter_id", "text"))
+        done = runs.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("consistency").alias("pass"), F.lit(model.model).alias("attributor"), F.lit(1).alias("attempt"), "status", "error", F.current_timestamp().alias("at")).cache()
+        counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
+        held.check()
+        for name in ("states", "relations", "story_events", "threads", "review", "memory"):
+            rows = parts[name].withColumn("book_id", F.lit(book_id))
+            store.replace_scope(name, rows, ["book_id"])
+        if counts:
+            store.append("runs", done)
+        found.unpersist()
+        done.unpersist()
+    return counts
+
+
+def rebuild_memory(store: TableStore, book_id: str) -> int:
+    """Memory made anew from the stored facts; how many items there are."""
+    held = {n: store.read(n).where(F.col("book_id") == book_id).drop("book_id") for n in ("states", "relations", "story_events", "threads")}
+    items = facts.memory(held).withColumn("book_id", F.lit(book_id))
+    store.replace_scope("memory", items, ["book_id"])
+    return store.read("memory").where(F.col("book_id") == book_id).count()
+
+
+def sync_knowledge(store: TableStore, book_id: str, base: adapters.KnowledgeBase, stop: Callable[[], bool] = lambda: False) -> int:
+    """Chapters to a knowledge base: new ones made, changed ones written anew, those that are gone deleted; how many calls.
+
+    Each call is recorded before the next is made, so a sync that is stopped goes on where it was.
+    """
+    kind = "book_id string, chapter_id string, document_id string, content_hash string"
+    now = store.read("chapters", CHAPTERS).where(F.col("book_id") == book_id)
+    sent = store.read("documents", kind).where(F.col("book_id") == book_id)
+    both = now.select("chapter_id", "index", "title", "text", "content_hash").join(sent.select("chapter_id", "document_id", F.col("content_hash").alias("sent")), "chapter_id", "full")
+    calls = 0
+    for r in both.where("not content_hash <=> sent").orderBy(F.col("index").asc_nulls_last()).toLocalIterator():
+        if stop():
+            break
+        if r["content_hash"] is None:
+            base.delete(r["document_id"])
+            store.delete("documents", store.spark.createDataFrame([(r["chapter_id"],)], "chapter_id string"), ["chapter_id"])
+        else:
+            title = r["title"] or str(r["index"])
+            ident = r["document_id"]
+            if ident is None:
+                ident = base.create(title, r["text"])
+            else:
+                base.update(ident, title, r["text"])
+            store.upsert("documents", store.spark.createDataFrame([(book_id, r["chapter_id"], ident, r["content_hash"])], kind), ["chapter_id"])
+        calls += 1
+    return calls
+
+
+def knowledge_status(store: TableStore, book_id: str) -> DataFrame:
+    """Each chapter's document, and whether it must be sent."""
+    sent = store.read("documents", "book_id string, chapter_id string, document_id string, content_hash string").select("chapter_id", "document_id", F.col("content_hash").alias("sent"))
+    own = store.read("chapters", CHAPTERS).where(F.col("book_id") == book_id).select("chapter_id", "index", "content_hash")
+    return own.join(sent, "chapter_id", "left").select("chapter_id", "index", "document_id", V.needs_sync(F.col("content_hash"), F.col("sent")).alias("needs_sync")).orderBy("index")
+
+
 def reader(store: TableStore, chapter_id: str) -> DataFrame:
     """A chapter's segments with their texts, in order."""
     text = store.read("chapters", CHAPTERS).where(F.col("chapter_id") == chapter_id).select("chapter_id", "text")
@@ -315,4 +386,8 @@ COMMANDS: dict[str, Callable] = {
     "usage": usage,
     "eval": evaluate,
     "eval-sample": gold_draft,
+    "consistency": check_consistency,
+    "memory-rebuild": rebuild_memory,
+    "sync": sync_knowledge,
+    "sync-status": knowledge_status,
 }

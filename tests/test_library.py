@@ -253,3 +253,41 @@ def test_evaluation_of_a_book(spark, store):
     got = {r["chapter"]: r.asDict() for r in L.evaluate(store, own, spark.createDataFrame(rows, "chapter int, quote string, speaker string, aliases array<string>, occurrence int")).collect()}
     assert (got[1]["correct"], got[1]["not_placed"], got[2]["correct"], got[9]["not_parsed"]) == (1, 1, 1, 1)
     assert L.gold_draft(store, own).count() == 2 and [r[0] for r in L.unsearchable(store, adapters.HashEmbedder(), ["none"]).collect()] == ["none"]
+
+
+class Teller:
+    """A model that answers by what the chapter says."""
+
+    model = "teller"
+
+    def complete(self, system, user):
+        asked = json.loads(user.split("\n\nThe last")[0])
+        if "灯灭" in asked["chapter"]:
+            raise RuntimeError("no answer")
+        known = [f["value"] for f in asked["known"]]
+        quote = "沈舟推开门" if "推开门" in asked["chapter"] else "沈舟没有动" if "没有动" in asked["chapter"] else "沈舟没有走"
+        return json.dumps({"states": [{"subject": "沈舟", "field": "place", "value": f"after {known}", "quote": quote, "confidence": 0.9}, {"subject": "沈舟", "field": "mood", "value": "x", "quote": "nowhere", "confidence": 0.9}]}, ensure_ascii=False)
+
+
+def test_consistency_pass_memory_and_sync(spark, tmp_path):
+    s = TableStore(spark, f"file://{tmp_path}/db")
+    (tmp_path / "in").mkdir()
+    at = tmp_path / "in" / "断桥记(无名).txt"
+    at.write_text(STORY + "第三章 远灯\n　　灯灭。\n第四章 天明\n　　沈舟推开门。\n", encoding="utf-8")
+    L.import_books(s, str(tmp_path / "in"))
+    own = L.list_books(s).first()["book_id"]
+    L.parse_book(s, own, P.attributor("heuristic"))
+    assert L.check_consistency(s, own, Teller()) == {"succeeded": 2, "failed": 1}
+    states = s.read("states").orderBy("chapter").collect()
+    assert [(r["chapter"], r["value"], r["valid_to"], r["quote"]) for r in states] == [(0, "after []", 1, "沈舟推开门"), (1, "after ['after []']", None, "沈舟没有动")]
+    items = {tuple(r) for r in s.read("memory").collect()}
+    assert len(items) == 2 and L.rebuild_memory(s, own) == 2 and {tuple(r) for r in s.read("memory").collect()} == items
+    assert L.check_consistency(s, own, Teller()) == {"succeeded": 2, "failed": 1} and s.read("states").count() == 2
+
+    base, calls = adapters.MemoryKnowledgeBase(), iter([False, False, True])
+    assert L.sync_knowledge(s, own, base, lambda: next(calls)) == 2 and len(base.rows) == 2
+    assert [r["needs_sync"] for r in L.knowledge_status(s, own).collect()] == [False, False, True, True]
+    assert L.sync_knowledge(s, own, base) == 2 and L.sync_knowledge(s, own, base) == 0 and len(base.rows) == 4
+    at.write_text(STORY.replace("没有动", "没有走"), encoding="utf-8")
+    L.import_books(s, str(tmp_path / "in"))
+    assert L.sync_knowledge(s, own, base) == 3 and len(base.rows) == 2 and any("没有走" in r["content"] for r in base.rows.values())
