@@ -172,7 +172,7 @@ with p as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_
      o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by paragraph rows between unbounded preceding and 1 preceding), 0) as line_start from p),
      q as (select doc_id, paragraph, line_start, unnest(string_split(line, '"')) as piece, generate_subscripts(string_split(line, '"'), 1) - 1 as k, len(string_split(line, '"')) as pieces, length(line) as width from o where contains(line, '"')),
      s as (select *, coalesce(sum(length(piece) + 1) over (partition by doc_id, paragraph order by k rows between unbounded preceding and 1 preceding), 0) as piece_start from q),
-     f as (select doc_id, paragraph, line_start + piece_start - 1 as a, line_start + piece_start + length(piece) + case when k < pieces - 1 then 1 else 0 end as b, piece from s where k % 2 = 1 and regexp_matches(piece, '\S'))
+     f as (select doc_id, paragraph, line_start + piece_start - 1 as a, line_start + piece_start + length(piece) + case when k < pieces - 1 then 1 else 0 end as b, piece from s where k % 2 = 1 and regexp_matches(piece, '\\S'))
 select doc_id, (row_number() over (partition by doc_id order by a) - 1)::int as index, paragraph::int as paragraph, a::int as char_start, b::int as char_end, piece as inner from f
 """)
 def quotes_full(t):
@@ -196,7 +196,7 @@ MARKS = '["“”「」『』\\r\\n]'
 
 
 @query(f"""
-with c as (select conv_id, role, regexp_matches(regexp_replace(coalesce(text, ''), '{MARKS}', '', 'g'), '\S') as speaks from conversations),
+with c as (select conv_id, role, regexp_matches(regexp_replace(coalesce(text, ''), '{MARKS}', '', 'g'), '\\S') as speaks from conversations),
      n as (select conv_id, count(*) filter (role = 'user') as users, count(*) filter (role = 'assistant') as assistants, count(*) filter (role = 'user' and speaks) as u, count(*) filter (role = 'assistant' and speaks) as a from c group by conv_id)
 select conv_id, case when u + a = 0 then 1 else 2 * (u + a) + 1 end as segments, u + a as spoken, case when users >= 2 then u else 0 end + case when assistants >= 2 then a else 0 end as attributed from n
 """)

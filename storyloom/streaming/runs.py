@@ -74,10 +74,18 @@ def decisions(log: DataFrame, stale_ms: int | None = 60_000) -> DataFrame:
 
 
 def drained(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, through the stream, into a table in memory."""
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+    """All that is there now, through the stream, into a table beside the checkpoint: every batch is a folder of its own,
+    written anew if the batch is made again. In complete mode the last batch is the table."""
+    spark, out = rows.sparkSession, f"{checkpoint.rstrip('/')}-{name}"
+    seen: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch-{number}")
+        seen.append(number)
+
+    rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    kept = seen[-1:] if mode == "complete" else sorted(set(seen))
+    return spark.read.schema(rows.schema).parquet(*[f"{out}/batch-{n}" for n in kept]) if kept else spark.createDataFrame([], rows.schema)
 
 
 def into_store(rows: DataFrame, checkpoint: str, put: Callable[[DataFrame], None], mode: str = "append"):
