@@ -7,8 +7,9 @@ Runs are joined globally by their hash (96 bits). Of equal runs the first one, b
 sentence covered by any other is removed, so a passage shared by many documents stays in one of them, whatever
 surrounds it.
 
-A sentence ends after . ! or ? (or their wide forms) or at a line's end; sentences are equal if their words, split at
-white space and lower-cased, are; two characters of a script without spaces count as a word. Only hashes and offsets
+A sentence ends after . ! or ? (or their wide forms) or at a line's end, and one of more than ``CLAUSES`` words counts
+as the clauses that its commas, semicolons and colons part, so of a passage that begins or ends inside a long sentence
+only a clause is lost; sentences are equal if their words, split at white space and lower-cased, are; two characters of a script without spaces count as a word. Only hashes and offsets
 are shuffled, once to find each repeated hash and its first place (with partial aggregation, so a run that occurs
 everywhere is one row a task) and once to join them with the runs. The repeated hashes are a table of their own, so
 that Spark can split the partition of a very common one in that join.
@@ -38,21 +39,33 @@ SPAN = 2
 MIN_WORDS = 24
 LONG = 40
 SENTENCE = re.compile("[^.!?。！？\n]*[.!?。！？]+|[^.!?。！？\n]+")
+#: Words beyond which a sentence is taken clause by clause: two texts that share a part of one agree in whole clauses.
+CLAUSES = 20
+CLAUSE = re.compile("[^,;:，；：]*[,;:，；：]+|[^,;:，；：]+")
 #: Characters of scripts that put no space between words.
 UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 RUNS = "h long, check int, row long, id long, start int, end int"
 
 
+def words_in(own: str) -> tuple[list[str], int]:
+    """The words of a piece of text, and how many they count as."""
+    words = own.split()
+    return words, len(words) if own.isascii() else max(len(words), len(UNSPACED.findall(own)) // 2)
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, normalised text, words) of every sentence that has a word."""
+    """(start, end, normalised text, words) of every sentence that has a word; of long ones, of every clause."""
     found = []
     for m in SENTENCE.finditer(text):
-        own = m.group()
-        words = own.split()
-        if words:
-            a = m.start() + len(own) - len(own.lstrip())
-            n = len(words) if own.isascii() else max(len(words), len(UNSPACED.findall(own)) // 2)
-            found.append((a, m.start() + len(own.rstrip()), " ".join(words).lower(), n))
+        own, at = m.group(), m.start()
+        words, n = words_in(own)
+        parts = [(own, words, n, at)]
+        if n > CLAUSES:
+            parts = [(c.group(), *words_in(c.group()), at + c.start()) for c in CLAUSE.finditer(own)]
+        for part, words, n, start in parts:
+            if words:
+                a = start + len(part) - len(part.lstrip())
+                found.append((a, start + len(part.rstrip()), " ".join(words).lower(), n))
     return found
 
 

@@ -107,3 +107,14 @@ def test_long_sentences_and_scripts_without_spaces():
     assert len(list(S.runs("a " * 39 + "a. b.", S.SPAN, S.MIN_WORDS))) == 1
     assert len(list(S.runs("一二三四五六七八九十" * 3 + "。" + "一二三四五六七八九十" * 3 + "。", S.SPAN, S.MIN_WORDS))) == 1
     assert list(S.runs("A short line of seven words here.\nAnother short line of seven words here.", S.SPAN, S.MIN_WORDS)) == []
+
+
+def test_a_passage_inside_long_sentences_is_found_by_its_clauses(spark, docs_of):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    clause = lambda n: " ".join(word() for _ in range(n))
+    shared = ", ".join(clause(9) for _ in range(7))
+    rows = [(d, f"{clause(12)}, {shared}, {clause(15)}.") for d in (1, 2)]
+    out = {r["doc_id"]: r["text"] for r in S.deduplicated(docs_of(rows)).collect()}
+    assert out[1] == rows[0][1] and shared not in out[2] and len(out[2].split()) == 12 + 15
+    assert [x[3] for x in S.sentences("a, b: c. " + "d " * 19 + "e, f")] == [3, 20, 1]
