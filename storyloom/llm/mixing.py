@@ -24,7 +24,8 @@ their shard, and not at all for ``plan``.
 
 Defined results: null text has size 0; a null source is a source, ordered last; null ids take part (and share
 their place in the order); rows that agree in id and size and fall on the cut share it evenly, rounded down; with
-no words at all every target is 0; columns that clash with working names are kept apart.
+no words at all every target is 0; a node of the tree is one row with a count for each source, so sources, unlike
+documents, must be some 100,000 at most; columns that clash with working names are kept apart.
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import prepare, raw, rows_of, settle
+from storyloom.llm.common import prepare, raw, release, rows_of, settle
 from storyloom.llm.graph import components
 
 SEED = 42
@@ -247,6 +247,8 @@ CHUNK = 1 << 19
 FEW = 8
 #: 64-bit words of the bitmap that tells which texts have a candidate.
 SLOTS = 1 << 16
+#: Names up to which the table of those that several rows or texts have is broadcast (some 50 bytes each).
+NAMES = 500_000
 #: Rounding allowed where a share of a count is compared with a count.
 EPSILON = 1e-9
 
@@ -311,17 +313,28 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
 
 
-def _add_wide(batches: Iterator[pa.RecordBatch], shingle: int, at: int, common: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Adds the name of a text's set of shingles (equal sets share one), its fingerprint and prefix."""
+def name_of(found: np.ndarray) -> int:
+    """The name of a set of shingles; equal sets share one."""
+    mark = xxhash.xxh3_64_intdigest(found.tobytes(), SEED)
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, the name of its set of shingles, its fingerprint, its prefix)."""
     for b in rows_of(batches):
-        sets = [shingle_set(t, shingle) for t in raw(b.column(at))]
-        names = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        sets = [shingle_set(t, shingle) for t in raw(b.column(1))]
         marks = np.stack([wide_fingerprint(s) for s in sets])
         firsts = [prefix(s, common, similarity) for s in sets]
         offsets = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
         keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64)))
-        more = [pa.array(names), *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)], keys]
-        yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "name", *[f"w{i}" for i in range(WORDS)], "keys"])
+        columns = [b.column(0), pa.array(map(name_of, sets), pa.int64()), *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)], keys]
+        yield pa.record_batch(columns, names=["id", "name", *[f"w{i}" for i in range(WORDS)], "keys"])
+
+
+def _add_name(batches: Iterator[pa.RecordBatch], shingle: int, at: int) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches):
+        names = pa.array((name_of(shingle_set(t, shingle)) for t in raw(b.column(at))), pa.int64())
+        yield pa.record_batch([*b.columns, names], names=[*b.schema.names, "name"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,13 +388,16 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(name, text) -> (name, its set) of names that the bitmap has."""
+    """(text) -> (name, its set) of the names that the bitmap has."""
     for b in rows_of(batches):
-        names = np.asarray(b.column(0)).view(np.uint64)
-        held = np.flatnonzero(slots[(names >> np.uint64(6)) % np.uint64(len(slots))] >> (names & np.uint64(63)) & np.uint64(1))
-        if len(held):
-            chosen = b.take(pa.array(held))
-            yield pa.record_batch({"name": chosen.column(0), "set": pa.array([shingle_set(t, shingle).tobytes() for t in raw(chosen.column(1))], pa.binary())})
+        out: dict[int, bytes] = {}
+        for t in raw(b.column(0)):
+            found = shingle_set(t, shingle)
+            name = name_of(found)
+            if name not in out and int(slots[(name & (1 << 64) - 1) >> 6 & SLOTS - 1]) >> (name & 63) & 1:
+                out[name] = found.tobytes()
+        if out:
+            yield pa.record_batch({"name": pa.array(out, pa.int64()), "set": pa.array(out.values(), pa.binary())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -406,22 +422,23 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
     yield from links()
 
 
-def _similar(named: DataFrame, tied: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Texts (name, text) and their components of candidates (name, root) -> links (a, b) of similar texts.
-    Crowded components are cut into pairs of chunks."""
+def _similar(texts: DataFrame, tied: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Texts and their components of candidates (name, root) -> links (a, b) of similar texts, and the settled sets that
+    they are read from. Crowded components are cut into pairs of chunks."""
     words = tied.groupBy(F.expr(f"pmod(shiftrightunsigned(name, 6), {SLOTS})").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(name & 63 as int)))").alias("bits"))
     slots = np.zeros(SLOTS, np.int64)
     for r in words.collect():
         slots[r["at"]] = r["bits"]
-    sets = named.select("name", "text").mapInArrow(partial(_sets_of, shingle=shingle, slots=slots.view(np.uint64)), "name long, set binary")
-    members = tied.join(settle(sets.dropDuplicates(["name"]), "candidate-sets"), "name")
+    sets = texts.mapInArrow(partial(_sets_of, shingle=shingle, slots=slots.view(np.uint64)), "name long, set binary")
+    held = settle(sets.dropDuplicates(["name"]), "candidate-sets")
+    members = tied.join(held, "name")
     crowded = members.groupBy("root").agg(F.sum(F.length("set") / 8).alias("n")).where(F.col("n") > 2 * CHUNK)
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
     dealt = members.join(crowded, "root", "left").select("root", "name", "set", chunks.alias("k"), F.pmod(F.xxhash64("name"), chunks).alias("c"))
     paired = dealt.select("root", "name", "set", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
     placed = paired.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "name", "set")
     order = ["root", "i", "j"]
-    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_verified, similarity=similarity), "a long, b long"), held
 
 
 def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
@@ -431,29 +448,45 @@ def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the first shingles of their sets, as all such pairs do (``prefix``), and their 256-bit fingerprints, compared in
     cells of a shingle each, differ in at most ``candidate_radius`` bits. Each component of candidates is then
     linked anew by its sets. Otherwise as ``survivors``.
+
+    No table holds texts: rows are read again and named anew where they are needed, and tables go when they are used.
+    Rows learn whether they stay from the names of several rows or of several texts alone, broadcast up to NAMES of
+    them, joined by shuffle beyond.
     """
     spark = docs.sparkSession
     prepare(spark)
     at = docs.columns.index(text_col)
     marks = [f"w{i}" for i in range(WORDS)]
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    added = [*[T.StructField(c, T.LongType()) for c in ("name", *marks)], T.StructField("keys", T.ArrayType(T.LongType()))]
-    wide = partial(_add_wide, shingle=shingle, at=at, common=common_shingles(docs, text_col, shingle), similarity=similarity)
-    named = settle(plain.mapInArrow(wide, T.StructType([*plain.schema.fields, *added])), "wide-fingerprints")
-    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
-
-    distinct = named.groupBy("name").agg(F.min(own).alias("least"), *[F.first(w).alias(w) for w in marks])
-    keys = named.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text)
+    sketch = partial(_sketched, shingle=shingle, common=common_shingles(docs, text_col, shingle), similarity=similarity)
+    kind = f"id long, name long, {', '.join(f'{w} long' for w in marks)}, keys array<long>"
+    sketches = settle(own.mapInArrow(sketch, kind), "sketches")
+    distinct = settle(sketches.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("rows"), *[F.first(w).alias(w) for w in marks]), "names")
+    repeated = sketches.groupBy("id", "name").count().where("count > 1").limit(1).count() > 0
+
+    keys = sketches.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
     shared = keys.mapInArrow(_shared, "key long, name long")
     cells = settle(shared.join(distinct, "name").select(F.lit(0).cast("long").alias("t"), "key", "name", *marks), "wide-cells")
+    release(sketches)
     near = components(_linked(cells, candidate_radius(similarity), WORDS, FEW)).withColumnRenamed("node", "name")
-    tied = components(_similar(named.select("name", F.col(f"c{at}").cast("string").alias("text")), near, shingle, similarity))
+    release(cells)
+    links_found, sets = _similar(own.select("text"), near, shingle, similarity)
+    tied = components(links_found)
+    release(sets)
 
-    labelled = distinct.join(tied.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    # Of each component one name stays, and of a name's rows that of the smallest id.
+    labelled = settle(distinct.join(tied.withColumnRenamed("node", "name"), "name", "left").where("root is not null or rows > 1").select("name", "least", F.coalesce("root", "name").alias("root")), "labelled")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "name"))
-    best = labelled.groupBy("root").agg(first.alias("first"))
-    keep = best.select(F.col("first.name").alias("name"), F.col("first.least").alias("keep_id"))
-    kept = named.join(keep, "name").where(own.eqNullSafe(F.col("keep_id")))
-    if named.groupBy(own.alias("id"), "name").count().where("count > 1").limit(1).count():
+    best = settle(labelled.groupBy("root").agg(first.alias("first")), "best")
+    told = settle(labelled.join(best, "root").select("name", (F.col("name") == F.col("first.name")).alias("stays"), F.col("first.least").alias("keep_id")), "told")
+    release(labelled, best, distinct)
+    n = told.count()
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    named = plain.mapInArrow(partial(_add_name, shingle=shingle, at=at), T.StructType([*plain.schema.fields, T.StructField("name", T.LongType())]))
+    joined = named.join(F.broadcast(told) if n <= NAMES else told, "name", "left")
+    mine = F.col(f"c{docs.columns.index(id_col)}").cast("long").eqNullSafe(F.col("keep_id"))
+    kept = joined.where(F.col("stays").isNull() | (F.col("stays") & mine))
+    if repeated:
         kept = kept.dropDuplicates(["name"])
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -53,16 +53,24 @@ def test_exact(stages):
 
 
 def test_near(stages):
+    """Of each component of texts of similarity 0.8 or more, by comparing all pairs, the smallest id stays."""
     before = {r["doc_id"]: shingles(r["text"]) for r in stages["exact_dedup"]}
-    kept = {r["doc_id"] for r in stages["simhash_near_dedup"]}
-    like = lambda a, b: len(before[a] & before[b]) / len(before[a] | before[b])
-    assert kept <= before.keys()
-    for d in before.keys() - kept:  # what goes is like something, and a smaller id of its group stays
-        assert max(like(d, o) for o in before if o != d) > 0.6
-    near = [(a, b) for a in kept for b in kept if a < b and like(a, b) >= 0.9]
-    assert len(near) <= 0.05 * max(1, len(before) - len(kept))
-    alone = {d for d in before if all(like(d, o) < 0.3 for o in before if o != d)}
-    assert alone <= kept
+    root = {d: d for d in before}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(before)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(before[a] & before[b]) >= 0.8 * len(before[a] | before[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sorted(r["doc_id"] for r in stages["simhash_near_dedup"]) == sorted({find(d) for d in ids})
+    rows = {r["doc_id"]: r.asDict() for r in stages["exact_dedup"]}
+    assert all(r.asDict() == rows[r["doc_id"]] for r in stages["simhash_near_dedup"])
 
 
 def test_mix(stages):
@@ -111,12 +119,33 @@ def test_run_is_its_stages(spark, stages):
 
 
 def test_stages_on_empty_and_odd_tables(spark):
+    """Nulls in every column, empty, repeated and long texts, through all stages; each has a defined result."""
     kind = "doc_id long, text string, lang string, source string, n_chars long"
-    for rows in ([], [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some words here", None, None, 15), (3, "word " * 5000, "en", "b", 25000)]):
-        docs = spark.createDataFrame(rows, kind)
-        for _, stage in C.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.count()
+    assert C.STAGES[-1][1](spark, C.mix_sources(spark, C.drop_near_copies(spark, C.drop_copies(spark, C.identify_language(spark, spark.createDataFrame([], kind), SF), SF), SF), SF), SF).count() == 0
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some words here", None, None, 15), (3, "word " * 5000, "en", "b", 25000), (4, "42 !", "en", "b", 4), (5, "Some WORDS here", "en", "a", 15), (5, "Some WORDS here", "en", "a", 15)]
+    docs, kept = spark.createDataFrame(rows, kind), {}
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        kept[name] = sorted(((r["doc_id"], r["text"][:4].lower(), r["lang"]) for r in docs.collect()), key=str)
+    assert kept["language_id"] == [(3, "word", "en"), (5, "some", "en"), (5, "some", "en"), (None, "some", "en")]  # no letter: gone; the null label is filled
+    assert kept["exact_dedup"] == kept["simhash_near_dedup"] == [(3, "word", "en"), (5, "some", "en")]
+    words = {r["doc_id"]: 0 for r in docs.collect()}
+    for r in docs.collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    assert words == {3: 7499, 5: 6}  # half as much again in all, 7504.5: a takes twice its 3 words, b the rest, rounded
+    pieces = C.pack_windows(spark, docs, SF).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
+
+
+def test_clashing_columns_do_no_harm(spark):
+    """Columns beside those of documents, with names that stages use inside, are not carried and change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = docs.selectExpr("*", "1 as name", "'x' as lang_pred", "2 as key", "3 as row", "4 as _size", "'y' as w0", "5 as stays", "6 as bucket", "7 as n_parts")
+    for plain, other in ((docs, clash),):
+        for _, stage in C.STAGES[:3]:
+            plain, other = stage(spark, plain, SF), stage(spark, other.selectExpr("*", "1 as root") if "root" not in other.columns else other, SF)
+            assert plain.columns == other.columns == C.COLUMNS
+        assert sorted(map(str, plain.collect())) == sorted(map(str, other.collect()))
 
 
 def test_language_keeps_texts_when_no_label_is_usable(spark):

@@ -186,6 +186,14 @@ def test_similar_survivors_keep_what_is_below_the_threshold(spark, docs_of):
     assert simhash.similar_survivors(docs_of(rows)).count() == len(rows)
 
 
+def test_names_are_joined_by_shuffle_beyond_their_bound(spark, docs_of, monkeypatch):
+    pairs = list(pairs_at(random.Random(7), 0.85, 20))
+    rows = [x for i, (a, b) in enumerate(pairs) for x in ((i, a), (1000 + i, b), (2000 + i, a.upper()))] + [(None, "some words of no id"), (None, "SOME words of no id")]
+    monkeypatch.setattr(simhash, "NAMES", 0)
+    kept = [r["doc_id"] for r in simhash.similar_survivors(docs_of(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([*range(20), None], key=str)
+
+
 def test_crowded_candidates_are_cut(spark, docs_of, monkeypatch):
     rng = random.Random(8)
     base = [f"b{i}" for i in range(200)]
