@@ -71,6 +71,12 @@ def run_decision(succeeded: Column, failed: Column, live: Column, dead: Column,
     )
 
 
+def until_failure(rows: DataFrame, keys: list[str], order: str, failed: Column) -> DataFrame:
+    """Rows up to and with the first failed one of each key: what a run that stops at a failure got to."""
+    first = F.min(F.when(failed, F.col(order))).over(Window.partitionBy(*keys))
+    return rows.withColumn("_first", first).where(F.col("_first").isNull() | (F.col(order) <= F.col("_first"))).drop("_first")
+
+
 def neighbours(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     line = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumns({"previous": F.lag(order).over(line), "next": F.lead(order).over(line)})

@@ -13,8 +13,8 @@ class InvalidGold(ValueError):
     """A label line that cannot be used."""
 
 
-def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    raw = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')")
+def _lines(lines: DataFrame, schema: str) -> DataFrame:
+    raw = lines.where("trim(value) <> '' and not startswith(trim(value), '#')")
     read = raw.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("g"))
     return read.select("value", "g.*")
 
@@ -28,18 +28,28 @@ def _checked(rows: DataFrame, rule, schema: str) -> DataFrame:
     return rows.drop("_bad", "value")
 
 
-def attribution_gold(spark: SparkSession, path: str) -> DataFrame:
-    rows = _lines(spark, path, ATTRIBUTION)
+def attribution_labels(lines: DataFrame) -> DataFrame:
+    """Lines (value) of speaker labels."""
+    rows = _lines(lines, ATTRIBUTION)
     fine = (F.col("chapter") > 0) & (F.trim("quote") != "") & (F.trim("speaker") != "") & (F.col("occurrence").isNull() | (F.col("occurrence") > 0))
     return _checked(rows, fine, ATTRIBUTION).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-def shadow_gold(spark: SparkSession, path: str) -> DataFrame:
-    rows = _lines(spark, path, SHADOW)
+def attribution_gold(spark: SparkSession, path: str) -> DataFrame:
+    return attribution_labels(spark.read.text(path))
+
+
+def shadow_labels(lines: DataFrame) -> DataFrame:
+    """Lines (value) of labels for a second judge: quotes, and evidence with the claim it is for."""
+    rows = _lines(lines, SHADOW)
     fine = F.col("kind").isin("quote", "evidence") & (F.col("chapter") > 0) & (F.trim("quote") != "") & F.col("expected").isNotNull() & ((F.col("kind") != "evidence") | F.col("claim").isNotNull())
     return _checked(rows, fine, SHADOW)
 
 
+def shadow_gold(spark: SparkSession, path: str) -> DataFrame:
+    return shadow_labels(spark.read.text(path))
+
+
 def located(gold: DataFrame, candidates: DataFrame) -> DataFrame:
     """Gold rows with the candidate (chapter, index, inner, char_start, char_end) they mean: the nth that contains the
     quote; status is found, missing, ambiguous or out_of_range."""
