@@ -356,7 +356,7 @@ def hit_validation(t):
     hits = found.unionByName(docs.select(F.lit(10**6).cast("long").alias("item_id"), "doc_id", F.lit("said by nobody").alias("content")))
     named = hits.select(F.format_string("%012d", "doc_id").alias("hit_id"), F.col("doc_id").cast("string").alias("knowledge_id"), "content", F.col("item_id").cast("double").alias("score"), "item_id")
     sources = docs.select(F.col("chapter_id").alias("knowledge_id"), "chapter_id", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"))
-    return K.evidence(named, sources, docs, 800).select("item_id", "doc_id", "char_start", "char_end")
+    return K.evidence(named, sources, docs.drop("doc_id"), 800).select("item_id", F.col("chapter_id").cast("long").alias("doc_id"), "char_start", "char_end")
 
 
 @query("""
