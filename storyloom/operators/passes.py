@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.attribution import UNKNOWN, Attributor
@@ -141,7 +141,7 @@ def proposals(answer: object) -> list[dict]:
 
 def judged(candidates: DataFrame, judge: Judge, question: str, choices: list[str]) -> DataFrame:
     """candidates (chapter_id, seq, claim, context) with the judge's choice, JUDGED_AT_ONCE at a time; facts are not
-    touched. A batch whose call fails is marked with its error."""
+    touched. A batch whose call fails is marked with its error. claim_hash binds a choice to what was judged."""
     group = F.floor((F.row_number().over(Window.partitionBy("chapter_id").orderBy("seq")) - 1) / JUDGED_AT_ONCE)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -152,10 +152,21 @@ def judged(candidates: DataFrame, judge: Judge, question: str, choices: list[str
             rows["error"] = None
         except Exception as e:
             rows["choice"], rows["error"] = None, str(e)
-        return rows[["chapter_id", "seq", "choice", "error"]]
+        return rows[["chapter_id", "seq", "claim_hash", "choice", "error"]]
 
     kind = candidates.schema["chapter_id"].dataType.simpleString()
-    return candidates.withColumn("batch", group).groupBy("chapter_id", "batch").applyInPandas(run, f"chapter_id {kind}, seq long, choice string, error string")
+    bound = candidates.withColumn("claim_hash", claim_hash(F.col("claim"), F.col("context")))
+    return bound.withColumn("batch", group).groupBy("chapter_id", "batch").applyInPandas(run, f"chapter_id {kind}, seq long, claim_hash string, choice string, error string")
+
+
+def claim_hash(claim: Column, context: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(claim.alias("claim"), context.alias("context"))), 256)
+
+
+def still_judged(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Reviews of claims that are still what was judged; those of changed or withdrawn ones count no more."""
+    now = candidates.select("chapter_id", "seq", claim_hash(F.col("claim"), F.col("context")).alias("claim_hash"))
+    return reviews.join(now, ["chapter_id", "seq", "claim_hash"], "left_semi")
 
 
 def digest(value: object) -> str:

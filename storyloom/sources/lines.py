@@ -81,16 +81,29 @@ def layouts(numbered: DataFrame, key: str = "path") -> DataFrame:
     return numbered.groupBy(key).agg(((F.count("*") >= LAYOUT_LINES) & (share >= LAYOUT_SHARE)).alias("indented_body"))
 
 
-def title_and_author(filename: str) -> tuple[str, str | None]:
-    """From a file's name: an author label, or a bracket group at its end that does not describe the file."""
-    stem = re.sub(r"\.[^.]+$", "", re.split(r"[\\/]", filename)[-1]).strip()
+#: The label of an author, and what parts words in a file's name.
+AUTHOR_LABEL = re.compile(r"(.*?)[\s_-]*作者[:：]\s*(.+)")
+BETWEEN = " \t_-"
+
+
+def _peeled(stem: str) -> Iterator[tuple[str, str | None]]:
+    """The name whole, then without its last bracket group, and so on: (what is left, what the group held)."""
+    inner = None
     while True:
-        if m := re.match(r"(.*?)[\s_-]*作者[:：]\s*(.+)$", stem):
-            return re.sub(r"[\s_-]+$", "", m[1].strip()), m[2].strip() or None
-        pair = next((p for p in BRACKETS if stem.endswith(p[1]) and stem.rfind(p[0]) > 0), None)
-        if pair is None:
-            return re.sub(r"[\s_-]+$", "", stem), None
-        at = stem.rfind(pair[0])
-        inner, stem = stem[at + 1 : -1].strip(), stem[:at].strip()
-        if not any(w in inner.lower() for w in NOT_AN_AUTHOR):
-            return re.sub(r"[\s_-]+$", "", stem), inner or None
+        yield stem, inner
+        opened = [stem.rfind(a) for a, b in BRACKETS if stem.endswith(b)]
+        if not opened or opened[0] <= 0:
+            return
+        stem, inner = stem[: opened[0]].strip(), stem[opened[0] + 1 : -1].strip()
+
+
+def title_and_author(filename: str) -> tuple[str, str | None]:
+    """From a file's name: the first, from its end, of an author's label and a bracket group that does not describe the file."""
+    name = re.split(r"[\\/]", filename)[-1]
+    left = ""
+    for left, inner in _peeled(re.sub(r"\.[^.]+$", "", name).strip()):
+        if inner is not None and not any(w in inner.lower() for w in NOT_AN_AUTHOR):
+            return left.rstrip(BETWEEN), inner or None
+        if m := AUTHOR_LABEL.fullmatch(left):
+            return m[1].strip().rstrip(BETWEEN), m[2].strip() or None
+    return left.rstrip(BETWEEN), None

@@ -107,6 +107,9 @@ def test_proposals_and_judging(spark):
 
     rows = [("c", i, "break" if i == 9 else "yes" if i % 2 else "no", "ctx") for i in range(12)]
     got = {r["seq"]: (r["choice"], r["error"]) for r in P.judged(spark.createDataFrame(rows, "chapter_id string, seq long, claim string, context string"), J(), "ok?", ["supports", "insufficient"]).collect()}
+    first = spark.createDataFrame(rows, "chapter_id string, seq long, claim string, context string")
+    later = spark.createDataFrame([("c", i, x if i else "yes, changed", "ctx") for _, i, x, _ in rows[:11]], first.schema)
+    assert sorted(r["seq"] for r in P.still_judged(P.judged(first, J(), "ok?", ["supports", "insufficient"]), later).collect()) == list(range(1, 11))
     assert got[1] == ("supports", None) and got[0] == ("uncertain", None) and got[8] == (None, "down") and len(got) == 12
 
 
