@@ -66,17 +66,24 @@ def import_books(store: TableStore, folder: str, label: str | None = None) -> Da
     named = split.withColumn("name", _named("path")).withColumns({"own_title": F.coalesce("book_title", "name.title"), "own_author": F.coalesce("author", "name.author")})
     new = named.withColumn("book_id", _ident("book_", "own_title", "own_author")).withColumn("label", F.lit(label) if label else F.element_at(F.split("path", "/"), -1))
     new = new.withColumn("edition_id", _ident("ed_", "book_id", "label")).withColumn("chapter_id", _ident("ch_", "edition_id", "index", "content_hash"))
+    staged, path = store.staged(new.drop("name", "book_title", "author", "warnings"))  # files are split once
     old = store.read("chapters", CHAPTERS)
     key = F.concat_ws("#", "edition_id", "kind", F.coalesce(F.col("number").cast("string"), F.concat(F.lit("@"), F.coalesce("title", F.lit("")))))
     same = F.concat_ws("#", "edition_id", "content_hash")
-    mine = old.join(new.select("edition_id").distinct(), "edition_id", "left_semi").select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h"))
-    match = M.matched(mine, new.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h")), "id", "k", "h")
-    kept = match.where("new_id is not null and old_id is not null").select(F.col("new_id").alias("chapter_id"), "old_id")
-    rows = new.join(kept, "chapter_id", "left").withColumn("chapter_id", F.coalesce("old_id", "chapter_id")).select([c.split()[0] for c in CHAPTERS.split(", ")])
-    store.upsert("books", new.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"]), ["book_id"])
-    store.upsert("editions", new.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"]), ["edition_id"])
+    touched = staged.select("edition_id").distinct()
+    mine = old.join(touched, "edition_id", "left_semi").select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h"))
+    match = M.matched(mine, staged.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h")), "id", "k", "h")
+    done = f"import_{uuid.uuid4().hex}"
+    told = match.select(F.lit(done).alias("import_id"), F.coalesce("old_id", "new_id").alias("chapter_id"), "how", F.col("new_id").alias("made_id"))
+    store.append("imports", told)
+    log = store.read("imports").where(F.col("import_id") == done)
+    kept = log.where("made_id is not null").select(F.col("made_id").alias("chapter_id"), F.col("chapter_id").alias("own_id"))
+    rows = staged.join(kept, "chapter_id").withColumn("chapter_id", F.col("own_id")).select([c.split()[0] for c in CHAPTERS.split(", ")])
+    store.upsert("books", staged.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"]), ["book_id"])
+    store.upsert("editions", staged.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"]), ["edition_id"])
     store.replace_scope("chapters", rows, ["edition_id"])
-    return match.select(F.coalesce("old_id", "new_id").alias("chapter_id"), "how")
+    store.files.remove(path)
+    return log.select("chapter_id", "how")
 
 
 def list_books(store: TableStore) -> DataFrame:
