@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,12 +76,14 @@ def import_books(store: TableStore, folder: str, label: str | None = None) -> Da
     match = M.matched(mine, staged.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h")), "id", "k", "h")
     done = f"import_{uuid.uuid4().hex}"
     told = match.select(F.lit(done).alias("import_id"), F.coalesce("old_id", "new_id").alias("chapter_id"), "how", F.col("new_id").alias("made_id"))
-    store.append("imports", told)
+    books = staged.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"])
+    editions = staged.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"])
+    with ThreadPoolExecutor(3) as pool:  # three tables that do not depend on one another; chapters follow, so none is without its edition
+        for f in [pool.submit(store.append, "imports", told), pool.submit(store.upsert, "books", books, ["book_id"]), pool.submit(store.upsert, "editions", editions, ["edition_id"])]:
+            f.result()
     log = store.read("imports").where(F.col("import_id") == done)
     kept = log.where("made_id is not null").select(F.col("made_id").alias("chapter_id"), F.col("chapter_id").alias("own_id"))
     rows = staged.join(kept, "chapter_id").withColumn("chapter_id", F.col("own_id")).select([c.split()[0] for c in CHAPTERS.split(", ")])
-    store.upsert("books", staged.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"]), ["book_id"])
-    store.upsert("editions", staged.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"]), ["edition_id"])
     store.replace_scope("chapters", rows, ["edition_id"])
     store.files.remove(path)
     return log.select("chapter_id", "how")
