@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.functions import charts
 from storyloom.operators import attribution as A
 from storyloom.operators import consistency, facts
 from storyloom.operators import history as H
@@ -34,9 +35,10 @@ EDITIONS = "edition_id string, book_id string, label string, path string"
 CHAPTERS = "book_id string, edition_id string, chapter_id string, index int, kind string, number int, title string, volume_title string, text string, content_hash string"
 RUNS = "chapter_id string, book_id string, pass string, attributor string, attempt int, status string, error string, at timestamp"
 SEGMENTS = "book_id string, chapter_id string, index int, kind string, char_start int, char_end int, speaker string, confidence double"
-RUN_KEY = ("chapter_id", "pass", "attributor")
 #: Chapters that are parsed and written at once, under a lease that is looked at before each such wave.
 AT_ONCE = 1000
+#: Bars of a report's charts.
+GROUPS = 30
 
 
 def _ident(prefix: str, *parts: Column | str) -> Column:
@@ -357,8 +359,8 @@ def report_rows(store: TableStore, book_id: str) -> tuple[DataFrame, DataFrame]:
     return listed, P.top_and_other(speakers, "speaker", "n", ["n"], 10)
 
 
-def report_html(store: TableStore, book_id: str, most: int = 10_000) -> str:
-    """A self-contained page of the report: totals, all speakers that count, and the chapters; of a book with more than
+def report_html(store: TableStore, book_id: str, most: int = 10_000, theme: str = "light") -> str:
+    """A self-contained page of the report: totals, charts over up to GROUPS runs of chapters, the largest speakers, and the chapters; of a book with more than
     most chapters the first ones, and a line that says how many more there are and what they add up to."""
     listed, speakers = report_rows(store, book_id)
     numbers = ["attributed", "unknown", "spoken_chars", "narration_chars"]
@@ -372,6 +374,10 @@ def report_html(store: TableStore, book_id: str, most: int = 10_000) -> str:
     if total["chapters"] > len(shown):
         rest = {c: total[c] - sum(r[c] for r in shown) for c in numbers}
         body += f"<p>{total['chapters'] - len(shown)} more chapters: " + ", ".join(f"{c} {n}" for c, n in rest.items()) + "</p>"
+    groups = P.bucketed(P.numbered(listed, "index"), GROUPS).groupBy("bucket").agg(F.min("index").alias("first"), *[F.sum(c).alias(c) for c in numbers]).orderBy("bucket").collect()
+    of = lambda *names: {n: [float(g[n]) for g in groups] for n in names}
+    labels = [str(g["first"]) for g in groups]
+    body += charts.stacked_bars(labels, of("attributed", "unknown"), theme=theme) + charts.stacked_bars(labels, of("narration_chars", "spoken_chars"), share=True, theme=theme)
     body += table(["speaker", "n"], speakers.collect())
     return f"<!doctype html><meta charset=utf-8><title>{name}</title><h1>{name}</h1>{body}"
 

@@ -2,11 +2,13 @@ import json
 import sys
 import time
 from concurrent.futures import ThreadPoolExecutor
+from xml.etree import ElementTree
 
 import pytest
 from pyspark import cloudpickle
 
 from storyloom import library as L
+from storyloom.functions import charts
 from storyloom.jobs import JobQueue
 from storyloom.operators import passes as P
 from storyloom.sources import adapters
@@ -46,6 +48,7 @@ def test_the_whole_way(store):
     assert L.search(store, "船呢", adapters.HashEmbedder(), [own], 1).first()["index"] == 0
     assert L.search(store, "船呢", adapters.HashEmbedder(), []).count() == 0
     page = L.report_html(store, own)
+    assert page.count("<svg") == 2 and ElementTree.fromstring(page[page.index("<svg") : page.index("</svg>") + 6]).tag.endswith("svg")
     assert "断桥记" in page and "沈舟" in page and page.count("<tr>") == 8
     assert [(r["status"], r["runs"]) for r in L.usage(store).collect()] == [("succeeded", 2)]
 
@@ -294,3 +297,14 @@ def test_consistency_pass_memory_and_sync(spark, tmp_path):
     at.write_text(STORY.replace("没有动", "没有走"), encoding="utf-8")
     L.import_books(s, str(tmp_path / "in"))
     assert L.sync_knowledge(s, own, base) == 3 and len(base.rows) == 2 and any("没有走" in r["content"] for r in base.rows.values())
+
+
+def test_charts():
+    assert charts.ticks(0) == [0.0] and charts.ticks(9) == [0, 2, 4, 6, 8, 10] and charts.ticks(1.0)[-1] == 1.0
+    for theme in charts.THEMES:
+        svg = ElementTree.fromstring(charts.stacked_bars(["a", "<b>"], {"x": [1, 0], "y": [3, 0]}, share=True, theme=theme))
+        bars = [float(r.get("height")) for r in svg.iter("{http://www.w3.org/2000/svg}rect")][:4]
+        assert bars[1] == pytest.approx(3 * bars[0], abs=0.2) and bars[2:] == [0, 0]
+        heat = ElementTree.fromstring(charts.heat_matrix(["r"], ["c", "d"], [[0, 7]], theme=theme))
+        assert [r.get("fill-opacity") for r in heat.iter("{http://www.w3.org/2000/svg}rect")] == ["0.04", "1.00"]
+    ElementTree.fromstring(charts.stacked_bars([], {}))
