@@ -308,3 +308,18 @@ def test_charts():
         heat = ElementTree.fromstring(charts.heat_matrix(["r"], ["c", "d"], [[0, 7]], theme=theme))
         assert [r.get("fill-opacity") for r in heat.iter("{http://www.w3.org/2000/svg}rect")] == ["0.04", "1.00"]
     ElementTree.fromstring(charts.stacked_bars([], {}))
+
+
+def test_commands(spark, store, tmp_path, capsys):
+    from storyloom import __main__ as shell
+
+    if not store.exists("books"):
+        L.import_books(store, str(store.folder))
+    own = shell.run(spark, store, "books", []).first()["book_id"]
+    assert shell.run(spark, store, "chapters", [own]).count() >= 2 and shell.run(spark, store, "parse", [own]).get("failed") is None
+    (tmp_path / "gold.jsonl").write_text('{"chapter": 1, "quote": "船呢", "speaker": "沈舟"}\n', encoding="utf-8")
+    assert shell.run(spark, store, "eval", [own, f"file://{tmp_path}/gold.jsonl"]).first()["correct"] == 1
+    shell.main(["--store", store.root, "editions", own])
+    assert "断桥记" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        shell.main(["--store", store.root, "nothing"])
