@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,3 +129,24 @@ class JobQueue:
             self.store.delete("jobs", self.store.spark.createDataFrame(old, "job string"), ["job"])
         return len(old)
 
+
+
+def work_off(store: TableStore, work: Callable[[str, int, Callable[[int], None]], object], name: str = "parse", parallel: int = 1, busy_s: float = 30.0) -> dict[str, int]:
+    """All jobs of a queue, so many at a time, each worker with a name of its own; how each ended. A job whose book
+    somebody else holds is tried again after busy_s."""
+
+    def one(_: int) -> Counter:
+        queue, ended = JobQueue(store, name), Counter()
+        while True:
+            status = queue.run_next(work)
+            if status == "waiting":
+                time.sleep(busy_s)
+            elif status is not None:
+                ended[status] += 1
+            elif queue.states().where("status = 'waiting'").isEmpty():
+                return ended
+            else:  # another worker was just taking one
+                time.sleep(0.05)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(sum(pool.map(one, range(parallel)), Counter()))

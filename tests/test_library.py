@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 
 from storyloom import library as L
 from storyloom.functions import charts
-from storyloom.jobs import JobQueue
+from storyloom.jobs import JobQueue, work_off
 from storyloom.operators import passes as P
 from storyloom.sources import adapters
 from storyloom.sources import store as store_module
@@ -323,3 +323,20 @@ def test_commands(spark, store, tmp_path, capsys):
     assert "断桥记" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         shell.main(["--store", store.root, "nothing"])
+
+
+def test_a_pool_works_a_queue_off(store):
+    q = JobQueue(store, "pool")
+    jobs = [q.enqueue(f"book{k}") for k in range(5)]
+    done = []
+
+    def work(book, start, told):
+        if book == "book3":
+            raise ValueError("no")
+        if book == "book1" and done.count(book) == 0:
+            done.append(book)
+            raise Conflict(book)
+        done.append(book)
+
+    assert work_off(store, work, "pool", parallel=2, busy_s=0.01) == {"succeeded": 4, "failed": 1}
+    assert sorted(done) == ["book0", "book1", "book1", "book2", "book4"] and q.get(jobs[3])["status"] == "failed" and not q.is_busy()
