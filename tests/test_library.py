@@ -1,4 +1,5 @@
 import json
+import random
 import sys
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -202,13 +203,13 @@ def test_of_many_takers_one_gets_a_stale_lease(store):
 
 
 def test_appends_add_folders_and_become_one(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store_module, "MOST_FOLDERS", 3)
+    monkeypatch.setattr(store_module, "MOST_PARTS", 3)
     s = TableStore(spark, f"file://{tmp_path}/db")
     rows = lambda n: spark.createDataFrame([(n,)], "n int")
     folders = []
     for n in range(7):
         s.append("log", rows(n))
-        folders.append(len(json.loads(s._notes("log").latest()[1])["paths"]))
+        folders.append(len(json.loads(s._notes("log").latest()[1])["parts"]))
     assert folders == [1, 2, 3, 1, 2, 3, 1] and sorted(r["n"] for r in s.read("log").collect()) == list(range(7))
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(lambda n: s.append("log", rows(n)), range(10, 18)))
@@ -216,6 +217,36 @@ def test_appends_add_folders_and_become_one(spark, tmp_path, monkeypatch):
     assert s.tidy("log") == 0 and s.tidy("log", older_s=0) > 0 and s.read("log").count() == 15
 
 
+def test_parts_hide_earlier_rows(spark, tmp_path, monkeypatch):
+    """Changes by different keys, in any order and however often the parts become one, against a plain list."""
+    rng = random.Random(5)
+    kind = "book string, n int, v int"
+    for most in (2, 100):
+        monkeypatch.setattr(store_module, "MOST_HIDING", most)
+        s, want = TableStore(spark, f"file://{tmp_path}/db{most}"), []
+        for step in range(14):
+            rows = [(rng.choice("abc"), n, step) for n in rng.sample(range(6), 3)]
+            df, what = spark.createDataFrame(rows, kind), rng.randrange(4) if step else 0
+            if what == 0:
+                s.append("t", df)
+                want += rows
+            elif what == 1:
+                s.upsert("t", df, ["book", "n"])
+                want = [w for w in want if w[:2] not in {r[:2] for r in rows}] + rows
+            elif what == 2:
+                s.replace_scope("t", df, ["book"])
+                want = [w for w in want if w[0] not in {r[0] for r in rows}] + rows
+            else:
+                n = s.delete("t", df, ["n"])
+                kept = [w for w in want if w[1] not in {r[1] for r in rows}]
+                assert n == len(want) - len(kept)
+                want = kept
+            assert sorted(map(tuple, s.read("t").collect())) == sorted(want), (step, what)
+        assert s.read("t").columns == ["book", "n", "v"]
+        with pytest.raises(ValueError):
+            s.append("t", spark.createDataFrame([(1,)], "other int"))
+
+
 def test_jobs(store):
     q = JobQueue(store, "test")
     a, b, c = (q.enqueue(x) for x in ("one", "two", "three"))
