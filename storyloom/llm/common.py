@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Most bytes and rows that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -66,6 +67,23 @@ def release(*tables: DataFrame) -> None:
         remove_table(df.sparkSession, _settled.pop(id(df)))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """df with the place (from 0) of each row among those of its group (columns without nulls) in that order.
+
+    Rows are dealt out by ranges of group and order and numbered where they lie; a range's first number is the sum of
+    the counts of the group's ranges before it, so no task holds more than its range, however large the group. Equal
+    rows are dealt out by where they lie in df, which should be a settled table.
+    """
+    width = shuffle_width(df.sparkSession)
+    keys = [*group, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(width, *keys).sortWithinPartitions(*keys)
+    held = settle(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id()), "numbered")
+    ranges = held.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = settle(ranges.select(*group, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "ranges")
+    return held.join(starts, [*group, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

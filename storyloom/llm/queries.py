@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, covertree, exact_dedup, language, lm, mixing, packing, secrets, sentences, simhash
+from storyloom.llm import chat, covertree, exact_dedup, language, lm, manifest, mixing, packing, secrets, sentences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -207,3 +207,54 @@ def op8_recurrent_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
     found, known = lm.fit_and_score(docs, ~lm.held_out("id", 7, 2))
     return found.select(F.col("id").alias("doc_id"), lm.held_out("id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FIELD = lambda x: f"coalesce(octet_length(encode({x}::varchar)) || ':' || {x}::varchar, '-')"
+_LEAF = lambda text: f"sha256({' || '.join(_FIELD(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+#: Steps of a CRC-32 over a byte's bits, and over the bytes of a text.
+_BITS = "list_reduce(list_prepend(i, range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: xor(a >> 8, crc[xor(a, b) & 255])), 4294967295)"
+
+MERKLE = f"""
+with recursive table_of as (select map(range(256), list_transform(range(256), lambda i: {_BITS})) as crc),
+     leaf as (select *, {_LEAF("text")} as leaf, coalesce({_CRC} % 5 = 0, false) as altered from documents, table_of),
+     ranked as (select *, case when altered then {_LEAF(f"translate(text, '{_UPPER}', '{_LOWER}')")} else leaf end as other,
+                       row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx from leaf),
+     node as (select 0 as lvl, source, idx, leaf as digest, count(*) over (partition by source) as n from ranked
+              union all
+              select lvl + 1, source, idx // 16, sha256(string_agg(digest, '' order by idx)), (any_value(n) + 15) // 16
+              from node where n > 1 group by lvl, source, idx // 16),
+     sub as (select source, lvl as height, digest, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from node where n = 1),
+     high as (select 0 as lvl, idx, digest, n from sub
+              union all
+              select lvl + 1, idx // 16, sha256(string_agg(digest, '' order by idx)), (any_value(n) + 15) // 16 from high where n > 1 group by lvl, idx // 16),
+     low_beside as (select *, coalesce(string_agg(digest, '') over (w rows between unbounded preceding and 1 preceding), '') as before,
+                           coalesce(string_agg(digest, '') over (w rows between 1 following and unbounded following), '') as after
+                    from node where n > 1 window w as (partition by lvl, source, idx // 16 order by idx)),
+     high_beside as (select *, coalesce(string_agg(digest, '') over (w rows between unbounded preceding and 1 preceding), '') as before,
+                            coalesce(string_agg(digest, '') over (w rows between 1 following and unbounded following), '') as after
+                     from high where n > 1 window w as (partition by lvl, idx // 16 order by idx)),
+     step as (select 0 as lvl, r.doc_id, r.source, r.leaf, r.idx as own, r.idx as at, s.idx as place, s.height, s.digest as subroot, r.other as acc, '' as proof
+              from ranked r join sub s on r.source is not distinct from s.source
+              union all
+              select s.lvl + 1, doc_id, s.source, leaf, own, case when s.lvl < height then s.at // 16 when s.lvl = height then place // 16 else s.at // 16 end,
+                     place, height, subroot, sha256(coalesce(l.before, h.before) || acc || coalesce(l.after, h.after)), proof || coalesce(l.before || l.after, h.before || h.after)
+              from step s left join low_beside l on s.lvl < height and l.lvl = s.lvl and l.source is not distinct from s.source and l.idx = s.at
+                          left join high_beside h on s.lvl >= height and h.lvl = s.lvl - height and h.idx = case when s.lvl = height then place else s.at end
+              where l.idx is not null or h.idx is not null),
+     last as (select * from step qualify row_number() over (partition by source, own order by lvl desc) = 1),
+     root as (select digest as root from high where n = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, acc as folded_root, acc = root as verified from last, root
+"""
+
+
+@query(MERKLE)
+def op13_merkle_manifest(spark, sf_dir):
+    """The Merkle manifest of all documents by source, and what each leads to when a fifth of their texts are changed."""
+    docs = table(spark, sf_dir, "documents")
+    altered = {"text": F.translate("text", _UPPER, _LOWER)}
+    found = manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered=altered, when=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    folded = manifest.folded(F.coalesce("other", "digest"), F.col("steps"))
+    told = found.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(manifest.proof(F.col("steps")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
