@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, covertree, exact_dedup, language, lm, manifest, mixing, packing, secrets, sentences, simhash
+from storyloom.llm import chat, chosen_path, covertree, exact_dedup, language, lm, manifest, mixing, packing, phrases, secrets, sentences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,3 +258,57 @@ def op13_merkle_manifest(spark, sf_dir):
     folded = manifest.folded(F.coalesce("other", "digest"), F.col("steps"))
     told = found.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(manifest.proof(F.col("steps")), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+NEAR = rf"""
+with recursive w as (select doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') as words from documents),
+     g as (select doc_id, case when len(words) = 0 then [] when len(words) = 1 then words
+                               else list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) end as grams from w),
+     x as (select doc_id, len(grams) as n, unnest(grams) as gram from g),
+     k as (select doc_id, n, gram, row_number() over (partition by doc_id order by f, gram) as place
+           from x join (select gram, count(*) as f from x group by gram) using (gram)),
+     -- pairs of that similarity share one of the rarest shingles of either
+     c as (select distinct a.doc_id as a, b.doc_id as b from k a join k b on a.gram = b.gram and a.doc_id < b.doc_id
+           where a.place <= a.n - ceil(0.8 * a.n) + 1 and b.place <= b.n - ceil(0.8 * b.n) + 1 and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+     l as (select a, b from (select a, b, len(list_intersect(p.grams, q.grams)) as shared, len(p.grams) + len(q.grams) as n
+           from c join g p on p.doc_id = a join g q on q.doc_id = b) where 100 * shared >= 80 * (n - shared)),
+     edge as (select a, b from l union all select b, a from l),
+     reach as (select doc_id, doc_id as root from g union select r.doc_id, e.b from reach r join edge e on r.root = e.a)
+select g.doc_id, len(grams)::bigint as n_shingles, min(root) as component_id, g.doc_id = min(root) as kept from g join reach using (doc_id) group by g.doc_id, grams
+"""
+
+
+@query(NEAR)
+def op11_chosen_path_near_dedup(spark, sf_dir):
+    """Near copies: sets of 2-word shingles of Jaccard similarity 0.8, by chosen-path trees and exact sets."""
+    found = chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+COLLOCATIONS = rf"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOW}, '[.,;:!?
+-
+]')) as piece from documents),
+     w as (select lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') as words from piece),
+     total as (select lang, sum(len(words))::bigint as n from w group by lang),
+     gram as (select lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i : i + k - 1])) as words
+              from w, (select unnest(range(1, 6)) as k) where len(words) >= k),
+     f as (select lang, words, count(*) as f from gram group by lang, words having count(*) >= 100),
+     cand as (select lang, words, f as a, len(words) as k from f where len(words) >= 2),
+     cut as (select lang, words, a, unnest(range(1, k)) as spot from cand),
+     scored as (select c.lang, c.words, c.a, c.spot, l.f as l, r.f as r, n, ((1000::hugeint * c.a * n) // (l.f::hugeint * r.f))::bigint as score
+                from cut c join total t on t.lang = c.lang join f l on l.lang = c.lang and l.words = c.words[1 : c.spot]
+                join f r on r.lang = c.lang and r.words = c.words[c.spot + 1 :]),
+     weakest as (select * from scored qualify row_number() over (partition by lang, words order by score, spot) = 1),
+     part as (select lang, a, words[i : j] as words from cand, unnest(range(1, k + 1)) as x(i), unnest(range(1, k + 1)) as y(j) where j > i and j - i + 1 < k),
+     inside as (select lang, words, max(a) as longer from part group by lang, words),
+     kept as (select s.*, array_to_string(s.words, ' ') as phrase from weakest s left join inside i on i.lang = s.lang and i.words = s.words
+              where i.longer is null or 100 * i.longer < 100 * s.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept qualify rank <= 2000
+"""
+
+
+@query(COLLOCATIONS)
+def op12_phrase_collocations(spark, sf_dir):
+    """Each language's best phrases of 2 to 5 words that occur 100 times, by their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -178,7 +178,7 @@ def _link_cells(batches: Iterator[pa.RecordBatch], radius: int, words: int, few:
         yield out
 
 
-def _linked(cells: DataFrame, radius: int, words: int, few: int = 0) -> DataFrame:
+def linked_cells(cells: DataFrame, radius: int, words: int, few: int = 0) -> DataFrame:
     """Rows (t, key, name, w0, w1, ...) -> links (a, b) of names. Crowded cells are cut into pairs of chunks."""
     marks = [f"w{i}" for i in range(words)]
     crowded = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
@@ -194,7 +194,7 @@ def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) whose components are those of all pairs within the radius."""
     masks = block_masks(marks.count(), radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
-    return _linked(marks.select(F.col("fp").alias("name"), F.col("fp").alias("w0"), F.inline(tables)), radius, 1)
+    return linked_cells(marks.select(F.col("fp").alias("name"), F.col("fp").alias("w0"), F.inline(tables)), radius, 1)
 
 
 def grouped(marked: DataFrame, radius: int) -> DataFrame:
@@ -424,21 +424,26 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
 def _similar(texts: DataFrame, tied: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Texts and their components of candidates (name, root) -> links (a, b) of similar texts, and the settled sets that
-    they are read from. Crowded components are cut into pairs of chunks."""
+    they are read from."""
     words = tied.groupBy(F.expr(f"pmod(shiftrightunsigned(name, 6), {SLOTS})").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(name & 63 as int)))").alias("bits"))
     slots = np.zeros(SLOTS, np.int64)
     for r in words.collect():
         slots[r["at"]] = r["bits"]
     sets = texts.mapInArrow(partial(_sets_of, shingle=shingle, slots=slots.view(np.uint64)), "name long, set binary")
     held = settle(sets.dropDuplicates(["name"]), "candidate-sets")
-    members = tied.join(held, "name")
+    return linked_sets(tied.join(held, "name"), similarity), held
+
+
+def linked_sets(members: DataFrame, similarity: float) -> DataFrame:
+    """Sets by component of candidates (name, root, set) -> links (a, b) of similar ones. Crowded components are cut into
+    pairs of chunks."""
     crowded = members.groupBy("root").agg(F.sum(F.length("set") / 8).alias("n")).where(F.col("n") > 2 * CHUNK)
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
     dealt = members.join(crowded, "root", "left").select("root", "name", "set", chunks.alias("k"), F.pmod(F.xxhash64("name"), chunks).alias("c"))
     paired = dealt.select("root", "name", "set", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
     placed = paired.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "name", "set")
     order = ["root", "i", "j"]
-    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_verified, similarity=similarity), "a long, b long"), held
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
 
 
 def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
@@ -469,7 +474,7 @@ def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = keys.mapInArrow(_shared, "key long, name long")
     cells = settle(shared.join(distinct, "name").select(F.lit(0).cast("long").alias("t"), "key", "name", *marks), "wide-cells")
     release(sketches)
-    near = components(_linked(cells, candidate_radius(similarity), WORDS, FEW)).withColumnRenamed("node", "name")
+    near = components(linked_cells(cells, candidate_radius(similarity), WORDS, FEW)).withColumnRenamed("node", "name")
     release(cells)
     links_found, sets = _similar(own.select("text"), near, shingle, similarity)
     tied = components(links_found)
