@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyloom.functions.arrays import running
+
 #: Fixed value: what counts as white space at the ends of a line.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
@@ -37,27 +39,22 @@ def excerpt(text: Column, start: Column, end: Column, radius: int) -> Column:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """Starts of the non-overlapping occurrences from the left, as array<int>; the gaps between them add up to them."""
-    pieces = F.transform(F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), F.lit(-1)), F.length)
-    inner = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    step = lambda a, n: F.struct((a["at"] + n + F.length(needle)).alias("at"), F.concat(a["found"], F.array(a["at"] + n)).alias("found"))
-    return F.when(F.length(needle) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(inner, start, step, lambda a: a["found"]))
+    """Starts of the non-overlapping occurrences from the left, as array<int>: running sums of the gaps between them."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = F.transform(F.split(text, quoted, F.lit(-1)), F.length)
+    before = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    found = F.zip_with(running(F.transform(before, lambda n: n + F.length(needle))), before, lambda at, n: at + n)
+    return F.when(F.length(needle) == 0, F.array().cast("array<int>")).otherwise(found)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Spans (char_start, char_end) of the pattern's matches from the left; the pattern has no groups and matches no
-    empty text. The pieces between the matches and the matches add up to the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.transform(F.split(text, F.lit(pattern), F.lit(-1)), F.length)
-    lengths = F.zip_with(F.slice(before, F.lit(1), F.size(found)), F.transform(found, F.length), lambda a, b: F.struct(a.alias("before"), b.alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char_start:int,char_end:int>>").alias("spans"))
-
-    def step(a, x):
-        span = F.struct((a["at"] + x["before"]).alias("char_start"), (a["at"] + x["before"] + x["own"]).alias("char_end"))
-        return F.struct(span["char_end"].alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
-
-    return F.aggregate(lengths, start, step, lambda a: a["spans"])
+    empty text. Running sums of the pieces between the matches, and of the matches, are the offsets."""
+    own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    before = F.slice(F.transform(F.split(text, F.lit(pattern), F.lit(-1)), F.length), F.lit(1), F.size(own))
+    at = running(F.zip_with(before, own, lambda a, b: a + b))
+    starts = F.zip_with(at, before, lambda a, b: a + b)
+    return F.zip_with(starts, own, lambda start, n: F.struct(start.alias("char_start"), (start + n).alias("char_end")))
 
 
 def line_at(text: Column, at: Column) -> Column:

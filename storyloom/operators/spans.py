@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions import text as X
+from storyloom.functions.arrays import running
+from storyloom.operators.intervals import sweep
 
 
 def paragraphs(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """One row per line of the text: keys, index, char_start, char_end, paragraph.
 
-    Offsets are a running sum inside the row's own array, so no shuffle is needed.
+    Offsets are running sums of the lines' lengths inside the row, so no shuffle is needed.
     """
     lines = F.split(F.col(text_col), "\n", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda a, p: F.struct((a["at"] + F.length(p) + 1).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
-    starts = F.aggregate(lines, start, step, lambda a: a["starts"])
+    starts = running(F.transform(lines, lambda p: F.length(p) + 1))
     rows = docs.where(F.col(text_col).isNotNull()).select(*keys, F.posexplode(F.arrays_zip(lines.alias("p"), starts.alias("s"))).alias("index", "x"))
     return rows.select(*keys, "index", F.col("x.s").alias("char_start"), (F.col("x.s") + F.length("x.p")).alias("char_end"), F.col("x.p").alias("paragraph"))
 
@@ -35,15 +35,16 @@ def contains(outer: tuple[Column, Column], inner: tuple[Column, Column]) -> Colu
 
 
 def at_offset(spans: DataFrame, points: DataFrame, keys: list[str], offset: str) -> DataFrame:
-    """Each point with the span of the same keys that holds it: equality on the keys, the range as a residual."""
-    joined = points.join(spans, keys, "left").where((F.col("char_start") <= F.col(offset)) & (F.col(offset) < F.col("char_end")))
-    return joined
+    """Each point with the span of the same keys that holds it."""
+    point = (F.col(offset), F.col(offset) + 1)
+    return sweep(points, spans, keys, point, (F.col("char_start"), F.col("char_end")))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Intersections of spans (char_start, char_end) of left with spans (s_start, s_end) of right, of equal keys."""
+    met = sweep(left, right, keys, (F.col("char_start"), F.col("char_end")), (F.col("s_start"), F.col("s_end")))
     start, end = F.greatest("char_start", "s_start"), F.least("char_end", "s_end")
-    return left.join(right, keys).where(start < end).withColumns({"char_start": start, "char_end": end}).drop("s_start", "s_end")
+    return met.withColumns({"char_start": start, "char_end": end}).drop("s_start", "s_end")
 
 
 def gaps(spans: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +62,8 @@ def segments(spoken: DataFrame, scenes: DataFrame, lengths: DataFrame, keys: lis
     scenes: keys, scene, s_start, s_end.
     """
     narration = overlaps(gaps(spoken, lengths, keys), scenes, keys).select(*keys, "char_start", "char_end", "scene", F.lit("narration").alias("kind"))
-    said = spoken.join(scenes, keys).where("s_start <= char_start and char_start < s_end").select(*keys, "char_start", "char_end", "scene", F.lit("dialogue").alias("kind"))
+    begins = (F.col("char_start"), F.col("char_start") + 1)
+    said = sweep(spoken, scenes, keys, begins, (F.col("s_start"), F.col("s_end"))).select(*keys, "char_start", "char_end", "scene", F.lit("dialogue").alias("kind"))
     order = Window.partitionBy(*keys).orderBy("char_start")
     return said.unionByName(narration).withColumn("index", F.row_number().over(order) - 1)
 
@@ -90,15 +92,26 @@ def partition_errors(items: DataFrame, keys: list[str], total: Column, code: str
 def greedy_longest(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Of overlapping candidates (char_start, char_end, ...) the leftmost, then longest, kept from the left.
 
-    A fold over each key's sorted candidates: whether one is kept depends on the one kept before it.
+    Whether one is kept depends on the one kept before it, so a key's candidates are one ordered stream; a task holds a
+    batch of them at a time.
     """
     rest = [c for c in candidates.columns if c not in (*keys, "char_start", "char_end")]
-    ordered = F.array_sort(F.collect_list(F.struct("char_start", (-F.col("char_end")).alias("far"), *rest)))
-    kind = candidates.select(F.struct("char_start", (-F.col("char_end")).alias("far"), *rest).alias("x")).schema["x"].dataType.simpleString()
-    start = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{kind}>").alias("kept"))
-    step = lambda a, x: F.when(x["char_start"] < a["until"], a).otherwise(F.struct((-x["far"]).alias("until"), F.concat(a["kept"], F.array(x)).alias("kept")))
-    held = candidates.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.inline(F.aggregate("_all", start, step, lambda a: a["kept"])))
-    return held.select(*keys, "char_start", (-F.col("far")).alias("char_end"), *rest)
+    ordered = candidates.select(*keys, "char_start", "char_end", *rest)
+    n = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, until = None, 0
+        for b in batches:
+            take = []
+            for row in b.iloc[:, : n + 2].itertuples(index=False, name=None):
+                if row[:n] != key:
+                    key, until = row[:n], row[n]
+                take.append(row[n] >= until)
+                until = row[n + 1] if take[-1] else until
+            yield b[take]
+
+    order = [*keys, F.asc("char_start"), F.desc("char_end"), *rest]
+    return ordered.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, ordered.schema)
 
 
 def mentions(docs: DataFrame, lexicon: list[tuple[str, str]], keys: list[str], text_col: str = "text") -> DataFrame:
@@ -182,12 +195,15 @@ def _located(batches: Iterator[pd.DataFrame], quotes: list[tuple]) -> Iterator[p
 
 
 def cover(spoken: Column, length: Column) -> Column:
-    """Spoken spans (char_start, char_end) in order, and the narration between them: segments that tile [0, length)."""
+    """Spoken spans (char_start, char_end) in order, and the narration between them: segments that tile [0, length).
+
+    Each span is paired with the gap before it once, so the cost is that of the spans' number."""
     piece = lambda a, b, kind: F.struct(a.cast("int").alias("char_start"), b.cast("int").alias("char_end"), F.lit(kind).alias("kind"))
-    before = lambda i: F.when(i > 0, F.element_at(spoken, i)["char_end"]).otherwise(0)
-    pairs = F.transform(spoken, lambda x, i: F.array(piece(before(i), x["char_start"], "narration"), piece(x["char_start"], x["char_end"], "dialogue")))
-    last = F.when(F.size(spoken) > 0, F.element_at(spoken, -1)["char_end"]).otherwise(0)
-    return F.filter(F.concat(F.flatten(pairs), F.array(piece(last, length, "narration"))), lambda x: x["char_start"] < x["char_end"])
+    said = F.transform(spoken, lambda x: piece(x["char_start"], x["char_end"], "dialogue"))
+    starts = F.concat(F.transform(spoken, lambda x: x["char_start"].cast("int")), F.array(length.cast("int")))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spoken, lambda x: x["char_end"].cast("int")))
+    between = F.zip_with(ends, starts, lambda a, b: piece(a, b, "narration"))
+    return F.filter(F.flatten(F.zip_with(between, said, lambda a, b: F.array(a, b))), lambda x: x["char_start"] < x["char_end"])
 
 
 def fitted(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
