@@ -18,7 +18,8 @@ Defined results: null texts and roles count as empty; turns go by ``turn``, null
 repeated rows are turns of their own; rows with a null conversation id form one conversation with a null id; an
 empty table gives an empty result; further columns are ignored, also those whose names other layouts use. In
 records, roles and texts that are no strings become their JSON text; half surrogate pairs become U+FFFD; an id that
-is no 64-bit whole number, or none at all, becomes a hash of the id, or of the record; a message that is no object
+is no 64-bit whole number (however long), or none at all, becomes a hash of the id, or of the record; field names
+that look like paths are no paths; a message that is no object
 is an error of its record.
 """
 
@@ -94,9 +95,16 @@ def layout_of(paths: set[str], rows: bool) -> tuple[str, Layout | None]:
     return mark, _chosen[key]
 
 
+def step_to(at: str, name: str) -> str:
+    """The path of a field below another path: marks of paths inside its name are escaped, and a name is never nothing,
+    so no name looks like a longer path."""
+    own = re.sub(r"[\\.\[]", r"\\\g<0>", name) or "\\"
+    return f"{at}.{own}" if at else own
+
+
 def paths_of_type(kind: T.DataType, at: str = "") -> set[str]:
     if isinstance(kind, T.StructType):
-        return set().union(*(paths_of_type(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields))
+        return set().union(*(paths_of_type(f.dataType, step_to(at, f.name)) for f in kind.fields))
     if isinstance(kind, T.ArrayType):
         return paths_of_type(kind.elementType, f"{at}[]")
     return {at}
@@ -105,7 +113,7 @@ def paths_of_type(kind: T.DataType, at: str = "") -> set[str]:
 def paths_of_value(value, at: str = "") -> set[str]:
     """The paths of a parsed record's fields; lists and objects have one as well, as a text may be given as either."""
     if isinstance(value, dict):
-        return {at}.union(*(paths_of_value(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return {at}.union(*(paths_of_value(v, step_to(at, k)) for k, v in value.items()))
     if isinstance(value, list):
         return {at}.union(*(paths_of_value(v, f"{at}[]") for v in value))
     return {at}
@@ -152,11 +160,16 @@ def _own_id(value, line: str) -> int:
     return xxhash.xxh64_intdigest(mark.encode("utf-8", "replace")) - 2**63
 
 
+def _whole(digits: str) -> int | str:
+    """A JSON number; one too long for a number of Python's stays text."""
+    return int(digits) if len(digits) <= 4000 else digits
+
+
 def turns_of_record(line: str | None) -> dict:
     """conv_id, fingerprint, layout, turns and error of a JSON record."""
     out = {"conv_id": None, "fingerprint": None, "layout": None, "turns": [], "error": None}
     try:
-        record = json.loads(line) if line is not None else None
+        record = json.loads(line, parse_int=_whole) if line is not None else None
         out["fingerprint"], found = layout_of(paths_of_value(record), rows=False)
         if found is None:
             return out | {"error": "no layout has these fields" if isinstance(record, dict) else "no object"}
@@ -165,6 +178,8 @@ def turns_of_record(line: str | None) -> dict:
             turns = [(role, _text(_at(record, path))) for path, role in found.fields]
         else:
             messages = _at(record, found.list)
+            if not isinstance(messages, list):
+                return out | {"conv_id": own, "layout": found.name, "error": f"{found.list} is no list"}
             wrong = [i for i, m in enumerate(messages) if not isinstance(m, dict)]
             if wrong:
                 return out | {"conv_id": own, "layout": found.name, "error": f"message {wrong[0]} is no object"}
