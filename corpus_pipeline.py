@@ -51,8 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of windows of 2048 tokens."""
-    return packing.pack(docs, VOCABULARY)
+    """The pieces of windows of 2048 tokens, each with its document's language: the label, or what was found."""
+    return packing.pack(docs, VOCABULARY, carry=("lang",))
 
 
 #: Texts cannot be put through a tokenizer or a random projection in SQL: tests compare with plain versions.

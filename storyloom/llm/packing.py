@@ -5,8 +5,10 @@ left over is placed at once, online: of all fill levels at which an open window
 new window) it goes to the one that makes the sum over levels of the squared number of partially filled windows
 smallest. A level array holds those counts, so a placement costs one vectorised pass over at most ``capacity``
 levels, whatever the number of windows; the fullest of equally good levels is taken. Full windows are given out at
-once. While OPEN windows are open none is added: a piece that fits into none of them whole is cut at the window of
-the level that holds most of them, which it fills, and what is left of it is placed by the rule again. When a task
+once. While open windows hold OPEN_BYTES of ids none is added: a piece that fits into none of them whole is cut at the
+window of the level that holds most of them, which it fills, and what is left of it is placed by the rule again. So
+the bound is one of memory (some thousands of windows, far more than a task's documents usually need), and the counts
+that the rule squares are those of all that is open. When a task
 ends, the pieces of its emptiest windows are placed into the others in the same way until one is left, so at most
 one window a task stays partial. Documents are never shuffled.
 
@@ -38,8 +40,8 @@ from storyloom.llm.common import prepare, raw, rows_of
 
 CAPACITY = 2048
 END_ID = 1
-#: Open windows that a task holds at most before it cuts pieces; each holds less than CAPACITY ids.
-OPEN = 32
+#: Bytes of ids that a task's open windows hold before it cuts pieces.
+OPEN_BYTES = 16 << 20
 #: Characters tokenised at once.
 CHARS = 1 << 20
 #: Unicode's White_Space.
@@ -95,12 +97,12 @@ def token_bytes(text: str, path: str) -> bytes:
     return b"".join(np.array(encode(part), "<u4").tobytes() for part in split_text(text))
 
 
-def ids_of(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
-    """(id, ids with the end) of each (id, text)."""
+def ids_of(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[tuple, bytes]]:
+    """((id, carried columns), ids with the end) of each (text, id, carried columns)."""
     end = np.array([end_id], "<u4").tobytes()
     for b in rows_of(batches):
-        for own, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
-            yield own, token_bytes(text.decode("utf-8", "replace"), path) + end
+        for text, *own in zip(raw(b.column(0)), *(c.to_pylist() for c in b.columns[1:]), strict=True):
+            yield tuple(own), token_bytes(text.decode("utf-8", "replace"), path) + end
 
 
 class Levels:
@@ -110,7 +112,7 @@ class Levels:
         self.capacity = capacity
         self.count = np.zeros(capacity + 1, np.int64)  # partial windows at each level; 0 and capacity stay 0
         self.windows: list[list[list]] = [[] for _ in range(capacity)]
-        self.open = 0
+        self.open = self.ids = 0  # windows that are open, and the ids in them
 
     def best(self, size: int, new: bool = True) -> int | None:
         """The level whose choice makes the sum of squared counts smallest, the fullest of equals; 0 is a new window,
@@ -129,6 +131,7 @@ class Levels:
     def take(self, level: int) -> list:
         self.count[level] -= 1
         self.open -= 1
+        self.ids -= level
         return self.windows[level].pop()
 
     def place(self, piece: tuple, new: bool = True) -> Iterator[list]:
@@ -150,6 +153,7 @@ class Levels:
         self.windows[level + size].append(window)
         self.count[level + size] += 1
         self.open += 1
+        self.ids += level + size
 
     def finish(self) -> Iterator[list]:
         """Place the pieces of the emptiest windows into the others until one is left."""
@@ -160,32 +164,32 @@ class Levels:
             yield self.take(int(np.flatnonzero(self.count)[0]))
 
 
-def pack_stream(docs: Iterator[tuple[int | None, bytes]], capacity: int) -> Iterator[list[tuple]]:
+def pack_stream(docs: Iterator[tuple[object, bytes]], capacity: int, open_bytes: int | None = None) -> Iterator[list[tuple]]:
     """Windows of pieces (doc, start, ids, doc_tokens), each given out when it can take no more."""
-    levels, step = Levels(capacity), 4 * capacity
+    levels, step, most = Levels(capacity), 4 * capacity, OPEN_BYTES if open_bytes is None else open_bytes
     for doc, ids in docs:
         total = len(ids) // 4
         whole = total // capacity * step
         for at in range(0, whole, step):
             yield [(doc, at // 4, ids[at : at + step], total)]
         if whole < len(ids):
-            yield from levels.place((doc, whole // 4, ids[whole:], total), new=levels.open < OPEN)
+            yield from levels.place((doc, whole // 4, ids[whole:], total), new=4 * levels.ids < most)
     yield from levels.finish()
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, carried: list[str]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 40
     rows: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-        kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
+        names = ("doc_id", *carried, "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+        kinds = [pa.binary() if n == "ids" else pa.string() if n in carried else pa.int64() for n in names]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for window in pack_stream(ids_of(batches, path, end_id), capacity):
         offset = 0
         for doc, start, ids, total in window:
-            rows.append((doc, start, len(ids) // 4, ids, total, number, offset))
+            rows.append((*doc, start, len(ids) // 4, ids, total, number, offset))
             offset += len(ids) // 4
         number += 1
         if len(rows) >= 1000:
@@ -195,8 +199,11 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: i
         yield batch()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: doc_id, the carried columns of its document as text, start, length, ids (little-endian
+    unsigned 32-bit), doc_tokens, sequence_id, offset. Carried columns have names that no other column has."""
     prepare(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(partial(_pack, path=tokenizer_path, capacity=capacity, end_id=end_id), PIECES)
+    plain = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(carry)])
+    first, rest = PIECES.split(", ", 1)
+    schema = ", ".join([first, *[f"`{c}` string" for c in carry], rest])
+    return plain.mapInArrow(partial(_pack, path=tokenizer_path, capacity=capacity, end_id=end_id, carried=list(carry)), schema)

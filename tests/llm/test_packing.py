@@ -107,10 +107,10 @@ def test_pieces_are_cut_only_where_no_open_window_takes_them():
         assert (fits or new) == (not any(p[0] == k and len(p[2]) // 4 < size for w in full for p in w))
 
 
-@pytest.mark.parametrize("most", [4, packing.OPEN])
+@pytest.mark.parametrize("most", [1 << 14, packing.OPEN_BYTES])
 def test_most_windows_are_filled_online(spark, monkeypatch, most):
     """Nine windows in ten are filled before the stream ends, and all but one are full."""
-    monkeypatch.setattr(packing, "OPEN", most)
+    monkeypatch.setattr(packing, "OPEN_BYTES", most)
     docs = [(r["doc_id"], packing.token_bytes(r["text"], PATH) + b"\1\0\0\0") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     windows, online, ended = 0, 0, False
 
@@ -126,6 +126,26 @@ def test_most_windows_are_filled_online(spark, monkeypatch, most):
     assert partial <= 1 and online > 0.9 * windows
 
 
+def test_the_rule_is_not_best_fit(spark):
+    """At least a third of all placements go to another level than the fullest window that takes the piece."""
+    docs = [packing.token_bytes(r["text"], PATH) + b"\1\0\0\0" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    levels, other, placed = packing.Levels(2048), 0, 0
+    for ids in docs:
+        size = len(ids) // 4 % 2048
+        if size:
+            fitting = [h for h in range(1, 2048 - size + 1) if levels.count[h]]
+            placed, other = placed + 1, other + (levels.best(size) != max(fitting, default=0))
+            list(levels.place((0, 0, ids[: 4 * size], size)))
+    assert 4 * levels.ids == sum(len(p[2]) for level in levels.windows for w in level for p in w) < packing.OPEN_BYTES
+    assert other >= placed / 3, (other, placed)
+
+
+def test_carried_columns(spark, docs_of):
+    rows = [(1, "a b", "de"), (2, None, None), (3, "word " * 3000, "fr")]
+    found = packing.pack(docs_of(rows).withColumn("start", F.lit(1)), PATH, carry=("lang",)).collect()
+    assert {(r["doc_id"], r["lang"]) for r in found} == {(1, "de"), (2, None), (3, "fr")} and found[0].__fields__[:3] == ["doc_id", "lang", "start"]
+
+
 def test_query(spark):
     rows = op4_sum_of_squares_packing(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -147,7 +167,7 @@ def test_edges(spark, docs_of, monkeypatch):
 
 @pytest.mark.parametrize("sizes", [[1100] * 50, [2047, 1] * 20, [2048, 4096, 3], []])
 def test_stream(sizes, monkeypatch):
-    monkeypatch.setattr(packing, "OPEN", 16)
+    monkeypatch.setattr(packing, "OPEN_BYTES", 1 << 16)
     docs = [(i, np.full(n, i, "<u4").tobytes()) for i, n in enumerate(sizes)]
     windows = list(packing.pack_stream(iter(docs), 2048))
     fill = [sum(len(p[2]) // 4 for p in w) for w in windows]
