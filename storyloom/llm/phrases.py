@@ -11,7 +11,7 @@ its first word are (Apriori).
 2. A level. In the sequence of frequent phrases of k - 1 words, two neighbours that overlap are a phrase of k words
    whose parts are frequent: its key is the pair of their numbers, exactly 64 bits.
    - Mappers count keys by hashed buckets (bincount); the arrays are summed in a tree. A bucket below the threshold
-     holds no frequent phrase. Buckets follow the pairs and the threshold: their mean load is an eighth of it at most.
+     holds no frequent phrase. Buckets follow the pairs and the threshold: their mean load is a quarter of it at most.
    - The distinct keys in the other buckets are the candidates. A minimal perfect hash over them, whose keys are
      stored by slot, is built for each shard of about SLOTS keys.
    - Mappers look up the slots of their keys, verified against the stored ones, and bincount them; the arrays are
@@ -49,12 +49,12 @@ TOP = 2000
 #: Keys of one perfect hash: what a mapper holds is some 30 bytes a key.
 SLOTS = 1 << 21
 #: Tokens and distinct words that a task codes together.
-TOKENS = 1 << 22
-DISTINCT = 400_000
+TOKENS = 1 << 20
+DISTINCT = 150_000
 #: Characters split at once.
 CHARS = 1 << 20
 #: Counters that a task keeps as one array; beyond, it gives out what each row of the input has.
-DENSE = 1 << 23
+DENSE = 1 << 22
 #: Buckets at most: their bits reach the driver. Beyond, more keys are candidates; the result is the same.
 BUCKETS = 1 << 29
 #: Counters summed together, and the lanes of the first round of sums.
@@ -233,8 +233,8 @@ def _reaching(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
 
 def sieve_of(level: DataFrame, pairs: int, least: int) -> Filter:
-    """The filter of a level's keys. Buckets are a power of two, eight times as many as frequent keys there can be."""
-    bits = min(BUCKETS.bit_length() - 1, max(16, (8 * pairs // least).bit_length()))
+    """The filter of a level's keys. Buckets are a power of two, four times as many as frequent keys there can be."""
+    bits = min(BUCKETS.bit_length() - 1, max(16, (4 * pairs // least).bit_length()))
     told = tree_sum(level.mapInArrow(partial(_bucket_counts, bits=bits), ARRAYS)).mapInArrow(partial(_reaching, least=least), "chunk long, bits binary")
     held = np.zeros((1 << bits) // 8, np.uint8)
     for r in told.toLocalIterator():

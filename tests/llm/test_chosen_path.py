@@ -107,7 +107,7 @@ def test_signatures_estimate_the_similarity():
             both = rng.integers(0, 2**64, n * 8, dtype=np.uint64)
             a, b = (np.unique(np.r_[both, rng.integers(0, 2**64, n, dtype=np.uint64)]) for _ in range(2))
             words = chosen_path.fingerprints(np.stack([chosen_path.selected(a), chosen_path.selected(b)]))
-            apart.append(int(np.bitwise_count(words[0] ^ words[1]).sum()))
+            apart.append(int(np.bitwise_count((words[0] ^ words[1]).view(np.uint64)).sum()))
         assert max(apart) <= chosen_path.radius_of(0.8) and 20 < np.mean(apart) < 32, (n, apart)
 
 

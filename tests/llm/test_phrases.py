@@ -52,15 +52,15 @@ def corpus(rng, n):
     return out
 
 
-@pytest.mark.parametrize(("slots", "tokens", "dense"), [(1 << 21, 1 << 22, 1 << 23), (7, 60, 1 << 23), (40, 300, 100)])
+@pytest.mark.parametrize(("slots", "tokens", "dense"), [(1 << 21, 1 << 20, 1 << 22), (7, 900, 1 << 22), (40, 2000, 100)])
 def test_against_plain_counts(spark, monkeypatch, slots, tokens, dense):
     """Whatever is cut into shards, batches and sparse counters."""
     for name, value in (("SLOTS", slots), ("TOKENS", tokens), ("DENSE", dense), ("CHARS", 16 if slots == 7 else 1 << 20)):
         monkeypatch.setattr(phrases, name, value)
-    rows = corpus(random.Random(slots), 260)
+    rows = corpus(random.Random(slots), 700)
     docs = spark.createDataFrame(rows + rows[:5], "text string, lang string").withColumns({"id": F.lit(1), "n": F.lit("x")})
-    found = phrases.collocations(docs.repartition(5), min_count=25, top=20)
-    want = plain(rows + rows[:5], 25, top=20)
+    found = phrases.collocations(docs.repartition(5), min_count=12, top=20)
+    want = plain(rows + rows[:5], 12, top=20)
     assert len(want) > 30 and told(found) == want
 
 
