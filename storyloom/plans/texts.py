@@ -8,7 +8,10 @@ from storyloom.functions import text as X
 from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
 from storyloom.operators import spans as S
+from storyloom.operators.cells import CellIndex
+from storyloom.operators.inverted import BlockIndex, words
 from storyloom.plans.registry import query
+from storyloom.shared import new_path
 
 PARAGRAPHS = """
 with p as (select doc_id, unnest(string_split(text, chr(10))) as paragraph, generate_subscripts(string_split(text, chr(10)), 1) - 1 as index, length(text) as total from documents),
@@ -150,6 +153,42 @@ def keyword_recall(t):
     return R.keyword_top_k(t("documents").select("doc_id", "text"), ["than", "para", "und", "mentent"], 25, "doc_id", "text").select("doc_id", "score")
 
 
+TERMS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+@query(f"""
+with d as (select doc_id, unnest({TERMS.format("text")}) as term from documents),
+     w as (select term, length(bin((select count(*) from documents) // count(*))) as weight from d group by term),
+     q as (select item_id, unnest({TERMS.format("text")}) as term from benchmark),
+     s as (select item_id, doc_id, sum(weight)::bigint as score from q join d using (term) join w using (term) group by item_id, doc_id)
+select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s qualify rank <= 5
+""")
+def indexed_recall(t):
+    """The five documents that share most with each quote, rare words counting more: many queries at once through an
+    inverted index with block maxima (O-04, C-02, C-04). Half of the documents are appended to the index later."""
+    docs = t("documents").select("doc_id", "text")
+    held = BlockIndex(docs.sparkSession, new_path(docs.sparkSession, "index"))
+    half = docs.agg(F.expr("max(doc_id) div 2")).first()[0] or 0
+    held.append(docs.where(F.col("doc_id") <= half), "doc_id", "text")
+    held.append(docs.where(F.col("doc_id") > half), "doc_id", "text")
+    hits, _ = held.search(t("benchmark").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("terms")), 5, weighted=True)
+    return hits.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), "score", "rank")
+
+
+@query("""
+with s as (select q.vec_id as query_id, e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as similarity from embeddings q, embeddings e)
+select query_id, row_number() over (partition by query_id order by similarity desc, vec_id)::int as rank, vec_id, label, round(similarity, 6) as similarity from s qualify rank <= 5
+""")
+def cell_search(t):
+    """The five scenes closest to each scene, all in one job through vector cells with exact bounds (O-03, C-06, J-20)."""
+    scenes = t("embeddings").select("vec_id", "label", "embedding")
+    size = scenes.agg(F.max(F.size("embedding"))).first()[0]
+    held = CellIndex(scenes.sparkSession, new_path(scenes.sparkSession, "cells"), size)
+    held.build(scenes)
+    hits, _ = held.search(scenes.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5, ["vec_id"])
+    return hits.select("query_id", "rank", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""
 with recursive p as (select source, doc_id, n_chars as cost, row_number() over (partition by source order by doc_id) as n from documents),
      f as (select source, 0::bigint as n, 0::bigint as used, -1::bigint as kept from (select distinct source from documents)
