@@ -4,10 +4,10 @@ A phrase is 2 to LONGEST words that stand together in a piece of text between pu
 phrases are found length by length; a phrase can only be frequent if both phrases that it has but for its last and
 its first word are (Apriori).
 
-1. Words. A task codes its texts once, by local numbers; words and counts go through one aggregate, which gives the
-   frequent words their numbers and each language its total. Each batch learns the numbers of its own frequent words
-   by a join, so no dictionary is sent whole anywhere. What follows reads sequences of numbers, in which everything
-   else is a break.
+1. Words. A task codes its texts once, by local numbers, in rows that hold their own words; words and counts go through
+   one aggregate, which gives the frequent words their numbers and each language its total. The frequent words go to
+   all tasks (in shards of VOCABULARY, one after the other), and each row finds the numbers of its own words. What
+   follows reads sequences of numbers, in which everything else is a break.
 2. A level. In the sequence of frequent phrases of k - 1 words, two neighbours that overlap are a phrase of k words
    whose parts are frequent: its key is the pair of their numbers, exactly 64 bits.
    - Mappers count keys by hashed buckets (bincount); the arrays are summed in a tree. A bucket below the threshold
@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ MIN_COUNT = 100
 TOP = 2000
 #: Keys of one perfect hash: what a mapper holds is some 30 bytes a key.
 SLOTS = 1 << 21
+#: Frequent words that a task looks up at once, some 100 bytes each.
+VOCABULARY = 1 << 19
 #: Tokens and distinct words that a task codes together.
 TOKENS = 1 << 20
 DISTINCT = 150_000
@@ -78,26 +81,23 @@ def split_words(text: bytes) -> Iterator[list[bytes]]:
     yield [MARK]
 
 
+CODED = "lang string, words binary, counts binary, codes binary"
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> for each batch and language a row with its codes (0 is a break), and a row for each word of it."""
-    task, number = TaskContext.get().partitionId(), 0
+    """(lang, text) -> rows of CODED: a batch's words of one language, how often each occurs, and its texts as numbers
+    of these words, from 1; 0 is a break."""
     words: dict[str, dict[bytes, int]] = {}
     codes: dict[str, list[np.ndarray]] = defaultdict(list)
     held = 0
-    names = ["batch", "lang", "word", "code", "n", "ids"]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal number, held
+        nonlocal held
         for lang, own in words.items():
-            all_codes = np.concatenate(codes[lang])
-            counts = np.bincount(all_codes, minlength=len(own))
-            batch = task << 32 | number
-            number += 1
-            del own[MARK]
-            code = np.fromiter(own.values(), np.int32, len(own))
-            texts = pa.array(list(own), pa.binary()).cast(pa.string())
-            yield pa.record_batch([pa.array(np.full(len(own), batch)), pa.array([lang] * len(own), pa.string()), texts, pa.array(code), pa.array(counts[code]), pa.nulls(len(own), pa.binary())], names=names)
-            yield pa.record_batch([pa.array([batch]), pa.array([lang], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([all_codes.tobytes()], pa.binary())], names=names)
+            together = np.concatenate(codes[lang])
+            counts = np.bincount(together, minlength=len(own))[1:]
+            parts = [b" ".join(list(own)[1:]), counts.tobytes(), together.tobytes()]
+            yield pa.record_batch([pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in parts]], names=["lang", "words", "counts", "codes"])
         words.clear()
         codes.clear()
         held = 0
@@ -117,6 +117,27 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, words, counts) -> (lang, word, n)."""
+    for b in rows_of(batches):
+        for lang, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if words:
+                own = pa.array(words.split(b" "), pa.binary()).cast(pa.string())
+                yield pa.record_batch([pa.array([lang] * len(own), pa.string()), own, pa.array(np.frombuffer(counts, np.int64))], names=["lang", "word", "n"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
+    """(lang, words, codes, numbers) -> the same with the numbers of those words that are told."""
+    for b in rows_of(batches):
+        for lang, words, codes, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            known, own = told.value.get(lang, {}), words.split(b" ") if words else []
+            numbers = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
+            if before is not None:
+                numbers = np.maximum(numbers, np.frombuffer(before, np.int64))
+            columns = [pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in (words, codes, numbers.tobytes())]]
+            yield pa.record_batch(columns, names=["lang", "words", "codes", "numbers"])
+
+
 def squeezed(ids: np.ndarray) -> np.ndarray:
     """Runs of two numbers or more, each followed by one break (-1)."""
     there = np.r_[False, ids >= 0, False]
@@ -144,14 +165,26 @@ def sequences(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(codes, the numbers of those that are frequent) -> sequences."""
+    """(codes, the numbers of the words) -> sequences."""
     for b in rows_of(batches):
-        for codes, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            codes = np.frombuffer(codes, np.int32)
-            number = np.full(int(codes.max(initial=0)) + 1, -1, np.int64)
-            for x in known or ():
-                number[x["code"]] = x["id"]
-            yield sequence_row(number[codes])
+        for codes, numbers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield sequence_row(np.r_[-1, np.frombuffer(numbers, np.int64)][np.frombuffer(codes, np.int32)])
+
+
+def encoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The settled sequences of frequent words (lang, word, id)."""
+    spark = coded.sparkSession
+    shards = max(1, -(-vocabulary.count() // VOCABULARY))
+    rows = coded.select("lang", "words", "codes", F.lit(None).cast("binary").alias("numbers"))
+    for shard in range(shards):
+        known: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for r in vocabulary.where(F.pmod(F.xxhash64("lang", "word"), F.lit(shards)) == shard).select("lang", "word", "id").toLocalIterator():
+            known[r["lang"]][r["word"].encode()] = r["id"]
+        told = spark.sparkContext.broadcast(dict(known))
+        rows = rows.mapInArrow(partial(_looked_up, told=told), "lang string, words binary, codes binary, numbers binary")
+        if shards > 1:  # no worker holds the words of several shards at once
+            rows = settle(rows, "looked-up")
+    return settle(rows.select("codes", "numbers").mapInArrow(_encoded, SEQUENCE), "sequences")
 
 
 class Filter:
@@ -370,14 +403,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     (all words of the language), score (the floor of 1000 a n / (l r))."""
     prepare(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded = settle(plain.mapInArrow(_coded, "batch long, lang string, word string, code int, n long, ids binary"), "coded")
-    words = coded.where("word is not null").select("batch", "lang", "word", "code", "n")
+    coded = settle(plain.mapInArrow(_coded, CODED), "coded")
+    words = coded.select("lang", "words", "counts").mapInArrow(_word_counts, "lang string, word string, n long")
     counts = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
     totals = settle(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     vocabulary = settle(numbered(counts.where(F.col("a") >= min_count).withColumn("all", F.lit(0)), ["all"], ["lang", "word"], "id").drop("all"), "vocabulary")
-    known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("batch").agg(F.collect_list(F.struct("code", "id")).alias("known"))
-    codes = coded.where("ids is not null").select("batch", "ids")
-    level = settle(codes.join(known, "batch", "left").select("ids", "known").mapInArrow(_encoded, SEQUENCE), "sequences")
+    level = encoded(coded, vocabulary)
     release(coded, counts)
 
     below = vocabulary.select("id", "lang", F.col("word").alias("phrase"), "word", "a", F.array("a").alias("firsts"), F.array("a").alias("lasts"))
