@@ -104,14 +104,3 @@ def cleared(rows: DataFrame, scope: DataFrame, keys: list[str], columns: list[st
     """Derived pointers of the rows in scope become null; the rows stay."""
     hit = rows.join(scope.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left")
     return hit.withColumns({c: F.when(F.col("_hit").isNull(), F.col(c)) for c in columns}).drop("_hit")
-
-
-def reassigned(rows: DataFrame, entity: str, at: str, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of an entity from a chapter on go to another one: merges (from the start) and splits alike.
-
-    moves: source_id, target_id, since (null: always). Returns the rows, and the audit: source_id, target_id, n.
-    """
-    since = moves.select(F.col("source_id").alias("_source"), "target_id", F.col("since").alias("_since"))
-    joined = rows.join(since, (F.col(entity) == F.col("_source")) & (F.col("_since").isNull() | (F.col(at) >= F.col("_since"))), "left")
-    audit = joined.where("target_id is not null").groupBy(F.col("_source").alias("source_id"), "target_id").agg(F.count("*").alias("n"))
-    return joined.withColumn(entity, F.coalesce("target_id", entity)).drop("_source", "target_id", "_since"), audit

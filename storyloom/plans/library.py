@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from storyloom.operators import facts as K
 from storyloom.operators import history as H
 from storyloom.operators import maintenance as M
 from storyloom.plans.registry import query
@@ -270,16 +271,27 @@ def memory_projection(t):
     return states.unionByName(relations).unionByName(events).unionByName(threads)
 
 
-@query("""
-with h as (select o_orderkey, o_custkey, o_orderdate, sha256(o_orderkey || ':' || o_orderstatus) as h from orders)
-select o_orderkey, h, lag(h) over (partition by o_custkey order by o_orderdate, o_orderkey) as parent from h
-""")
+AUDIT = """
+with h as (select o_orderkey, o_custkey, o_orderdate, sha256(o_orderkey || ':' || o_orderstatus) as h from orders),
+     e as (select *, lag(h) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from h),
+     stored as (select o_orderkey, o_custkey, o_orderdate, h, case o_orderkey % 5 when 0 then case when o_orderkey % 25 = 0 then null else before end when 1 then case when o_orderkey % 11 = 0 then h else before end else before end as parent from e where o_orderkey % 31 <> 7),
+     c as (select o_orderkey, parent, lag(h) over (partition by o_custkey order by o_orderdate, o_orderkey) as expected from stored)
+"""
+
+
+@query(AUDIT + "select o_orderkey, parent, expected from c where parent is distinct from expected")
 def audit_chain(t):
-    """Each audit entry with the hash of the one before it (J-24)."""
+    """Audit entries whose stored parent is not the hash of the entry before (J-24, X-12): parents that were lost or
+    replaced, and entries after one that was taken out."""
     h = F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), F.col("o_orderstatus")), 256)
     rows = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", h.alias("h"))
-    parent = F.lag("h").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return rows.select("o_orderkey", "h", parent.alias("parent"))
+    line = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    own = F.col("o_orderkey")
+    lost, replaced = own % 25 == 0, (own % 5 == 1) & (own % 11 == 0)
+    parent = F.when(replaced, F.col("h")).when(~lost, F.col("before"))
+    stored = rows.withColumn("before", F.lag("h").over(line)).where(own % 31 != 7).withColumn("parent", parent)
+    entries = stored.select("o_orderkey", F.col("o_custkey").alias("chain"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.col("h").alias("hash"), "parent")
+    return K.broken_chain(entries).select("o_orderkey", "parent", "expected")
 
 
 @query("select o_orderkey, o_orderpriority, o_totalprice from orders order by o_orderpriority, o_totalprice desc, o_orderkey limit 50")

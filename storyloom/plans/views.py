@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import text as X
 from storyloom.operators import facts as K
 from storyloom.operators import history as H
+from storyloom.operators import identity as I
 from storyloom.operators import maintenance as M
 from storyloom.operators import spans as S
 from storyloom.operators import validate as V
@@ -57,7 +58,7 @@ def linked_counts(t):
 
 
 STATUS = """
-with r as (select user_id, bool_or(event_type = 'purchase') as done, arg_max(event_type, (ts, event_id)) as last from events where ts >= timestamp '2024-01-29' group by user_id),
+with r as (select user_id, bool_or(event_type = 'purchase') as done, arg_max(event_type, (ts, event_id)) as last from events group by user_id),
      s as (select c_custkey, case when done then 'parsed' when last = 'click' then 'running' when last = 'error' then 'failed' when last = 'view' then 'interrupted' else 'unparsed' end as status,
                   md5(c_name) as h, case when c_nationkey < 5 then null when c_nationkey < 10 then 'old' else md5(c_name) end as sent
            from customer left join r on c_custkey = user_id)
@@ -68,7 +69,7 @@ with r as (select user_id, bool_or(event_type = 'purchase') as done, arg_max(eve
 def chapter_status(t):
     """Each chapter's parse status, whether it is unfinished, and whether its external document is stale (P-14, P-17, J-14)."""
     last = F.max_by("event_type", F.struct("ts", "event_id"))
-    runs = t("events").where("ts >= timestamp_ntz'2024-01-29'").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("done"), last.alias("last"))
+    runs = t("events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("done"), last.alias("last"))
     joined = t("customer").join(runs, F.col("c_custkey") == F.col("user_id"), "left")
     status = W.parse_status(F.col("done"), F.col("last") == "click", F.col("last") == "error", F.col("last") == "view")
     h = F.md5("c_name")
@@ -131,25 +132,40 @@ def derived_cleared(t):
 
 
 MOVES = """
-with m as (select p_partkey as source_id, case when p_size = 1 then p_partkey + 1 else -p_partkey end as target_id, case when p_size = 1 then null else timestamp '1998-01-01' end as since from part where p_size in (1, 50)),
-     j as (select l_orderkey, l_linenumber, l_partkey, target_id from lineitem left join m on l_partkey = source_id and (since is null or l_shipdate >= since))
+with recursive m as (select p_partkey as source_id, case when p_size <= 25 then p_partkey + 1 else -p_partkey end as target_id, case when p_size = 49 then timestamp '1997-01-01' when p_size = 50 then timestamp '1998-01-01' end as since
+                     from part where p_size <= 25 or p_size >= 49),
+     way as (select source_id, target_id, 1 as n from m where since is null union all select way.source_id, m.target_id, n + 1 from way join m on m.source_id = way.target_id and m.since is null),
+     root as (select source_id, arg_max(target_id, n) as root_id, max(n) as n from way group by source_id),
+     r as (select l_orderkey, l_linenumber, l_partkey, l_shipdate, coalesce(root_id, l_partkey) as now from lineitem left join root on l_partkey = root.source_id),
+     j as (select l_partkey, coalesce(target_id, now) as entity from r left join m on now = m.source_id and m.since <= l_shipdate)
 """
 
 
+def _moves(t):
+    target = F.expr("case when p_size <= 25 then p_partkey + 1 else -p_partkey end")
+    since = F.expr("case when p_size = 49 then timestamp_ntz'1997-01-01' when p_size = 50 then timestamp_ntz'1998-01-01' end")
+    return t("part").where("p_size <= 25 or p_size >= 49").select(F.col("p_partkey").alias("source_id"), target.alias("target_id"), since.alias("since"))
+
+
 def _moved(t):
-    moves = t("part").where("p_size in (1, 50)").select(F.col("p_partkey").alias("source_id"), F.expr("case when p_size = 1 then p_partkey + 1 else -p_partkey end").alias("target_id"), F.expr("case when p_size = 50 then timestamp_ntz'1998-01-01' end").alias("since"))
-    return M.reassigned(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), "l_partkey", "l_shipdate", moves)
+    return I.reassigned(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), "l_partkey", "l_shipdate", _moves(t))
+
+
+@query(MOVES + "select source_id, root_id from root")
+def merged_identities(t):
+    """Who each merged entity is in the end, after chains of merges (D-13): pointer doubling."""
+    return I.roots(_moves(t).where("since is null"))
 
 
-@query(MOVES + "select coalesce(target_id, l_partkey) as entity, count(*) as n from j group by 1")
+@query(MOVES + "select entity, count(*) as n from j group by 1")
 def entity_merge_split(t):
-    """Mentions after entities were merged, or split from a chapter on (D-13)."""
+    """Mentions after entities were merged, one into the next, or split from a chapter on (D-13)."""
     return _moved(t)[0].groupBy(F.col("l_partkey").alias("entity")).agg(F.count("*").alias("n"))
 
 
-@query(MOVES + "select l_partkey as source_id, target_id, count(*) as n from j where target_id is not null group by all")
+@query(MOVES + "select l_partkey as source_id, entity as target_id, count(*) as n from j where entity <> l_partkey group by all")
 def entity_move_audit(t):
-    """What each merge or split moved (D-13's audit)."""
+    """What each merge or split moved, and where to (D-13's audit)."""
     return _moved(t)[1]
 
 
@@ -242,24 +258,22 @@ def latest_wins(t):
     return W.latest_answers(t("events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
-LOG = """event_type <> 'view' or value > 90"""
-#: Jobs that only wait, that never end, and that end or not.
-LOGGED = """job % 3 = 0 and event = 'enqueued' or job % 3 = 1 and event not in ('succeeded', 'failed') or job % 3 = 2 and event <> 'started' and (seq % 100 < 60 or event = 'enqueued')"""
+#: A log entry's job: the reader, by the day, so there are jobs with few entries and many states.
+EVENT = "case event_type when 'signup' then 'enqueued' when 'view' then 'progress' when 'click' then 'started' when 'purchase' then 'succeeded' else 'failed' end"
 
 
 @query(f"""
-with l as (select user_id % 7 as queue, user_id as job, event_id as seq, ts as moment,
-                  case event_type when 'signup' then 'enqueued' when 'view' then 'progress' when 'click' then 'started' when 'purchase' then 'succeeded' else 'failed' end as event from events where {LOG}),
+with l as (select user_id % 7 as queue, user_id || ':' || (event_id % 97) as job, event_id as seq, ts as moment, {EVENT} as event from events),
      p as (select queue, job, max((moment, seq)) filter (event = 'enqueued') as came, arg_min(event, seq) filter (event in ('succeeded', 'failed')) as ended,
-                  coalesce(max(seq) filter (event in ('started', 'progress')), -1) > coalesce(max(seq) filter (event = 'enqueued'), -1) as started, count(*) filter (event = 'progress') as progress from l where {LOGGED} group by queue, job),
+                  coalesce(max(seq) filter (event in ('started', 'progress')), -1) > coalesce(max(seq) filter (event = 'enqueued'), -1) as started, count(*) filter (event = 'progress') as progress from l group by queue, job),
      s as (select *, coalesce(ended, case when started then 'running' when came is not null then 'waiting' else 'unknown' end) as status from p)
 select queue, job, status, progress, case when status = 'waiting' then row_number() over (partition by queue, status = 'waiting' order by came, job) end::int as place from s
 """)
 def queue_states(t):
-    """Jobs of several queues from their log: status, progress and the place of those that wait (R-05, R-06)."""
-    event = F.expr("case event_type when 'signup' then 'enqueued' when 'view' then 'progress' when 'click' then 'started' when 'purchase' then 'succeeded' else 'failed' end")
-    log = t("events").where(LOG).select((F.col("user_id") % 7).alias("queue"), F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), event.alias("event"))
-    return W.queue_states(log.where(LOGGED))
+    """Jobs of several queues from their whole log: status, progress and the place of those that wait (R-05, R-06)."""
+    job = F.concat(F.col("user_id").cast("string"), F.lit(":"), (F.col("event_id") % 97).cast("string"))
+    log = t("events").select((F.col("user_id") % 7).alias("queue"), job.alias("job"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.expr(EVENT).alias("event"))
+    return W.queue_states(log)
 
 
 @query("""
