@@ -20,6 +20,7 @@ from storyloom.operators import attribution as A
 from storyloom.operators import consistency, facts
 from storyloom.operators import history as H
 from storyloom.operators import maintenance as M
+from storyloom.operators import reorder as O
 from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
 from storyloom.operators import spans as S
@@ -57,8 +58,10 @@ def import_books(store: TableStore, folder: str, label: str | None = None) -> Da
 
     A book is a title with an author, told by the e-book itself or by the file's name. An edition of it is a label, the
     file's name if none is given; two files of one book are two editions, and their chapters do not mix. An edition that
-    is there already is reconciled by content: its chapters keep their ids. Returns one row per chapter: edition_id,
-    chapter_id and how (kept, edited, added, removed).
+    is there already is reconciled by content: its chapters keep their ids, and only chapters that are new, or whose text,
+    heading, volume or place is another, are written; of a file that did not change nothing is. Returns one row per
+    chapter: chapter_id, how (kept, edited, added, removed) and moved, whether it changed its place among those that
+    stay.
     """
     files = lines.read_files(store.spark, folder)
     none = F.lit(None).cast("string")
@@ -69,26 +72,65 @@ def import_books(store: TableStore, folder: str, label: str | None = None) -> Da
     named = split.withColumn("name", _named("path")).withColumns({"own_title": F.coalesce("book_title", "name.title"), "own_author": F.coalesce("author", "name.author")})
     new = named.withColumn("book_id", _ident("book_", "own_title", "own_author")).withColumn("label", F.lit(label) if label else F.element_at(F.split("path", "/"), -1))
     new = new.withColumn("edition_id", _ident("ed_", "book_id", "label")).withColumn("chapter_id", _ident("ch_", "edition_id", "index", "content_hash"))
-    staged, path = store.staged(new.drop("name", "book_title", "author", "warnings"))  # files are split once
-    old = store.read("chapters", CHAPTERS)
-    key = F.concat_ws("#", "edition_id", "kind", F.coalesce(F.col("number").cast("string"), F.concat(F.lit("@"), F.coalesce("title", F.lit("")))))
-    same = F.concat_ws("#", "edition_id", "content_hash")
+    rows = new.drop("name", "book_title", "author", "warnings")
+    again = not files.select("path").join(store.read("editions", EDITIONS).select("path"), "path", "left_semi").isEmpty()
+    # Texts are set aside when the files are likely to be new; else those of changed chapters are split once more.
+    staged, path = store.staged(rows.drop("text") if again else rows)
     touched = staged.select("edition_id").distinct()
-    mine = old.join(touched, "edition_id", "left_semi").select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h"))
-    match = M.matched(mine, staged.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h")), "id", "k", "h")
-    done = f"import_{uuid.uuid4().hex}"
-    told = match.select(F.lit(done).alias("import_id"), F.coalesce("old_id", "new_id").alias("chapter_id"), "how", F.col("new_id").alias("made_id"))
+    old = store.read("chapters", CHAPTERS).drop("text").join(touched, "edition_id", "left_semi")
+    told, _ = store.staged(_reconciled(old, staged.drop("text")))
+    found = {(r["how"], r["changed"]): r["count"] for r in told.groupBy("how", "changed").count().collect()}
     books = staged.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"])
     editions = staged.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"])
+    done = f"import_{uuid.uuid4().hex}"
+    log = told.where("how <> 'kept' or moved").select(F.lit(done).alias("import_id"), "chapter_id", "how", "moved")
+
+    def put(name: str, kind: str, made: DataFrame, key: str) -> None:
+        """Those that are not there as they are."""
+        there = store.read(name, kind).select([F.col(c).alias(f"_{c}") for c in made.columns])
+        other = made.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in made.columns], "left_anti")
+        if not other.isEmpty():
+            store.upsert(name, other, [key])
+
     with ThreadPoolExecutor(3) as pool:  # three tables that do not depend on one another; chapters follow, so none is without its edition
-        for f in [pool.submit(store.append, "imports", told), pool.submit(store.upsert, "books", books, ["book_id"]), pool.submit(store.upsert, "editions", editions, ["edition_id"])]:
+        jobs = [pool.submit(put, "books", BOOKS, books, "book_id"), pool.submit(put, "editions", EDITIONS, editions, "edition_id")]
+        if any(how != "kept" or changed for how, changed in found):
+            jobs.append(pool.submit(store.append, "imports", log))
+        for f in jobs:
             f.result()
-    log = store.read("imports").where(F.col("import_id") == done)
-    kept = log.where("made_id is not null").select(F.col("made_id").alias("chapter_id"), F.col("chapter_id").alias("own_id"))
-    rows = staged.join(kept, "chapter_id").withColumn("chapter_id", F.col("own_id")).select([c.split()[0] for c in CHAPTERS.split(", ")])
-    store.replace_scope("chapters", rows, ["edition_id"])
+    if any(changed for _, changed in found):
+        own = told.where("changed").select(F.col("made_id").alias("chapter_id"), F.col("chapter_id").alias("own_id"))
+        made = (rows if again else staged).join(own, "chapter_id").withColumn("chapter_id", F.col("own_id")).select([c.split()[0] for c in CHAPTERS.split(", ")])
+        if all(how == "added" for how, changed in found if changed):
+            store.append("chapters", made)
+        else:
+            store.upsert("chapters", made, ["chapter_id"])
+    if any(how == "removed" for how, _ in found):
+        store.delete("chapters", told.where("how = 'removed'").select("chapter_id"), ["chapter_id"])
     store.files.remove(path)
-    return log.select("chapter_id", "how")
+    return told.select("chapter_id", "how", "moved")
+
+
+#: What a chapter's row says of it, besides its text.
+PLACED = ["index", "kind", "number", "title", "volume_title"]
+
+
+def _reconciled(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chapters that are there against those of a file: chapter_id (the one that stays), made_id (the file's), how,
+    moved, and changed: whether its row must be written."""
+    key = F.concat_ws("#", "edition_id", "kind", F.coalesce(F.col("number").cast("string"), F.concat(F.lit("@"), F.coalesce("title", F.lit("")))))
+    same = F.concat_ws("#", "edition_id", "content_hash")
+    told = lambda rows: rows.select(F.col("chapter_id").alias("id"), key.alias("k"), same.alias("h"))
+    match = M.matched(told(old), told(new), "id", "k", "h")
+    row = lambda rows, side: rows.select(F.col("chapter_id").alias(f"{side}_id"), F.col("edition_id").alias(f"{side}_edition"), F.struct(*PLACED).alias(side))
+    both = match.join(row(old, "old"), "old_id", "left").join(row(new, "new"), "new_id", "left")
+    pairs = both.select(F.coalesce("new_edition", "old_edition").alias("edition_id"), "old_id", "new_id", "how", "old", "new", F.col("old.index").alias("old_at"), F.col("new.index").alias("new_at"))
+    stays = F.col("old_at").isNotNull() & F.col("new_at").isNotNull()
+    placed = pairs.where(stays).select("edition_id", F.col("new_id").alias("made_id"), "old_at", "new_at")
+    moved = O.moves(placed, ["edition_id"], "old_at", "new_at").select(F.col("made_id").alias("new_id"), "moved")
+    changed = (F.col("how") != "removed") & ((F.col("how") != "kept") | ~F.col("old").eqNullSafe(F.col("new")))
+    joined = pairs.join(moved, "new_id", "left").fillna(False, ["moved"])
+    return joined.select(F.coalesce("old_id", "new_id").alias("chapter_id"), F.col("new_id").alias("made_id"), "how", "moved", changed.alias("changed"))
 
 
 def list_books(store: TableStore) -> DataFrame:

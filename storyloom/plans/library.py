@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.operators import facts as K
 from storyloom.operators import history as H
 from storyloom.operators import maintenance as M
+from storyloom.operators import reorder as O
 from storyloom.plans.registry import query
 
 
@@ -201,6 +202,29 @@ def chapter_reconcile(t):
     return M.matched(old, kept.unionByName(added), "id", "k", "h")
 
 
+#: The new order of a source's documents: by a hash, so it is any; some are taken out, and their places close up.
+_SHUFFLED = "substr(md5(doc_id::varchar), 1, case when doc_id % 3 = 0 then 4 else 0 end)"
+
+
+@query(f"""
+with o as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as old_at, row_number() over (partition by source order by {_SHUFFLED}, doc_id) - 1 as new_at from documents where doc_id % 7 <> 0 and source is not null),
+     l as (select source, list(old_at order by new_at) as places from o group by source),
+     -- the length of the longest run that ends at each place: one more than that of the smaller ones before it
+     n as (select source, places, list_reduce(list_prepend([]::bigint[], list_transform(places, lambda x: [x])),
+                  lambda a, x: list_append(a, 1 + coalesce(list_max(list_transform(range(1, len(a) + 1), lambda j: case when places[j] < x[1] then a[j] else 0 end)), 0)::bigint)) as lengths from l),
+     k as (select source, places, list_reduce(list_prepend([list_max(lengths)], list_transform(range(len(places), 0, -1), lambda i: [i::bigint])),
+                  lambda a, i: case when a[1] > 0 and lengths[i[1]] = a[1] then list_append(list_prepend(a[1] - 1, a[2:]), i[1]) else a end)[2:] as stays from n)
+select o.source, doc_id, old_at, new_at, not list_contains(stays, new_at + 1) as moved from o join k on o.source = k.source
+""")
+def chapter_moves(t):
+    """Which chapters a re-import moves: as few as can be, the others keep their order (D-11, J-17)."""
+    docs = t("documents").where("doc_id % 7 <> 0 and source is not null").select("source", "doc_id")
+    new = F.when(F.col("doc_id") % 3 == 0, F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4)).otherwise("")
+    place = lambda *order: (F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1).cast("long")
+    placed = docs.withColumn("new", new).withColumns({"old_at": place("doc_id"), "new_at": place("new", "doc_id")}).drop("new")
+    return O.moves(placed, ["source"], "old_at", "new_at")
+
+
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
 def duplicate_keys(t):
     """Keys that occur more than once (A-21, V-03)."""

@@ -371,3 +371,34 @@ def test_a_pool_works_a_queue_off(store):
 
     assert work_off(store, work, "pool", parallel=2, busy_s=0.01) == {"succeeded": 4, "failed": 1}
     assert sorted(done) == ["book0", "book1", "book1", "book2", "book4"] and q.get(jobs[3])["status"] == "failed" and not q.is_busy()
+
+
+def chapters_text(order, edited=()):
+    return "".join(f"第{n}章 题{c}\n　　这是{c}的正文{'，改过' if c in edited else ''}。\n" for n, c in zip("一二三四五六七八九", order, strict=False))
+
+
+def test_an_import_writes_what_changed_and_names_what_moved(spark, tmp_path):
+    s = TableStore(spark, f"file://{tmp_path}/db")
+    (tmp_path / "in").mkdir()
+    at = tmp_path / "in" / "集(某).txt"
+    parts = lambda name: sum(n.startswith("part-") for n in s.files.names(f"{s.root}/{name}"))
+    told = lambda: sorted((r["how"], r["moved"]) for r in L.import_books(s, str(tmp_path / "in")).collect())
+
+    at.write_text(chapters_text("ABCDEF"), encoding="utf-8")
+    assert told() == [("added", False)] * 6
+    before = {n: parts(n) for n in ("chapters", "books", "editions", "imports")}
+    ids = {r["title"]: r["chapter_id"] for r in L.chapter_list(s, L.list_books(s).first()["book_id"]).collect()}
+    assert told() == [("kept", False)] * 6
+    assert {n: parts(n) for n in before} == before  # nothing is written
+
+    at.write_text(chapters_text("ABFCDE"), encoding="utf-8")  # one chapter moves, three shift
+    assert told() == [("kept", False)] * 5 + [("kept", True)]
+    now = {r["title"]: (r["chapter_id"], r["index"]) for r in L.chapter_list(s, L.list_books(s).first()["book_id"]).collect()}
+    assert {k: v[0] for k, v in now.items()} == ids and sorted(v[1] for v in now.values()) == list(range(6))
+    log = s.read("imports").collect()
+    assert len(log) == 7 and [r["moved"] for r in log if r["how"] == "kept"] == [True]
+
+    at.write_text(chapters_text("ABFCE", edited="B"), encoding="utf-8")
+    assert told() == [("edited", False)] + [("kept", False)] * 4 + [("removed", False)]
+    texts = {r["title"]: r["text"] for r in s.read("chapters").collect()}
+    assert sorted(texts) == [f"题{c}" for c in "ABCEF"] and "改过" in texts["题B"]
