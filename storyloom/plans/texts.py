@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import text as X
 from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
+from storyloom.operators import segmentation as G
 from storyloom.operators import spans as S
 from storyloom.operators.cells import CellIndex
 from storyloom.operators.inverted import BlockIndex, words
@@ -189,6 +190,27 @@ def cell_search(t):
     return hits.select("query_id", "rank", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+@query(r"""
+with r as (select unnest(regexp_extract_all(lower(text), '[\p{L}]+')) as run from documents),
+     p as (select run, unnest(range(1, 4)) as n from r),
+     g as (select n, run, unnest(range(1, len(run) - n + 2)) as i from p where len(run) >= n),
+     x as (select n, substr(run, i, n) as gram, case when i > 1 then substr(run, i - 1, 1) end as before, case when i + n <= len(run) then substr(run, i + n, 1) end as after from g),
+     c as (select n, gram, count(*) as f from x group by n, gram),
+     k as (select gram, f, n from c where n > 1 and f >= 500),
+     cut as (select gram, f, unnest(range(1, n)) as j from k),
+     s as (select cut.gram, min(ln(cut.f * (select sum(f) from c where n = 1)::double / (a.f * b.f))) as cohesion from cut
+           join c a on a.gram = substr(cut.gram, 1, j) and a.f >= 500 join c b on b.gram = substr(cut.gram, j + 1) and b.f >= 500 group by cut.gram),
+     e as (select gram, side, sum(m) as n, sum(case when ch is null then 0 else m * ln(m) end) as t
+           from (select gram, side, ch, count(*) as m from (select gram, 'before' as side, before as ch from x union all select gram, 'after', after from x) group by gram, side, ch) group by gram, side)
+select k.gram, k.f as n, round(cohesion, 6) + 0.0 as cohesion, round(ln(b.n) - b.t / b.n, 6) + 0.0 as free_before, round(ln(a.n) - a.t / a.n, 6) + 0.0 as free_after
+from k join s using (gram) join e b on b.gram = k.gram and b.side = 'before' join e a on a.gram = k.gram and a.side = 'after'
+""")
+def ngram_statistics(t):
+    """How well letters hold together and how free their neighbours are: what a lexicon is learned from (T-25)."""
+    found = G.statistics(t("documents").select("text"), pattern=r"\p{L}+", longest=3, least=500)
+    return found.select("gram", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("cohesion", "free_before", "free_after")])
+
+
 @query("""
 with recursive p as (select source, doc_id, n_chars as cost, row_number() over (partition by source order by doc_id) as n from documents),
      f as (select source, 0::bigint as n, 0::bigint as used, -1::bigint as kept from (select distinct source from documents)

@@ -73,3 +73,38 @@ def test_decision_ladder(spark, flags, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(H.run_decision(*map(F.lit, flags))).first()[0] == want
+
+
+def test_timers_of_event_time_give_what_the_batch_gives(spark, tmp_path):
+    """Events in any order, over several batches; stale runs end by event time, and what is long silent is dropped."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    spark.conf.set(*R.ROCKS)
+    try:
+        rng = random.Random(4)
+        events = [(i, rng.randrange(0, 900), rng.randrange(1, 6), rng.choice(["click", "click", "error", "view", "purchase"])) for i in range(80)] + [(80, 901, 1, "click"), (81, 901, 2, "click")]
+        parts = [events[:30], events[30:60], events[60:], [(900, 3000, 99, "view")], [(901, 3001, 99, "view")]]
+        told = []
+        put = lambda batch: told.extend(batch.collect())
+        for part in parts:
+            rows(spark, *rng.sample(part, len(part))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+            stream = R.ladder(R.run_log(spark, f"{tmp_path}/log"), 60_000, 86_400_000, "20 minutes")
+            R.into_store(stream, f"{tmp_path}/c", put, "update").awaitTermination()
+        last = {}
+        for r in sorted((r for r in told if r["user_id"] != 99), key=lambda r: r["at"]):
+            last[r["user_id"]] = (r["attempts"], r["failed"], r["done"], r["running"], r["decision"])
+        want = R.ladder_now(rows(spark, *events), F.expr("timestamp'2024-01-01 00:29:00'")).collect()
+        assert last == {r["user_id"]: tuple(r)[1:] for r in want} and len(last) == 5
+        assert any(r["decision"] == "interrupt_and_run" for r in told)
+
+        before = len(told)  # silent for more than a day: forgotten, so a new event is a first attempt
+        for part in ([(902, 200_000, 98, "view")], [(903, 200_001, 98, "view")], [(904, 200_002, 1, "error"), (905, 203_000, 98, "view")], [(906, 203_001, 98, "view")]):
+            data = [(i, 1704067200 + s, u, k, 1.0, "{}") for i, s, u, k in part]
+            made = spark.createDataFrame(data, EVENTS.replace("ts timestamp", "ts long")).selectExpr("event_id", "timestamp_seconds(ts) ts", "user_id", "event_type", "value", "props")
+            made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+            R.into_store(R.ladder(R.run_log(spark, f"{tmp_path}/log"), 60_000, 86_400_000, "20 minutes"), f"{tmp_path}/c", put, "update").awaitTermination()
+        assert [(r["attempts"], r["failed"]) for r in told[before:] if r["user_id"] == 1] == [(1, 1)]
+    finally:
+        spark.conf.unset(R.ROCKS[0])
