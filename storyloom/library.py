@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions import charts
+from storyloom.functions import text as X
 from storyloom.operators import attribution as A
 from storyloom.operators import consistency, facts
 from storyloom.operators import history as H
@@ -35,6 +36,9 @@ BOOKS = "book_id string, title string, author string"
 EDITIONS = "edition_id string, book_id string, label string, path string"
 CHAPTERS = "book_id string, edition_id string, chapter_id string, index int, kind string, number int, title string, volume_title string, text string, content_hash string"
 RUNS = "chapter_id string, book_id string, pass string, attributor string, attempt int, status string, error string, at timestamp"
+ENTITIES = "book_id string, entity_id string, type string, canonical_name string"
+MENTIONS = "book_id string, chapter_id string, entity_id string, surface string, char_start int, char_end int"
+SCENES = "book_id string, chapter_id string, index int, char_start int, char_end int, character_ids array<string>"
 SEGMENTS = "book_id string, chapter_id string, index int, kind string, char_start int, char_end int, speaker string, confidence double"
 #: Chapters that are parsed and written at once, under a lease that is looked at before each such wave.
 AT_ONCE = 1000
@@ -192,14 +196,28 @@ def parse_book(store: TableStore, book_id: str, by, known: list[str] | None = No
     return counts
 
 
+def _with_earlier_names(plan: DataFrame, by, known: list[str]) -> DataFrame:
+    """The chapters of a wave with the names that those before them in it tell: rules are applied once to find the names,
+    and then again with them."""
+    names = attributed(plan, by, known).where((F.col("speaker") != A.UNKNOWN) & F.col("error").isNull()).select("chapter_id", F.col("speaker").alias("name")).distinct()
+    first = names.join(plan.select("chapter_id", "edition_id", "index"), "chapter_id").groupBy("edition_id", "name").agg(F.min("index").alias("index"))
+    told = first.groupBy("edition_id").agg(F.collect_list(F.struct("index", "name")).alias("told"))  # the speakers of a book
+    earlier = F.transform(F.filter("told", lambda x: x["index"] < F.col("index")), lambda x: x["name"])
+    return plan.join(told, "edition_id", "left").withColumn("earlier", F.array_sort(F.coalesce(earlier, F.array().cast("array<string>")))).drop("told")
+
+
 def _parse_wave(store: TableStore, book_id: str, plan: DataFrame, by, known: list[str], stop_at_failure: bool, held: Held) -> dict[str, int]:
-    told = attributed(plan, by, known).cache()
+    met = [r["canonical_name"] for r in store.read("entities", ENTITIES).where(F.col("book_id") == book_id).select("canonical_name").collect()]  # a book's cast
+    known = list(dict.fromkeys([*known, *sorted(met)]))
+    chapters_now = _with_earlier_names(plan, by, known) if getattr(by, "repeatable", False) else plan
+    told, told_path = store.staged(attributed(chapters_now, by, known))  # a model is asked once, whatever is lost later
     failed = told.where("error is not null").select("chapter_id", "error")
     state = plan.join(failed, "chapter_id", "left")
     if stop_at_failure:
         first = F.min(F.when(F.col("error").isNotNull(), F.struct("edition_id", "index"))).over(Window.partitionBy())
         state = state.withColumn("first", first).where(F.col("first").isNull() | (F.struct("edition_id", "index") <= F.col("first")))
-    done = state.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("structure").alias("pass"), F.lit(by.name).alias("attributor"), "attempt", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "error", F.current_timestamp().alias("at")).cache()
+    done = state.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("structure").alias("pass"), F.lit(by.name).alias("attributor"), "attempt", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "error", F.current_timestamp().alias("at"))
+    done, done_path = store.staged(done)
     counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
     fine = done.where("status = 'succeeded'").select("chapter_id")
     spoken = told.where("error is null").join(fine, "chapter_id", "left_semi")
@@ -210,16 +228,63 @@ def _parse_wave(store: TableStore, book_id: str, plan: DataFrame, by, known: lis
     rows = named.select(F.lit(book_id).alias("book_id"), "chapter_id", "index", F.coalesce("told", "kind").alias("kind"), "char_start", "char_end", "speaker", "confidence")
     held.check()
     if counts.get("succeeded"):
+        _put_cast(store, book_id, plan.join(fine, "chapter_id", "left_semi"), spoken, [n for n in known if n not in met])
         store.replace_scope("segments", rows, ["chapter_id"])
     if counts:
         store.append("runs", done)
-    told.unpersist()
-    done.unpersist()
+    for path in (told_path, done_path):
+        store.files.remove(path)
     return counts
 
 
+def _put_cast(store: TableStore, book_id: str, texts: DataFrame, spoken: DataFrame, given: list[str]) -> None:
+    """Entities of a book that are new, and of these chapters the mentions of all of them and the scenes with their casts.
+    Written before the segments and the runs, by chapter, so a parse that is cut off is made good by the next one."""
+    names = spoken.where((F.col("speaker") != A.UNKNOWN) & (F.col("kind") != "narration")).select(F.col("speaker").alias("canonical_name")).distinct()
+    names = names.unionByName(store.spark.createDataFrame([(n,) for n in given], "canonical_name string")).distinct()
+    ident = _ident("ent_", F.lit(book_id), F.lit("character"), "canonical_name")
+    made = names.select(F.lit(book_id).alias("book_id"), ident.alias("entity_id"), F.lit("character").alias("type"), "canonical_name")
+    new = made.join(store.read("entities", ENTITIES).select("entity_id"), "entity_id", "left_anti").select(made.columns)
+    if not new.isEmpty():
+        store.append("entities", new)
+    cast = store.read("entities", ENTITIES).where(F.col("book_id") == book_id).select("entity_id", "canonical_name")
+    lexicon = [(r["entity_id"], r["canonical_name"]) for r in cast.collect()]  # a book's cast
+    found = S.mentions(texts.select("chapter_id", "text"), lexicon, ["chapter_id"])
+    mentions, path = store.staged(found.select(F.lit(book_id).alias("book_id"), "chapter_id", F.col("entity").alias("entity_id"), "surface", "char_start", "char_end"))
+    speakers = spoken.join(cast.withColumnRenamed("canonical_name", "speaker"), "speaker").select("chapter_id", "char_start", "entity_id")
+    seen = mentions.select("chapter_id", "char_start", "entity_id").unionByName(speakers)
+    casts = V.first_appearances(seen, ["chapter_id"], "char_start", "entity_id").withColumnRenamed("cast", "character_ids")
+    whole = texts.select(F.lit(book_id).alias("book_id"), "chapter_id", F.lit(0).alias("index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"))
+    scenes = whole.join(casts, "chapter_id", "left").withColumn("character_ids", F.coalesce("character_ids", F.array().cast("array<string>"))).select([c.split()[0] for c in SCENES.split(", ")])
+    if store.exists("mentions"):
+        store.delete("mentions", texts.select("chapter_id"), ["chapter_id"])
+    store.append("mentions", mentions)
+    store.replace_scope("scenes", scenes, ["chapter_id"])
+    store.files.remove(path)
+
+
+def entities(store: TableStore, book_id: str, kind: str | None = None, word: str | None = None) -> DataFrame:
+    """A book's entities, of a type and with a word in their name if these are asked for, with how often they speak and
+    are mentioned, 0 kept."""
+    own = store.read("entities", ENTITIES).where(F.col("book_id") == book_id)
+    own = own.where(F.col("type") == kind) if kind else own
+    own = own.where(V.named(["canonical_name"], word)) if word else own
+    said = store.read("segments", SEGMENTS).where((F.col("book_id") == book_id) & (F.col("kind") != "narration"))
+    said = said.join(own.select("entity_id", F.col("canonical_name").alias("speaker")), "speaker").select("entity_id")
+    mentions = store.read("mentions", MENTIONS).where(F.col("book_id") == book_id).select("entity_id")
+    return V.counted(own, {"dialogues": (said, "entity_id"), "mentions": (mentions, "entity_id")}, "entity_id")
+
+
+def mentions_of(store: TableStore, entity_id: str, limit: int = 20) -> DataFrame:
+    """The newest mentions of an entity with their chapter and what stands around them."""
+    own = store.read("mentions", MENTIONS).where(F.col("entity_id") == entity_id)
+    placed = own.join(store.read("chapters", CHAPTERS).select("chapter_id", F.col("index").alias("chapter"), "title", "text"), "chapter_id")
+    told = X.excerpt(F.col("text"), F.col("char_start"), F.col("char_end"), 100)
+    return placed.orderBy(F.desc("chapter"), F.desc("char_start")).limit(limit).select("chapter", "title", "surface", "char_start", "char_end", told.alias("excerpt"))
+
+
 #: Tables that hang on a book: name, its key to the level above, the table above, that table's key.
-CHAIN = [("editions", "book_id", "books", "book_id"), ("chapters", "edition_id", "editions", "edition_id"), ("segments", "chapter_id", "chapters", "chapter_id"), ("runs", "chapter_id", "chapters", "chapter_id")]
+CHAIN = [("editions", "book_id", "books", "book_id"), ("chapters", "edition_id", "editions", "edition_id"), ("segments", "chapter_id", "chapters", "chapter_id"), ("mentions", "chapter_id", "chapters", "chapter_id"), ("scenes", "chapter_id", "chapters", "chapter_id"), ("entities", "book_id", "books", "book_id"), ("runs", "chapter_id", "chapters", "chapter_id")]
 
 
 def delete(store: TableStore, book_id: str) -> dict[str, int]:
@@ -282,9 +347,10 @@ def check_consistency(store: TableStore, book_id: str, model: adapters.ChatModel
         parsed = store.read("runs", RUNS).where((F.col("book_id") == book_id) & (F.col("pass") == "structure") & (F.col("status") == "succeeded")).select("chapter_id").distinct()
         texts = store.read("chapters", CHAPTERS).where(F.col("book_id") == book_id).join(parsed, "chapter_id", "left_semi")
         asked = texts.select(F.col("edition_id").alias("book"), "chapter_id", F.col("index").alias("chapter"), "text")
-        found = consistency.proposed(asked, model, budget).cache()
+        found, found_path = store.staged(consistency.proposed(asked, model, budget))  # a model is asked once
         parts, _, runs = consistency.settled(found, texts.select("chapter_id", "text"))
-        done = runs.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("consistency").alias("pass"), F.lit(model.model).alias("attributor"), F.lit(1).alias("attempt"), "status", "error", F.current_timestamp().alias("at")).cache()
+        done = runs.select("chapter_id", F.lit(book_id).alias("book_id"), F.lit("consistency").alias("pass"), F.lit(model.model).alias("attributor"), F.lit(1).alias("attempt"), "status", "error", F.current_timestamp().alias("at"))
+        done, done_path = store.staged(done)
         counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
         held.check()
         for name in ("states", "relations", "story_events", "threads", "review", "memory"):
@@ -292,8 +358,8 @@ def check_consistency(store: TableStore, book_id: str, model: adapters.ChatModel
             store.replace_scope(name, rows, ["book_id"])
         if counts:
             store.append("runs", done)
-        found.unpersist()
-        done.unpersist()
+        for path in (found_path, done_path):
+            store.files.remove(path)
     return counts
 
 
@@ -436,6 +502,8 @@ COMMANDS: dict[str, Callable] = {
     "chapters": chapter_list,
     "parse": parse_book,
     "show": reader,
+    "entities": entities,
+    "mentions": mentions_of,
     "delete": delete,
     "tts": voice_tasks,
     "index": index_chapters,

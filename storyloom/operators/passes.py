@@ -85,6 +85,8 @@ class RuleAttributor:
     """The rules behind the same interface."""
 
     name, version = Attributor.name, Attributor.version
+    #: Whether it costs nothing to ask twice.
+    repeatable = True
 
     def attribute(self, text: str, known: list[str]) -> tuple[list[dict], list[str]]:
         paragraphs = paragraph_spans(text)
@@ -106,13 +108,16 @@ ATTRIBUTED = "chapter_id string, quote int, char_start int, char_end int, kind s
 
 
 def attributed(chapters: DataFrame, by, known: list[str]) -> DataFrame:
-    """(chapter_id, text) -> its attributions; a chapter that fails is a row with its error, and no others stop."""
+    """(chapter_id, text) -> its attributions; a chapter that fails is a row with its error, and no others stop. A column
+    ``earlier`` has further names that are known in the chapter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for chapter, text in zip(b["chapter_id"], b["text"], strict=True):
+            more = b["earlier"] if "earlier" in b.columns else [()] * len(b)
+            for chapter, text, names in zip(b["chapter_id"], b["text"], more, strict=True):
                 try:
-                    rows = [{"chapter_id": chapter, **r, "error": None} for r in by.attribute(text or "", known)[0]]
+                    every = list(dict.fromkeys([*known, *(() if names is None else names)]))
+                    rows = [{"chapter_id": chapter, **r, "error": None} for r in by.attribute(text or "", every)[0]]
                 except Exception as e:
                     rows = [{"chapter_id": chapter, "error": str(e)}]
                 if rows:
@@ -120,7 +125,7 @@ def attributed(chapters: DataFrame, by, known: list[str]) -> DataFrame:
                     out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
                     yield out.astype({c: "Int32" for c in ("quote", "char_start", "char_end")} | {"confidence": "float64"})
 
-    return chapters.select("chapter_id", "text").mapInPandas(run, ATTRIBUTED)
+    return chapters.select("chapter_id", "text", *[c for c in chapters.columns if c == "earlier"]).mapInPandas(run, ATTRIBUTED)
 
 
 FACT_KINDS = ("state", "relation", "event", "thread")

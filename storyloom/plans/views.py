@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
+from storyloom.operators import deltas as B
 from storyloom.operators import facts as K
 from storyloom.operators import history as H
 from storyloom.operators import identity as I
@@ -131,6 +132,29 @@ def derived_cleared(t):
     return M.cleared(rows, scope, ["source"], ["pointer"]).select("doc_id", "pointer", "toxic")
 
 
+_STATES = """
+     f{0} as (select * from orders_{0}), w{0} as (select o_custkey, o_orderkey, o_orderpriority, o_orderdate, lag(o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) as old, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from f{0}),
+     c{0} as (select * from w{0} where nth = 1 or old is distinct from o_orderpriority),
+     s{0} as (select o_custkey, o_orderkey, o_orderpriority, o_orderdate, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as valid_to from c{0})"""
+
+
+@query(f"""
+with orders_a as (select o_custkey, o_orderkey, o_orderpriority, o_orderdate from orders where o_orderkey % 11 <> 5),
+     orders_b as (select o_custkey, o_orderkey, case when o_orderkey % 13 = 2 then '1-URGENT' else o_orderpriority end as o_orderpriority, o_orderdate from orders where o_orderkey % 17 <> 3),
+     {_STATES.format("a")}, {_STATES.format("b")},
+     x as (select *, -1 as sign from sa union all select *, 1 from sb)
+select o_custkey, o_orderkey, o_orderpriority, o_orderdate, valid_to, sum(sign)::bigint as sign from x group by all having sum(sign) <> 0
+""")
+def history_changes(t):
+    """How histories change when facts come, go and are corrected: only touched entities are derived anew (D-10, D-12, D-16)."""
+    facts = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    now = facts.where("o_orderkey % 11 <> 5")
+    corrected = F.when(F.col("o_orderkey") % 13 == 2, "1-URGENT").otherwise(F.col("o_orderpriority"))
+    later = facts.where("o_orderkey % 17 <> 3").withColumn("o_orderpriority", corrected)
+    history = lambda rows: H.superseded(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderpriority", "o_orderkey", "o_orderdate").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate", "valid_to")
+    return B.carried(now, B.changed(now, later), ["o_custkey"], history).withColumnRenamed(B.SIGN, "sign")
+
+
 MOVES = """
 with recursive m as (select p_partkey as source_id, case when p_size <= 25 then p_partkey + 1 else -p_partkey end as target_id, case when p_size = 49 then timestamp '1997-01-01' when p_size = 50 then timestamp '1998-01-01' end as since
                      from part where p_size <= 25 or p_size >= 49),
