@@ -55,6 +55,7 @@ def _moved(batches: Iterator[pd.DataFrame], keys: list[str], old: str) -> Iterat
     for b in batches:
         if not len(b):
             continue
+        b = b.astype({c: object for c in b.columns if isinstance(b[c].dtype, pd.StringDtype)})  # parts of such columns cannot be joined for Arrow
         last = tuple(b[keys].iloc[-1].tolist())
         same = np.ones(len(b), bool)
         for k, v in zip(keys, last, strict=True):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import partial, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,17 +124,18 @@ def mentions(docs: DataFrame, lexicon: list[tuple[str, str]], keys: list[str], t
 
     targets = [(e, [n]) for e, n in lexicon]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *m) for i, t in enumerate(b.iloc[:, -1]) for m in find_mentions(t or "", targets)]
-            out = b.iloc[[f[0] for f in found], :-1].reset_index(drop=True)
-            for at, name in enumerate(("entity", "surface", "char_start", "char_end"), 1):
-                out[name] = [f[at] for f in found]
-            yield out
+            found = [(i, *m) for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()) for m in find_mentions(t or "", targets)]
+            at, *told = zip(*found, strict=True) if found else [()] * 5
+            columns = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            columns += [pa.array(x, kind) for x, kind in zip(told, kinds, strict=True)]
+            yield pa.record_batch(columns, names=[*b.schema.names[:-1], "entity", "surface", "char_start", "char_end"])
 
     kept = docs.select(*keys, text_col)
     schema = T.StructType([*[kept.schema[k] for k in keys], T.StructField("entity", T.StringType()), T.StructField("surface", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 #: Bytes of all quotes up to which they are sent to every task; beyond, they meet the documents by a join.

@@ -407,13 +407,13 @@ def test_an_import_writes_what_changed_and_names_what_moved(spark, tmp_path):
 def test_a_parse_keeps_entities_mentions_and_scenes(spark, tmp_path):
     s = TableStore(spark, f"file://{tmp_path}/db")
     (tmp_path / "in").mkdir()
-    text = "第一章 一\n　　“船呢？”沈舟问。顾远看着沈舟。\n第二章 二\n　　“走。”顾远说。沈舟没有动。\n第三章 三\n　　风停了。\n"
+    text = "第一章 一\n　　“船呢？”沈舟问。顾远看着沈舟。\n第二章 二\n　　“走。”顾远说。顾远看着沈舟。沈舟没有动。\n第三章 三\n　　风停了。\n"
     (tmp_path / "in" / "渡(某).txt").write_text(text, encoding="utf-8")
     L.import_books(s, str(tmp_path / "in"))
     own = L.list_books(s).first()["book_id"]
     assert L.parse_book(s, own, P.attributor("heuristic"), at_once=2) == {"succeeded": 3}
     cast = {r["canonical_name"]: r for r in L.entities(s, own).collect()}
-    assert {n: (r["dialogues"], r["mentions"]) for n, r in cast.items()} == {"沈舟": (1, 3), "顾远": (1, 2)}
+    assert {n: (r["dialogues"], r["mentions"]) for n, r in cast.items()} == {"沈舟": (1, 4), "顾远": (1, 3)}
     assert [r["canonical_name"] for r in L.entities(s, own, "character", "顾").collect()] == ["顾远"] and L.entities(s, own, "place").count() == 0
     texts = {r["chapter_id"]: (r["index"], r["text"]) for r in s.read("chapters").collect()}
     for r in s.read("mentions").collect():
@@ -422,10 +422,10 @@ def test_a_parse_keeps_entities_mentions_and_scenes(spark, tmp_path):
     scenes = {texts[r["chapter_id"]][0]: (r["char_end"], [ids[x] for x in r["character_ids"]]) for r in s.read("scenes").collect()}
     assert scenes == {i: (len(t), c) for (i, t), c in zip(sorted(texts.values()), [["沈舟", "顾远"], ["顾远", "沈舟"], []], strict=True)}
     newest = L.mentions_of(s, cast["沈舟"]["entity_id"]).collect()
-    assert [r["chapter"] for r in newest] == [1, 0, 0] and "没有动" in newest[0]["excerpt"]
+    assert [r["chapter"] for r in newest] == [1, 1, 0, 0] and "没有动" in newest[0]["excerpt"]
 
     before = {n: s.read(n).count() for n in ("entities", "mentions", "scenes", "segments")}
     assert L.parse_book(s, own, P.attributor("heuristic"), force=True) == {"succeeded": 3}
     assert {n: s.read(n).count() for n in before} == before  # a second parse replaces
     gone = L.delete(s, own)
-    assert (gone["entities"], gone["mentions"], gone["scenes"]) == (2, 5, 3) and s.read("entities").count() == 0
+    assert (gone["entities"], gone["mentions"], gone["scenes"]) == (2, 7, 3) and s.read("entities").count() == 0
