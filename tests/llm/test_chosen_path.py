@@ -58,7 +58,7 @@ def corpus(rng, groups, size):
     return rows
 
 
-@pytest.mark.parametrize(("leaf", "depth"), [(256, 10), (4, 10), (4, 2)])
+@pytest.mark.parametrize(("leaf", "depth"), [(256, 10), (4, 3)])
 def test_against_all_pairs(spark, docs_of, monkeypatch, leaf, depth):
     monkeypatch.setattr(chosen_path, "LEAF", leaf)
     monkeypatch.setattr(chosen_path, "DEPTH", depth)

@@ -57,7 +57,8 @@ def test_base_against_plain_patterns(spark):
         want = plain_base(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in secrets.STRONG] == [sum(x.startswith(k) for x in want.split(",")) for k in secrets.STRONG]
-        assert set(want.split(",")) - {""} <= set(r["spans"].split(","))
+        linked = {f"{k}:{a}:{b}" for k, a, b in plain_linked(texts[r["doc_id"]] or "")}
+        assert set(r["spans"].split(",")) - {""} == set(want.split(",")) - {""} | linked
 
 
 def test_linking_against_all_pairs():
