@@ -52,8 +52,8 @@ SLOTS = 1 << 21
 #: Frequent words that a task looks up at once, some 100 bytes each.
 VOCABULARY = 1 << 19
 #: Tokens and distinct words that a task codes together.
-TOKENS = 1 << 20
-DISTINCT = 150_000
+TOKENS = 1 << 18
+DISTINCT = 100_000
 #: Characters split at once.
 CHARS = 1 << 20
 #: Counters that a task keeps as one array; beyond, it gives out what each row of the input has.
@@ -126,12 +126,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([lang] * len(own), pa.string()), own, pa.array(np.frombuffer(counts, np.int64))], names=["lang", "word", "n"])
 
 
+def numbers_of(lang: str, words: bytes, known: dict[str, dict[bytes, int]]) -> np.ndarray:
+    """The numbers of a row's words, -1 for those that are not known."""
+    own = words.split(b" ") if words else []
+    return np.fromiter(map(known.get(lang, {}).get, own, repeat(-1)), np.int64, len(own))
+
+
 def _looked_up(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
     """(lang, words, codes, numbers) -> the same with the numbers of those words that are told."""
     for b in rows_of(batches):
         for lang, words, codes, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            known, own = told.value.get(lang, {}), words.split(b" ") if words else []
-            numbers = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
+            numbers = numbers_of(lang, words, told.value)
             if before is not None:
                 numbers = np.maximum(numbers, np.frombuffer(before, np.int64))
             columns = [pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in (words, codes, numbers.tobytes())]]
@@ -164,11 +169,14 @@ def sequences(column: pa.Array) -> Iterator[np.ndarray]:
         yield ids
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(codes, the numbers of the words) -> sequences."""
+def _encoded(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
+    """(lang, words, codes, numbers of words that are known already) -> sequences."""
     for b in rows_of(batches):
-        for codes, numbers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield sequence_row(np.r_[-1, np.frombuffer(numbers, np.int64)][np.frombuffer(codes, np.int32)])
+        for lang, words, codes, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            numbers = numbers_of(lang, words, told.value)
+            if before is not None:
+                numbers = np.maximum(numbers, np.frombuffer(before, np.int64))
+            yield sequence_row(np.r_[-1, numbers][np.frombuffer(codes, np.int32)])
 
 
 def encoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -181,10 +189,9 @@ def encoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
         for r in vocabulary.where(F.pmod(F.xxhash64("lang", "word"), F.lit(shards)) == shard).select("lang", "word", "id").toLocalIterator():
             known[r["lang"]][r["word"].encode()] = r["id"]
         told = spark.sparkContext.broadcast(dict(known))
-        rows = rows.mapInArrow(partial(_looked_up, told=told), "lang string, words binary, codes binary, numbers binary")
-        if shards > 1:  # no worker holds the words of several shards at once
-            rows = settle(rows, "looked-up")
-    return settle(rows.select("codes", "numbers").mapInArrow(_encoded, SEQUENCE), "sequences")
+        if shard < shards - 1:  # no worker holds the words of several shards at once
+            rows = settle(rows.mapInArrow(partial(_looked_up, told=told), "lang string, words binary, codes binary, numbers binary"), "looked-up")
+    return settle(rows.mapInArrow(partial(_encoded, told=told), SEQUENCE), "sequences")
 
 
 class Filter:
