@@ -106,7 +106,7 @@ def test_malformed_records_are_rows_with_an_error(spark):
         ("", None, "no JSON"),
         ("7", None, "no object"),
         (None, None, "no object"),
-        ('{"id": 1' + "0" * 5000 + "}", None, "no JSON"),
+        ('{"id": 1' + "0" * 5000 + "}", None, "no layout has these fields"),
         (json.dumps({"id": "a-b", "prompt": "p", "response": "r"}), [("user", "p"), ("assistant", "r")], None),
         (json.dumps({"prompt": "p", "response": "r"}), [("user", "p"), ("assistant", "r")], None),
         (json.dumps({"prompt": "q", "response": "r"}), [("user", "q"), ("assistant", "r")], None),
@@ -129,3 +129,18 @@ def test_layouts_of_tables(spark):
     assert [tuple(r) for r in chat.turns_of_table(df).collect()] == [(1, 0, "user", "p"), (1, 1, "assistant", "c")]
     with pytest.raises(ValueError):
         chat.turns_of_table(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_names_that_look_like_paths_are_no_paths(spark):
+    lines = [
+        {"messages[].role": 1, "messages[].content": 2},
+        {"data.messages[].role": 1, "data.messages[].content": 2, "id": 3},
+        {"": {"messages": [{"role": "user", "content": "x"}]}},
+        {"messages": {"role": "user", "content": "x"}, "messages[].role": 1, "messages[].content": 2},
+        {"id": 7, "messages": [{"role": "user", "content": "x"}], "a.b": {"[]": [1]}},
+    ]
+    long = '{"id": ' + "9" * 5000 + ', "prompt": "p", "response": ' + "8" * 5000 + "}"
+    rows = [chat.turns_of_record(json.dumps(x)) for x in lines] + [chat.turns_of_record(long)]
+    assert [r["error"] for r in rows] == ["no layout has these fields"] * 4 + [None, None]
+    assert rows[4]["conv_id"] == 7 and rows[5]["turns"][1]["text"] == "8" * 5000
+    assert [r["error"] for r in chat.read_records(spark.createDataFrame([(json.dumps(x),) for x in lines], "x string")).collect()].count(None) == 1

