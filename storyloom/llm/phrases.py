@@ -224,9 +224,17 @@ def counted(numbers: Iterator[np.ndarray], size: int) -> Iterator[pa.RecordBatch
         return
     total = np.zeros(size, np.int64)
     for x in numbers:
-        total += np.bincount(x, minlength=size)
+        if 4 * len(x) > size:
+            total += np.bincount(x, minlength=size)
+        elif len(x):  # few numbers for many counters: no second array of all of them
+            some, place = np.unique(x, return_inverse=True)
+            total[some] += np.bincount(place)
     at = np.flatnonzero(total)
-    yield from rows(at, total[at])
+    for low in range(0, size, CHUNK):  # chunk by chunk, so that not all is copied at once
+        a, b = np.searchsorted(at, (low, low + CHUNK))
+        yield from rows(at[a:b], total[at[a:b]])
+    del total
+    trim()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
