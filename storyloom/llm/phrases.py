@@ -58,6 +58,8 @@ DISTINCT = 100_000
 CHARS = 1 << 20
 #: Counters that a task keeps as one array; beyond, it gives out what each row of the input has.
 DENSE = 1 << 22
+#: Keys of candidates that a task holds before it gives them out.
+TOGETHER = 1 << 20
 #: Buckets at most: their bits reach the driver. Beyond, more keys are candidates; the result is the same.
 BUCKETS = 1 << 29
 #: Counters summed together, and the lanes of the first round of sums.
@@ -291,10 +293,20 @@ def sieve_of(level: DataFrame, pairs: int, least: int) -> Filter:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
+    """Sequences -> the keys that pass the filter, each once a task as long as TOGETHER of them are held."""
+    held, waiting = np.empty(0, np.int64), []
     for b in rows_of(batches):
         for ids in sequences(b.column(0)):
             keys = pair_keys(ids)[1]
-            yield pa.record_batch({"key": np.unique(keys[sieve.value.passed(keys)])})
+            waiting.append(np.unique(keys[sieve.value.passed(keys)]))
+            if sum(map(len, waiting)) >= TOGETHER:
+                held, waiting = np.unique(np.concatenate([held, *waiting])), []
+                if len(held) >= TOGETHER:
+                    yield pa.record_batch({"key": held})
+                    held = held[:0]
+    held = np.unique(np.concatenate([held, *waiting]))
+    if len(held):
+        yield pa.record_batch({"key": held})
 
 
 def _hash_of(found: pa.Table) -> pa.Table:
