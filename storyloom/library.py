@@ -82,7 +82,15 @@ def import_books(store: TableStore, folder: str, label: str | None = None) -> Da
     staged, path = store.staged(rows.drop("text") if again else rows)
     touched = staged.select("edition_id").distinct()
     old = store.read("chapters", CHAPTERS).drop("text").join(touched, "edition_id", "left_semi")
-    told, _ = store.staged(_reconciled(old, staged.drop("text")))
+    listed = lambda df: df.select("chapter_id", "edition_id", "content_hash", *PLACED)
+    both = listed(old).withColumn("side", F.lit(-1)).unionByName(listed(staged).withColumn("side", F.lit(1)))
+    differs = both.groupBy("chapter_id", "edition_id", "content_hash", *PLACED).agg(F.sum("side").alias("side")).where("side <> 0") if again else None
+    if again and differs.isEmpty():  # the usual case: nothing is another, so nothing is matched or written
+        return store.read("chapters", CHAPTERS).select("chapter_id", "edition_id").join(touched, "edition_id", "left_semi").select("chapter_id", F.lit("kept").alias("how"), F.lit(False).alias("moved"))
+    if not again and old.isEmpty():
+        told = staged.select("chapter_id", F.col("chapter_id").alias("made_id"), F.lit("added").alias("how"), F.lit(False).alias("moved"), F.lit(True).alias("changed"))
+    else:
+        told, _ = store.staged(_reconciled(old, staged.drop("text")))
     found = {(r["how"], r["changed"]): r["count"] for r in told.groupBy("how", "changed").count().collect()}
     books = staged.select("book_id", F.col("own_title").alias("title"), F.col("own_author").alias("author")).dropDuplicates(["book_id"])
     editions = staged.select("edition_id", "book_id", "label", "path").dropDuplicates(["edition_id"])
@@ -111,6 +119,8 @@ def import_books(store: TableStore, folder: str, label: str | None = None) -> Da
             store.upsert("chapters", made, ["chapter_id"])
     if any(how == "removed" for how, _ in found):
         store.delete("chapters", told.where("how = 'removed'").select("chapter_id"), ["chapter_id"])
+    if not again and set(found) == {("added", True)}:
+        told = store.read("imports").where(F.col("import_id") == done)
     store.files.remove(path)
     return told.select("chapter_id", "how", "moved")
 
