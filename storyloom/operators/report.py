@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom import shared
+
 
 def chapters(turns: DataFrame) -> DataFrame:
     """One row per conversation: segment states, narrated and spoken characters, a default title."""
@@ -29,15 +31,9 @@ def top_and_other(per: DataFrame, name: str, by: str, sums: list[str], n: int) -
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rn from 0 in the order, and n, the number of rows, without sorting everything in one task.
-
-    Rows are ranged by the order into slices; a slice's offset is the number of rows in the slices before it.
-    """
-    spread = rows.repartitionByRange(F.col(order)).withColumn("_slice", F.spark_partition_id())
-    inside = spread.withColumn("_in", F.row_number().over(Window.partitionBy("_slice").orderBy(order)) - 1)
-    sizes = spread.groupBy("_slice").agg(F.count("*").alias("_size"))
-    before = sizes.select("_slice", F.coalesce(F.sum("_size").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("n"))
-    return inside.join(before, "_slice").withColumn("rn", F.col("_before") + F.col("_in")).drop("_slice", "_in", "_before")
+    """rn from 0 in the order, and n, the number of rows, without sorting everything in one task."""
+    placed = shared.numbered(rows, order, "rn")
+    return placed.crossJoin(F.broadcast(placed.agg((F.max("rn") + 1).alias("n"))))  # n is one row
 
 
 def bucketed(rows: DataFrame, most: int) -> DataFrame:

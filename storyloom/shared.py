@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,3 +30,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """The place of each row in the order, from 0. Ranges are sorted where they lie; a range's first number is the sum of
+    the counts before it, so no task holds all rows. They are written once: to deal them out again, for their counts, may
+    give other ranges."""
+    dealt = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_at": F.monotonically_increasing_id(), "_range": F.spark_partition_id()}), "numbered")
+    ranges = dealt.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    shift = ranges.select("_range", (before - F.col("_first")).alias("_shift"))
+    return dealt.join(shift, "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
