@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
-from storyloom.operators import report as P
 from storyloom.operators import retrieval as R
 from storyloom.operators import segmentation as G
 from storyloom.operators import spans as S
 from storyloom.operators.cells import CellIndex
 from storyloom.operators.inverted import BlockIndex, words
 from storyloom.plans.registry import query
-from storyloom.shared import new_path
+from storyloom.shared import new_path, numbered
 
 PARAGRAPHS = """
 with p as (select doc_id, unnest(string_split(text, chr(10))) as paragraph, generate_subscripts(string_split(text, chr(10)), 1) - 1 as index, length(text) as total from documents),
@@ -231,10 +230,10 @@ select source, doc_id from c where rn in (select floor((i + 0.5) * c.n / 5) from
 def gold_sample(t):
     """A fixed number of rows from each stratum, evenly spread (T-26): numbered by range, whatever the strata's sizes."""
     rows = t("documents").select("source", "doc_id", F.struct("source", "doc_id").alias("place"))
-    placed = P.numbered(rows, "place").drop("n")
-    strata = placed.groupBy("source").agg(F.min("rn").alias("first"), F.count("*").alias("n"))
+    placed = numbered(rows, "place", "rn")
+    strata = placed.groupBy(F.col("source").alias("stratum")).agg(F.min("rn").alias("first"), F.count("*").alias("n"))
     picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor((i + 0.5) * F.col("n") / 5) + F.col("first"))
-    return placed.join(strata, "source").where(F.array_contains(picks, F.col("rn").cast("long"))).select("source", "doc_id")
+    return placed.join(strata, F.col("source").eqNullSafe(F.col("stratum"))).where(F.array_contains(picks, F.col("rn").cast("long"))).select("source", "doc_id")
 
 
 @query("select doc_id, length(text)::int as n_chars, strlen(text) as n_bytes, lower(substr(text, 1, 5)) as head, length(trim(text))::int as trimmed from documents")

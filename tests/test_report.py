@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom import plans
 from storyloom.operators import report as P
 
 
@@ -20,3 +21,9 @@ def test_rows_are_numbered_however_their_ranges_are_dealt(spark, many_slices):
     found = P.numbered(rows, "id")
     assert found.agg(F.sum(F.length("text"))).first()[0] == 256 * 20_000
     assert found.where("id <> 3 * rn or n <> 20000 or length(text) <> 256").isEmpty()
+
+
+def test_a_stratum_without_a_name_is_sampled(spark, tmp_path):
+    spark.createDataFrame([(i, None if i % 2 else "a") for i in range(40)], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["doc_id"]) for r in plans.QUERIES["gold_sample"](spark, str(tmp_path)).collect()}
+    assert got == {(s, 2 * k + (s is None)) for s in ("a", None) for k in (2, 6, 10, 14, 18)}
