@@ -11,11 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.attribution import UNKNOWN, Attributor
 from storyloom.operators.quotes import paragraph_spans, quotes_of
+from storyloom.shared import pieces, shuffle_width
 from storyloom.sources.adapters import ChatModel, Judge, ask_json
 
 # Fixed values.
@@ -105,27 +107,27 @@ def attributor(name: str, model: ChatModel | None = None):
 
 
 ATTRIBUTED = "chapter_id string, quote int, char_start int, char_end int, kind string, speaker string, confidence double, emotion string, error string"
+ATTRIBUTED_KINDS = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in ATTRIBUTED.split(", ")])
 
 
 def attributed(chapters: DataFrame, by, known: list[str]) -> DataFrame:
     """(chapter_id, text) -> its attributions; a chapter that fails is a row with its error, and no others stop. A column
-    ``earlier`` has further names that are known in the chapter."""
+    ``earlier`` has further names that are known in the chapter. Chapters are dealt out, since a model's calls take long
+    and many chapters may lie in one file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            more = b["earlier"] if "earlier" in b.columns else [()] * len(b)
-            for chapter, text, names in zip(b["chapter_id"], b["text"], more, strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            rows = []
+            for told in b.to_pylist():
                 try:
-                    every = list(dict.fromkeys([*known, *(() if names is None else names)]))
-                    rows = [{"chapter_id": chapter, **r, "error": None} for r in by.attribute(text or "", every)[0]]
+                    every = list(dict.fromkeys([*known, *(told.get("earlier") or ())]))
+                    rows += [{"chapter_id": told["chapter_id"], **r, "error": None} for r in by.attribute(told["text"] or "", every)[0]]
                 except Exception as e:
-                    rows = [{"chapter_id": chapter, "error": str(e)}]
-                if rows:
-                    names = [c.split()[0] for c in ATTRIBUTED.split(", ")]
-                    out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
-                    yield out.astype({c: "Int32" for c in ("quote", "char_start", "char_end")} | {"confidence": "float64"})
+                    rows.append({"chapter_id": told["chapter_id"], "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema=ATTRIBUTED_KINDS)
 
-    return chapters.select("chapter_id", "text", *[c for c in chapters.columns if c == "earlier"]).mapInPandas(run, ATTRIBUTED)
+    dealt = chapters.repartition(shuffle_width(chapters.sparkSession), "chapter_id")
+    return dealt.select(F.col("chapter_id").cast("string").alias("chapter_id"), F.col("text").cast("string").alias("text"), *[c for c in chapters.columns if c == "earlier"]).mapInArrow(run, ATTRIBUTED)
 
 
 FACT_KINDS = ("state", "relation", "event", "thread")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +43,20 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
     shift = ranges.select("_range", (before - F.col("_first")).alias("_shift"))
     return dealt.join(shift, "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
+#: Rows and bytes that a Python worker turns into objects at once.
+ROWS, BYTES = 1000, 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ROWS rows and about BYTES bytes at most, none of them empty."""
+    for b in batches:
+        step = max(1, min(ROWS, BYTES * b.num_rows // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+    pa.default_memory_pool().release_unused()
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
