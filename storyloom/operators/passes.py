@@ -10,7 +10,6 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,19 +150,28 @@ def judged(candidates: DataFrame, judge: Judge, question: str, choices: list[str
     touched. A batch whose call fails is marked with its error. claim_hash binds a choice to what was judged."""
     group = F.floor((F.row_number().over(Window.partitionBy("chapter_id").orderBy("seq")) - 1) / JUDGED_AT_ONCE)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
+    def asked(claims: list[dict]) -> list[tuple[str | None, str | None]]:
+        """(choice, error) of each claim of a batch."""
         try:
-            rows["choice"] = [judge.choose(f"{question}\n{c}\n{x}", choices) for c, x in zip(rows["claim"], rows["context"], strict=True)]
-            rows.loc[~rows["choice"].isin(choices), "choice"] = "uncertain"
-            rows["error"] = None
+            told = [judge.choose(f"{question}\n{c['claim']}\n{c['context']}", choices) for c in claims]
+            return [(x if x in choices else "uncertain", None) for x in told]
         except Exception as e:
-            rows["choice"], rows["error"] = None, str(e)
-        return rows[["chapter_id", "seq", "claim_hash", "choice", "error"]]
+            return [(None, str(e))] * len(claims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            claims = b.column(1).to_pylist()
+            at = [i for i, x in enumerate(claims) for _ in x]
+            every = [c for x in claims for c in x]
+            told = [t for x in claims for t in asked(x)]
+            columns = [pa.array([c["seq"] for c in every], pa.int64()), *[pa.array(x, pa.string()) for x in ([c["claim_hash"] for c in every], [t[0] for t in told], [t[1] for t in told])]]
+            yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), *columns], names=["chapter_id", "seq", "claim_hash", "choice", "error"])
 
     kind = candidates.schema["chapter_id"].dataType.simpleString()
-    bound = candidates.withColumn("claim_hash", claim_hash(F.col("claim"), F.col("context")))
-    return bound.withColumn("batch", group).groupBy("chapter_id", "batch").applyInPandas(run, f"chapter_id {kind}, seq long, claim_hash string, choice string, error string")
+    bound = candidates.withColumn("claim_hash", claim_hash(F.col("claim"), F.col("context"))).withColumn("batch", group)
+    one = F.struct(F.col("seq").cast("long").alias("seq"), "claim", "context", "claim_hash")
+    together = bound.groupBy("chapter_id", "batch").agg(F.sort_array(F.collect_list(one)).alias("claims"))  # JUDGED_AT_ONCE at most
+    return together.select("chapter_id", "claims").mapInArrow(run, f"chapter_id {kind}, seq long, claim_hash string, choice string, error string")
 
 
 def claim_hash(claim: Column, context: Column) -> Column:

@@ -15,6 +15,21 @@ def told(made):
     return made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_claims_share_batches(spark):
+    class Judge:
+        def choose(self, question, choices):
+            if "down" in question:
+                raise RuntimeError("down")
+            return choices[0] if "yes" in question else "perhaps"
+
+    rows = spark.range(40).select((F.col("id") % 2).alias("chapter_id"), F.floor(F.col("id") / 2).alias("seq"), F.when(F.col("id") % 3 == 0, "yes").otherwise("no").alias("claim"), F.when(F.col("id") == 5, "down").otherwise("").alias("context"))
+    made = passes.judged(rows, Judge(), "does it?", ["supports"])
+    assert "FlatMapGroups" not in told(made)
+    got = {(r["chapter_id"], r["seq"]): (r["choice"], r["error"]) for r in made.collect()}
+    fails = lambda i: i % 2 == 1 and i // 2 < passes.JUDGED_AT_ONCE
+    assert got == {(i % 2, i // 2): (None, "down") if fails(i) else ("supports" if i % 3 == 0 else "uncertain", None) for i in range(40)}
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_chapters_of_one_file_are_dealt_out(spark, files):
     rows = spark.range(100).coalesce(files).select(F.col("id").cast("string").alias("chapter_id"), F.lit("“走。”").alias("text"))
