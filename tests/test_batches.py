@@ -11,6 +11,12 @@ from storyloom.sources import adapters, chapters, lines
 MANY = 5 * ROWS // 2
 
 
+def test_chapters_of_many_texts_come_together():
+    out = list(chapters._split_texts(batch(path=[str(i) for i in range(MANY)], text=["第一章 渡口\n　　雪。\n"] * MANY)))
+    assert [b.num_rows for b in out] == [ROWS, ROWS, ROWS // 2]
+    assert out[0].to_pylist()[0] | {"content_hash": ""} == {"path": "0", "index": 0, "kind": "chapter", "number": 1, "title": "渡口", "heading_raw": "第一章 渡口", "volume_index": None, "volume_title": None, "text": "雪。", "content_hash": "", "warnings": "[]"}
+
+
 def told(made):
     return made._jdf.queryExecution().executedPlan().toString()
 
