@@ -21,6 +21,14 @@ def told(made):
     return made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_books_share_tasks_and_batches(spark):
+    rows = spark.createDataFrame([(b, c, "沈舟说道：“天黑了。”沈舟走了。") for b in ("x", "y", None) for c in (2, 1)], "book string, chapter int, text string")
+    made = attribution.parse_books(rows)
+    assert "FlatMapGroups" not in told(made)
+    got = {(r["book"], r["chapter"]): '"is_new": true' in r["entities"] for r in made.collect()}
+    assert got == {(b, c): c == 1 for b in ("x", "y", None) for c in (1, 2)}
+
+
 def test_claims_share_batches(spark):
     class Judge:
         def choose(self, question, choices):
