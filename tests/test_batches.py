@@ -11,12 +11,30 @@ from storyloom.sources import adapters, chapters, lines
 MANY = 5 * ROWS // 2
 
 
+def batch(**columns):
+    return iter([pa.record_batch(columns)])
+
+
 def test_chapters_of_many_texts_come_together():
     out = list(chapters._split_texts(batch(path=[str(i) for i in range(MANY)], text=["第一章 渡口\n　　雪。\n"] * MANY)))
     assert [b.num_rows for b in out] == [ROWS, ROWS, ROWS // 2]
     assert out[0].to_pylist()[0] | {"content_hash": ""} == {"path": "0", "index": 0, "kind": "chapter", "number": 1, "title": "渡口", "heading_raw": "第一章 渡口", "volume_index": None, "volume_title": None, "text": "雪。", "content_hash": "", "warnings": "[]"}
 
 
+def test_quotes_of_many_texts_come_in_pieces():
+    out = list(quotes._quotes(batch(key=list(range(MANY)), text=['"a" "b"', None] * (MANY // 2))))
+    assert [b.num_rows for b in out] == [ROWS, ROWS, ROWS // 2]
+    assert out[0].slice(0, 2).to_pylist() == [{"key": 0, "index": i, "paragraph": 0, "char_start": 4 * i, "char_end": 4 * i + 3, "quote": f'"{x}"', "inner": x} for i, x in enumerate("ab")]
+
+
+def test_files_are_decoded_in_pieces():
+    out = list(lines._decoded(batch(path=["p"] * MANY, content=["é".encode("utf-16")] * MANY)))
+    assert [b.num_rows for b in out] == [ROWS, ROWS, ROWS // 2]
+    assert out[0].to_pylist()[0] == {"path": "p", "text": "é", "encoding": "utf-16le", "replaced": 0}
+    long = list(lines._decoded(batch(path=["p"] * 40, content=[b"x" * (1 << 20)] * 40)))
+    assert max(b.num_rows for b in long) <= 4 and sum(b.num_rows for b in long) == 40
+
+
 def told(made):
     return made._jdf.queryExecution().executedPlan().toString()
 
