@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import trimmed
+from storyloom.shared import pieces
 
 # Fixed values.
 MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")]
@@ -44,15 +45,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", is_zip(F.col("content")).alias("is_zip"))
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [decode_novel(bytes(c)) for c in b["content"]]
-        yield pd.DataFrame({"path": b["path"], "text": [x[0] for x in found], "encoding": [x[1] for x in found], "replaced": [x[2] for x in found]})
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        found = [decode_novel(c) for c in b.column(1).to_pylist()]
+        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+        yield pa.record_batch([b.column(0), *columns], names=["path", "text", "encoding", "replaced"])
 
 
 def decoded(files: DataFrame) -> DataFrame:
     """path, text, encoding, replaced of plain-text files. The JVM does not offer GB18030, so Python decodes."""
-    return files.where(~F.col("is_zip")).select("path", "content").mapInPandas(_decoded, "path string, text string, encoding string, replaced int")
+    return files.where(~F.col("is_zip")).select("path", "content").mapInArrow(_decoded, "path string, text string, encoding string, replaced int")
 
 
 def lines(texts: DataFrame, key: str = "path") -> DataFrame:
