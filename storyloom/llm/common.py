@@ -42,10 +42,16 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/storyloom/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
+#: How tables of large rows are written: a reader takes thousands of rows of a row group at once, and a writer looks at
+#: sizes every hundred rows, unless told otherwise. So the memory that both take would follow the size of a file.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
+
+def settle(df: DataFrame, name: str = "table", large: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation.
+    large: rows are up to some megabytes each."""
     spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _settled[id(out)] = path
     return out

@@ -100,6 +100,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount(together, minlength=len(own))[1:]
             parts = [b" ".join(list(own)[1:]), counts.tobytes(), together.tobytes()]
             yield pa.record_batch([pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in parts]], names=["lang", "words", "counts", "codes"])
+            own.default_factory = None  # it holds the words themselves, which would stay until cycles are looked for
         words.clear()
         codes.clear()
         held = 0
@@ -192,8 +193,8 @@ def encoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
             known[r["lang"]][r["word"].encode()] = r["id"]
         told = spark.sparkContext.broadcast(dict(known))
         if shard < shards - 1:  # no worker holds the words of several shards at once
-            rows = settle(rows.mapInArrow(partial(_looked_up, told=told), "lang string, words binary, codes binary, numbers binary"), "looked-up")
-    return settle(rows.mapInArrow(partial(_encoded, told=told), SEQUENCE), "sequences")
+            rows = settle(rows.mapInArrow(partial(_looked_up, told=told), "lang string, words binary, codes binary, numbers binary"), "looked-up", large=True)
+    return settle(rows.mapInArrow(partial(_encoded, told=told), SEQUENCE), "sequences", large=True)
 
 
 class Filter:
@@ -372,7 +373,7 @@ def next_level(level: DataFrame, least: int, last: bool) -> tuple[DataFrame, Dat
     keys = settle(rows.mapInArrow(partial(_candidates, sieve=sieve), "key long").distinct(), "keys")
     shards = max(1, -(-keys.count() // SLOTS))
     dealt = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    hashes = settle(dealt.groupBy("shard").applyInArrow(_hash_of, "shard long, keys binary, bits binary, sizes binary"), "hashes")
+    hashes = settle(dealt.groupBy("shard").applyInArrow(_hash_of, "shard long, keys binary, bits binary, sizes binary"), "hashes", large=True)
     release(keys)
 
     found, base, now = [], 0, rows.withColumn("next", F.lit(None).cast("binary"))
@@ -387,13 +388,13 @@ def next_level(level: DataFrame, least: int, last: bool) -> tuple[DataFrame, Dat
             slots = spark.sparkContext.broadcast(np.array([r["id"] for r in found[-1].select("id").collect()], np.int64) - base)
             now = now.mapInArrow(partial(_renumbered, told=told, sieve=sieve, frequent=slots, base=base), "ids binary, next binary")
             if shards > 1:  # no worker holds the hashes of several shards at once
-                now = settle(now, "renumbered")
+                now = settle(now, "renumbered", large=True)
         base += len(row["keys"]) // 8
     release(hashes)
     frequent = reduce(DataFrame.unionByName, found) if found else None
     if frequent is None or frequent.isEmpty():
         return None
-    return frequent, None if last else settle(now.select("next").mapInArrow(_next_level, SEQUENCE), "sequences")
+    return frequent, None if last else settle(now.select("next").mapInArrow(_next_level, SEQUENCE), "sequences", large=True)
 
 
 def worded(frequent: DataFrame, below: DataFrame) -> DataFrame:
@@ -430,7 +431,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     (all words of the language), score (the floor of 1000 a n / (l r))."""
     prepare(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded = settle(plain.mapInArrow(_coded, CODED), "coded")
+    coded = settle(plain.mapInArrow(_coded, CODED), "coded", large=True)
     words = coded.select("lang", "words", "counts").mapInArrow(_word_counts, "lang string, word string, n long")
     counts = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
     totals = settle(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")

@@ -100,3 +100,35 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert told(op12_phrase_collocations(spark, sf)) == plain(rows, 100)
+
+
+def test_words_of_rows_given_out_are_freed():
+    import gc
+
+    import pyarrow as pa
+
+    from storyloom.llm import phrases as P
+
+    texts = [" ".join(f"w{i * P.DISTINCT + k}" for k in range(P.DISTINCT)) for i in range(3)]
+    gc.collect()
+    gc.disable()
+    try:
+        rows = sum(1 for _ in P._coded(iter([pa.record_batch({"lang": ["en"] * 3, "text": texts})])))
+        left = sum(len(x) for x in gc.get_objects() if isinstance(x, dict) and b"w1" in x)
+    finally:
+        gc.enable()
+    assert rows == 3 and left == 0
+
+
+def test_tables_of_large_rows_have_small_row_groups(spark, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from storyloom.llm import common
+
+    rows = spark.createDataFrame([(i, bytearray(os.urandom(1 << 20))) for i in range(24)], "id long, blob binary").coalesce(1)
+    held = common.settle(rows, "blobs", large=True)
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in held.inputFiles()]
+    assert sum(m.num_rows for m in found) == 24
+    assert max(m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)) <= 8
