@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.cells import CellIndex
 from storyloom.operators.inverted import BlockIndex, words
-from storyloom.shared import new_path
+from storyloom.shared import new_path, written
 
 
 def texts_of(rng, n):
@@ -81,6 +81,34 @@ def test_cells_give_what_a_scan_gives(spark, spread, share):
     assert read[1] <= share * read[0], read
 
 
+def test_nothing_is_written_for_each_query_and_cell(spark, monkeypatch):
+    from storyloom.operators import cells
+
+    tables = []
+
+    def kept(df, name="table"):
+        out = written(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(cells, "written", kept)
+    monkeypatch.setattr(cells, "LEAST", 16)  # many blocks
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 8)).astype(np.float32)
+    vectors[100:140] = vectors[99]  # more copies than k, in several blocks
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, embedding array<float>")
+    index = CellIndex(spark, new_path(spark, "cells"), 8)
+    index.build(made, cells=25)
+    hits, report = index.search(made.selectExpr("id as query_id", "embedding as vector"), 4, ["id"])
+    x = vectors.astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    near = np.round(x @ x.T, 12)
+    want = sorted((q, r, int(i)) for q in range(400) for r, i in enumerate(np.lexsort((np.arange(400), -near[q]))[:4], 1))
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in hits.collect()) == want
+    assert max(n for _, n in tables) <= 400, tables
+    assert report.count() == 400 and report.agg(F.max("cells")).first()[0] == 25
+
+
 def test_an_empty_index(spark):
     index = CellIndex(spark, new_path(spark, "cells"), 3)
     index.build(spark.createDataFrame([(1, None)], "id int, embedding array<float>"))
