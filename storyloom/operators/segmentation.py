@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.shared import written
+
 #: Runs in which words are looked for, by default those of Chinese characters.
 HAN = r"\p{IsHan}+"
 #: Characters of a word at most. Words of a lexicon at most: it is sent to every task.
@@ -25,22 +27,25 @@ LONGEST = 4
 MOST = 200_000
 
 
-def _grams(texts: DataFrame, text_col: str, pattern: str, longest: int) -> DataFrame:
-    """Every n-gram of every run, with the characters before and after it (none at the ends)."""
+def _contexts(texts: DataFrame, text_col: str, pattern: str, longest: int) -> DataFrame:
+    """n-grams with the characters before and after them (none at the ends of runs), and how often they stand so. Equal
+    runs are counted first, so a word is cut once, however often it occurs."""
     runs = texts.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(pattern), F.lit(0))).alias("run"))
-    placed = runs.select("run", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.length("run") >= F.col("n"))
-    at = placed.select("run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("i"))
+    counted = runs.groupBy("run").agg(F.count("*").alias("f"))
+    placed = counted.select("run", "f", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.length("run") >= F.col("n"))
+    at = placed.select("run", "f", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("i"))
     piece = lambda start, n: F.substring("run", start, n)
     before = F.when(F.col("i") > 1, piece(F.col("i") - 1, F.lit(1)))
     after = F.when(F.col("i") + F.col("n") <= F.length("run"), piece(F.col("i") + F.col("n"), F.lit(1)))
-    return at.select("n", piece(F.col("i"), F.col("n")).alias("gram"), before.alias("before"), after.alias("after"))
+    grams = at.select("n", piece(F.col("i"), F.col("n")).alias("gram"), before.alias("before"), after.alias("after"), "f")
+    return written(grams.groupBy("n", "gram", "before", "after").agg(F.sum("f").alias("f")), "contexts")
 
 
-def _entropy(grams: DataFrame, side: str) -> DataFrame:
+def _entropy(contexts: DataFrame, side: str) -> DataFrame:
     """Of each n-gram the entropy of its neighbours on one side; an end of a run is a neighbour of its own each time."""
     n = F.col("n")
-    counts = grams.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.count("*").alias("n"))
-    ends = grams.where(F.col(side).isNull()).groupBy("gram").agg(F.count("*").alias("ends"))
+    counts = contexts.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.sum("f").alias("n"))
+    ends = contexts.where(F.col(side).isNull()).groupBy("gram").agg(F.sum("f").alias("ends"))
     inner = counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(n * F.log(n)).alias("x"))
     both = inner.join(ends, "gram", "full").fillna(0, ["n", "ends"]).fillna(0.0, ["x"])
     total = F.col("n") + F.col("ends")
@@ -49,8 +54,8 @@ def _entropy(grams: DataFrame, side: str) -> DataFrame:
 
 def statistics(texts: DataFrame, text_col: str = "text", pattern: str = HAN, longest: int = LONGEST, least: int = 10) -> DataFrame:
     """n-grams of 2 to longest characters that occur least times: gram, n (how often), cohesion, free_before, free_after."""
-    grams = _grams(texts, text_col, pattern, longest)
-    counted = grams.groupBy("n", "gram").agg(F.count("*").alias("f"))
+    contexts = _contexts(texts, text_col, pattern, longest)
+    counted = contexts.groupBy("n", "gram").agg(F.sum("f").alias("f"))
     total = counted.where("n = 1").agg(F.sum("f").alias("total"))
     common = counted.where(F.col("f") >= least).select("gram", "f")
     kept = counted.where((F.col("n") > 1) & (F.col("f") >= least))
@@ -59,7 +64,7 @@ def statistics(texts: DataFrame, text_col: str = "text", pattern: str = HAN, lon
     scored = parts.join(common.select(F.col("gram").alias("a"), F.col("f").alias("fa")), "a").join(common.select(F.col("gram").alias("b"), F.col("f").alias("fb")), "b")
     scored = scored.crossJoin(F.broadcast(total))  # one row
     cohesion = scored.groupBy("gram").agg(F.max("f").alias("f"), F.min(F.log(F.col("f") * F.col("total") / (F.col("fa") * F.col("fb")))).alias("cohesion"))
-    some = grams.join(kept.select("gram"), "gram", "left_semi")
+    some = contexts.join(kept.select("gram"), "gram", "left_semi")
     return cohesion.join(_entropy(some, "before"), "gram").join(_entropy(some, "after"), "gram").select("gram", F.col("f").alias("n"), "cohesion", "free_before", "free_after")
 
 

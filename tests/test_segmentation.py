@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from storyloom.operators import segmentation as G
+from storyloom.shared import written
 
 NAMES = ["沈舟", "顾远", "白术", "陆离", "青禾", "赵安平", "钱若水", "孙长庚", "李云起", "周怀瑾"]
 FILLER = "的了是在有他我你们这那就说道问看走来去上下里外前后山水火土风雨日月天地人心手口"
@@ -53,6 +54,23 @@ def test_statistics_by_hand(spark):
     assert abs(row["ab"]["free_before"] - math.log(3)) < 1e-9 and abs(row["ab"]["free_after"] - math.log(3)) < 1e-9
 
 
+def test_a_word_is_cut_once_however_often_it_occurs(spark, monkeypatch):
+    tables = []
+
+    def kept(df, name="table"):
+        tables.append(written(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(G, "written", kept)
+    text = " ".join(["ab abc xab"] * 500)
+    once, often = (G.statistics(spark.createDataFrame([(t,)] * 3, "text string"), pattern=r"[a-z]+", longest=2, least=2) for t in ("ab abc xab", text))
+    want = {r["gram"]: (r["n"] * 500, round(r["cohesion"], 9), round(r["free_before"], 9)) for r in once.collect()}
+    got = {r["gram"]: (r["n"], round(r["cohesion"], 9), round(r["free_before"], 9)) for r in often.collect()}
+    assert set(got) == set(want) == {"ab", "bc", "xa"}
+    assert all(got[g][:2] == want[g][:2] for g in got)
+    assert len(tables) == 2 and tables[0].count() == tables[1].count()
+
+
 def test_the_cheapest_path():
     cost = {"ab": 1.0, "bc": 0.5, "c": 1.0, "a": 1.0}
     assert G.cheapest("abc", cost, 3.0, 2) == ["a", "bc"]
