@@ -42,7 +42,7 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     ranges = dealt.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
     shift = ranges.select("_range", (before - F.col("_first")).alias("_shift"))
-    return dealt.join(shift, "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+    return dealt.join(F.broadcast(shift), "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
 #: Rows and bytes that a Python worker turns into objects at once.

@@ -50,6 +50,26 @@ def test_block_index_gives_what_a_scan_gives(spark, weighted):
 
 
 
+def test_long_queries_of_common_words_score_all_blocks_where_they_lie(spark, monkeypatch):
+    looked_up, plain = [], BlockIndex._scored
+
+    def scored(*tables):
+        looked_up.append(1)
+        return plain(*tables)
+
+    monkeypatch.setattr(BlockIndex, "_scored", staticmethod(scored))
+    rng = random.Random(6)
+    items = list(enumerate(texts_of(rng, 300)))
+    queries = [(q, rng.sample([f"w{i}" for i in range(40)], 25)) for q in range(12)]
+    index = BlockIndex(spark, new_path(spark, "index"), block=8)
+    made = spark.createDataFrame(items, "id int, text string")
+    for part in range(2):
+        index.append(made.where(f"id % 2 = {part}"), "id", "text")
+    hits, report = index.search(spark.createDataFrame(queries, "query_id int, terms array<string>"), 4, True)
+    assert sorted((r["query_id"], r["rank"], r["item_id"], r["score"]) for r in hits.collect()) == scan(items, queries, 4, True)
+    assert len(looked_up) == 1 and report.where("blocks_read <> blocks").count() == 0
+
+
 def clustered(rng, n, spread):
     centres = rng.normal(size=(12, 16))
     return centres[rng.integers(0, 12, n)] + spread * rng.normal(size=(n, 16))
