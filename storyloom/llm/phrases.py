@@ -12,8 +12,11 @@ its first word are (Apriori).
    whose parts are frequent: its key is the pair of their numbers, exactly 64 bits.
    - Mappers count keys by hashed buckets (bincount); the arrays are summed in a tree. A bucket below the threshold
      holds no frequent phrase. Buckets follow the pairs and the threshold: their mean load is a quarter of it at most.
-   - The distinct keys in the other buckets are the candidates. A minimal perfect hash over them, whose keys are
-     stored by slot, is built for each shard of about SLOTS keys.
+     On a large level, the keys in the other buckets are counted once more by buckets of another hash.
+   - The distinct keys that are left are the candidates. They are looked for in portions of the sequences, each three
+     times as large as all before it, and a task gives out only keys that no portion before had: so a key is given out
+     a few times, however many tasks meet it. A minimal perfect hash over them, whose keys are stored by slot, is built
+     for each shard of about SLOTS keys.
    - Mappers look up the slots of their keys, verified against the stored ones, and bincount them; the arrays are
      summed in a tree, and the slots that reach the threshold are the frequent phrases, with exact counts.
    - The sequence is written anew with their slots as numbers, and the next level reads that.
@@ -30,6 +33,7 @@ and other columns play no part. A very long text is read in parts, cut at a spac
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -60,8 +64,14 @@ CHARS = 1 << 20
 DENSE = 1 << 22
 #: Keys of candidates that a task holds before it gives them out.
 TOGETHER = 1 << 20
-#: Buckets at most: their bits reach the driver. Beyond, more keys are candidates; the result is the same.
+#: Buckets of a hash at most: their bits reach the driver. Beyond, more keys are candidates; the result is the same.
 BUCKETS = 1 << 29
+#: Buckets of a hash from which on a second one is worth its pass.
+TWICE = 1 << 19
+#: Files of the first portion that candidates are looked for in, and keys at most that tasks are told of, 8 bytes each;
+#: those beyond are given out again by later portions.
+FIRST = 4
+KNOWN = 1 << 22
 #: Counters summed together, and the lanes of the first round of sums.
 CHUNK = 1 << 16
 LANES = 16
@@ -198,17 +208,25 @@ def encoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """Which buckets of keys may hold a frequent phrase."""
+    """Which keys may be frequent: those whose buckets reach the threshold, by one hash after the other."""
 
-    def __init__(self, bits: int, held: np.ndarray | None):
+    def __init__(self, bits: int, *held: np.ndarray):
         self.bits, self.held = bits, held
 
-    def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys, 63) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def bucket(self, keys: np.ndarray, nth: int) -> np.ndarray:
+        return (mixed(keys, 63 - nth) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def passed(self, keys: np.ndarray) -> np.ndarray:
-        at = self.bucket(keys)
-        return (self.held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        """The keys that pass, in their order."""
+        return keys[self.where(keys)]
+
+    def where(self, keys: np.ndarray) -> np.ndarray:
+        """The places of the keys that pass."""
+        places = np.arange(len(keys))
+        for nth, held in enumerate(self.held):
+            at = self.bucket(keys[places], nth)
+            places = places[(held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        return places
 
 
 def counted(numbers: Iterator[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
@@ -269,9 +287,11 @@ def tree_sum(arrays: DataFrame) -> DataFrame:
     return by_lane.withColumn("lane", F.lit(0).cast("long")).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, ARRAYS)
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    sieve = Filter(bits, None)
-    yield from counted((sieve.bucket(pair_keys(ids)[1]) for b in rows_of(batches) for ids in sequences(b.column(0))), 1 << bits)
+def _bucket_counts(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
+    """Sequences -> counts of those keys that pass, by the buckets of the next hash."""
+    sieve = sieve.value
+    passed = (sieve.passed(pair_keys(ids)[1]) for b in rows_of(batches) for ids in sequences(b.column(0)))
+    yield from counted((sieve.bucket(keys, len(sieve.held)) for keys in passed), 1 << sieve.bits)
 
 
 def _reaching(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -286,20 +306,25 @@ def _reaching(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 def sieve_of(level: DataFrame, pairs: int, least: int) -> Filter:
     """The filter of a level's keys. Buckets are a power of two, four times as many as frequent keys there can be."""
     bits = min(BUCKETS.bit_length() - 1, max(16, (4 * pairs // least).bit_length()))
-    told = tree_sum(level.mapInArrow(partial(_bucket_counts, bits=bits), ARRAYS)).mapInArrow(partial(_reaching, least=least), "chunk long, bits binary")
-    held = np.zeros((1 << bits) // 8, np.uint8)
-    for r in told.toLocalIterator():
-        held[r["chunk"] * CHUNK // 8 :][: CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits, held)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
-    """Sequences -> the keys that pass the filter, each once a task as long as TOGETHER of them are held."""
+    sieve = Filter(bits)
+    for _ in range(2 if 1 << bits >= TWICE else 1):
+        counts = level.mapInArrow(partial(_bucket_counts, sieve=level.sparkSession.sparkContext.broadcast(sieve)), ARRAYS)
+        told = tree_sum(counts).mapInArrow(partial(_reaching, least=least), "chunk long, bits binary")
+        held = np.zeros((1 << bits) // 8, np.uint8)
+        for r in told.toLocalIterator():
+            held[r["chunk"] * CHUNK // 8 :][: CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+        sieve = Filter(bits, *sieve.held, held)
+    return sieve
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], sieve, known) -> Iterator[pa.RecordBatch]:
+    """Sequences -> the keys that pass the filter and are not known, each once a task as long as TOGETHER of them are
+    held."""
     held, waiting = np.empty(0, np.int64), []
     for b in rows_of(batches):
         for ids in sequences(b.column(0)):
-            keys = pair_keys(ids)[1]
-            waiting.append(np.unique(keys[sieve.value.passed(keys)]))
+            keys = np.unique(sieve.value.passed(pair_keys(ids)[1]))
+            waiting.append(keys[~among(keys, known.value)])
             if sum(map(len, waiting)) >= TOGETHER:
                 held, waiting = np.unique(np.concatenate([held, *waiting])), []
                 if len(held) >= TOGETHER:
@@ -310,6 +335,32 @@ def _candidates(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordB
         yield pa.record_batch({"key": held})
 
 
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the keys are known; these are sorted."""
+    return known[np.searchsorted(known[:-1], keys)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def candidates(level: DataFrame, sieve) -> DataFrame:
+    """Settled sequences -> their distinct keys that pass the filter, settled."""
+    names = sorted(f.rsplit("/", 1)[-1] for f in level.inputFiles())
+    random.Random(0).shuffle(names)  # a portion is like the whole, in whatever order the texts came
+    known, before, at = np.empty(0, np.int64), [], 0
+    while True:
+        size = max(3 * at, FIRST)
+        portion = level.where(F.col("_metadata.file_name").isin(names[at : at + size])).select("ids")
+        told = level.sparkSession.sparkContext.broadcast(known)
+        given = portion.mapInArrow(partial(_candidates, sieve=sieve, known=told), "key long")
+        at += size
+        if at >= len(names):
+            break
+        before.append(settle(given, "given"))
+        if before[-1].count() + len(known) <= KNOWN:
+            known = np.union1d(known, np.asarray(before[-1].toArrow().column("key")))
+    keys = settle(reduce(DataFrame.unionByName, [*before, given]).distinct(), "keys")
+    release(*before)
+    return keys
+
+
 def _hash_of(found: pa.Table) -> pa.Table:
     """The perfect hash over a shard's keys."""
     made = PerfectHash.of(np.asarray(found.column("key")).copy()).dump()
@@ -322,8 +373,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch], told, sieve) -> Iterator[pa.
     def slots() -> Iterator[np.ndarray]:
         for b in rows_of(batches):
             for ids in sequences(b.column(0)):
-                keys = pair_keys(ids)[1]
-                found = held.slots(keys[sieve.value.passed(keys)])
+                found = held.slots(sieve.value.passed(pair_keys(ids)[1]))
                 yield found[found >= 0]
 
     yield from counted(slots(), len(held.keys))
@@ -348,7 +398,7 @@ def _renumbered(batches: Iterator[pa.RecordBatch], told, sieve, frequent, base:
         for ids, own, after in zip(sequences(b.column(0)), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             out = np.full(max(len(ids) - 1, 0), -1, np.int64) if after is None else np.frombuffer(after, np.int64).copy()
             at, keys = pair_keys(ids)
-            some = sieve.value.passed(keys)
+            some = sieve.value.where(keys)
             at, slot = at[some], held.slots(keys[some])
             some = (slot >= 0) & counts[slot]
             out[at[some]] = slot[some] + base
@@ -370,7 +420,7 @@ def next_level(level: DataFrame, least: int, last: bool) -> tuple[DataFrame, Dat
         return None
     rows = level.select("ids")
     sieve = spark.sparkContext.broadcast(sieve_of(rows, pairs, least))
-    keys = settle(rows.mapInArrow(partial(_candidates, sieve=sieve), "key long").distinct(), "keys")
+    keys = candidates(level, sieve)
     shards = max(1, -(-keys.count() // SLOTS))
     dealt = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     hashes = settle(dealt.groupBy("shard").applyInArrow(_hash_of, "shard long, keys binary, bits binary, sizes binary"), "hashes", large=True)

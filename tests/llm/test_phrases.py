@@ -132,3 +132,33 @@ def test_tables_of_large_rows_have_small_row_groups(spark, tmp_path):
     found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in held.inputFiles()]
     assert sum(m.num_rows for m in found) == 24
     assert max(m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)) <= 8
+
+
+def test_a_key_is_given_out_a_few_times_however_many_tasks_meet_it(spark, monkeypatch):
+    given, plain_step = spark.sparkContext.accumulator(0), phrases._candidates
+
+    def step(batches, **told):
+        for b in plain_step(batches, **told):
+            given.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(phrases, "_candidates", step)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(" ".join(rng.choices(words, k=400)), "en") for _ in range(48)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a task for each file
+    try:
+        found = told(phrases.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(24), min_count=60, longest=2))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(found) == 144 and found == plain(rows, 60, longest=2)
+    assert given.value <= 6 * 144
+
+
+@pytest.mark.parametrize("known", [0, 50])
+def test_keys_that_tasks_are_not_told_of_count_once(spark, monkeypatch, known):
+    monkeypatch.setattr(phrases, "KNOWN", known)
+    monkeypatch.setattr(phrases, "FIRST", 1)
+    rows = corpus(random.Random(known), 400)
+    assert told(phrases.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(7), min_count=12, top=50)) == plain(rows, 12, top=50)
