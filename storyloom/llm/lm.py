@@ -242,10 +242,23 @@ class Network:
     def hidden(self) -> int:
         return len(self.w["h"])
 
-    def by_class(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An order that puts words of a class together, and where each class begins in it."""
-        order = np.argsort(classes, kind="stable")
-        return order, np.r_[0, np.cumsum(np.bincount(classes, minlength=len(self.ends)))]
+    def by_row(self, states: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """An order that puts equal rows together, and so those of a class; states (a column of ones for the biases
+        behind them) and rows in that order; and where each class begins in it."""
+        order = np.argsort(rows, kind="stable")
+        own = np.ones((len(rows), self.hidden + 1), states.dtype)
+        own[:, :-1] = states[order]
+        member = rows[order]
+        return order, own, member, np.r_[np.searchsorted(member, self.starts), len(member)]
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights with their biases: of the classes, of the rows, and what a row and its class have together; a row
+        that is alone in its class has nothing of its own."""
+        w = self.w
+        classes, members = np.r_["0,2", w["class"], w["class_b"]], np.c_[w["out"], w["out_b"]]
+        both = np.where((self.ends - self.starts > 1)[self.class_of][:, None], members, 0)
+        both += classes.T[self.class_of]
+        return classes, members, both
 
     def far(self) -> bool:
         """Whether a logit could be too large for exp: states lie between -1 and 1."""
@@ -254,19 +267,17 @@ class Network:
 
     def log_probability(self, states: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """log P(class | state) + log P(member | class, state) of each row."""
-        classes, w, far = self.class_of[rows], self.w, self.far()
-        logits = states @ w["class"] + w["class_b"]
-        out = logits[np.arange(len(rows)), classes].astype(np.float64)
-        out -= np.log(total(exps(logits, far)))
-        order, cut = self.by_class(classes)
-        sorted_states, sorted_rows, inner_sum = states[order], rows[order].astype(np.int64), np.zeros(len(rows))
+        far = self.far()
+        classes, members, both = self.joined()
+        order, own, member, cut = self.by_row(states, rows)
+        found = np.einsum("ij,ij->i", own, both[member]).astype(np.float64)
+        found -= np.log(total(exps(own @ classes, far)))
         for k, (a, b) in enumerate(zip(self.starts, self.ends, strict=True)):
             part = slice(cut[k], cut[k + 1])
             if cut[k + 1] > cut[k] and b - a > 1:
-                inner = sorted_states[part] @ w["out"][a:b].T + w["out_b"][a:b]
-                inner_sum[part] = inner[np.arange(len(inner)), sorted_rows[part] - a]
-                inner_sum[part] -= np.log(total(exps(inner, far)))
-        out[order] += inner_sum
+                found[part] -= np.log(total(exps(own[part] @ members[a:b].T, far)))
+        out = np.empty(len(rows))
+        out[order] = found
         return out
 
 
@@ -339,51 +350,56 @@ class Trainer:
         if not whole:
             flat, rows = flat[there], rows[there]
         scale, far = np.float32(1.0 / STREAMS), self.net.far()
-        classes = self.net.class_of[rows]
-        # Sorted by class, so that each class's words lie together.
-        order, cut = self.net.by_class(classes)
-        own, member, kind = flat[order], rows[order].astype(np.int64), classes[order]
-        p = exps(own @ w["class"] + w["class_b"], far)
-        p *= (scale / total(p))[:, None]
-        p[np.arange(len(own)), kind] -= scale
+        classes, members, both = self.net.joined()
+        order, own, member, cut = self.net.by_row(flat, rows)
+        p = exps(own @ classes, far)
+        size = (scale / total(p))[:, None]
         back = p @ w["class"].T
-        steps_out = [("class", own.T @ p), ("class_b", columns(p))]
-        g_out, g_bias = np.zeros_like(w["out"]), np.zeros_like(w["out_b"])
+        back *= size
+        g_class, g_out = (own * size).T @ p, np.zeros_like(members)
         for k, (a, b) in enumerate(zip(self.net.starts, self.net.ends, strict=True)):
             part = slice(cut[k], cut[k + 1])
             if cut[k + 1] > cut[k] and b - a > 1:
                 mine = own[part]
-                q = exps(mine @ w["out"][a:b].T + w["out_b"][a:b], far)
-                q *= (scale / total(q))[:, None]
-                q[np.arange(len(mine)), member[part] - a] -= scale
-                back[part] += q @ w["out"][a:b]
-                g_out[a:b], g_bias[a:b] = q.T @ mine, columns(q)
+                q = exps(mine @ members[a:b].T, far)
+                size = (scale / total(q))[:, None]
+                back[part] += (q @ w["out"][a:b]) * size
+                g_out[a:b] = q.T @ (mine * size)
+        # What was to be predicted: the words of a row, and of a class, lie together.
+        back -= (scale * both[:, :h])[member]
+        first = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
+        there_sums, there_rows = np.add.reduceat(own, first, axis=0) * scale, member[first]
+        alone = (self.net.ends - self.net.starts == 1)[self.net.class_of[there_rows]]
+        g_out[there_rows[~alone]] -= there_sums[~alone]
+        kind = self.net.class_of[there_rows]
+        begin = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+        g_class[:, kind[begin]] -= np.add.reduceat(there_sums, begin, axis=0).T
         up_all = np.zeros((steps * n, h), back.dtype)
         up_all[order if whole else np.flatnonzero(there)[order]] = back
         up_all = up_all.reshape(steps, n, h)
-        g_x, g_of_h = np.empty_like(x), np.empty_like(x)
+        g_of_h, g_news = np.empty_like(x), np.empty_like(states)
         carry = np.zeros((n, h), kind_of)
         slope = gates * (1 - gates)
         of_z, of_r, of_new = (before - news) * slope[:, :, :h], of_c * slope[:, :, h:], 1 - news * news
         for t in range(steps - 1, -1, -1):
             up = up_all[t] + carry
             through = up * gates[t, :, :h]
-            g = g_x[t]
+            g = g_of_h[t]
             np.multiply(up, of_z[t], out=g[:, :h])
-            g_new = np.multiply(up - through, of_new[t], out=g[:, 2 * h :])
+            g_new = np.multiply(up - through, of_new[t], out=g_news[t])
             np.multiply(g_new, of_r[t], out=g[:, h : 2 * h])
-            g_of_h[t, :, : 2 * h] = g[:, : 2 * h]
-            np.multiply(g_new, gates[t, :, h:], out=g_of_h[t, :, 2 * h :])
-            through += g_of_h[t] @ w["h"].T
+            np.multiply(g_new, gates[t, :, h:], out=g[:, 2 * h :])
+            through += g @ w["h"].T
             carry = np.multiply(through, resets[t][:, None], out=through)
         g_h = before.reshape(-1, h).T @ g_of_h.reshape(-1, 3 * h)
-        read, flat_x = inputs.reshape(-1), g_x.reshape(-1, 3 * h)
+        g_of_h[:, :, 2 * h :] = g_news  # what reaches the input's part differs there alone
+        read, flat_x = inputs.reshape(-1), g_of_h.reshape(-1, 3 * h)
         seen = w["in"][read]
         g_in = flat_x @ w["x"].T
         order = np.argsort(read, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(read[order].astype(np.int32)) > 0])
         self.step("in", np.add.reduceat(g_in[order], first, axis=0), read[order][first])
-        for name, gradient in (("x", seen.T @ flat_x), ("h", g_h), ("b", columns(flat_x)), *steps_out, ("out", g_out), ("out_b", g_bias)):
+        for name, gradient in (("x", seen.T @ flat_x), ("h", g_h), ("b", columns(flat_x)), ("class", g_class[:-1]), ("class_b", g_class[-1]), ("out", g_out[:, :-1]), ("out_b", g_out[:, -1])):
             self.step(name, gradient)
 
     def read(self, docs: list[np.ndarray]) -> None:
@@ -506,38 +522,36 @@ class Scorer:
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """The rows of each document's words -> natural log of what the network answers for."""
-        out = np.zeros(len(docs))
+        if not docs:
+            return np.zeros(0)
         lengths = np.array([len(d) for d in docs])
         order = np.argsort(-lengths, kind="stable")
-        h, w = self.net.hidden, self.net.w["h"]
-        offsets = np.r_[0, np.cumsum(lengths)[:-1]][order]
-        rows = np.concatenate(docs)
-        falling = lengths[order]
-        state = np.zeros((len(docs), h), np.float32)
-        held, whose, asked, size = [], [], [], 0
-
-        def answer() -> None:
-            nonlocal held, whose, asked, size
-            if held:
-                got = self.net.log_probability(np.concatenate(held), np.concatenate(asked))
-                out[:] += np.bincount(np.concatenate(whose), got, minlength=len(docs))
-                held, whose, asked, size = [], [], [], 0
-
-        alive = len(docs)
-        for t in range(int(falling[0]) if len(docs) else 0):
-            while falling[alive - 1] <= t:
-                alive -= 1
-            at = offsets[:alive] + t
-            x = self.table[rows[at - 1]] if t else np.repeat(self.table[self.net.start][None], alive, axis=0)
-            state = state[:alive]
-            state = cell(x, state, w, *(np.empty((alive, k), np.float32) for k in (2 * h, h, h, h)))
-            held.append(state)
-            whose.append(order[:alive])
-            asked.append(rows[at])
-            size += alive
-            if size > 1 << 16:
-                answer()
-        answer()
+        h, w, falling = self.net.hidden, self.net.w["h"], lengths[order]
+        # The words of all documents by their steps; of a step, those of the longest documents first.
+        alive = np.searchsorted(-falling, -np.arange(falling[0]), side="left")  # documents longer than t
+        begins = np.r_[0, np.cumsum(alive)]
+        ends = np.cumsum(falling)
+        place = np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - falling).astype(np.int32), falling)
+        place = begins.astype(np.int32)[place]
+        place += np.repeat(np.arange(len(docs), dtype=np.int32), falling)
+        rows = np.empty(len(place), np.uint16)
+        rows[place] = np.concatenate([docs[d] for d in order.tolist()])
+        got = np.empty(len(rows))
+        states = np.empty((min(len(rows), (1 << 16) + len(docs)), h), np.float32)
+        gates, news, of_c = (np.empty((len(docs), k), np.float32) for k in (2 * h, h, h))
+        state, done = np.zeros((len(docs), h), np.float32), 0
+        x = np.repeat(self.table[self.net.start][None], len(docs), axis=0)
+        for t, n in enumerate(alive.tolist()):
+            begin = int(begins[t])
+            if t:
+                before = int(begins[t - 1])
+                x = self.table[rows[before : before + n]]
+            state = cell(x, state[:n], w, gates[:n], news[:n], of_c[:n], states[begin - done : begin - done + n])
+            if begin + n - done > 1 << 16 or begin + n == len(rows):
+                got[done : begin + n] = self.net.log_probability(states[: begin + n - done], rows[done : begin + n])
+                done = begin + n
+        out = np.empty(len(docs))
+        out[order] = np.add.reduceat(got[place], ends - falling)
         return out
 
 

@@ -229,3 +229,16 @@ def test_all_words_follow_their_context():
     rows = np.r_[1500, 2000, v.short + np.flatnonzero(sets[1])].astype(np.uint16)
     one, other = (net.log_probability(np.full((len(rows), lm.HIDDEN), x, np.float32), rows) for x in (0.5, -0.5))
     assert (np.abs(one - other) > 1e-3).all() and len(np.unique(net.class_of[rows])) == 3
+
+
+def test_scoring_makes_no_array_for_each_word_of_a_long_text(monkeypatch):
+    """The states of a text's steps lie in one array; none is made for each step, however few texts are left."""
+    small(monkeypatch)
+    _, v, net = made(TEXTS)
+    made_arrays, plain_empty = [], np.empty
+    docs = rows_of_texts(v, ["the cat sat on the mat " * 300, *TEXTS])
+    monkeypatch.setattr(lm.np, "empty", lambda *a, **k: made_arrays.append(1) or plain_empty(*a, **k))
+    found = lm.Scorer(net).score(docs)
+    assert len(docs[0]) > 1800 and len(made_arrays) < 100
+    alone = [lm.Scorer(net).score([d])[0] for d in docs]
+    assert np.allclose(found, alone, rtol=1e-5) and lm.Scorer(net).score([]).tolist() == []
